@@ -40,3 +40,17 @@ def null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column
         c = left[k].eqNullSafe(right[k])
         cond = c if cond is None else cond & c
     return cond
+
+
+def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    """Add per-group totals (one row per group) to every row of ``df``.
+
+    Grouped: an equi-join on the group keys, broadcast behind a count.
+    Ungrouped: the single summary row is read once and added as literals.
+    """
+    if group:
+        return join_small(df, totals, group, "inner")
+    row = totals.first()
+    lits = [F.lit(row[c]).alias(c) for c in totals.columns] if row is not None else \
+        [F.lit(None).alias(c) for c in totals.columns]
+    return df.select("*", *lits)

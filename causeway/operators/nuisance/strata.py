@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.config import EffectConfig
@@ -63,24 +63,21 @@ def oof_table(stats: DataFrame, cfg: EffectConfig, group: Sequence[str] = (),
               fold: str = "fold", y_scale: int | None = None) -> DataFrame:
     """Out-of-fold ``e_raw, e, mu1, mu0`` per (group, fold, cell)."""
     group = list(group)
-    keep = list(group)
-    if not group:  # a constant key keeps every step an equi-join
-        stats = stats.withColumn("_g", F.lit(0))
-        group = ["_g"]
     sums = [F.sum(c).alias(c) for c in STAT_COLS]
     cell_tot = stats.groupBy(*group, "cell").agg(*sums)
-    fold_arm = stats.groupBy(*group, fold).agg(*sums)
-    arm_tot = stats.groupBy(*group).agg(*sums)
-
-    def rename(df: DataFrame, pre: str, keys: list[str]) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(pre + c) for c in STAT_COLS])
+    # Fold totals carry the group totals as a window over the (small) fold table,
+    # so no join on an empty key is needed.
+    whole = Window.partitionBy(*group) if group else Window.partitionBy()
+    fold_arm = stats.groupBy(*group, fold).agg(*sums).select(
+        *group, fold, *[F.col(c).alias("f_" + c) for c in STAT_COLS],
+        *[F.sum(c).over(whole).alias("a_" + c) for c in STAT_COLS])
 
     t = stats.select(*group, fold, "cell", *[F.col(c).alias("o_" + c) for c in STAT_COLS])
-    # All four tables are aggregates of ``stats``; AQE sees their real size
-    # after the first shuffle and broadcasts them.
-    t = t.join(rename(cell_tot, "c_", group + ["cell"]), group + ["cell"])
-    t = t.join(rename(fold_arm, "f_", group + [fold]), group + [fold])
-    t = t.join(rename(arm_tot, "a_", group), group)
+    # Both sides are aggregates of ``stats``; AQE sees their real size after
+    # the first shuffle and broadcasts them.
+    t = t.join(cell_tot.select(*group, "cell", *[F.col(c).alias("c_" + c) for c in STAT_COLS]),
+               group + ["cell"])
+    t = t.join(fold_arm, group + [fold])
 
     def tr(c: str, scope: str) -> Column:
         own = F.col("o_" + c) if scope == "c_" else F.col("f_" + c)
@@ -98,7 +95,7 @@ def oof_table(stats: DataFrame, cfg: EffectConfig, group: Sequence[str] = (),
            .when(m1a > 0, _y_value(s1a, y_scale) / m1a).otherwise(F.lit(0.0)))
     mu0 = (F.when(m0c > 0, _y_value(s0c, y_scale) / m0c)
            .when(m0a > 0, _y_value(s0a, y_scale) / m0a).otherwise(F.lit(0.0)))
-    return t.select(*keep, fold, "cell", e_raw.alias("e_raw"),
+    return t.select(*group, fold, "cell", e_raw.alias("e_raw"),
                     propensity(e_raw, cfg.trim, cfg.ps_clip).alias("e"),
                     mu1.alias("mu1"), mu0.alias("mu0"))
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ from causeway.operators.joins import join_small
 _INF = float("inf")
 
 
+# Inputs with at most this many rows are ordered by one window per group:
+# a single task sorting a bounded number of rows is fine at any scale.
+SMALL_ROWS = 50_000
+
+
 def _n_buckets(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     return max(32, 4 * parts)
@@ -59,15 +65,31 @@ def _bucketize(df: DataFrame, in_col: str, out_col: str, splits: list[float]) ->
 
 def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
             group: Sequence[str] = (), sums: Sequence[str] = (), pos_col: str = "pos",
-            n_buckets: int | None = None) -> DataFrame:
+            n_buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
     """Add the 1-based position of each row within ``group`` when sorted by
     ``key`` (NULLS LAST) then ``tie`` ascending, plus inclusive running sums
     ``cum_<s>`` for every column in ``sums``.
+
+    Inputs of at most ``small_rows`` rows (checked by a count) take one
+    window per group; passing ``n_buckets`` forces the bucketed plan.
     """
     group = list(group)
+    if not df.is_cached:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    k = F.col(key).cast("double")
+    order_key = (F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last())
+    if small_rows is None:
+        small_rows = SMALL_ROWS
+    if n_buckets is None and df.count() <= small_rows:
+        w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(
+            order_key, F.col(tie).asc())
+        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
+        for s in sums:
+            out = out.withColumn(f"cum_{s}", F.sum(s).over(w_run))
+        return out
     nb = n_buckets or _n_buckets(df)
     probs = [i / nb for i in range(1, nb)]
-    k = F.col(key).cast("double")
     work = df.withColumn("_k", k if ascending else -k).withColumn("_t", F.col(tie).cast("double"))
     cuts = work.agg(F.percentile_approx("_k", probs, 10000).alias("ck"),
                     F.percentile_approx("_t", probs, 10000).alias("ct")).first()
@@ -98,8 +120,7 @@ def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
     )
     work = join_small(work, offsets, keys, "inner")
 
-    order_key = F.col("_k").asc_nulls_last()
-    w = Window.partitionBy(*keys).orderBy(order_key, F.col(tie).asc())
+    w = Window.partitionBy(*keys).orderBy(F.col("_k").asc_nulls_last(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = work.withColumn(pos_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
     for s in sums:

@@ -98,3 +98,162 @@ def q_ci_width(spark, sf_dir):
 def q_fold_var(spark, sf_dir):
     d = estimate.fold_variance(customer_nuisance(spark, sf_dir))
     return d.select("n_folds", r("fold_variance", 2).alias("fold_variance"))
+
+
+# ------------------------------------------------------------ P2 diagnostics
+from causeway.config import Rules  # noqa: E402
+from causeway.operators import diagnose  # noqa: E402
+from causeway.operators.features.encode import one_hot  # noqa: E402
+
+SEG_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+BALANCE_FEATURES = ("before_cnt", "before_amt", "acctbal", "region")
+
+
+def customer_balance_frame(spark, sf_dir):
+    """Customer nuisance table with one-hot market segments (first level dropped)."""
+    nuis = customer_nuisance(spark, sf_dir)
+    return one_hot(nuis, "seg", levels=SEG_LEVELS, drop_first=True, prefix="seg")
+
+
+def balance_features() -> list[str]:
+    return list(BALANCE_FEATURES) + [f"seg_{v}" for v in SEG_LEVELS[1:]]
+
+
+@query("ks_overlap")
+def q_ks(spark, sf_dir):
+    return diagnose.ks_statistic(customer_nuisance(spark, sf_dir))
+
+
+@query("ovl_overlap")
+def q_ovl(spark, sf_dir):
+    return diagnose.ovl_coefficient(customer_nuisance(spark, sf_dir)).select(r("ovl", 6).alias("ovl"))
+
+
+@query("ess_ratio")
+def q_ess(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    parts = [diagnose.ess_ratio(nuis, est, DEFAULT).select(F.lit(est).alias("estimand"),
+                                                          r("ess_t", 6).alias("ess_t"),
+                                                          r("ess_c", 6).alias("ess_c"))
+             for est in estimate.ESTIMANDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("weight_tails")
+def q_tails(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    parts = [diagnose.weight_tails(nuis, est, DEFAULT).select(
+        F.lit(est).alias("estimand"), "arm", r("w_p99", 6).alias("w_p99"), r("w_max", 6).alias("w_max"))
+        for est in estimate.ESTIMANDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _smd_query(estimand):
+    def fn(spark, sf_dir):
+        smd = diagnose.smd_table(customer_balance_frame(spark, sf_dir), balance_features(),
+                                 estimand, DEFAULT)
+        return smd.select("feature", r("smd", 6).alias("smd"))
+    return fn
+
+
+for _est in estimate.ESTIMANDS:
+    QUERIES[f"smd_{_est.lower()}"] = _smd_query(_est)
+
+
+@query("smd_topk")
+def q_smd_top(spark, sf_dir):
+    smd = diagnose.smd_table(customer_balance_frame(spark, sf_dir), balance_features(), "ATE", DEFAULT)
+    top = diagnose.smd_top(smd, k=5)
+    return top.select("rank", "feature", r("smd", 6).alias("smd"))
+
+
+@query("band_coverage")
+def q_band(spark, sf_dir):
+    b = diagnose.band_coverage(customer_nuisance(spark, sf_dir), 0.3, 0.7)
+    return b.select("n", "n_band", "n_band_treated", "n_band_control", r("coverage", 6).alias("coverage"))
+
+
+@query("propensity_summary")
+def q_ps(spark, sf_dir):
+    s = diagnose.propensity_summary(customer_nuisance(spark, sf_dir))
+    return s.select(r("e_mean", 6).alias("e_mean"), "e_min", "e_max")
+
+
+# ------------------------------------------------------------ P3 ranking
+from causeway.operators import hte, ranking  # noqa: E402
+from causeway.operators.order import exact_quantiles  # noqa: E402
+
+
+def customer_tau(spark, sf_dir):
+    """Nuisance table + cross-fitted segment-mean τ̂ (segments = strata cells)."""
+    return hte.dr_segment(customer_nuisance(spark, sf_dir), "cell")
+
+
+@query("dr_segment")
+def q_dr_segment(spark, sf_dir):
+    return customer_tau(spark, sf_dir).select("id", "fold", r("tau", 4).alias("tau"))
+
+
+@query("dr_segment_effects")
+def q_seg_effects(spark, sf_dir):
+    s = hte.segment_effects(customer_nuisance(spark, sf_dir), "cell")
+    return s.select("segment", "n", *[r(c, 4).alias(c) for c in
+                                       ("tau", "se", "lb90", "ub90", "lb95", "ub95", "lb99", "ub99")])
+
+
+def _area_query(centered):
+    def fn(spark, sf_dir):
+        a = ranking.auuc_area(customer_tau(spark, sf_dir), "tau", centered=centered)
+        return a.select("n", r("area", 2).alias("area"))
+    return fn
+
+
+QUERIES["area_centered"] = _area_query(True)
+QUERIES["area_uncentered"] = _area_query(False)
+
+
+@query("nauuc")
+def q_nauuc(spark, sf_dir):
+    a = ranking.nauuc(customer_tau(spark, sf_dir), "tau", centered=True, on_zero="null")
+    return a.select("n", r("area_model", 2).alias("area_model"),
+                    r("area_oracle", 2).alias("area_oracle"), r("nauuc", 6).alias("nauuc"))
+
+
+@query("nauuc_foldmean")
+def q_nauuc_fold(spark, sf_dir):
+    per = ranking.nauuc(customer_tau(spark, sf_dir), "tau", group=["fold"], centered=False)
+    return per.agg(F.count(F.lit(1)).alias("n_folds"), r(F.avg("nauuc"), 6).alias("nauuc_mean"))
+
+
+@query("policy_at_k")
+def q_policy(spark, sf_dir):
+    p = ranking.policy_values(customer_tau(spark, sf_dir), "tau", ks=(0.1, 0.2, 0.3))
+    return p.select("k_pct", "m", r("policy_value", 2).alias("policy_value"))
+
+
+@query("gain_curve")
+def q_gain(spark, sf_dir):
+    g = ranking.gain_curve(customer_tau(spark, sf_dir), "tau", points=100)
+    return g.select("q", "m", r("coverage", 6).alias("coverage"), r("gain", 2).alias("gain"))
+
+
+@query("spearman")
+def q_spearman(spark, sf_dir):
+    s = ranking.spearman(customer_tau(spark, sf_dir), "tau", "psi")
+    return s.select("n", r("spearman", 6).alias("spearman"))
+
+
+@query("tau_quantiles")
+def q_tau_q(spark, sf_dir):
+    tau = customer_tau(spark, sf_dir).withColumn("tau", F.round("tau", 6))
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    full = exact_quantiles(tau, "tau", probs).select(F.lit("full").alias("scope"), "p", "q")
+    band = exact_quantiles(tau.where(F.col("e").between(0.2, 0.8)), "tau", probs) \
+        .select(F.lit("band").alias("scope"), "p", "q")
+    return full.unionByName(band).select("scope", "p", r("q", 4).alias("q"))
+
+
+@query("tau_psi_corr")
+def q_tau_corr(spark, sf_dir):
+    d = customer_tau(spark, sf_dir).where(F.col("e").between(0.3, 0.7))
+    return d.agg(F.count(F.lit(1)).alias("n"), r(F.corr("tau", "psi"), 6).alias("corr"))

@@ -3,6 +3,7 @@ cross-fitted nuisances for the customer and order campaigns."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.config import EffectConfig
@@ -23,9 +24,13 @@ def customer_nuisance(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFA
     panel = customer_folds(spark, sf_dir, cfg)
     if y != "y":
         panel = panel.withColumnRenamed("y", "y_main").withColumnRenamed(y, "y")
-    return strata_nuisance(panel, customer_cell(), cfg, y_scale=MONEY_SCALE)
+    # The nuisance table is the pivot every estimate and diagnostic reads:
+    # persisted once (identical plans share the cached data).
+    return strata_nuisance(panel, customer_cell(), cfg, y_scale=MONEY_SCALE) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def order_nuisance(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFAULT) -> DataFrame:
     panel = assign_folds(panel_orders(spark, sf_dir), cfg.n_splits, cfg.seed)
-    return strata_nuisance(panel, order_cell(), cfg, y_scale=MONEY_SCALE)
+    return strata_nuisance(panel, order_cell(), cfg, y_scale=MONEY_SCALE) \
+        .persist(StorageLevel.MEMORY_AND_DISK)

@@ -171,3 +171,166 @@ FROM (SELECT count(*) AS n, 2 * 1.96 * stddev_samp(psi) / sqrt(count(*)) AS w,
 ORACLE["fold_variance"] = with_customer("""
 SELECT count(*) AS n_folds, round(avg(v), 2) + 0.0 AS fold_variance
 FROM (SELECT fold, var_samp(psi) / count(*) AS v FROM nu GROUP BY fold)""")
+
+# ------------------------------------------------------------ P2 diagnostics
+ORACLE["ks_overlap"] = with_customer("""
+, v AS (SELECT e, count(CASE WHEN t = 1 THEN 1 END) AS c1, count(CASE WHEN t = 0 THEN 1 END) AS c0
+        FROM nu GROUP BY e),
+w AS (SELECT c1, c0,
+             sum(c1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS cum1,
+             sum(c0) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS cum0,
+             sum(c1) OVER () AS n1, sum(c0) OVER () AS n0 FROM v)
+SELECT max(abs(cum1 / n1 - cum0 / n0)) AS ks,
+       max(greatest(abs(cum1 / n1 - cum0 / n0), abs(cum1 / n1 - (cum0 - c0) / n0))) AS ks_reference
+FROM w""")
+
+ORACLE["ovl_overlap"] = with_customer("""
+SELECT round(sum(least(c1 / n1, c0 / n0)), 6) + 0.0 AS ovl
+FROM (SELECT least(floor(e * 50), 49) AS bin, count(CASE WHEN t = 1 THEN 1 END) AS c1,
+             count(CASE WHEN t = 0 THEN 1 END) AS c0 FROM nu GROUP BY 1) b,
+     (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1, count(CASE WHEN t = 0 THEN 1 END) AS n0 FROM nu) s""")
+
+_W = {"ATE": ("t / e", "(1 - t) / (1 - e)"),
+      "ATT": ("1.0", "(1 - t) * (e / (1 - e))"),
+      "ATO": ("t * (1 - e)", "(1 - t) * e")}
+
+
+def _ess(est: str) -> str:
+    wt, wc = _W[est]
+    ess_t = ("CAST(NULL AS DOUBLE)" if est == "ATT" else
+             f"round(sum(CASE WHEN t = 1 THEN {wt} END) ^ 2 / (sum(CASE WHEN t = 1 THEN ({wt}) * ({wt}) END) + 1e-12)"
+             f" / (count(CASE WHEN t = 1 THEN 1 END) + 1e-12), 6) + 0.0")
+    ess_c = (f"round(sum(CASE WHEN t = 0 THEN {wc} END) ^ 2 / (sum(CASE WHEN t = 0 THEN ({wc}) * ({wc}) END) + 1e-12)"
+             f" / (count(CASE WHEN t = 0 THEN 1 END) + 1e-12), 6) + 0.0")
+    return f"SELECT '{est}' AS estimand, {ess_t} AS ess_t, {ess_c} AS ess_c FROM nu"
+
+
+ORACLE["ess_ratio"] = with_customer("\nUNION ALL\n".join(_ess(e) for e in ("ATE", "ATT", "ATO")))
+
+
+def _tails(est: str) -> str:
+    wt, wc = _W[est]
+    where = "WHERE t = 0" if est == "ATT" else ""
+    w = f"CASE WHEN t = 1 THEN {wt} ELSE {wc} END"
+    return (f"SELECT '{est}' AS estimand, t AS arm, round(quantile_cont({w}, 0.99), 6) + 0.0 AS w_p99, "
+            f"round(max({w}), 6) + 0.0 AS w_max FROM nu {where} GROUP BY t")
+
+
+ORACLE["weight_tails"] = with_customer("\nUNION ALL\n".join(_tails(e) for e in ("ATE", "ATT", "ATO")))
+
+SEG_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+BAL = ["before_cnt", "before_amt", "acctbal", "region"] + [f"seg_{v}" for v in SEG_LEVELS[1:]]
+
+
+def _smd(est: str) -> str:
+    wt, wc = _W[est]
+    dummies = ", ".join(f"CAST(CASE WHEN seg = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS seg_{v}"
+                        for v in SEG_LEVELS[1:])
+    base = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in BAL[:4])
+    treated = ("avg(x)", "var_pop(x)") if est == "ATT" else None
+    return f"""
+, sm AS (SELECT t, e, {base}, {dummies} FROM nu),
+lg AS (UNPIVOT sm ON {', '.join(BAL)} INTO NAME feature VALUE x),
+wx AS (SELECT feature, t, x, CASE WHEN t = 1 THEN {wt} ELSE {wc} END AS w FROM lg WHERE x IS NOT NULL),
+mm AS (SELECT feature, t, sum(w * x) / (sum(w) + 1e-12) AS wm, sum(w) AS sw,
+              avg(x) AS um, var_pop(x) AS uv FROM wx GROUP BY feature, t),
+vv AS (SELECT wx.feature, wx.t, max(mm.wm) AS wm, sum(wx.w * (wx.x - mm.wm) * (wx.x - mm.wm)) / (max(mm.sw) + 1e-12) AS wv,
+              max(mm.um) AS um, max(mm.uv) AS uv
+       FROM wx JOIN mm ON wx.feature = mm.feature AND wx.t = mm.t GROUP BY wx.feature, wx.t),
+ar AS (SELECT feature,
+         max(CASE WHEN t = 1 THEN {'um' if treated else 'wm'} END) AS m1, max(CASE WHEN t = 1 THEN {'uv' if treated else 'wv'} END) AS v1,
+         max(CASE WHEN t = 0 THEN wm END) AS m0, max(CASE WHEN t = 0 THEN wv END) AS v0,
+         count(CASE WHEN t = 1 THEN 1 END) AS k1, count(CASE WHEN t = 0 THEN 1 END) AS k0
+       FROM vv GROUP BY feature),
+sd AS (SELECT feature, CASE WHEN k1 > 0 AND k0 > 0 THEN (m1 - m0) / (sqrt((v1 + v0) / 2.0 + 1e-12) + 1e-12) END AS smd FROM ar)"""
+
+
+for _e in ("ATE", "ATT", "ATO"):
+    ORACLE[f"smd_{_e.lower()}"] = with_customer(_smd(_e) + "\nSELECT feature, round(smd, 6) + 0.0 AS smd FROM sd")
+ORACLE["smd_topk"] = with_customer(_smd("ATE") + """
+SELECT rank, feature, round(smd, 6) + 0.0 AS smd FROM (
+  SELECT feature, smd, row_number() OVER (ORDER BY abs(smd) DESC, feature) AS rank FROM sd WHERE smd IS NOT NULL)
+WHERE rank <= 5""")
+ORACLE["band_coverage"] = with_customer("""
+SELECT count(*) AS n, count(CASE WHEN e BETWEEN 0.3 AND 0.7 THEN 1 END) AS n_band,
+       count(CASE WHEN e BETWEEN 0.3 AND 0.7 AND t = 1 THEN 1 END) AS n_band_treated,
+       count(CASE WHEN e BETWEEN 0.3 AND 0.7 AND t = 0 THEN 1 END) AS n_band_control,
+       round(count(CASE WHEN e BETWEEN 0.3 AND 0.7 THEN 1 END) / count(*), 6) + 0.0 AS coverage
+FROM nu""")
+ORACLE["propensity_summary"] = with_customer(
+    "SELECT round(avg(e), 6) + 0.0 AS e_mean, min(e) AS e_min, max(e) AS e_max FROM nu")
+
+# ------------------------------------------------------------ P3 ranking
+TAU_CTES = """
+, tk AS (SELECT DISTINCT fold, cell FROM nu),
+tt AS (SELECT k.fold, k.cell, avg(q.psi) AS tau_c, count(q.psi) AS cnt
+       FROM tk k LEFT JOIN nu q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
+tf AS (SELECT f.fold, avg(q.psi) AS tau_f
+       FROM (SELECT DISTINCT fold FROM nu) f LEFT JOIN nu q ON q.fold <> f.fold GROUP BY f.fold),
+ht AS (SELECT nu.*, CASE WHEN tt.cnt > 0 THEN tt.tau_c WHEN tf.tau_f IS NOT NULL THEN tf.tau_f
+                         ELSE 0.0 END AS tau
+       FROM nu JOIN tt USING (fold, cell) JOIN tf USING (fold))"""
+
+
+def with_tau(body: str) -> str:
+    return with_customer(TAU_CTES + "\n" + body)
+
+
+def _area(score: str, centered: bool, src: str = "ht", part: str = "") -> str:
+    """Trapezoid area of cumulative ψ (centered or not) by explicit running sums."""
+    pby = f"PARTITION BY {part}" if part else ""
+    keys = f"{part}, " if part else ""
+    v = f"psi - avg(psi) OVER ({pby})" if centered else "psi"
+    return f"""
+SELECT {keys}max(n) AS n, (sum(cs) - (max(CASE WHEN rk = 1 THEN cs END) + max(CASE WHEN rk = n THEN cs END)) / 2.0) / max(n) AS area
+FROM (SELECT {keys}rk, n, sum(v) OVER ({pby} ORDER BY rk ROWS UNBOUNDED PRECEDING) AS cs
+      FROM (SELECT {keys}{v} AS v, count(*) OVER ({pby}) AS n,
+                   row_number() OVER ({pby} ORDER BY {score} DESC NULLS LAST, id) AS rk
+            FROM {src} WHERE psi IS NOT NULL))
+{'GROUP BY ' + part if part else ''}"""
+
+
+ORACLE["dr_segment"] = with_tau("SELECT id, fold, round(tau, 4) + 0.0 AS tau FROM ht")
+ORACLE["dr_segment_effects"] = with_customer("""
+SELECT segment, n, round(tau, 4) + 0.0 AS tau, round(se, 4) + 0.0 AS se,
+       round(tau - 1.6448536269514722 * se, 4) + 0.0 AS lb90, round(tau + 1.6448536269514722 * se, 4) + 0.0 AS ub90,
+       round(tau - 1.959963984540054 * se, 4) + 0.0 AS lb95, round(tau + 1.959963984540054 * se, 4) + 0.0 AS ub95,
+       round(tau - 2.5758293035489004 * se, 4) + 0.0 AS lb99, round(tau + 2.5758293035489004 * se, 4) + 0.0 AS ub99
+FROM (SELECT cell AS segment, count(*) AS n, avg(psi) AS tau, stddev_samp(psi) / sqrt(count(*)) AS se
+      FROM nu WHERE psi IS NOT NULL GROUP BY cell)""")
+ORACLE["area_centered"] = with_tau(f"SELECT n, round(area, 2) + 0.0 AS area FROM ({_area('tau', True)})")
+ORACLE["area_uncentered"] = with_tau(f"SELECT n, round(area, 2) + 0.0 AS area FROM ({_area('tau', False)})")
+ORACLE["nauuc"] = with_tau(f"""
+SELECT m.n, round(m.area, 2) + 0.0 AS area_model, round(o.area, 2) + 0.0 AS area_oracle,
+       round(CASE WHEN abs(o.area) <= 1e-12 THEN NULL ELSE least(greatest(m.area / o.area, 0.0), 1.0) END, 6) + 0.0 AS nauuc
+FROM ({_area('tau', True)}) m, ({_area('psi', True)}) o""")
+ORACLE["nauuc_foldmean"] = with_tau(f"""
+SELECT count(*) AS n_folds, round(avg(CASE WHEN o.area <= 0 THEN 0.0 ELSE least(greatest(m.area / o.area, 0.0), 1.0) END), 6) + 0.0 AS nauuc_mean
+FROM ({_area('tau', False, part='fold')}) m JOIN ({_area('psi', False, part='fold')}) o USING (fold)""")
+ORACLE["policy_at_k"] = with_tau("""
+, rk AS (SELECT psi, row_number() OVER (ORDER BY tau DESC NULLS LAST, id) AS r, count(*) OVER () AS n
+         FROM ht WHERE psi IS NOT NULL),
+ks AS (SELECT * FROM (VALUES (10, CAST(0.1 AS DOUBLE)), (20, CAST(0.2 AS DOUBLE)), (30, CAST(0.3 AS DOUBLE))) v(k_pct, k))
+SELECT ks.k_pct, CAST(greatest(1, floor(max(rk.n) * ks.k)) AS BIGINT) AS m,
+       round(sum(CASE WHEN rk.r <= greatest(1, floor(rk.n * ks.k)) THEN rk.psi END), 2) + 0.0 AS policy_value
+FROM rk, ks GROUP BY ks.k_pct, ks.k""")
+ORACLE["gain_curve"] = with_tau("""
+, rk AS (SELECT row_number() OVER (ORDER BY tau DESC NULLS LAST, id) AS r, count(*) OVER () AS n,
+                sum(psi) OVER (ORDER BY tau DESC NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS cum
+         FROM ht WHERE psi IS NOT NULL),
+g AS (SELECT q, CAST(greatest(1, floor(n * q / 100.0)) AS BIGINT) AS m, n
+      FROM range(1, 101) r(q), (SELECT max(n) AS n FROM rk))
+SELECT CAST(g.q AS INTEGER) AS q, g.m, round(g.m / g.n, 6) + 0.0 AS coverage, round(rk.cum, 2) + 0.0 AS gain
+FROM g JOIN rk ON rk.r = g.m""")
+ORACLE["spearman"] = with_tau("""
+, ra AS (SELECT id, rank() OVER (ORDER BY tau) + (count(*) OVER (PARTITION BY tau) - 1) / 2.0 AS a,
+                rank() OVER (ORDER BY psi) + (count(*) OVER (PARTITION BY psi) - 1) / 2.0 AS b
+         FROM ht WHERE tau IS NOT NULL AND psi IS NOT NULL)
+SELECT count(*) AS n, round(corr(a, b), 6) + 0.0 AS spearman FROM ra""")
+_PS = (0.1, 0.25, 0.5, 0.75, 0.9)
+ORACLE["tau_quantiles"] = with_tau(", tq AS (SELECT round(tau, 6) AS tau, e FROM ht)\n" + "\nUNION ALL\n".join(
+    f"SELECT '{scope}' AS scope, CAST({p} AS DOUBLE) AS p, round(quantile_cont(tau, {p}), 4) + 0.0 AS q "
+    f"FROM tq {where}"
+    for scope, where in (("full", ""), ("band", "WHERE e BETWEEN 0.2 AND 0.8")) for p in _PS))
+ORACLE["tau_psi_corr"] = with_tau(
+    "SELECT count(*) AS n, round(corr(tau, psi), 6) + 0.0 AS corr FROM ht WHERE e BETWEEN 0.3 AND 0.7")
