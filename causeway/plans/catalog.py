@@ -104,6 +104,7 @@ def q_fold_var(spark, sf_dir):
 from causeway.config import Rules  # noqa: E402
 from causeway.operators import diagnose  # noqa: E402
 from causeway.operators.features.encode import one_hot  # noqa: E402
+from causeway.operators.joins import attach  # noqa: E402
 
 SEG_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 BALANCE_FEATURES = ("before_cnt", "before_amt", "acctbal", "region")
@@ -257,3 +258,166 @@ def q_tau_q(spark, sf_dir):
 def q_tau_corr(spark, sf_dir):
     d = customer_tau(spark, sf_dir).where(F.col("e").between(0.3, 0.7))
     return d.agg(F.count(F.lit(1)).alias("n"), r(F.corr("tau", "psi"), 6).alias("corr"))
+
+
+# ------------------------------------------------------------ P4 robustness
+from causeway.operators import robust  # noqa: E402
+from causeway.sources.panels import customer_cell  # noqa: E402
+
+PLACEBO_RUNS = 100
+
+
+def customer_placebo(spark, sf_dir, runs=PLACEBO_RUNS):
+    panel = customer_folds(spark, sf_dir)
+    return robust.placebo_runs(panel, customer_cell(), DEFAULT, runs, outcomes=("y", "y_nc"),
+                               y_scale=2).persist()
+
+
+@query("placebo_strata")
+def q_placebo(spark, sf_dir):
+    runs = customer_placebo(spark, sf_dir).where(F.col("outcome") == "y")
+    return runs.select("run", r("ate", 4).alias("ate"), r("att", 4).alias("att"), r("ato", 4).alias("ato"))
+
+
+@query("placebo_pvalue")
+def q_placebo_p(spark, sf_dir):
+    obs = estimate.effect_table(customer_nuisance(spark, sf_dir), "ATE", DEFAULT)
+    runs = customer_placebo(spark, sf_dir).where(F.col("outcome") == "y")
+    p = robust.permutation_pvalue(runs, obs, "ATE")
+    return p.select(r("est", 4).alias("est"), "runs", "n_extreme", r("p_value", 6).alias("p_value"))
+
+
+@query("negctrl_strata")
+def q_negctrl(spark, sf_dir):
+    obs = estimate.effect_table(customer_nuisance(spark, sf_dir, y="y_nc"), "ATE", DEFAULT)
+    runs = customer_placebo(spark, sf_dir).where(F.col("outcome") == "y_nc")
+    p = robust.permutation_pvalue(runs, obs, "ATE")
+    return p.select(r("est", 4).alias("est_nc"), "runs", "n_extreme", r("p_value", 6).alias("p_nc"))
+
+
+@query("verdict_flags")
+def q_verdict(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    ovl = diagnose.ovl_coefficient(nuis).first()["ovl"]
+    ks = diagnose.ks_statistic(nuis).first()["ks"]
+    smd = diagnose.smd_table(customer_balance_frame(spark, sf_dir), balance_features(), "ATE", DEFAULT)
+    smd_max = diagnose.smd_max(smd)
+    pl = q_placebo_p(spark, sf_dir).select(F.col("p_value").alias("placebo_p"))
+    nc = q_negctrl(spark, sf_dir).select(F.col("p_nc").alias("negctrl_p"))
+    row = smd_max.select(F.lit(ovl).alias("ovl"), F.lit(ks).alias("ks"), "smd_max")
+    row = attach(attach(row, pl, []), nc, [])
+    flags = robust.verdict(F.col("ovl"), F.col("ks"), F.col("smd_max"), F.col("placebo_p"),
+                           F.col("negctrl_p"), DEFAULT.rules)
+    return row.select(r("ovl", 6).alias("ovl"), r("ks", 6).alias("ks"), r("smd_max", 6).alias("smd_max"),
+                      "placebo_p", "negctrl_p", *flags)
+
+
+# ------------------------------------------------------------ placebo on orders
+@query("placebo_orders")
+def q_placebo_orders(spark, sf_dir):
+    from causeway.operators.folds import assign_folds
+    from causeway.sources.panels import order_cell
+
+    panel = assign_folds(panel_orders(spark, sf_dir), DEFAULT.n_splits, DEFAULT.seed)
+    runs = robust.placebo_runs(panel, order_cell(), DEFAULT, PLACEBO_RUNS, y_scale=2)
+    return runs.select("run", r("ate", 4).alias("ate"))
+
+
+# ------------------------------------------------------------ P5 features
+from causeway.functions.hashing import fold_of  # noqa: E402
+from causeway.operators.features import derive, encode, groups, reduce  # noqa: E402
+from causeway.sources.panels import labelled_documents  # noqa: E402
+
+CAT_COLS = ["lang", "source"]
+NUM_COLS = ["before_cnt", "before_amt", "acctbal", "y_nc"]
+
+
+def _docs_folded(spark, sf_dir):
+    return labelled_documents(spark, sf_dir).withColumn("fold", fold_of("id", DEFAULT.n_splits, DEFAULT.seed))
+
+
+@query("te_oof")
+def q_te_oof(spark, sf_dir):
+    out, _ = encode.target_encode_oof(_docs_folded(spark, sf_dir), CAT_COLS, "quality", DEFAULT.n_splits)
+    return out.select("id", *[r(f"{c}__te", 6).alias(f"{c}__te") for c in CAT_COLS])
+
+
+@query("te_map")
+def q_te_map(spark, sf_dir):
+    _, te_map = encode.target_encode_oof(_docs_folded(spark, sf_dir), CAT_COLS, "quality", DEFAULT.n_splits)
+    return te_map.select("col", "level", r("te", 6).alias("te"), "n_folds")
+
+
+@query("count_freq")
+def q_count_freq(spark, sf_dir):
+    from causeway.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    out = encode.count_frequency(docs, CAT_COLS)
+    return out.select(F.col("doc_id").alias("id"), *[c for c in out.columns if "__" in c])
+
+
+@query("woe")
+def q_woe(spark, sf_dir):
+    t = encode.woe_table(labelled_documents(spark, sf_dir), CAT_COLS, "quality")
+    return t.select("col", "level", "n1", "n0", r("woe", 6).alias("woe"))
+
+
+@query("binary_target")
+def q_binary(spark, sf_dir):
+    d = labelled_documents(spark, sf_dir)
+    return d.agg(F.count_distinct("quality").alias("n_distinct"), F.min("quality").alias("lo"),
+                 F.max("quality").alias("hi")).withColumn(
+        "is_binary", (F.col("n_distinct") <= 2) & F.col("lo").isin(0, 1) & F.col("hi").isin(0, 1))
+
+
+GROUP_KEYS = [["seg"], ["region", "seg"]]
+GROUP_NUMS = ["acctbal", "before_amt"]
+
+
+@query("group_agg")
+def q_group_agg(spark, sf_dir):
+    out = groups.group_aggregates(panel_customer(spark, sf_dir), GROUP_KEYS, GROUP_NUMS)
+    gcols = [c for c in out.columns if c.startswith("grp_")]
+    return out.select("id", *[r(c, 4).alias(c) for c in gcols])
+
+
+@query("num_derive")
+def q_num_derive(spark, sf_dir):
+    out = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS, max_interactions=40)
+    dcols = [c for c in out.columns if "__" in c]
+    # log1p may differ by an ulp between engines; products/quotients do not.
+    return out.select("id", *[r(c, 6).alias(c) if c.endswith("__log1p") else F.col(c) for c in dcols])
+
+
+@query("qbin")
+def q_qbin(spark, sf_dir):
+    out, _ = derive.quantile_bins(panel_customer(spark, sf_dir), ["acctbal", "before_amt"], q=10)
+    return out.select("id", *[c for c in out.columns if "__qbin_" in c])
+
+
+@query("poly2")
+def q_poly2(spark, sf_dir):
+    p = panel_customer(spark, sf_dir)
+    return p.select("id", *derive.poly2_columns(["before_cnt", "before_amt", "acctbal"]))
+
+
+@query("col_score")
+def q_col_score(spark, sf_dir):
+    s = reduce.column_scores(panel_customer(spark, sf_dir), ["before_cnt", "before_amt", "acctbal", "region"], "y")
+    return s.select("feature", r("corr", 6).alias("corr"), r("std", 4).alias("std"), r("score", 4).alias("score"))
+
+
+@query("pca_cap")
+def q_pca_cap(spark, sf_dir):
+    p = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS, max_interactions=40)
+    nums = [c for c in p.columns if c not in ("id", "t", "seg", "y")]
+    capped, _ = reduce.pca_cap(p.select("id", *nums), nums, cap=8, y=None)
+    return capped
+
+
+@query("leaf_embed")
+def q_leaf(spark, sf_dir):
+    p = panel_customer(spark, sf_dir)
+    return reduce.leaf_embedding(p, ["before_cnt", "before_amt", "acctbal", "region"], "y",
+                                 trees=10, depth=3).select("id", *[f"leaf_idx_{i}" for i in range(10)])

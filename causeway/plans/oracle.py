@@ -334,3 +334,225 @@ ORACLE["tau_quantiles"] = with_tau(", tq AS (SELECT round(tau, 6) AS tau, e FROM
     for scope, where in (("full", ""), ("band", "WHERE e BETWEEN 0.2 AND 0.8")) for p in _PS))
 ORACLE["tau_psi_corr"] = with_tau(
     "SELECT count(*) AS n, round(corr(tau, psi), 6) + 0.0 AS corr FROM ht WHERE e BETWEEN 0.3 AND 0.7")
+
+# ------------------------------------------------------------ P4 robustness
+RUNS = 100
+
+
+def placebo_ctes(y: str) -> str:
+    """Per-run cross-fit on an exactly permuted treatment (row_number per run)."""
+    return f"""
+, n1t AS (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1 FROM p),
+rr AS (SELECT q.id, q.fold, q.cell, q.{y} AS yy, r.run,
+              {md5_int('q.id', "'perm42', ':', CAST(r.run AS VARCHAR)")} AS h
+       FROM p q, range(0, {RUNS}) r(run)),
+pr AS (SELECT rr.*, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY h, id) <= (SELECT n1 FROM n1t)
+                    THEN 1 ELSE 0 END AS t FROM rr),
+rk AS (SELECT DISTINCT run, fold, cell FROM pr),
+rc AS (SELECT k.run, k.fold, k.cell,
+              count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
+              sum(CASE WHEN q.t = 1 THEN {cents('q.yy')} END) AS s1, sum(CASE WHEN q.t = 0 THEN {cents('q.yy')} END) AS s0
+       FROM rk k LEFT JOIN pr q ON q.run = k.run AND q.cell = k.cell AND q.fold <> k.fold
+       GROUP BY k.run, k.fold, k.cell),
+ra AS (SELECT f.run, f.fold,
+              count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
+              sum(CASE WHEN q.t = 1 THEN {cents('q.yy')} END) AS s1, sum(CASE WHEN q.t = 0 THEN {cents('q.yy')} END) AS s0
+       FROM (SELECT DISTINCT run, fold FROM pr) f LEFT JOIN pr q ON q.run = f.run AND q.fold <> f.fold
+       GROUP BY f.run, f.fold),
+ro AS (SELECT c.run, c.fold, c.cell,
+    greatest(least(greatest(least(CASE WHEN c.n1 + c.n0 > 0 THEN CAST(c.n1 AS DOUBLE) / (c.n1 + c.n0)
+         WHEN a.n1 + a.n0 > 0 THEN CAST(a.n1 AS DOUBLE) / (a.n1 + a.n0) ELSE 0.5 END, {1 - TRIM}), {TRIM}), {PS_HI}), {PS_LO}) AS e,
+    CASE WHEN c.n1 > 0 THEN CAST(c.s1 AS DOUBLE) / 100.0 / c.n1
+         WHEN a.n1 > 0 THEN CAST(a.s1 AS DOUBLE) / 100.0 / a.n1 ELSE 0.0 END AS mu1,
+    CASE WHEN c.n0 > 0 THEN CAST(c.s0 AS DOUBLE) / 100.0 / c.n0
+         WHEN a.n0 > 0 THEN CAST(a.s0 AS DOUBLE) / 100.0 / a.n0 ELSE 0.0 END AS mu0
+  FROM rc c JOIN ra a ON a.run = c.run AND a.fold = c.fold),
+rp AS (SELECT pr.run, pr.t, pr.yy AS y, ro.e, ro.mu1, ro.mu0,
+              pr.t * (pr.yy - ro.mu1) / ro.e - (1 - pr.t) * (pr.yy - ro.mu0) / (1 - ro.e) + (ro.mu1 - ro.mu0) AS psi
+       FROM pr JOIN ro ON ro.run = pr.run AND ro.fold = pr.fold AND ro.cell = pr.cell),
+re AS (SELECT run, avg(psi) AS ate,
+              avg(t * (y - mu0) - (1 - t) * (e / (1 - e)) * (y - mu0)) / (avg(t) + 1e-12) AS att,
+              sum(4.0 * e * (1 - e) * psi) / (sum(4.0 * e * (1 - e)) + 1e-12) AS ato
+       FROM rp GROUP BY run)"""
+
+
+ORACLE["placebo_strata"] = with_customer(placebo_ctes("y") + """
+SELECT CAST(run AS INTEGER) AS run, round(ate, 4) + 0.0 AS ate, round(att, 4) + 0.0 AS att,
+       round(ato, 4) + 0.0 AS ato FROM re""")
+ORACLE["placebo_pvalue"] = with_customer(placebo_ctes("y") + """
+, ob AS (SELECT avg(psi) AS est FROM nu)
+SELECT round(max(ob.est), 4) + 0.0 AS est, count(*) AS runs,
+       count(CASE WHEN abs(re.ate) >= abs(ob.est) THEN 1 END) AS n_extreme,
+       round((count(CASE WHEN abs(re.ate) >= abs(ob.est) THEN 1 END) + 1) / (count(*) + 1), 6) + 0.0 AS p_value
+FROM re, ob""")
+ORACLE["negctrl_strata"] = f"WITH {strata_ctes(PANEL_CUSTOMER, CUSTOMER_CELL, 'y_nc')}" + placebo_ctes("y_nc") + """
+, ob AS (SELECT avg(psi) AS est FROM nu)
+SELECT round(max(ob.est), 4) + 0.0 AS est_nc, count(*) AS runs,
+       count(CASE WHEN abs(re.ate) >= abs(ob.est) THEN 1 END) AS n_extreme,
+       round((count(CASE WHEN abs(re.ate) >= abs(ob.est) THEN 1 END) + 1) / (count(*) + 1), 6) + 0.0 AS p_nc
+FROM re, ob"""
+
+ORACLE["verdict_flags"] = f"""
+WITH o AS ({ORACLE['ovl_overlap']}),
+k AS ({ORACLE['ks_overlap']}),
+s AS ({with_customer(_smd('ATE') + ' SELECT max(abs(smd)) AS smd_max FROM sd')}),
+pl AS ({ORACLE['placebo_pvalue']}),
+nc AS ({ORACLE['negctrl_strata']}),
+f AS (SELECT o.ovl, k.ks, s.smd_max, pl.p_value AS placebo_p, nc.p_nc AS negctrl_p,
+             coalesce(o.ovl >= 0.5 AND k.ks <= 0.4, false) AS overlap_pass,
+             coalesce(s.smd_max <= 0.1, false) AS balance_pass,
+             coalesce(pl.p_value >= 0.1, false) AS placebo_pass,
+             coalesce(nc.p_nc >= 0.1, true) AS negctrl_pass
+      FROM o, k, s, pl, nc)
+SELECT round(ovl, 6) + 0.0 AS ovl, round(ks, 6) + 0.0 AS ks, round(smd_max, 6) + 0.0 AS smd_max,
+       placebo_p, negctrl_p, overlap_pass, balance_pass, placebo_pass, negctrl_pass,
+       CAST(overlap_pass AS INTEGER) + CAST(balance_pass AS INTEGER) + CAST(placebo_pass AS INTEGER)
+         + CAST(negctrl_pass AS INTEGER) AS n_pass,
+       CASE WHEN CAST(overlap_pass AS INTEGER) + CAST(balance_pass AS INTEGER) + CAST(placebo_pass AS INTEGER)
+                 + CAST(negctrl_pass AS INTEGER) = 4 THEN 'credible'
+            WHEN CAST(overlap_pass AS INTEGER) + CAST(balance_pass AS INTEGER) + CAST(placebo_pass AS INTEGER)
+                 + CAST(negctrl_pass AS INTEGER) >= 2 THEN 'doubtful' ELSE 'fail' END AS verdict,
+       placebo_p <= 0.1 AS perm_significant
+FROM f"""
+
+ORACLE["placebo_orders"] = f"WITH {strata_ctes(PANEL_ORDERS, ORDER_CELL)}" + placebo_ctes("y") + \
+    "\nSELECT CAST(run AS INTEGER) AS run, round(ate, 4) + 0.0 AS ate FROM re"
+
+# ------------------------------------------------------------ P5 features
+DOCS = f"""
+SELECT l.doc_id AS id, l.quality, l.toxic,
+       coalesce(CAST(d.lang AS VARCHAR), '__NA__') AS lang, coalesce(CAST(d.source AS VARCHAR), '__NA__') AS source,
+       CAST({md5_int('l.doc_id', "'42'")} % 5 AS INTEGER) AS fold
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+TE_CTES = f"""
+WITH d AS ({DOCS}),
+gm AS (SELECT avg(CAST(quality = 1 AS DOUBLE)) AS gm FROM d WHERE quality IS NOT NULL),
+lv AS (SELECT 'lang' AS col, lang AS level, fold, quality FROM d
+       UNION ALL SELECT 'source' AS col, source AS level, fold, quality FROM d),
+grid AS (SELECT k.col, k.level, CAST(f.range AS INTEGER) AS fold
+         FROM (SELECT DISTINCT col, level FROM lv) k CROSS JOIN range(5) f),
+te AS (SELECT g.col, g.level, g.fold,
+              CASE WHEN count(q.quality) > 0
+                   THEN (sum(CAST(q.quality = 1 AS DOUBLE)) + max(gm.gm) * 20.0) / (count(q.quality) + 20.0) END AS te
+       FROM grid g CROSS JOIN gm
+       LEFT JOIN lv q ON q.col = g.col AND q.level = g.level AND q.fold <> g.fold
+       GROUP BY g.col, g.level, g.fold)"""
+
+ORACLE["te_oof"] = TE_CTES + """
+SELECT d.id, round(coalesce(tl.te, gm.gm), 6) + 0.0 AS lang__te, round(coalesce(ts.te, gm.gm), 6) + 0.0 AS source__te
+FROM d CROSS JOIN gm
+LEFT JOIN te tl ON tl.col = 'lang' AND tl.level = d.lang AND tl.fold = d.fold
+LEFT JOIN te ts ON ts.col = 'source' AND ts.level = d.source AND ts.fold = d.fold"""
+ORACLE["te_map"] = TE_CTES + """
+SELECT col, level, round(avg(te), 6) + 0.0 AS te, count(*) AS n_folds FROM te WHERE te IS NOT NULL GROUP BY col, level"""
+
+ORACLE["count_freq"] = """
+WITH d AS (SELECT doc_id AS id, coalesce(CAST(lang AS VARCHAR), '__NA__') AS lang,
+                  coalesce(CAST(source AS VARCHAR), '__NA__') AS source FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+cl AS (SELECT lang, count(*) AS c FROM d GROUP BY lang),
+cs AS (SELECT source, count(*) AS c FROM d GROUP BY source)
+SELECT d.id, CAST(cl.c AS DOUBLE) AS lang__count, CAST(cl.c AS DOUBLE) / greatest(n.n, 1) AS lang__freq,
+       CAST(cs.c AS DOUBLE) AS source__count, CAST(cs.c AS DOUBLE) / greatest(n.n, 1) AS source__freq
+FROM d CROSS JOIN n JOIN cl USING (lang) JOIN cs USING (source)"""
+
+ORACLE["woe"] = f"""
+WITH d AS ({DOCS}),
+tot AS (SELECT count(CASE WHEN quality = 1 THEN 1 END) AS t1, count(CASE WHEN quality = 0 THEN 1 END) AS t0 FROM d),
+lv AS (SELECT 'lang' AS col, lang AS level, quality FROM d WHERE quality IS NOT NULL
+       UNION ALL SELECT 'source' AS col, source AS level, quality FROM d WHERE quality IS NOT NULL),
+per AS (SELECT col, level, count(CASE WHEN quality = 1 THEN 1 END) AS n1,
+               count(CASE WHEN quality = 0 THEN 1 END) AS n0 FROM lv GROUP BY col, level)
+SELECT col, level, n1, n0,
+       round(CASE WHEN n1 > 0 AND n0 > 0 THEN ln((n1 / t1) / (n0 / t0)) END, 6) + 0.0 AS woe
+FROM per CROSS JOIN tot"""
+
+ORACLE["binary_target"] = f"""
+SELECT count(DISTINCT quality) AS n_distinct, min(quality) AS lo, max(quality) AS hi,
+       count(DISTINCT quality) <= 2 AND min(quality) IN (0, 1) AND max(quality) IN (0, 1) AS is_binary
+FROM ({DOCS})"""
+
+_GKEYS = [["seg"], ["region", "seg"]]
+_GNUMS = ["acctbal", "before_amt"]
+
+
+def _group_agg_sql() -> str:
+    ctes, joins, cols = [], [], []
+    for i, keys in enumerate(_GKEYS):
+        kname = "__".join(keys)
+        parts = []
+        for n in _GNUMS:
+            pre = f"grp_{kname}__{n}__"
+            parts += [f"avg({n}) AS {pre}mean", f"median({n}) AS {pre}median",
+                      f"stddev_samp({n}) AS {pre}std", f"CAST(count({n}) AS DOUBLE) AS {pre}count",
+                      f"CAST(count(DISTINCT {n}) AS DOUBLE) AS {pre}nunique"]
+            cols += [f"round(g{i}.{pre}{f}, 4) + 0.0 AS {pre}{f}"
+                     for f in ("mean", "median", "std", "count", "nunique")]
+        ctes.append(f"g{i} AS (SELECT {', '.join(keys)}, {', '.join(parts)} FROM p GROUP BY {', '.join(keys)})")
+        cond = " AND ".join(f"p.{k} IS NOT DISTINCT FROM g{i}.{k}" for k in keys)
+        joins.append(f"LEFT JOIN g{i} ON {cond}")
+    return (f"WITH p AS ({PANEL_CUSTOMER}),\n" + ",\n".join(ctes)
+            + f"\nSELECT p.id, {', '.join(cols)} FROM p " + " ".join(joins))
+
+
+ORACLE["group_agg"] = _group_agg_sql()
+
+
+def _num_derive_sql() -> str:
+    from causeway.operators.features.derive import interaction_pairs, ratio_pairs
+
+    nums = ["before_cnt", "before_amt", "acctbal", "y_nc"]
+    x = {c: f"CAST({c} AS DOUBLE)" for c in nums}
+    cols = [f"round(CASE WHEN {x[c]} IS NOT NULL THEN ln(1 + greatest({x[c]}, 0.0)) END, 6) + 0.0 AS {c}__log1p"
+            for c in nums]
+    cols += [f"{x[a]} / nullif({x[b]}, 0.0) AS ratio__{a}__per__{b}"
+             for a, b in ratio_pairs(nums, 60)]
+    for a, b in interaction_pairs(nums, 40, 42):
+        cols.append(f"{x[a]} * {x[b]} AS inter__{a}__x__{b}")
+        cols.append(f"{x[a]} / nullif({x[b]}, 0.0) AS inter__{a}__div__{b}")
+    return f"SELECT id, {', '.join(cols)} FROM ({PANEL_CUSTOMER})"
+
+
+ORACLE["num_derive"] = _num_derive_sql()
+
+
+def _qbin_sql() -> str:
+    cols = []
+    ctes = []
+    for c in ("acctbal", "before_amt"):
+        qs = ", ".join(f"quantile_cont({c}, {i / 10}) AS q{i}" for i in range(1, 10))
+        ctes.append(f"c_{c} AS (SELECT DISTINCT unnest([{', '.join(f'q{i}' for i in range(1, 10))}]) AS cut "
+                    f"FROM (SELECT {qs} FROM p))")
+        idx = f"(SELECT count(*) FROM c_{c} WHERE cut < p.{c})"
+        for k in range(6):
+            cols.append(f"CASE WHEN p.{c} IS NOT NULL AND {idx} = {k} THEN 1 ELSE 0 END AS {c}__qbin_{k}")
+    return (f"WITH p AS ({PANEL_CUSTOMER}),\n" + ",\n".join(ctes)
+            + f"\nSELECT p.id, {', '.join(cols)} FROM p")
+
+
+ORACLE["qbin"] = _qbin_sql()
+
+
+def _poly2_sql() -> str:
+    nums = ["before_cnt", "before_amt", "acctbal"]
+    xs = [f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in nums]
+    terms = list(xs) + [f"{xs[i]} * {xs[j]}" for i in range(len(xs)) for j in range(i, len(xs))]
+    return f"SELECT id, {', '.join(f'{t} AS poly2_{k}' for k, t in enumerate(terms))} FROM ({PANEL_CUSTOMER})"
+
+
+ORACLE["poly2"] = _poly2_sql()
+
+
+def _col_score_sql() -> str:
+    parts = []
+    for c in ("before_cnt", "before_amt", "acctbal", "region"):
+        x = f"coalesce(CAST({c} AS DOUBLE), 0.0)"
+        corr = f"coalesce(covar_pop({x}, y) / ((stddev_samp(y) + 1e-12) * (stddev_samp({x}) + 1e-12)), 0.0)"
+        parts.append(f"SELECT '{c}' AS feature, round({corr}, 6) + 0.0 AS corr, "
+                     f"round(stddev_samp({x}), 4) + 0.0 AS std, "
+                     f"round(0.7 * abs({corr}) + 0.3 * (stddev_samp({x}) + 1e-12), 4) + 0.0 AS score FROM p")
+    return f"WITH p AS ({PANEL_CUSTOMER})\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["col_score"] = _col_score_sql()

@@ -124,3 +124,10 @@ def panel_events(spark: SparkSession, sf_dir: str, split_day: str = "2024-01-16"
         F.count(F.when(before & (F.col("event_type") == "click"), 1)).alias("before_clicks"),
     ).select(F.col("user_id").alias("id"), F.col("t").cast("int"), "y",
              "before_cnt", "before_amt", "before_clicks"))
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their quality/toxicity labels (only labelled ones)."""
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
+    return labels.join(docs, "doc_id", "inner").withColumnRenamed("doc_id", "id")
