@@ -63,21 +63,18 @@ def oof_table(stats: DataFrame, cfg: EffectConfig, group: Sequence[str] = (),
               fold: str = "fold", y_scale: int | None = None) -> DataFrame:
     """Out-of-fold ``e_raw, e, mu1, mu0`` per (group, fold, cell)."""
     group = list(group)
-    sums = [F.sum(c).alias(c) for c in STAT_COLS]
-    cell_tot = stats.groupBy(*group, "cell").agg(*sums)
-    # Fold totals carry the group totals as a window over the (small) fold table,
-    # so no join on an empty key is needed.
-    whole = Window.partitionBy(*group) if group else Window.partitionBy()
-    fold_arm = stats.groupBy(*group, fold).agg(*sums).select(
-        *group, fold, *[F.col(c).alias("f_" + c) for c in STAT_COLS],
-        *[F.sum(c).over(whole).alias("a_" + c) for c in STAT_COLS])
-
-    t = stats.select(*group, fold, "cell", *[F.col(c).alias("o_" + c) for c in STAT_COLS])
-    # Both sides are aggregates of ``stats``; AQE sees their real size after
-    # the first shuffle and broadcasts them.
-    t = t.join(cell_tot.select(*group, "cell", *[F.col(c).alias("c_" + c) for c in STAT_COLS]),
-               group + ["cell"])
-    t = t.join(fold_arm, group + [fold])
+    # ``stats`` is small (groups × folds × cells).  One exchange on the group
+    # keys (or to a single partition when there are none) satisfies all
+    # three windows below, so totals need no joins and no further shuffles.
+    base = stats.repartition(*group) if group else stats.coalesce(1)
+    w_cell = Window.partitionBy(*group, "cell")
+    w_fold = Window.partitionBy(*group, fold)
+    w_all = Window.partitionBy(*group) if group else Window.partitionBy()
+    t = base.select(*group, fold, "cell",
+                    *[F.col(c).alias("o_" + c) for c in STAT_COLS],
+                    *[F.sum(c).over(w_cell).alias("c_" + c) for c in STAT_COLS],
+                    *[F.sum(c).over(w_fold).alias("f_" + c) for c in STAT_COLS],
+                    *[F.sum(c).over(w_all).alias("a_" + c) for c in STAT_COLS])
 
     def tr(c: str, scope: str) -> Column:
         own = F.col("o_" + c) if scope == "c_" else F.col("f_" + c)

@@ -16,7 +16,9 @@ MONEY_SCALE = 2  # outcomes are amounts in cents precision
 
 
 def customer_folds(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFAULT) -> DataFrame:
-    return assign_folds(panel_customer(spark, sf_dir), cfg.n_splits, cfg.seed)
+    # Reused by the statistics pass and the row-level pass: persisted.
+    return assign_folds(panel_customer(spark, sf_dir), cfg.n_splits, cfg.seed) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def customer_nuisance(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFAULT,
@@ -31,6 +33,7 @@ def customer_nuisance(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFA
 
 
 def order_nuisance(spark: SparkSession, sf_dir: str, cfg: EffectConfig = DEFAULT) -> DataFrame:
-    panel = assign_folds(panel_orders(spark, sf_dir), cfg.n_splits, cfg.seed)
+    panel = assign_folds(panel_orders(spark, sf_dir), cfg.n_splits, cfg.seed) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     return strata_nuisance(panel, order_cell(), cfg, y_scale=MONEY_SCALE) \
         .persist(StorageLevel.MEMORY_AND_DISK)
