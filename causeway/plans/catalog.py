@@ -421,3 +421,41 @@ def q_leaf(spark, sf_dir):
     p = panel_customer(spark, sf_dir)
     return reduce.leaf_embedding(p, ["before_cnt", "before_amt", "acctbal", "region"], "y",
                                  trees=10, depth=3).select("id", *[f"leaf_idx_{i}" for i in range(10)])
+
+
+# ------------------------------------------------------------ P7 campaign
+from causeway.plans import campaign as camp  # noqa: E402
+
+CAMPAIGN_SPEC = camp.CampaignSpec(activity_id="cust-1998", created_at="2026-01-01T00:00:00Z")
+
+
+def _customer_campaign(spark, sf_dir):
+    return camp.campaign_analysis(panel_customer(spark, sf_dir), customer_cell(), CAMPAIGN_SPEC)
+
+
+@query("campaign_result")
+def q_campaign(spark, sf_dir):
+    res, _ = _customer_campaign(spark, sf_dir)
+    return camp.rounded_result(res, ["activity_id"])
+
+
+@query("campaign_record")
+def q_campaign_record(spark, sf_dir):
+    res, _ = _customer_campaign(spark, sf_dir)
+    return camp.result_record(res, CAMPAIGN_SPEC)
+
+
+@query("user_uplift")
+def q_user_uplift(spark, sf_dir):
+    _, up = _customer_campaign(spark, sf_dir)
+    return up.select("activity_uuid", "identity", "t_col", "y_col", "created_at",
+                     r("tau_hat", 4).alias("tau_hat"), "psi")
+
+
+@query("campaign_batch")
+def q_campaign_batch(spark, sf_dir):
+    """One campaign per market segment, all in one job (activity = segment)."""
+    panel = panel_customer(spark, sf_dir).withColumn("activity_id", F.col("seg"))
+    spec = camp.CampaignSpec(created_at="2026-01-01T00:00:00Z")
+    res, _ = camp.campaign_analysis(panel, customer_cell(), spec, ["activity_id"])
+    return camp.rounded_result(res, ["activity_id"])

@@ -74,10 +74,11 @@ def folded(panel_sql: str, cell_sql: str, seed: int = SEED, k: int = K) -> str:
             f"CAST({cell_sql} AS INTEGER) AS cell FROM ({panel_sql})")
 
 
-def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "") -> str:
+def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "", seed: int = SEED,
+                k: int = K, ps: tuple[float, float] = (PS_LO, PS_HI)) -> str:
     """CTEs p (panel+fold+cell) … nu (row-level e, mu1, mu0, psi)."""
     return f"""
-{prefix}p AS ({folded(panel_sql, cell_sql)}),
+{prefix}p AS ({folded(panel_sql, cell_sql, seed, k)}),
 {prefix}pk AS (SELECT DISTINCT fold, cell FROM {prefix}p),
 {prefix}trc AS (
   SELECT k.fold, k.cell,
@@ -109,7 +110,7 @@ def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "") -
   FROM {prefix}trc c JOIN {prefix}tra a USING (fold)),
 {prefix}nu0 AS (
   SELECT p.*, o.e_raw,
-         greatest(least(greatest(least(o.e_raw, {1 - TRIM}), {TRIM}), {PS_HI}), {PS_LO}) AS e,
+         greatest(least(greatest(least(o.e_raw, {1 - TRIM}), {TRIM}), {ps[1]}), {ps[0]}) AS e,
          o.mu1, o.mu0
   FROM {prefix}p p JOIN {prefix}oof o USING (fold, cell)),
 {prefix}nu AS (
@@ -261,15 +262,20 @@ ORACLE["propensity_summary"] = with_customer(
     "SELECT round(avg(e), 6) + 0.0 AS e_mean, min(e) AS e_min, max(e) AS e_max FROM nu")
 
 # ------------------------------------------------------------ P3 ranking
-TAU_CTES = """
-, tk AS (SELECT DISTINCT fold, cell FROM nu),
-tt AS (SELECT k.fold, k.cell, avg(q.psi) AS tau_c, count(q.psi) AS cnt
-       FROM tk k LEFT JOIN nu q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
-tf AS (SELECT f.fold, avg(q.psi) AS tau_f
-       FROM (SELECT DISTINCT fold FROM nu) f LEFT JOIN nu q ON q.fold <> f.fold GROUP BY f.fold),
-ht AS (SELECT nu.*, CASE WHEN tt.cnt > 0 THEN tt.tau_c WHEN tf.tau_f IS NOT NULL THEN tf.tau_f
+def tau_ctes(prefix: str = "") -> str:
+    nu = f"{prefix}nu"
+    return f"""
+, {prefix}tk AS (SELECT DISTINCT fold, cell FROM {nu}),
+{prefix}tt AS (SELECT k.fold, k.cell, avg(q.psi) AS tau_c, count(q.psi) AS cnt
+       FROM {prefix}tk k LEFT JOIN {nu} q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
+{prefix}tf AS (SELECT f.fold, avg(q.psi) AS tau_f
+       FROM (SELECT DISTINCT fold FROM {nu}) f LEFT JOIN {nu} q ON q.fold <> f.fold GROUP BY f.fold),
+{prefix}ht AS (SELECT {nu}.*, CASE WHEN tt.cnt > 0 THEN tt.tau_c WHEN tf.tau_f IS NOT NULL THEN tf.tau_f
                          ELSE 0.0 END AS tau
-       FROM nu JOIN tt USING (fold, cell) JOIN tf USING (fold))"""
+       FROM {nu} JOIN {prefix}tt tt USING (fold, cell) JOIN {prefix}tf tf USING (fold))"""
+
+
+TAU_CTES = tau_ctes()
 
 
 def with_tau(body: str) -> str:
@@ -339,41 +345,42 @@ ORACLE["tau_psi_corr"] = with_tau(
 RUNS = 100
 
 
-def placebo_ctes(y: str) -> str:
+def placebo_ctes(y: str, prefix: str = "", runs: int = RUNS, seed: int = SEED,
+                 ps: tuple[float, float] = (PS_LO, PS_HI)) -> str:
     """Per-run cross-fit on an exactly permuted treatment (row_number per run)."""
     return f"""
-, n1t AS (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1 FROM p),
-rr AS (SELECT q.id, q.fold, q.cell, q.{y} AS yy, r.run,
-              {md5_int('q.id', "'perm42', ':', CAST(r.run AS VARCHAR)")} AS h
-       FROM p q, range(0, {RUNS}) r(run)),
-pr AS (SELECT rr.*, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY h, id) <= (SELECT n1 FROM n1t)
-                    THEN 1 ELSE 0 END AS t FROM rr),
-rk AS (SELECT DISTINCT run, fold, cell FROM pr),
-rc AS (SELECT k.run, k.fold, k.cell,
+, {prefix}n1t AS (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1 FROM {prefix}p),
+{prefix}rr AS (SELECT q.id, q.fold, q.cell, q.{y} AS yy, r.run,
+              {md5_int('q.id', f"'perm{seed}', ':', CAST(r.run AS VARCHAR)")} AS h
+       FROM {prefix}p q, range(0, {runs}) r(run)),
+{prefix}pr AS (SELECT {prefix}rr.*, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY h, id) <= (SELECT n1 FROM {prefix}n1t)
+                    THEN 1 ELSE 0 END AS t FROM {prefix}rr),
+{prefix}rk AS (SELECT DISTINCT run, fold, cell FROM {prefix}pr),
+{prefix}rc AS (SELECT k.run, k.fold, k.cell,
               count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
               sum(CASE WHEN q.t = 1 THEN {cents('q.yy')} END) AS s1, sum(CASE WHEN q.t = 0 THEN {cents('q.yy')} END) AS s0
-       FROM rk k LEFT JOIN pr q ON q.run = k.run AND q.cell = k.cell AND q.fold <> k.fold
+       FROM {prefix}rk k LEFT JOIN {prefix}pr q ON q.run = k.run AND q.cell = k.cell AND q.fold <> k.fold
        GROUP BY k.run, k.fold, k.cell),
-ra AS (SELECT f.run, f.fold,
+{prefix}ra AS (SELECT f.run, f.fold,
               count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
               sum(CASE WHEN q.t = 1 THEN {cents('q.yy')} END) AS s1, sum(CASE WHEN q.t = 0 THEN {cents('q.yy')} END) AS s0
-       FROM (SELECT DISTINCT run, fold FROM pr) f LEFT JOIN pr q ON q.run = f.run AND q.fold <> f.fold
+       FROM (SELECT DISTINCT run, fold FROM {prefix}pr) f LEFT JOIN {prefix}pr q ON q.run = f.run AND q.fold <> f.fold
        GROUP BY f.run, f.fold),
-ro AS (SELECT c.run, c.fold, c.cell,
+{prefix}ro AS (SELECT c.run, c.fold, c.cell,
     greatest(least(greatest(least(CASE WHEN c.n1 + c.n0 > 0 THEN CAST(c.n1 AS DOUBLE) / (c.n1 + c.n0)
-         WHEN a.n1 + a.n0 > 0 THEN CAST(a.n1 AS DOUBLE) / (a.n1 + a.n0) ELSE 0.5 END, {1 - TRIM}), {TRIM}), {PS_HI}), {PS_LO}) AS e,
+         WHEN a.n1 + a.n0 > 0 THEN CAST(a.n1 AS DOUBLE) / (a.n1 + a.n0) ELSE 0.5 END, {1 - TRIM}), {TRIM}), {ps[1]}), {ps[0]}) AS e,
     CASE WHEN c.n1 > 0 THEN CAST(c.s1 AS DOUBLE) / 100.0 / c.n1
          WHEN a.n1 > 0 THEN CAST(a.s1 AS DOUBLE) / 100.0 / a.n1 ELSE 0.0 END AS mu1,
     CASE WHEN c.n0 > 0 THEN CAST(c.s0 AS DOUBLE) / 100.0 / c.n0
          WHEN a.n0 > 0 THEN CAST(a.s0 AS DOUBLE) / 100.0 / a.n0 ELSE 0.0 END AS mu0
-  FROM rc c JOIN ra a ON a.run = c.run AND a.fold = c.fold),
-rp AS (SELECT pr.run, pr.t, pr.yy AS y, ro.e, ro.mu1, ro.mu0,
-              pr.t * (pr.yy - ro.mu1) / ro.e - (1 - pr.t) * (pr.yy - ro.mu0) / (1 - ro.e) + (ro.mu1 - ro.mu0) AS psi
-       FROM pr JOIN ro ON ro.run = pr.run AND ro.fold = pr.fold AND ro.cell = pr.cell),
-re AS (SELECT run, avg(psi) AS ate,
+  FROM {prefix}rc c JOIN {prefix}ra a ON a.run = c.run AND a.fold = c.fold),
+{prefix}rp AS (SELECT {prefix}pr.run, {prefix}pr.t, {prefix}pr.yy AS y, {prefix}ro.e, {prefix}ro.mu1, {prefix}ro.mu0,
+              {prefix}pr.t * ({prefix}pr.yy - {prefix}ro.mu1) / {prefix}ro.e - (1 - {prefix}pr.t) * ({prefix}pr.yy - {prefix}ro.mu0) / (1 - {prefix}ro.e) + ({prefix}ro.mu1 - {prefix}ro.mu0) AS psi
+       FROM {prefix}pr JOIN {prefix}ro ON {prefix}ro.run = {prefix}pr.run AND {prefix}ro.fold = {prefix}pr.fold AND {prefix}ro.cell = {prefix}pr.cell),
+{prefix}re AS (SELECT run, avg(psi) AS ate,
               avg(t * (y - mu0) - (1 - t) * (e / (1 - e)) * (y - mu0)) / (avg(t) + 1e-12) AS att,
               sum(4.0 * e * (1 - e) * psi) / (sum(4.0 * e * (1 - e)) + 1e-12) AS ato
-       FROM rp GROUP BY run)"""
+       FROM {prefix}rp GROUP BY run)"""
 
 
 ORACLE["placebo_strata"] = with_customer(placebo_ctes("y") + """
@@ -556,3 +563,58 @@ def _col_score_sql() -> str:
 
 
 ORACLE["col_score"] = _col_score_sql()
+
+# ------------------------------------------------------------ P7 campaign
+CAMP_PS = (0.05, 0.95)
+CAMP_SEED = 2025
+CAMP_K = 3
+_PANEL_COLS = "id, t, y, y_nc, before_cnt, before_amt, seg, region, acctbal"
+
+
+def campaign_sql(panel_sql: str, activity: str, tail: str = "result") -> str:
+    a = strata_ctes(panel_sql, CUSTOMER_CELL, "y", "a_", CAMP_SEED, CAMP_K, CAMP_PS)
+    ap = placebo_ctes("y", "a_", 5, CAMP_SEED, CAMP_PS)
+    band = f"SELECT {_PANEL_COLS} FROM a_nu WHERE e BETWEEN 0.2 AND 0.8"
+    b = strata_ctes(band, CUSTOMER_CELL, "y", "b_", CAMP_SEED, CAMP_K, CAMP_PS)
+    bp = placebo_ctes("y", "b_", 10, CAMP_SEED, CAMP_PS)
+    qs = ", ".join(f"quantile_cont(tau, {p}) AS p{int(round(p * 100))}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))
+    body = f"""
+, ate AS (SELECT count(*) AS n, count(CASE WHEN t = 1 THEN 1 END) AS n1, count(CASE WHEN t = 0 THEN 1 END) AS n0,
+                 avg(psi) AS est, stddev_samp(psi) / sqrt(count(*)) AS se FROM a_nu),
+ate_p AS (SELECT (count(CASE WHEN abs(r.ate) >= abs(ate.est) THEN 1 END) + 1) / (count(*) + 1) AS p FROM a_re r, ate),
+att_a AS (SELECT *, t * (y - mu0) - (1 - t) * (e / (1 - e)) * (y - mu0) AS term FROM b_nu),
+att_s AS (SELECT avg(t) AS p1, avg(term) / (avg(t) + 1e-12) AS est FROM att_a),
+att AS (SELECT max(s.est) AS est,
+               stddev_samp(a.term / (s.p1 + 1e-12) - s.est * ((a.t - s.p1) / (s.p1 + 1e-12))) / sqrt(count(*)) AS se
+        FROM att_a a, att_s s),
+att_p AS (SELECT (count(CASE WHEN abs(r.att) >= abs(att.est) THEN 1 END) + 1) / (count(*) + 1) AS p FROM b_re r, att),
+kept AS (SELECT count(CASE WHEN e BETWEEN 0.2 AND 0.8 AND t = 1 THEN 1 END) AS kept,
+                count(CASE WHEN t = 1 THEN 1 END) AS total FROM a_nu),
+qf AS (SELECT {qs} FROM a_ht),
+qb AS (SELECT {qs} FROM a_ht WHERE e BETWEEN 0.2 AND 0.8)"""
+    z = Z975
+    if tail == "uplift":
+        sel = f"""
+SELECT '{activity}' AS activity_uuid, id AS identity, t AS t_col, 'y' AS y_col,
+       '2026-01-01T00:00:00Z' AS created_at, round(tau, 4) + 0.0 AS tau_hat, psi FROM a_ht WHERE t = 1"""
+    else:
+        m = lambda x, c: f"round({x}, 4) + 0.0 AS {c}"
+        sel = f"""
+SELECT '{activity}' AS activity_id, ate.n AS n_samples, ate.n1 AS n_treated, ate.n0 AS n_control,
+       kept.kept AS treated_kept, kept.total AS treated_total,
+       {m('ate.est', 'ate_point')}, {m('ate.se', 'ate_se')}, {m(f'ate.est - {z} * ate.se', 'ate_ci_lo')},
+       {m(f'ate.est + {z} * ate.se', 'ate_ci_hi')}, {m('att.est', 'att_point')}, {m('att.se', 'att_se')},
+       {m(f'att.est - {z} * att.se', 'att_ci_lo')}, {m(f'att.est + {z} * att.se', 'att_ci_hi')},
+       {', '.join(m(f'qf.p{p}', f'tau_p{p}') for p in (10, 25, 50, 75, 90))},
+       {', '.join(m(f'qb.p{p}', f'tau_band_p{p}') for p in (10, 25, 50, 75, 90))},
+       round(ate_p.p, 6) + 0.0 AS ate_placebo_p, round(att_p.p, 6) + 0.0 AS att_placebo_p,
+       round(CASE WHEN kept.total > 0 THEN kept.kept / kept.total END, 6) + 0.0 AS treated_coverage
+FROM ate, ate_p, att, att_p, kept, qf, qb"""
+    return f"WITH {a}{ap},\n{b}{bp}{tau_ctes('a_')}{body}{sel}"
+
+
+ORACLE["campaign_result"] = campaign_sql(PANEL_CUSTOMER, "cust-1998")
+ORACLE["user_uplift"] = campaign_sql(PANEL_CUSTOMER, "cust-1998", "uplift")
+ORACLE["campaign_batch"] = "\nUNION ALL\n".join(
+    f"SELECT * FROM ({campaign_sql(f'SELECT * FROM ({PANEL_CUSTOMER}) WHERE seg = {chr(39)}{s}{chr(39)}', s)})"
+    for s in SEG_LEVELS)
