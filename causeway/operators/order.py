@@ -139,9 +139,24 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     if tie is None:
         base = base.withColumn("_tie", F.col(value))
         tie = "_tie"
-    pos = ordered(base.select(*group, value, tie), value, True, tie, group, pos_col="_pos")
-    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_cnt"))
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
+    base = base.select(*group, value, tie).persist(StorageLevel.MEMORY_AND_DISK)
+    if base.count() <= SMALL_ROWS:
+        # Bounded input: one window per group gives positions and counts.
+        w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(value, tie)
+        wc = Window.partitionBy(*group) if group else Window.partitionBy()
+        ranked = base.select(*group, value, F.row_number().over(w).alias("_pos"),
+                             F.count(F.lit(1)).over(wc).alias("_cnt"))
+        ranked = ranked.select("*", F.explode(p_arr).alias("p"))
+        h = F.col("p") * (F.col("_cnt") - 1)
+        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
+        return (ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi)).groupBy(*group, "p").agg(
+            F.max(F.when(F.col("_pos") == lo, F.col(value))).alias("_vlo"),
+            F.max(F.when(F.col("_pos") == hi, F.col(value))).alias("_vhi"),
+            F.first(h - F.floor(h)).alias("_frac"))
+            .select(*group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))
+    pos = ordered(base, value, True, tie, group, pos_col="_pos", n_buckets=_n_buckets(base))
+    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_cnt"))
     need = (n.select(*group, "_cnt", F.explode(p_arr).alias("p"))
             .withColumn("_h", F.col("p") * (F.col("_cnt") - 1))
             .withColumn("_lo", F.floor("_h").cast("bigint") + 1)

@@ -121,3 +121,36 @@ def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFr
     rb = average_ranks(both.select(*group, "id", b), b, group, "_rb").select(*group, "id", "_rb")
     j = ra.join(rb, group + ["id"])
     return j.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("spearman"))
+
+
+def uplift_curve(df: DataFrame, score: str = "tau", psi: str = "psi",
+                 percents: Sequence[int] = tuple(range(5, 101, 5)), group: Sequence[str] = ()) -> DataFrame:
+    """Mean ψ among the top q % by score (top max(1, floor(n·q/100)) rows)."""
+    group = list(group)
+    base = df.where(F.col(psi).isNotNull()).select(*group, "id", score, psi)
+    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_desc(base, score, group, pos="_r", sums=[psi])
+    grid = n.select(*group, "_n", F.explode(F.array(*[F.lit(int(q)) for q in percents])).alias("q")) \
+        .withColumn("_r", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("q") / F.lit(100.0))).cast("bigint"))
+    hit = join_small(ranked.select(*group, "_r", F.col(f"cum_{psi}").alias("_cum")), grid,
+                     group + ["_r"], "inner")
+    return hit.select(*group, "q", F.col("_r").alias("m"), (F.col("_cum") / F.col("_r")).alias("mean_uplift"))
+
+
+def qini_curve(df: DataFrame, score: str = "tau", y: str = "y", points: int = 100,
+               group: Sequence[str] = ()) -> DataFrame:
+    """Qini curve: among the top m rows by score, treated outcome total minus
+    control outcome total scaled by N1(m)/N0(m) (NULL while no control)."""
+    group = list(group)
+    base = df.where(F.col(y).isNotNull()).select(
+        *group, "id", score, (F.col("t") * F.col(y)).alias("_y1"), ((1 - F.col("t")) * F.col(y)).alias("_y0"),
+        F.col("t").cast("long").alias("_t1"), (1 - F.col("t")).cast("long").alias("_t0"))
+    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_desc(base, score, group, pos="_r", sums=["_y1", "_y0", "_t1", "_t0"])
+    grid = n.select(*group, "_n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("q")) \
+        .withColumn("_r", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("q") / F.lit(float(points))))
+                    .cast("bigint"))
+    hit = join_small(ranked.select(*group, "_r", "cum__y1", "cum__y0", "cum__t1", "cum__t0"), grid,
+                     group + ["_r"], "inner")
+    qini = F.col("cum__y1") - F.col("cum__y0") * F.col("cum__t1") / F.when(F.col("cum__t0") > 0, F.col("cum__t0"))
+    return hit.select(*group, "q", F.col("_r").alias("m"), qini.alias("qini"))

@@ -459,3 +459,52 @@ def q_campaign_batch(spark, sf_dir):
     spec = camp.CampaignSpec(created_at="2026-01-01T00:00:00Z")
     res, _ = camp.campaign_analysis(panel, customer_cell(), spec, ["activity_id"])
     return camp.rounded_result(res, ["activity_id"])
+
+
+# ------------------------------------------------------------ P8 documented extras
+from causeway.functions.hashing import md5_uniform  # noqa: E402
+from causeway.operators import adjust  # noqa: E402
+
+
+@query("cuped")
+def q_cuped(spark, sf_dir):
+    c = adjust.cuped(customer_folds(spark, sf_dir), "before_amt")
+    s = adjust.cuped_summary(c)
+    return s.select("n", r("diff", 4).alias("diff"), r("diff_cuped", 4).alias("diff_cuped"),
+                    r("var_reduction", 6).alias("var_reduction"))
+
+
+@query("ipcw")
+def q_ipcw(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    w = adjust.ipcw_weights(nuis, md5_uniform("id", "obs") < 0.8, customer_cell())
+    s = adjust.ipcw_ate(w)
+    return s.select("n", "n_observed", r("est_ipcw", 4).alias("est_ipcw"))
+
+
+@query("tmle")
+def q_tmle(spark, sf_dir):
+    s = adjust.tmle_step(customer_nuisance(spark, sf_dir))
+    return s.select("n", r("epsilon", 4).alias("epsilon"), r("est", 4).alias("est"), r("se", 4).alias("se"),
+                    r("ci_lo", 4).alias("ci_lo"), r("ci_hi", 4).alias("ci_hi"))
+
+
+@query("uplift_curve")
+def q_uplift_curve(spark, sf_dir):
+    u = ranking.uplift_curve(customer_tau(spark, sf_dir), "tau")
+    return u.select("q", "m", r("mean_uplift", 4).alias("mean_uplift"))
+
+
+@query("qini_curve")
+def q_qini(spark, sf_dir):
+    u = ranking.qini_curve(customer_tau(spark, sf_dir), "tau")
+    return u.select("q", "m", r("qini", 2).alias("qini"))
+
+
+TRIM_BANDS = [(0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8)]
+
+
+@query("trim_sensitivity")
+def q_trim(spark, sf_dir):
+    t = adjust.trim_sensitivity(customer_nuisance(spark, sf_dir), TRIM_BANDS)
+    return t.select("lo", "hi", "n_kept", r("est", 4).alias("est"), r("se", 4).alias("se"), "psi_abs_max")

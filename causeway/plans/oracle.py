@@ -618,3 +618,63 @@ ORACLE["user_uplift"] = campaign_sql(PANEL_CUSTOMER, "cust-1998", "uplift")
 ORACLE["campaign_batch"] = "\nUNION ALL\n".join(
     f"SELECT * FROM ({campaign_sql(f'SELECT * FROM ({PANEL_CUSTOMER}) WHERE seg = {chr(39)}{s}{chr(39)}', s)})"
     for s in SEG_LEVELS)
+
+# ------------------------------------------------------------ P8 documented extras
+ORACLE["cuped"] = with_customer("""
+, tr AS (SELECT f.fold, regr_slope(q.y, q.before_amt) AS theta, avg(q.before_amt) AS xm
+         FROM (SELECT DISTINCT fold FROM p) f JOIN p q ON q.fold <> f.fold GROUP BY f.fold),
+cu AS (SELECT p.t, p.y, p.y - coalesce(tr.theta, 0.0) * (p.before_amt - tr.xm) AS yc FROM p JOIN tr USING (fold))
+SELECT count(*) AS n,
+       round(avg(CASE WHEN t = 1 THEN y END) - avg(CASE WHEN t = 0 THEN y END), 4) + 0.0 AS diff,
+       round(avg(CASE WHEN t = 1 THEN yc END) - avg(CASE WHEN t = 0 THEN yc END), 4) + 0.0 AS diff_cuped,
+       round(1 - var_samp(yc) / var_samp(y), 6) + 0.0 AS var_reduction FROM cu""")
+
+_OBS = "CAST(('0x' || substr(md5(concat(CAST(id AS VARCHAR), ':', 'obs')), 1, 15)) AS BIGINT) / 1152921504606846976.0"
+ORACLE["ipcw"] = with_customer(f"""
+, ob AS (SELECT nu.*, CASE WHEN {_OBS} < 0.8 THEN 1 ELSE 0 END AS r FROM nu),
+ck AS (SELECT DISTINCT fold, cell FROM ob),
+pc AS (SELECT k.fold, k.cell, sum(q.r) AS o, count(q.r) AS m
+       FROM ck k LEFT JOIN ob q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
+pa AS (SELECT f.fold, sum(q.r) AS o, count(q.r) AS m
+       FROM (SELECT DISTINCT fold FROM ob) f LEFT JOIN ob q ON q.fold <> f.fold GROUP BY f.fold),
+pp AS (SELECT pc.fold, pc.cell, greatest(CASE WHEN pc.m > 0 THEN pc.o / pc.m WHEN pa.m > 0 THEN pa.o / pa.m
+                                              ELSE 1.0 END, 0.01) AS pi
+       FROM pc JOIN pa USING (fold)),
+wt AS (SELECT ob.psi, CASE WHEN ob.r = 1 THEN 1.0 / pp.pi ELSE 0.0 END AS w FROM ob JOIN pp USING (fold, cell))
+SELECT count(*) AS n, count(CASE WHEN w > 0 THEN 1 END) AS n_observed,
+       round(sum(CASE WHEN w > 0 THEN w * psi END) / sum(w), 4) + 0.0 AS est_ipcw FROM wt""")
+
+ORACLE["tmle"] = with_customer("""
+, ep AS (SELECT sum((t / e - (1 - t) / (1 - e)) * (y - CASE WHEN t = 1 THEN mu1 ELSE mu0 END))
+                / sum((t / e - (1 - t) / (1 - e)) * (t / e - (1 - t) / (1 - e))) AS eps FROM nu),
+up AS (SELECT nu.t, nu.y, nu.e, nu.mu1 + ep.eps / nu.e AS m1, nu.mu0 - ep.eps / (1 - nu.e) AS m0, ep.eps FROM nu, ep),
+ag AS (SELECT count(*) AS n, max(eps) AS eps, avg(m1 - m0) AS est,
+              stddev_samp(t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e) + (m1 - m0)) / sqrt(count(*)) AS se FROM up)
+SELECT n, round(eps, 4) + 0.0 AS epsilon, round(est, 4) + 0.0 AS est, round(se, 4) + 0.0 AS se,
+       round(est - 1.959963984540054 * se, 4) + 0.0 AS ci_lo, round(est + 1.959963984540054 * se, 4) + 0.0 AS ci_hi
+FROM ag""")
+
+ORACLE["uplift_curve"] = with_tau("""
+, rk AS (SELECT row_number() OVER (ORDER BY tau DESC NULLS LAST, id) AS r, count(*) OVER () AS n,
+                sum(psi) OVER (ORDER BY tau DESC NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS cum
+         FROM ht WHERE psi IS NOT NULL),
+g AS (SELECT q, CAST(greatest(1, floor(n * q / 100.0)) AS BIGINT) AS m
+      FROM range(5, 101, 5) r(q), (SELECT max(n) AS n FROM rk))
+SELECT CAST(g.q AS INTEGER) AS q, g.m, round(rk.cum / g.m, 4) + 0.0 AS mean_uplift FROM g JOIN rk ON rk.r = g.m""")
+
+ORACLE["qini_curve"] = with_tau("""
+, rk AS (SELECT row_number() OVER w AS r, count(*) OVER () AS n,
+                sum(t * y) OVER (w ROWS UNBOUNDED PRECEDING) AS y1, sum((1 - t) * y) OVER (w ROWS UNBOUNDED PRECEDING) AS y0,
+                sum(t) OVER (w ROWS UNBOUNDED PRECEDING) AS n1, sum(1 - t) OVER (w ROWS UNBOUNDED PRECEDING) AS n0
+         FROM ht WHERE y IS NOT NULL WINDOW w AS (ORDER BY tau DESC NULLS LAST, id)),
+g AS (SELECT q, CAST(greatest(1, floor(n * q / 100.0)) AS BIGINT) AS m
+      FROM range(1, 101) r(q), (SELECT max(n) AS n FROM rk))
+SELECT CAST(g.q AS INTEGER) AS q, g.m,
+       round(rk.y1 - rk.y0 * rk.n1 / CASE WHEN rk.n0 > 0 THEN rk.n0 END, 2) + 0.0 AS qini
+FROM g JOIN rk ON rk.r = g.m""")
+
+ORACLE["trim_sensitivity"] = with_customer("\nUNION ALL\n".join(
+    f"SELECT CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, count(*) AS n_kept, "
+    f"round(avg(psi), 4) + 0.0 AS est, round(stddev_samp(psi) / sqrt(count(*)), 4) + 0.0 AS se, "
+    f"max(abs(psi)) AS psi_abs_max FROM nu WHERE e BETWEEN {lo} AND {hi}"
+    for lo, hi in ((0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8))))
