@@ -15,6 +15,7 @@ rows of the one bin that holds it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -27,17 +28,49 @@ from causeway.functions.scalar import weight_cap
 from causeway.operators.joins import attach, join_small
 from causeway.operators.nuisance.strata import oof_table
 
-HASH_BITS = 60
+HASH_BITS = 62
 BIN_SHIFT = HASH_BITS - 10  # 1024 histogram bins
+P31 = 2147483647  # the Mersenne prime 2^31 − 1
+MASK30 = (1 << 30) - 1
+COEFS = ("a1", "b1", "c1", "a2", "b2", "c2")
 
 
 def perm_salt(seed: int) -> str:
     return f"perm{seed}"
 
 
+def run_coefficients(runs: int, seed: int) -> dict[str, list[int]]:
+    """Per-run coefficients of the permutation key, from md5 of the run
+    number (so any engine derives the same numbers)."""
+    out: dict[str, list[int]] = {c: [] for c in COEFS}
+    for run in range(runs):
+        for c in COEFS:
+            v = int(hashlib.md5(f"{perm_salt(seed)}:{c}:{run}".encode()).hexdigest()[:15], 16)
+            out[c].append(v % P31 if c.startswith("c") else v % (P31 - 1) + 1)
+    return out
+
+
+def run_key(h: Column, run: Column, coefs: dict[str, list[int]]) -> Column:
+    """62-bit permutation key of a row in a run: two affine maps modulo
+    2^31 − 1 of the row's 60-bit md5 integer (split in 30-bit halves), with
+    coefficients drawn per run.  One md5 per row serves every run; the
+    products stay below 2^62, so BIGINT arithmetic is exact."""
+    ha = h.bitwiseAND(F.lit(MASK30))
+    hb = F.shiftright(h, 30).bitwiseAND(F.lit(MASK30))
+
+    def coef(c: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in coefs[c]]), run + 1)
+
+    k1 = (coef("a1") * ha + coef("b1") * hb + coef("c1")) % F.lit(P31)
+    k2 = (coef("a2") * ha + coef("b2") * hb + coef("c2")) % F.lit(P31)
+    return k1 * F.lit(1 << 31) + k2
+
+
 def _runs(panel: DataFrame, runs: int, cols: Sequence[str], seed: int) -> DataFrame:
-    exploded = panel.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    return exploded.withColumn("_h", md5_int("id", perm_salt(seed), F.col("run")))
+    coefs = run_coefficients(runs, seed)
+    keyed = panel.select(*cols, md5_int("id", perm_salt(seed)).alias("_h0"))
+    exploded = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    return exploded.withColumn("_h", run_key(F.col("_h0"), F.col("run"), coefs)).drop("_h0")
 
 
 def permutation_thresholds(panel: DataFrame, runs: int, seed: int,

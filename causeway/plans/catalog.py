@@ -508,3 +508,56 @@ TRIM_BANDS = [(0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8)]
 def q_trim(spark, sf_dir):
     t = adjust.trim_sensitivity(customer_nuisance(spark, sf_dir), TRIM_BANDS)
     return t.select("lo", "hi", "n_kept", r("est", 4).alias("est"), r("se", 4).alias("se"), "psi_abs_max")
+
+
+# ------------------------------------------------------------ P6 learners and HTE
+from causeway.operators.nuisance import linear as lin  # noqa: E402
+from causeway.operators.nuisance.ml import ml_nuisance  # noqa: E402
+
+LEARN_X = ["before_cnt", "before_amt", "acctbal", "region"]
+FOLDS = list(range(DEFAULT.n_splits))
+
+
+@query("crossfit_linear1")
+def q_linear1(spark, sf_dir):
+    p = customer_folds(spark, sf_dir)
+    coefs = lin.ols_oof(p, ["before_amt"], "y", FOLDS)
+    out = p.withColumn("mu1", lin._predict(coefs, 1, ["before_amt"], FOLDS, "fold")) \
+           .withColumn("mu0", lin._predict(coefs, 0, ["before_amt"], FOLDS, "fold"))
+    return out.select("id", "fold", r("mu1", 4).alias("mu1"), r("mu0", 4).alias("mu0"))
+
+
+@query("ate_linear")
+def q_ate_linear(spark, sf_dir):
+    nuis = lin.linear_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS)
+    return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
+
+
+@query("ate_ml")
+def q_ate_ml(spark, sf_dir):
+    nuis = ml_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS, max_iter=10, max_depth=3)
+    return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
+
+
+HTE_BAND = (0.2, 0.8)
+
+
+@query("dr_forest")
+def q_dr_forest(spark, sf_dir):
+    t = hte.dr_forest(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND, num_trees=20, max_depth=4)
+    return t.select("id", "fold", r("tau", 4).alias("tau"))
+
+
+@query("effect_interval")
+def q_effect_interval(spark, sf_dir):
+    t = hte.effect_intervals(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND, n_halves=4,
+                             num_trees=20, max_depth=4)
+    return t.select("id", *[r(c, 4).alias(c) for c in ("tau", "tau_sd", "lb90", "ub90", "lb99", "ub99")])
+
+
+@query("label_shares")
+def q_label_shares(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    seg = hte.segment_effects(nuis, "cell").select(F.col("segment").alias("cell"), "lb99", "lb90")
+    rows = nuis.join(F.broadcast(seg), "cell", "left")   # one row per cell: bounded by the cell count
+    return hte.label_shares(rows)

@@ -345,14 +345,25 @@ ORACLE["tau_psi_corr"] = with_tau(
 RUNS = 100
 
 
+def coef_sql(seed: int) -> str:
+    """Per-run permutation coefficients (md5 of 'perm<seed>:<name>:<run>')."""
+    out = []
+    for c in ("a1", "b1", "c1", "a2", "b2", "c2"):
+        v = f"CAST(('0x' || substr(md5('perm{seed}:{c}:' || CAST(run AS VARCHAR)), 1, 15)) AS BIGINT)"
+        out.append(f"{v} % 2147483647 AS {c}" if c.startswith("c") else f"{v} % 2147483646 + 1 AS {c}")
+    return ", ".join(out)
+
+
 def placebo_ctes(y: str, prefix: str = "", runs: int = RUNS, seed: int = SEED,
                  ps: tuple[float, float] = (PS_LO, PS_HI)) -> str:
     """Per-run cross-fit on an exactly permuted treatment (row_number per run)."""
     return f"""
 , {prefix}n1t AS (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1 FROM {prefix}p),
-{prefix}rr AS (SELECT q.id, q.fold, q.cell, q.{y} AS yy, r.run,
-              {md5_int('q.id', f"'perm{seed}', ':', CAST(r.run AS VARCHAR)")} AS h
-       FROM {prefix}p q, range(0, {runs}) r(run)),
+{prefix}rc0 AS (SELECT run, {coef_sql(seed)} FROM range(0, {runs}) r(run)),
+{prefix}rr AS (SELECT q.id, q.fold, q.cell, q.{y} AS yy, c.run,
+              ((c.a1 * (q.h0 & 1073741823) + c.b1 * ((q.h0 >> 30) & 1073741823) + c.c1) % 2147483647) * 2147483648
+              + (c.a2 * (q.h0 & 1073741823) + c.b2 * ((q.h0 >> 30) & 1073741823) + c.c2) % 2147483647 AS h
+       FROM (SELECT *, {md5_int('id', f"'perm{seed}'")} AS h0 FROM {prefix}p) q, {prefix}rc0 c),
 {prefix}pr AS (SELECT {prefix}rr.*, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY h, id) <= (SELECT n1 FROM {prefix}n1t)
                     THEN 1 ELSE 0 END AS t FROM {prefix}rr),
 {prefix}rk AS (SELECT DISTINCT run, fold, cell FROM {prefix}pr),
@@ -678,3 +689,19 @@ ORACLE["trim_sensitivity"] = with_customer("\nUNION ALL\n".join(
     f"round(avg(psi), 4) + 0.0 AS est, round(stddev_samp(psi) / sqrt(count(*)), 4) + 0.0 AS se, "
     f"max(abs(psi)) AS psi_abs_max FROM nu WHERE e BETWEEN {lo} AND {hi}"
     for lo, hi in ((0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8))))
+
+# ------------------------------------------------------------ P6 learners and HTE
+ORACLE["crossfit_linear1"] = with_customer("""
+, ft AS (SELECT f.fold, a.arm, regr_intercept(q.y, q.before_amt) AS b0, regr_slope(q.y, q.before_amt) AS b1
+         FROM (SELECT DISTINCT fold FROM p) f CROSS JOIN (VALUES (0), (1)) a(arm)
+         LEFT JOIN p q ON q.fold <> f.fold AND q.t = a.arm GROUP BY f.fold, a.arm)
+SELECT p.id, p.fold, round(m1.b0 + m1.b1 * p.before_amt, 4) + 0.0 AS mu1,
+       round(m0.b0 + m0.b1 * p.before_amt, 4) + 0.0 AS mu0
+FROM p JOIN ft m1 ON m1.fold = p.fold AND m1.arm = 1 JOIN ft m0 ON m0.fold = p.fold AND m0.arm = 0""")
+
+ORACLE["label_shares"] = with_customer("""
+, se AS (SELECT cell, avg(psi) AS tau, stddev_samp(psi) / sqrt(count(*)) AS se FROM nu WHERE psi IS NOT NULL GROUP BY cell),
+lb AS (SELECT cell, tau - 2.5758293035489004 * se AS lb99, tau - 1.6448536269514722 * se AS lb90 FROM se),
+lab AS (SELECT CASE WHEN lb.lb99 > 0 THEN 'strong' WHEN lb.lb90 > 0 THEN 'medium' ELSE 'none' END AS label
+        FROM nu LEFT JOIN lb USING (cell) WHERE nu.t = 1)
+SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM lab GROUP BY label""")
