@@ -39,13 +39,14 @@ def perm_salt(seed: int) -> str:
     return f"perm{seed}"
 
 
-def run_coefficients(runs: int, seed: int) -> dict[str, list[int]]:
+def run_coefficients(runs: int, seed: int, salt: str | None = None) -> dict[str, list[int]]:
     """Per-run coefficients of the permutation key, from md5 of the run
     number (so any engine derives the same numbers)."""
+    salt = salt or perm_salt(seed)
     out: dict[str, list[int]] = {c: [] for c in COEFS}
     for run in range(runs):
         for c in COEFS:
-            v = int(hashlib.md5(f"{perm_salt(seed)}:{c}:{run}".encode()).hexdigest()[:15], 16)
+            v = int(hashlib.md5(f"{salt}:{c}:{run}".encode()).hexdigest()[:15], 16)
             out[c].append(v % P31 if c.startswith("c") else v % (P31 - 1) + 1)
     return out
 

@@ -561,3 +561,77 @@ def q_label_shares(spark, sf_dir):
     seg = hte.segment_effects(nuis, "cell").select(F.col("segment").alias("cell"), "lb99", "lb90")
     rows = nuis.join(F.broadcast(seg), "cell", "left")   # one row per cell: bounded by the cell count
     return hte.label_shares(rows)
+
+
+# ------------------------------------------------------------ P7 distillation
+from causeway.operators import distill  # noqa: E402
+
+
+def segment_rules() -> list[dict]:
+    """The strata cells written as rules (region × before-count bucket)."""
+    rules = []
+    buckets = [[("before_cnt", "<=", 1.0)], [("before_cnt", ">", 1.0), ("before_cnt", "<=", 3.0)],
+               [("before_cnt", ">", 3.0)]]
+    for region in range(5):
+        for b, conds in enumerate(buckets):
+            cs = [{"feature": "region", "op": "==", "threshold": float(region)}] + \
+                 [{"feature": f, "op": op, "threshold": thr} for f, op, thr in conds]
+            rules.append({"leaf": region * 3 + b, "value": None, "conditions": cs})
+    return rules
+
+
+def _tau_leaves(spark, sf_dir):
+    return distill.apply_rules(customer_tau(spark, sf_dir), segment_rules())
+
+
+@query("rule_apply")
+def q_rule_apply(spark, sf_dir):
+    return _tau_leaves(spark, sf_dir).select("id", "leaf")
+
+
+@query("rule_value")
+def q_rule_value(spark, sf_dir):
+    v = distill.rule_values(_tau_leaves(spark, sf_dir))
+    return v.select("leaf", "n", r("coverage", 6).alias("coverage"), r("uplift", 4).alias("uplift"),
+                    r("value", 2).alias("value"))
+
+
+@query("rule_bootstrap")
+def q_rule_boot(spark, sf_dir):
+    b = distill.rule_bootstrap(_tau_leaves(spark, sf_dir), reps=200)
+    return b.select("leaf", r("lo90", 4).alias("lo90"), r("hi90", 4).alias("hi90"))
+
+
+def _student(spark, sf_dir):
+    tau = customer_tau(spark, sf_dir)
+    model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
+    return tau, model, depth
+
+
+@query("student_tree")
+def q_student(spark, sf_dir):
+    tau, model, _ = _student(spark, sf_dir)
+    rules = distill.extract_rules(model, LEARN_X)
+    leaves = distill.apply_rules(tau, rules)
+    vals = distill.rule_values(leaves)
+    return distill.rules_frame(spark, rules).select("leaf", "rule_text", "value").join(
+        vals.select("leaf", "n", "coverage", "uplift", F.col("value").alias("psi_sum")), "leaf", "left")
+
+
+@query("distill_quality")
+def q_distill_quality(spark, sf_dir):
+    tau, model, _ = _student(spark, sf_dir)
+    scored = distill.predict_tree(model, tau, LEARN_X, "student")
+    return distill.distill_quality(scored, "tau", "student")
+
+
+@query("oof_r2_linear")
+def q_oof_r2(spark, sf_dir):
+    nuis = customer_nuisance(spark, sf_dir)
+    coefs = lin.ols_oof(nuis.withColumn("t", F.lit(1)), ["before_amt"], "psi", FOLDS)
+    pred = nuis.withColumn("psi_hat", lin._predict(coefs, 1, ["before_amt"], FOLDS, "fold"))
+    m = pred.agg(F.avg("psi").alias("_m")).first()["_m"]
+    out = pred.agg(F.count(F.lit(1)).alias("n"),
+                   (1 - F.sum((F.col("psi") - F.col("psi_hat")) ** 2)
+                    / F.sum((F.col("psi") - F.lit(m)) ** 2)).alias("r2_oof"))
+    return out.select("n", r("r2_oof", 6).alias("r2_oof"))

@@ -345,11 +345,12 @@ ORACLE["tau_psi_corr"] = with_tau(
 RUNS = 100
 
 
-def coef_sql(seed: int) -> str:
-    """Per-run permutation coefficients (md5 of 'perm<seed>:<name>:<run>')."""
+def coef_sql(seed: int, salt: str | None = None) -> str:
+    """Per-run permutation coefficients (md5 of '<salt>:<name>:<run>')."""
+    salt = salt or f"perm{seed}"
     out = []
     for c in ("a1", "b1", "c1", "a2", "b2", "c2"):
-        v = f"CAST(('0x' || substr(md5('perm{seed}:{c}:' || CAST(run AS VARCHAR)), 1, 15)) AS BIGINT)"
+        v = f"CAST(('0x' || substr(md5('{salt}:{c}:' || CAST(run AS VARCHAR)), 1, 15)) AS BIGINT)"
         out.append(f"{v} % 2147483647 AS {c}" if c.startswith("c") else f"{v} % 2147483646 + 1 AS {c}")
     return ", ".join(out)
 
@@ -705,3 +706,43 @@ lb AS (SELECT cell, tau - 2.5758293035489004 * se AS lb99, tau - 1.6448536269514
 lab AS (SELECT CASE WHEN lb.lb99 > 0 THEN 'strong' WHEN lb.lb90 > 0 THEN 'medium' ELSE 'none' END AS label
         FROM nu LEFT JOIN lb USING (cell) WHERE nu.t = 1)
 SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM lab GROUP BY label""")
+
+# ------------------------------------------------------------ P7 distillation
+_LEAF = ("region * 3 + CASE WHEN CAST(before_cnt AS DOUBLE) <= 1.0 THEN 0 "
+         "WHEN CAST(before_cnt AS DOUBLE) <= 3.0 THEN 1 ELSE 2 END")
+ORACLE["rule_apply"] = with_tau(f"SELECT id, CAST({_LEAF} AS INTEGER) AS leaf FROM ht")
+ORACLE["rule_value"] = with_tau(f"""
+, lv AS (SELECT CAST({_LEAF} AS INTEGER) AS leaf, tau, psi FROM ht)
+SELECT leaf, count(*) AS n, round(count(*) / (SELECT count(*) FROM lv), 6) + 0.0 AS coverage,
+       round(avg(tau), 4) + 0.0 AS uplift, round(sum(psi), 2) + 0.0 AS value FROM lv GROUP BY leaf""")
+
+
+def _boot_sql(reps: int = 200, salt: str = "boot") -> str:
+    import math as _m
+
+    cdfs, cdf, p = [], 0.0, _m.exp(-1.0)
+    for i in range(10):
+        cdf += p
+        cdfs.append(cdf)
+        p = p / (i + 1)
+    w = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in cdfs)
+    h0 = md5_int("id", f"'{salt}'")
+    key = ("((c.a1 * (q.h0 & 1073741823) + c.b1 * ((q.h0 >> 30) & 1073741823) + c.c1) % 2147483647) * 2147483648"
+           " + (c.a2 * (q.h0 & 1073741823) + c.b2 * ((q.h0 >> 30) & 1073741823) + c.c2) % 2147483647")
+    return with_tau(f"""
+, lv AS (SELECT id, CAST({_LEAF} AS INTEGER) AS leaf, tau, {h0} AS h0 FROM ht),
+bc AS (SELECT run, {coef_sql(0, salt)} FROM range(0, {reps}) r(run)),
+bu AS (SELECT q.leaf, q.tau, c.run AS rep, ({key}) / 4611686018427387904.0 AS u FROM lv q, bc c),
+bw AS (SELECT leaf, tau, rep, {w} AS w FROM bu),
+bm AS (SELECT leaf, rep, sum(w * tau) / sum(w) AS m FROM bw GROUP BY leaf, rep)
+SELECT leaf, round(quantile_cont(m, 0.05), 4) + 0.0 AS lo90, round(quantile_cont(m, 0.95), 4) + 0.0 AS hi90
+FROM bm WHERE m IS NOT NULL GROUP BY leaf""")
+
+
+ORACLE["rule_bootstrap"] = _boot_sql()
+ORACLE["oof_r2_linear"] = with_customer("""
+, ft AS (SELECT f.fold, regr_intercept(q.psi, q.before_amt) AS b0, regr_slope(q.psi, q.before_amt) AS b1
+         FROM (SELECT DISTINCT fold FROM nu) f LEFT JOIN nu q ON q.fold <> f.fold GROUP BY f.fold),
+pr AS (SELECT nu.psi, ft.b0 + ft.b1 * nu.before_amt AS ph FROM nu JOIN ft USING (fold))
+SELECT count(*) AS n, round(1 - sum((psi - ph) * (psi - ph)) / sum((psi - (SELECT avg(psi) FROM pr)) * (psi - (SELECT avg(psi) FROM pr))), 6) + 0.0 AS r2_oof
+FROM pr""")
