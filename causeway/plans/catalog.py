@@ -635,3 +635,44 @@ def q_oof_r2(spark, sf_dir):
                    (1 - F.sum((F.col("psi") - F.col("psi_hat")) ** 2)
                     / F.sum((F.col("psi") - F.lit(m)) ** 2)).alias("r2_oof"))
     return out.select("n", r("r2_oof", 6).alias("r2_oof"))
+
+
+# ------------------------------------------------------------ sources, recoding, tuning
+from causeway.operators import tune as tuning  # noqa: E402
+from causeway.sources import files  # noqa: E402
+
+
+@query("scan_campaigns")
+def q_scan(spark, sf_dir):
+    df = files.scan_campaign_files(spark, sf_dir, token="orders")
+    return df.select("o_orderkey", "o_totalprice", "activity_id")
+
+
+@query("recode_onehot")
+def q_recode(spark, sf_dir):
+    p = panel_customer(spark, sf_dir)
+    p = p.withColumn("before_amt_log1p", F.log1p("before_amt"))
+    p = one_hot(p, "seg", drop_first=True, prefix="seg")
+    p = one_hot(p.withColumn("region_s", F.col("region").cast("string")), "region_s", drop_first=True,
+                prefix="region")
+    keep = ["id", "t", "y", "before_amt_log1p"] + [c for c in p.columns if c.startswith(("seg_", "region_"))]
+    return p.select(*[r(c, 6).alias(c) if c == "before_amt_log1p" else F.col(c) for c in keep if c != "region_s"])
+
+
+@query("complete_cases")
+def q_complete(spark, sf_dir):
+    from causeway.sources.tables import read_table
+
+    d = read_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
+    return files.complete_cases(d.join(read_table(spark, sf_dir, "labels", "doc_id", "quality"),
+                                       "doc_id", "left")).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("n_quality"))
+
+
+@query("tune_nauuc")
+def q_tune(spark, sf_dir):
+    from causeway.operators.folds import assign_folds
+
+    panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)
+    return tuning.tune(panel, LEARN_X, DEFAULT, [0, 1, 2], customer_cell(),
+                       objective="nauuc_ci", trials=2, seed=42)

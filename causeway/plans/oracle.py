@@ -746,3 +746,17 @@ ORACLE["oof_r2_linear"] = with_customer("""
 pr AS (SELECT nu.psi, ft.b0 + ft.b1 * nu.before_amt AS ph FROM nu JOIN ft USING (fold))
 SELECT count(*) AS n, round(1 - sum((psi - ph) * (psi - ph)) / sum((psi - (SELECT avg(psi) FROM pr)) * (psi - (SELECT avg(psi) FROM pr))), 6) + 0.0 AS r2_oof
 FROM pr""")
+
+# ------------------------------------------------------------ sources, recoding
+ORACLE["scan_campaigns"] = "SELECT o_orderkey, o_totalprice, 'orders' AS activity_id FROM orders"
+ORACLE["recode_onehot"] = f"""
+SELECT id, t, y, round(ln(1 + before_amt), 6) + 0.0 AS before_amt_log1p,
+       {', '.join(f"CASE WHEN seg = '{v}' THEN 1 ELSE 0 END AS seg_{v}" for v in SEG_LEVELS[1:])},
+       {', '.join(f"CASE WHEN CAST(region AS VARCHAR) = '{v}' THEN 1 ELSE 0 END AS region_{v}" for v in range(1, 5))}
+FROM ({PANEL_CUSTOMER})"""
+ORACLE["complete_cases"] = """
+SELECT d.lang, count(*) AS n, CAST(sum(l.quality) AS BIGINT) AS n_quality
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE d.doc_id IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL AND d.n_chars IS NOT NULL
+  AND l.quality IS NOT NULL
+GROUP BY d.lang"""
