@@ -676,3 +676,43 @@ def q_tune(spark, sf_dir):
     panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)
     return tuning.tune(panel, LEARN_X, DEFAULT, [0, 1, 2], customer_cell(),
                        objective="nauuc_ci", trials=2, seed=42)
+
+
+# ------------------------------------------------------------ cleaning, calibration, feature step
+from causeway.operators import clean  # noqa: E402
+from causeway.operators.features.factory import FeatureFactory  # noqa: E402
+from causeway.operators.nuisance.calibrate import calibrate  # noqa: E402
+
+
+@query("median_impute")
+def q_median_impute(spark, sf_dir):
+    p = panel_customer(spark, sf_dir).withColumn("y_obs", F.when(F.col("y") > 0, F.col("y")))
+    out = clean.impute_median(p, "y_obs", out="y_imputed")
+    return out.select("id", r("y_imputed", 4).alias("y_imputed"))
+
+
+@query("band_choice")
+def q_band_choice(spark, sf_dir):
+    return clean.band_choice(customer_nuisance(spark, sf_dir), (0.3, 0.7), DEFAULT.n_splits)
+
+
+@query("hte_verdict")
+def q_hte_verdict(spark, sf_dir):
+    a = ranking.nauuc(customer_tau(spark, sf_dir), "tau", centered=True, on_zero="null")
+    return a.select("n", r("nauuc", 6).alias("nauuc"),
+                    F.coalesce(F.col("nauuc") >= 0.35, F.lit(False)).alias("usable"))
+
+
+@query("calibrated_propensity")
+def q_calibrated(spark, sf_dir):
+    nuis = lin.linear_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS)
+    cal = calibrate(nuis, DEFAULT, FOLDS, "isotonic")
+    return _effect_row(estimate.effect_table(cal, "ATE", DEFAULT))
+
+
+@query("feature_factory")
+def q_factory(spark, sf_dir):
+    ff = FeatureFactory(cat_cols=["seg"], num_cols=["before_cnt", "before_amt", "acctbal"],
+                        group_keys=[["seg"]], max_total_cols=30)
+    out = ff.fit_transform(customer_folds(spark, sf_dir))
+    return out.select("id", *ff.feature_columns(out, customer_folds(spark, sf_dir)))

@@ -760,3 +760,25 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 WHERE d.doc_id IS NOT NULL AND d.lang IS NOT NULL AND d.source IS NOT NULL AND d.n_chars IS NOT NULL
   AND l.quality IS NOT NULL
 GROUP BY d.lang"""
+
+# ------------------------------------------------------------ cleaning
+ORACLE["median_impute"] = f"""
+WITH p AS (SELECT id, CASE WHEN y > 0 THEN y END AS y_obs FROM ({PANEL_CUSTOMER}))
+SELECT id, round(coalesce(y_obs, (SELECT median(y_obs) FROM p)), 4) + 0.0 AS y_imputed FROM p"""
+ORACLE["band_choice"] = with_customer("""
+, s AS (SELECT count(CASE WHEN e BETWEEN 0.3 AND 0.7 THEN 1 END) AS n_band,
+               count(CASE WHEN e BETWEEN 0.3 AND 0.7 AND t = 1 THEN 1 END) AS n_band_treated,
+               count(CASE WHEN e BETWEEN 0.3 AND 0.7 AND t = 0 THEN 1 END) AS n_band_control,
+               count(*) AS n FROM nu),
+c AS (SELECT *, CASE WHEN n_band < 50 OR n_band_treated = 0 OR n_band_control = 0 THEN 'all'
+                     WHEN n_band < 100 THEN 'base' ELSE 'band' END AS choice FROM s)
+SELECT n, n_band, n_band_treated, n_band_control, choice,
+       CASE WHEN choice = 'all' THEN 'band too small or one arm' END AS note,
+       CASE WHEN choice = 'band' THEN 0.3 WHEN choice = 'base' THEN 0.1 ELSE 0.0 END AS lo,
+       CASE WHEN choice = 'band' THEN 0.7 WHEN choice = 'base' THEN 0.9 ELSE 1.0 END AS hi
+FROM c""")
+ORACLE["hte_verdict"] = with_tau(f"""
+, nn AS ({_area('tau', True)}), oo AS ({_area('psi', True)}),
+v AS (SELECT nn.n, CASE WHEN abs(oo.area) <= 1e-12 THEN NULL ELSE least(greatest(nn.area / oo.area, 0.0), 1.0) END AS x
+      FROM nn, oo)
+SELECT n, round(x, 6) + 0.0 AS nauuc, coalesce(x >= 0.35, false) AS usable FROM v""")
