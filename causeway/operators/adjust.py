@@ -31,7 +31,7 @@ def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
     cols = ["_n", "_sx", "_sy", "_sxy", "_sxx"]
     tr = own.select(*group, fold, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in cols])
     n = F.col("_n")
-    mx, my = F.col("_sx") / n, F.col("_sy") / n
+    mx, my = F.try_divide(F.col("_sx"), n), F.try_divide(F.col("_sy"), n)
     sxy = F.col("_sxy") - n * mx * my
     sxx = F.col("_sxx") - n * mx * mx
     coef = tr.select(*group, fold, F.when(sxx > 0, sxy / sxx).otherwise(F.lit(0.0)).alias("theta"),
@@ -77,7 +77,7 @@ def ipcw_ate(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     w = F.col("w_ipcw")
     return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(w > 0, 1)).alias("n_observed"),
-        (F.sum(F.when(w > 0, w * F.col("psi"))) / F.sum(w)).alias("est_ipcw"))
+        F.try_divide(F.sum(F.when(w > 0, w * F.col("psi"))), F.sum(w)).alias("est_ipcw"))
 
 
 def tmle_step(nuis: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -114,7 +114,7 @@ def rule_bootstrap(df: DataFrame, leaf: str = "leaf", tau: str = "tau", reps: in
     rows = df.where(F.col(leaf).isNotNull()).select("id", leaf, tau)
     rep = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     rep = rep.withColumn("_w", poisson_weight(replicate_uniform("id", F.col("rep"), reps, salt)))
-    means = rep.groupBy(leaf, "rep").agg((F.sum(F.col("_w") * F.col(tau)) / F.sum("_w")).alias("m"))
+    means = rep.groupBy(leaf, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(tau)), F.sum("_w")).alias("m"))
     q = exact_quantiles(means.where(F.col("m").isNotNull()), "m", [0.05, 0.95], [leaf])
     return q.groupBy(leaf).agg(F.max(F.when(F.col("p") < 0.5, F.col("q"))).alias("lo90"),
                                F.max(F.when(F.col("p") > 0.5, F.col("q"))).alias("hi90"))

@@ -20,7 +20,10 @@ from causeway.functions.scalar import aipw_psi, propensity
 
 def ml_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds: Sequence[int],
                 fold: str = "fold", max_iter: int = 20, max_depth: int = 4, step: float = 0.1,
-                balanced: bool = True) -> DataFrame:
+                balanced: bool = True, outcome_loss: str = "squared",
+                tweedie_power: float = 1.3) -> DataFrame:
+    """``outcome_loss='tweedie'`` fits the arm outcome models as Tweedie GLMs
+    (log link, variance power in [1.1, 1.9]) instead of squared-loss GBTs."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -53,6 +56,14 @@ def ml_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds
                 scored = scored.withColumn(col, F.lit(0.0))
             elif st["hi"] - st["lo"] < 1e-12 or st["n"] < 10:
                 scored = scored.withColumn(col, F.lit(float(st["m"])))
+            elif outcome_loss == "tweedie":
+                from pyspark.ml.regression import GeneralizedLinearRegression
+
+                glm = GeneralizedLinearRegression(featuresCol="_x", labelCol="y", family="tweedie",
+                                                  variancePower=min(max(tweedie_power, 1.1), 1.9),
+                                                  linkPower=0.0, maxIter=25, regParam=1e-6,
+                                                  predictionCol=col)
+                scored = glm.fit(tr.where(F.col("y") >= 0)).transform(scored)
             else:
                 reg = GBTRegressor(featuresCol="_x", labelCol="y", maxIter=max_iter, maxDepth=max_depth,
                                    stepSize=step, seed=cfg.seed + 10 * f + arm, predictionCol=col)

@@ -76,8 +76,8 @@ def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
     group = list(group)
     if not df.is_cached:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    k = F.col(key).cast("double")
-    order_key = (F.col(key).asc_nulls_last() if ascending else F.col(key).desc_nulls_last())
+    k = F.col(key).cast("double") + F.lit(0.0)  # −0.0 and 0.0 sort as one value
+    order_key = k.asc_nulls_last() if ascending else k.desc_nulls_last()
     if small_rows is None:
         small_rows = SMALL_ROWS
     if n_buckets is None and df.count() <= small_rows:

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators.joins import attach, join_small
-from causeway.operators.order import ordered
+from causeway.operators.order import SMALL_ROWS, ordered
 
 
 def rank_desc(df: DataFrame, score: str, group: Sequence[str] = (), pos: str = "pos",
@@ -28,21 +29,50 @@ def rank_desc(df: DataFrame, score: str, group: Sequence[str] = (), pos: str = "
     return ordered(df, score, ascending=False, tie="id", group=group, sums=sums, pos_col=pos)
 
 
+def _area_terms(ranked: DataFrame, group: list[str], pos: str, psi: str, centered: bool) -> list:
+    v = F.col(psi) - F.col("_m") if centered else F.col(psi)
+    return [F.sum((F.col("_n") - F.col(pos) + 1) * v).alias(f"_sw_{pos}"),
+            F.max(F.when(F.col(pos) == 1, v)).alias(f"_v1_{pos}"),
+            F.sum(v).alias(f"_sv_{pos}")]
+
+
+def auuc_areas(df: DataFrame, scores: Sequence[str], psi: str = "psi", group: Sequence[str] = (),
+               centered: bool = True) -> DataFrame:
+    """``group…, n, area_<score>…`` — trapezoid areas of cumulative ψ, one
+    per score ordering.  A bounded input (checked by a count) gets all
+    orderings as windows of one pass; otherwise each ordering is a bucketed
+    global rank."""
+    group = list(group)
+    cols = list(dict.fromkeys([*group, "id", *scores, psi]))
+    base = df.where(F.col(psi).isNotNull()).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = Window.partitionBy(*group) if group else Window.partitionBy()
+    if base.count() <= SMALL_ROWS:
+        ranked = base.select("*", F.count(F.lit(1)).over(whole).alias("_n"), F.avg(psi).over(whole).alias("_m"),
+                             *[F.row_number().over(whole.orderBy((F.col(sc) + F.lit(0.0)).desc_nulls_last(),
+                                                                 F.col("id")))
+                               .alias(f"_r{i}") for i, sc in enumerate(scores)])
+        agg = ranked.groupBy(*group).agg(F.first("_n").alias("n"),
+                                         *[t for i in range(len(scores))
+                                           for t in _area_terms(ranked, group, f"_r{i}", psi, centered)])
+    else:
+        stats = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(psi).alias("_m"))
+        agg = None
+        for i, sc in enumerate(scores):
+            ranked = attach(rank_desc(base, sc, group, pos=f"_r{i}"), stats, group)
+            part = ranked.groupBy(*group).agg(F.first("_n").alias("n"),
+                                              *_area_terms(ranked, group, f"_r{i}", psi, centered))
+            agg = part if agg is None else agg.join(part.drop("n"), group) if group else \
+                attach(agg, part.drop("n"), [])
+    out = [(F.col(f"_sw__r{i}") - (F.col(f"_v1__r{i}") + F.col(f"_sv__r{i}")) / 2.0) / F.col("n")
+           for i in range(len(scores))]
+    return agg.select(*group, "n", *[o.alias(f"area_{sc}") for o, sc in zip(out, scores)])
+
+
 def auuc_area(df: DataFrame, score: str, psi: str = "psi", group: Sequence[str] = (),
               centered: bool = True) -> DataFrame:
     """``group…, n, area`` — trapezoid area of cumulative ψ ordered by score."""
-    group = list(group)
-    base = df.where(F.col(psi).isNotNull()).select(*group, "id", score, psi)
-    stats = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(psi).alias("_m"))
-    ranked = attach(rank_desc(base, score, group, pos="_r"), stats, group)
-    v = F.col(psi) - F.col("_m") if centered else F.col(psi)
-    agg = ranked.groupBy(*group).agg(
-        F.first("_n").alias("n"),
-        F.sum((F.col("_n") - F.col("_r") + 1) * v).alias("_sw"),
-        F.sum(v).alias("_sv"),
-        F.max(F.when(F.col("_r") == 1, v)).alias("_v1"))
-    area = (F.col("_sw") - (F.col("_v1") + F.col("_sv")) / 2.0) / F.col("n")
-    return agg.select(*group, "n", area.alias("area"))
+    a = auuc_areas(df, [score], psi, group, centered)
+    return a.withColumnRenamed(f"area_{score}", "area")
 
 
 def nauuc(df: DataFrame, score: str = "tau", psi: str = "psi", group: Sequence[str] = (),
@@ -54,9 +84,14 @@ def nauuc(df: DataFrame, score: str = "tau", psi: str = "psi", group: Sequence[s
     tuner rule: an oracle area ≤ 0 gives 0.
     """
     group = list(group)
-    model = auuc_area(df, score, psi, group, centered).withColumnRenamed("area", "area_model")
-    oracle = auuc_area(df, psi, psi, group, centered).select(*group, F.col("area").alias("area_oracle"))
-    j = attach(model, oracle, group)
+    if score == psi:
+        a = auuc_areas(df, [psi], psi, group, centered)
+        j = a.select(*group, "n", F.col(f"area_{psi}").alias("area_model"),
+                     F.col(f"area_{psi}").alias("area_oracle"))
+    else:
+        a = auuc_areas(df, [score, psi], psi, group, centered)
+        j = a.select(*group, "n", F.col(f"area_{score}").alias("area_model"),
+                     F.col(f"area_{psi}").alias("area_oracle"))
     ratio = F.least(F.greatest(F.col("area_model") / F.col("area_oracle"), F.lit(0.0)), F.lit(1.0))
     if centered:
         degenerate = F.abs(F.col("area_oracle")) <= 1e-12

@@ -8,7 +8,7 @@ learner's estimate is linear in per (run, fold, cell, arm) sufficient
 statistics, so map-side partial aggregation shrinks the shuffle to about
 runs × folds × cells rows whatever the row count.
 
-The n₁-th smallest hash of each run is found by a 1024-bin histogram of
+The n₁-th smallest hash of each run is found by a 16384-bin histogram of
 the hashes (tiny table, cumulative counts per run), then ordering only the
 rows of the one bin that holds it.
 """
@@ -29,7 +29,7 @@ from causeway.operators.joins import attach, join_small
 from causeway.operators.nuisance.strata import oof_table
 
 HASH_BITS = 62
-BIN_SHIFT = HASH_BITS - 10  # 1024 histogram bins
+BIN_SHIFT = HASH_BITS - 14  # 16384 histogram bins per run
 P31 = 2147483647  # the Mersenne prime 2^31 − 1
 MASK30 = (1 << 30) - 1
 COEFS = ("a1", "b1", "c1", "a2", "b2", "c2")

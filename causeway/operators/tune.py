@@ -38,7 +38,9 @@ def search_space(trials: int, seed: int) -> list[dict]:
     for _ in range(trials):
         out.append({"max_depth": int(rng.choice([2, 3, 4, 5])),
                     "step": float(np.exp(rng.uniform(np.log(0.03), np.log(0.3)))),
-                    "max_iter": int(rng.choice([5, 10, 15, 20]))})
+                    "max_iter": int(rng.choice([5, 10, 15, 20])),
+                    "outcome_loss": str(rng.choice(["squared", "tweedie"])),
+                    "tweedie_power": float(rng.uniform(1.1, 1.9))})
     return out
 
 

@@ -535,7 +535,10 @@ def q_ate_linear(spark, sf_dir):
 
 @query("ate_ml")
 def q_ate_ml(spark, sf_dir):
-    nuis = ml_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS, max_iter=10, max_depth=3)
+    from causeway.operators.folds import assign_folds
+
+    panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)  # 3 folds × 3 GBT fits
+    nuis = ml_nuisance(panel, LEARN_X, DEFAULT, [0, 1, 2], max_iter=10, max_depth=3)
     return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
 
 
@@ -602,10 +605,17 @@ def q_rule_boot(spark, sf_dir):
     return b.select("leaf", r("lo90", 4).alias("lo90"), r("hi90", 4).alias("hi90"))
 
 
+_STUDENTS: dict = {}
+
+
 def _student(spark, sf_dir):
-    tau = customer_tau(spark, sf_dir)
-    model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
-    return tau, model, depth
+    """The fitted student is shared by the queries of one session."""
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _STUDENTS:
+        tau = customer_tau(spark, sf_dir)
+        model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
+        _STUDENTS[key] = (tau, model, depth)
+    return _STUDENTS[key]
 
 
 @query("student_tree")
@@ -632,8 +642,8 @@ def q_oof_r2(spark, sf_dir):
     pred = nuis.withColumn("psi_hat", lin._predict(coefs, 1, ["before_amt"], FOLDS, "fold"))
     m = pred.agg(F.avg("psi").alias("_m")).first()["_m"]
     out = pred.agg(F.count(F.lit(1)).alias("n"),
-                   (1 - F.sum((F.col("psi") - F.col("psi_hat")) ** 2)
-                    / F.sum((F.col("psi") - F.lit(m)) ** 2)).alias("r2_oof"))
+                   (1 - F.try_divide(F.sum((F.col("psi") - F.col("psi_hat")) ** 2),
+                                     F.sum((F.col("psi") - F.lit(m)) ** 2))).alias("r2_oof"))
     return out.select("n", r("r2_oof", 6).alias("r2_oof"))
 
 

@@ -734,7 +734,7 @@ def _boot_sql(reps: int = 200, salt: str = "boot") -> str:
 bc AS (SELECT run, {coef_sql(0, salt)} FROM range(0, {reps}) r(run)),
 bu AS (SELECT q.leaf, q.tau, c.run AS rep, ({key}) / 4611686018427387904.0 AS u FROM lv q, bc c),
 bw AS (SELECT leaf, tau, rep, {w} AS w FROM bu),
-bm AS (SELECT leaf, rep, sum(w * tau) / sum(w) AS m FROM bw GROUP BY leaf, rep)
+bm AS (SELECT leaf, rep, CASE WHEN sum(w) > 0 THEN sum(w * tau) / sum(w) END AS m FROM bw GROUP BY leaf, rep)
 SELECT leaf, round(quantile_cont(m, 0.05), 4) + 0.0 AS lo90, round(quantile_cont(m, 0.95), 4) + 0.0 AS hi90
 FROM bm WHERE m IS NOT NULL GROUP BY leaf""")
 
