@@ -726,3 +726,22 @@ def q_factory(spark, sf_dir):
                         group_keys=[["seg"]], max_total_cols=30)
     out = ff.fit_transform(customer_folds(spark, sf_dir))
     return out.select("id", *ff.feature_columns(out, customer_folds(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ event-log panel (small-n case)
+from causeway.sources.panels import event_cell, panel_events  # noqa: E402
+
+
+@query("panel_events")
+def q_panel_events(spark, sf_dir):
+    return panel_events(spark, sf_dir)
+
+
+@query("ate_events_strata")
+def q_ate_events(spark, sf_dir):
+    from causeway.operators.folds import assign_folds
+    from causeway.operators.nuisance.strata import strata_nuisance
+
+    panel = assign_folds(panel_events(spark, sf_dir), DEFAULT.n_splits, DEFAULT.seed)
+    nuis = strata_nuisance(panel, event_cell(), DEFAULT, y_scale=2)
+    return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))

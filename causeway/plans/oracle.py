@@ -782,3 +782,20 @@ ORACLE["hte_verdict"] = with_tau(f"""
 v AS (SELECT nn.n, CASE WHEN abs(oo.area) <= 1e-12 THEN NULL ELSE least(greatest(nn.area / oo.area, 0.0), 1.0) END AS x
       FROM nn, oo)
 SELECT n, round(x, 6) + 0.0 AS nauuc, coalesce(x >= 0.35, false) AS usable FROM v""")
+
+# ------------------------------------------------------------ event-log panel
+PANEL_EVENTS = f"""
+SELECT user_id AS id,
+       CAST(count(CASE WHEN ts < TIMESTAMP '2024-01-16' AND event_type = 'click' THEN 1 END)
+            > count(CASE WHEN ts < TIMESTAMP '2024-01-16' AND event_type = 'view' THEN 1 END) AS INTEGER) AS t,
+       coalesce(CAST(sum(CASE WHEN ts >= TIMESTAMP '2024-01-16' AND event_type = 'purchase'
+                              THEN {cents('value')} END) AS DOUBLE) / CAST(100 AS DOUBLE), CAST(0 AS DOUBLE)) AS y,
+       count(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 END) AS before_cnt,
+       coalesce(CAST(sum(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN {cents('value')} END) AS DOUBLE)
+                / CAST(100 AS DOUBLE), CAST(0 AS DOUBLE)) AS before_amt,
+       count(CASE WHEN ts < TIMESTAMP '2024-01-16' AND event_type = 'click' THEN 1 END) AS before_clicks,
+       count(CASE WHEN ts < TIMESTAMP '2024-01-16' AND event_type = 'view' THEN 1 END) AS before_views
+FROM events GROUP BY user_id"""
+EVENT_CELL = "least(floor(before_cnt / 25), 3)"
+ORACLE["panel_events"] = PANEL_EVENTS
+ORACLE["ate_events_strata"] = f"WITH {strata_ctes(PANEL_EVENTS, EVENT_CELL)}\n{effect_select('nu', 'ATE')}"

@@ -108,22 +108,30 @@ def order_cell() -> Column:
 
 
 def panel_events(spark: SparkSession, sf_dir: str, split_day: str = "2024-01-16") -> DataFrame:
-    """User panel from the event log: purchase before/after a split day.
+    """User panel from the event log, split at a day.
 
-    t = the user signed up before the split; y = purchase value after it;
-    covariates are pre-period counts and values per event type.
+    t = the user clicked more than they viewed before the split; y = value of
+    their purchases after it; covariates are pre-period event counts/values.
     """
     ev = read_table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value")
     before = F.col("ts") < ts(split_day)
-    return (ev.groupBy("user_id").agg(
-        F.max(F.when(before & (F.col("event_type") == "signup"), 1).otherwise(0)).alias("t"),
-        F.coalesce(F.sum(F.when(~before & (F.col("event_type") == "purchase"), F.col("value"))),
-                   F.lit(0.0)).alias("y"),
+    etype = F.col("event_type")
+    agg = ev.groupBy("user_id").agg(
+        F.count(F.when(before & (etype == "click"), 1)).alias("before_clicks"),
+        F.count(F.when(before & (etype == "view"), 1)).alias("before_views"),
+        F.sum(F.when(~before & (etype == "purchase"), cents(F.col("value")))).alias("y_cents"),
         F.count(F.when(before, 1)).alias("before_cnt"),
-        F.coalesce(F.sum(F.when(before, F.col("value"))), F.lit(0.0)).alias("before_amt"),
-        F.count(F.when(before & (F.col("event_type") == "click"), 1)).alias("before_clicks"),
-    ).select(F.col("user_id").alias("id"), F.col("t").cast("int"), "y",
-             "before_cnt", "before_amt", "before_clicks"))
+        F.sum(F.when(before, cents(F.col("value")))).alias("before_cents"))
+    return agg.select(F.col("user_id").alias("id"),
+                      (F.col("before_clicks") > F.col("before_views")).cast("int").alias("t"),
+                      F.coalesce(from_cents(F.col("y_cents")), F.lit(0.0)).alias("y"),
+                      "before_cnt", F.coalesce(from_cents(F.col("before_cents")), F.lit(0.0)).alias("before_amt"),
+                      "before_clicks", "before_views")
+
+
+def event_cell() -> Column:
+    """Strata of the event panel: min(pre-period event count div 25, 3)."""
+    return F.least(F.floor(F.col("before_cnt") / 25), F.lit(3)).cast("int")
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
