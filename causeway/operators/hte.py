@@ -112,19 +112,16 @@ def effect_intervals(nuis: DataFrame, features: Sequence[str], band: tuple[float
     """τ̂ and its 90/99 % bounds from half-sample forests: the spread of the
     half-sample predictions estimates the sampling sd of τ̂(x)."""
     base = dr_forest(nuis, features, band, fold, seed=seed, **kw)
-    preds = []
+    halves = None
     for b in range(n_halves):
-        h = dr_forest(nuis, features, band, fold, seed=seed + b + 1, out=f"_h{b}",
-                      half=(b % 2, b // 2), **kw).select("id", f"_h{b}")
-        preds.append(h)
-    out = base
-    for h in preds:
-        out = out.join(h, "id", "left")
-    hs = [F.col(f"_h{b}") for b in range(n_halves)]
-    mean = sum(hs) / float(n_halves)
-    var = sum((h - mean) ** 2 for h in hs) / float(max(n_halves - 1, 1))
-    sd = F.sqrt(var / 2.0)  # a half sample has twice the variance of the full one
-    out = out.select("*", sd.alias("tau_sd"))
+        h = dr_forest(nuis, features, band, fold, seed=seed + b + 1, out="_h",
+                      half=(b % 2, b // 2), **kw).select("id", "_h")
+        halves = h if halves is None else halves.unionByName(h)
+    # one aggregation by id (instead of one join per half-sample model)
+    spread = halves.groupBy("id").agg(F.var_samp("_h").alias("_hv"))
+    out = base.join(spread, "id", "left")
+    sd = F.sqrt(F.col("_hv") / 2.0)  # a half sample has twice the variance of the full one
+    out = out.select("*", sd.alias("tau_sd")).drop("_hv")
     return out.select(*[c for c in out.columns if not c.startswith("_h")],
                       (F.col("tau") - Z95 * F.col("tau_sd")).alias("lb90"),
                       (F.col("tau") + Z95 * F.col("tau_sd")).alias("ub90"),

@@ -745,3 +745,14 @@ def q_ate_events(spark, sf_dir):
     panel = assign_folds(panel_events(spark, sf_dir), DEFAULT.n_splits, DEFAULT.seed)
     nuis = strata_nuisance(panel, event_cell(), DEFAULT, y_scale=2)
     return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
+
+
+# ------------------------------------------------------------ report rows (long form)
+from causeway.sources.sinks import long_form  # noqa: E402
+
+
+@query("campaign_report")
+def q_campaign_report(spark, sf_dir):
+    """The campaign result as (activity_id, section, key, value) report rows."""
+    res, _ = _customer_campaign(spark, sf_dir)
+    return long_form(camp.rounded_result(res, ["activity_id"]), ["activity_id"], "result")

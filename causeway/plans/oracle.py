@@ -799,3 +799,9 @@ FROM events GROUP BY user_id"""
 EVENT_CELL = "least(floor(before_cnt / 25), 3)"
 ORACLE["panel_events"] = PANEL_EVENTS
 ORACLE["ate_events_strata"] = f"WITH {strata_ctes(PANEL_EVENTS, EVENT_CELL)}\n{effect_select('nu', 'ATE')}"
+
+ORACLE["campaign_report"] = f"""
+WITH r AS ({campaign_sql(PANEL_CUSTOMER, "cust-1998")}),
+d AS (SELECT activity_id, COLUMNS(* EXCLUDE (activity_id))::DOUBLE FROM r)
+SELECT activity_id, 'result' AS section, key, value
+FROM (UNPIVOT d ON COLUMNS(* EXCLUDE (activity_id)) INTO NAME key VALUE value)"""
