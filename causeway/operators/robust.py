@@ -8,7 +8,7 @@ learner's estimate is linear in per (run, fold, cell, arm) sufficient
 statistics, so map-side partial aggregation shrinks the shuffle to about
 runs × folds × cells rows whatever the row count.
 
-The n₁-th smallest hash of each run is found by a 16384-bin histogram of
+The n₁-th smallest hash of each run is found by a histogram (about √n bins) of
 the hashes (tiny table, cumulative counts per run), then ordering only the
 rows of the one bin that holds it.
 """
@@ -16,6 +16,7 @@ rows of the one bin that holds it.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -29,7 +30,12 @@ from causeway.operators.joins import attach, join_small
 from causeway.operators.nuisance.strata import oof_table
 
 HASH_BITS = 62
-BIN_SHIFT = HASH_BITS - 14  # 16384 histogram bins per run
+
+
+def histogram_bits(n: int) -> int:
+    """About √n bins per run (64 … 65536): the histogram stays far smaller
+    than the rows and the one bin ordered per run holds about √n rows."""
+    return int(min(16, max(6, math.ceil(math.log2(max(n, 1)) / 2))))
 P31 = 2147483647  # the Mersenne prime 2^31 − 1
 MASK30 = (1 << 30) - 1
 COEFS = ("a1", "b1", "c1", "a2", "b2", "c2")
@@ -79,7 +85,8 @@ def permutation_thresholds(panel: DataFrame, runs: int, seed: int,
     """Per (group, run): the hash/id of the n₁-th smallest key (``_th, _tid``)."""
     group = list(group)
     n1 = panel.groupBy(*group).agg(F.count(F.when(F.col("t") == 1, 1)).alias("_n1"))
-    keyed = _runs(panel, runs, group + ["id"], seed).withColumn("_bin", F.shiftright("_h", BIN_SHIFT))
+    shift = HASH_BITS - histogram_bits(panel.count())
+    keyed = _runs(panel, runs, group + ["id"], seed).withColumn("_bin", F.shiftright("_h", shift))
     hist = keyed.groupBy(*group, "run", "_bin").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group, "run").orderBy("_bin")
     hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -146,7 +153,10 @@ def placebo_runs(panel: DataFrame, cell: Column | str, cfg: EffectConfig, runs:
     """Per (group, run, outcome): the cross-fitted ATE/ATT/ATO under permuted T."""
     group = list(group)
     c = F.col(cell) if isinstance(cell, str) else cell
-    base = panel.withColumn("cell", c)
+    # The narrow panel (keys, fold, cell, t, outcomes) is read by three passes
+    # over rows × runs: persisted once.
+    base = panel.select(*group, "id", "t", fold, c.alias("cell"), *outcomes) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     rows = permuted(base, runs, cfg.seed, [fold, "cell", *outcomes], group)
     keys = group + ["run", fold, "cell"]
     stats = _outcome_stats(rows, keys, outcomes, y_scale).persist(StorageLevel.MEMORY_AND_DISK)
