@@ -71,6 +71,20 @@ def te_fold_table(stats: DataFrame, gm: Column, smoothing: float = TE_SMOOTHING,
     return j.select("col", "level", fold, te.alias("te"))
 
 
+def stratified_target_folds(df: DataFrame, y: str, k: int, seed: int, out: str = "fold") -> DataFrame:
+    """Folds stratified on y (binary) or on y > median(y): md5 order within
+    each stratum, dealt round-robin (bucketed global rank, no one-task window)."""
+    from causeway.operators.folds import assign_folds_stratified
+    from causeway.operators.order import exact_quantiles
+
+    if is_binary_target(df, y):
+        strat = df.withColumn("_strat", F.col(y).cast("int"))
+    else:
+        med = exact_quantiles(df, y, [0.5]).first()["q"]
+        strat = df.withColumn("_strat", (F.col(y) > F.lit(med)).cast("int"))
+    return assign_folds_stratified(strat, k, seed, "_strat", fold_col=out).drop("_strat")
+
+
 def target_encode_oof(df: DataFrame, cats: Sequence[str], y: str, k: int, fold: str = "fold",
                       smoothing: float = TE_SMOOTHING) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold target encoding ``<c>__te`` plus the inference map.

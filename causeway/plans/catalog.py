@@ -756,3 +756,12 @@ def q_campaign_report(spark, sf_dir):
     """The campaign result as (activity_id, section, key, value) report rows."""
     res, _ = _customer_campaign(spark, sf_dir)
     return long_form(camp.rounded_result(res, ["activity_id"]), ["activity_id"], "result")
+
+
+@query("te_oof_stratified")
+def q_te_strat(spark, sf_dir):
+    """Target encoding with folds stratified on the (binary) target."""
+    docs = encode.stratified_target_folds(labelled_documents(spark, sf_dir), "quality", DEFAULT.n_splits,
+                                          DEFAULT.seed)
+    out, _ = encode.target_encode_oof(docs, CAT_COLS, "quality", DEFAULT.n_splits)
+    return out.select("id", "fold", *[r(f"{c}__te", 6).alias(f"{c}__te") for c in CAT_COLS])

@@ -805,3 +805,16 @@ WITH r AS ({campaign_sql(PANEL_CUSTOMER, "cust-1998")}),
 d AS (SELECT activity_id, COLUMNS(* EXCLUDE (activity_id))::DOUBLE FROM r)
 SELECT activity_id, 'result' AS section, key, value
 FROM (UNPIVOT d ON COLUMNS(* EXCLUDE (activity_id)) INTO NAME key VALUE value)"""
+
+DOCS_STRAT = f"""
+SELECT id, quality, toxic, lang, source,
+       CAST((row_number() OVER (PARTITION BY CAST(quality AS INTEGER) ORDER BY {md5_int('id', "'42'")}, id) - 1) % 5
+            AS INTEGER) AS fold
+FROM (SELECT l.doc_id AS id, l.quality, l.toxic,
+             coalesce(CAST(d.lang AS VARCHAR), '__NA__') AS lang, coalesce(CAST(d.source AS VARCHAR), '__NA__') AS source
+      FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+ORACLE["te_oof_stratified"] = TE_CTES.replace(f"WITH d AS ({DOCS})", f"WITH d AS ({DOCS_STRAT})") + """
+SELECT d.id, d.fold, round(coalesce(tl.te, gm.gm), 6) + 0.0 AS lang__te, round(coalesce(ts.te, gm.gm), 6) + 0.0 AS source__te
+FROM d CROSS JOIN gm
+LEFT JOIN te tl ON tl.col = 'lang' AND tl.level = d.lang AND tl.fold = d.fold
+LEFT JOIN te ts ON ts.col = 'source' AND ts.level = d.source AND ts.fold = d.fold"""
