@@ -86,3 +86,12 @@ def test_degenerate_inputs_do_not_raise(spark):
     er = estimate.effect_table(empty, "ATE", CFG).collect()
     assert len(er) == 1 and er[0]["n"] == 0 and er[0]["est"] is None
     assert np.isfinite(rows[0]["est"])
+
+
+def test_campaign_report_text(spark):
+    from causeway.plans import catalog
+    from causeway.plans.report import campaign_report_text
+
+    row = catalog.q_campaign(spark, "/root/testdata/sf0.001").first()
+    text = campaign_report_text(row)
+    assert "ATE" in text and "placebo" in text and str(row["n_samples"]) in text
