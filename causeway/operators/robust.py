@@ -80,20 +80,34 @@ def _runs(panel: DataFrame, runs: int, cols: Sequence[str], seed: int) -> DataFr
     return exploded.withColumn("_h", run_key(F.col("_h0"), F.col("run"), coefs)).drop("_h0")
 
 
+def _panel_info(panel: DataFrame, group: list[str]) -> tuple[int, int, DataFrame | int]:
+    """(rows, groups, n₁) from one aggregate; n₁ is a literal when ungrouped,
+    else a per-group table whose size (the group count) is known."""
+    if not group:
+        r = panel.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("t") == 1, 1)).alias("n1")).first()
+        return r["n"], 1, int(r["n1"])
+    key = F.struct(*[F.col(g) for g in group])
+    r = panel.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("g")).first()
+    n1 = panel.groupBy(*group).agg(F.count(F.when(F.col("t") == 1, 1)).alias("_n1"))
+    return r["n"], int(r["g"]), n1
+
+
 def permutation_thresholds(panel: DataFrame, runs: int, seed: int,
-                           group: Sequence[str] = ()) -> DataFrame:
+                           group: Sequence[str] = (), info: tuple | None = None) -> DataFrame:
     """Per (group, run): the hash/id of the n₁-th smallest key (``_th, _tid``)."""
     group = list(group)
-    n1 = panel.groupBy(*group).agg(F.count(F.when(F.col("t") == 1, 1)).alias("_n1"))
-    shift = HASH_BITS - histogram_bits(panel.count())
+    n_rows, n_groups, n1 = info or _panel_info(panel, group)
+    shift = HASH_BITS - histogram_bits(n_rows)
     keyed = _runs(panel, runs, group + ["id"], seed).withColumn("_bin", F.shiftright("_h", shift))
     hist = keyed.groupBy(*group, "run", "_bin").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group, "run").orderBy("_bin")
     hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hist = attach(hist, n1, group)
+    hist = hist.withColumn("_n1", F.lit(n1)) if not group else \
+        join_small(hist, n1, group, "inner", max_rows=n_groups)
     target = hist.where((F.col("_cum") - F.col("_c") < F.col("_n1")) & (F.col("_cum") >= F.col("_n1"))) \
         .select(*group, "run", "_bin", (F.col("_n1") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-    in_bin = join_small(keyed, target, group + ["run", "_bin"], "inner")
+    # one target bin per (group, run): the bound is known, no count needed
+    in_bin = join_small(keyed, target, group + ["run", "_bin"], "inner", max_rows=n_groups * runs)
     wr = Window.partitionBy(*group, "run").orderBy("_h", "id")
     pick = in_bin.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") == F.col("_need"))
     return pick.select(*group, "run", F.col("_h").alias("_th"), F.col("id").alias("_tid"))
@@ -103,9 +117,10 @@ def permuted(panel: DataFrame, runs: int, seed: int, cols: Sequence[str],
              group: Sequence[str] = ()) -> DataFrame:
     """``runs`` copies of the panel with an exactly permuted treatment ``t``."""
     group = list(group)
-    thr = permutation_thresholds(panel, runs, seed, group)
+    info = _panel_info(panel, group)
+    thr = permutation_thresholds(panel, runs, seed, group, info).persist(StorageLevel.MEMORY_AND_DISK)
     rows = _runs(panel, runs, list(dict.fromkeys(group + ["id"] + list(cols))), seed)
-    j = join_small(rows, thr, group + ["run"], "left")
+    j = join_small(rows, thr, group + ["run"], "left", max_rows=info[1] * runs)
     tp = (F.col("_th").isNotNull() & ((F.col("_h") < F.col("_th"))
                                       | ((F.col("_h") == F.col("_th")) & (F.col("id") <= F.col("_tid")))))
     return j.withColumn("t", tp.cast("int")).drop("_h", "_th", "_tid")
