@@ -35,11 +35,3 @@ def md5_uniform(id_col: Column | str, *salt: Column | str | int) -> Column:
 def fold_of(id_col: Column | str, k: int, seed: int) -> Column:
     """Shuffled K-fold membership: md5 integer modulo k."""
     return F.pmod(md5_int(id_col, seed), F.lit(k)).cast("int")
-
-
-def sql_md5_int(id_expr: str, *salt: str) -> str:
-    """DuckDB twin of :func:`md5_int` (for the oracle queries)."""
-    parts = [f"CAST({id_expr} AS VARCHAR)"]
-    for s in salt:
-        parts += ["':'", s if s.startswith("CAST") else f"'{s}'"]
-    return f"CAST(('0x' || substr(md5(concat({', '.join(parts)})), 1, 15)) AS BIGINT)"

@@ -33,15 +33,6 @@ def join_small(big: DataFrame, small: DataFrame, on: Column | str | list, how: s
     return big.join(small, on, how)
 
 
-def null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition treating NULL keys as a group of their own."""
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
     """Add per-group totals (one row per group) to every row of ``df``.
 

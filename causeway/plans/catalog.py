@@ -101,7 +101,6 @@ def q_fold_var(spark, sf_dir):
 
 
 # ------------------------------------------------------------ P2 diagnostics
-from causeway.config import Rules  # noqa: E402
 from causeway.operators import diagnose  # noqa: E402
 from causeway.operators.features.encode import one_hot  # noqa: E402
 from causeway.operators.joins import attach  # noqa: E402
