@@ -764,3 +764,24 @@ def q_te_strat(spark, sf_dir):
                                           DEFAULT.seed)
     out, _ = encode.target_encode_oof(docs, CAT_COLS, "quality", DEFAULT.n_splits)
     return out.select("id", "fold", *[r(f"{c}__te", 6).alias(f"{c}__te") for c in CAT_COLS])
+
+
+@query("att_band")
+def q_att_band(spark, sf_dir):
+    """ATT re-estimated inside the overlap band 0.2 ≤ ê ≤ 0.8 (new cross-fit on the band rows)."""
+    from causeway.operators.nuisance.strata import strata_nuisance
+
+    nuis = customer_nuisance(spark, sf_dir)
+    band = nuis.where(F.col("e").between(0.2, 0.8)).select(*customer_folds(spark, sf_dir).columns)
+    inner = strata_nuisance(band, customer_cell(), DEFAULT, y_scale=2)
+    eff = _effect_row(estimate.effect_table(inner, "ATT", DEFAULT))
+    kept = nuis.agg(F.count(F.when(F.col("e").between(0.2, 0.8) & (F.col("t") == 1), 1)).alias("treated_kept"),
+                    F.count(F.when(F.col("t") == 1, 1)).alias("treated_total"))
+    return attach(eff, kept, [])
+
+
+@query("pca_add")
+def q_pca_add(spark, sf_dir):
+    p = panel_customer(spark, sf_dir)
+    out = reduce.pca_features(p, ["before_cnt", "before_amt", "acctbal", "region"], 2)
+    return out.select("id", "pca_1", "pca_2")

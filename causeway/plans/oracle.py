@@ -818,3 +818,9 @@ SELECT d.id, d.fold, round(coalesce(tl.te, gm.gm), 6) + 0.0 AS lang__te, round(c
 FROM d CROSS JOIN gm
 LEFT JOIN te tl ON tl.col = 'lang' AND tl.level = d.lang AND tl.fold = d.fold
 LEFT JOIN te ts ON ts.col = 'source' AND ts.level = d.source AND ts.fold = d.fold"""
+
+ORACLE["att_band"] = f"""WITH {strata_ctes(PANEL_CUSTOMER, CUSTOMER_CELL)},
+{strata_ctes(f"SELECT {_PANEL_COLS} FROM nu WHERE e BETWEEN 0.2 AND 0.8", CUSTOMER_CELL, prefix='b_')},
+kept AS (SELECT count(CASE WHEN e BETWEEN 0.2 AND 0.8 AND t = 1 THEN 1 END) AS treated_kept,
+                count(CASE WHEN t = 1 THEN 1 END) AS treated_total FROM nu)
+SELECT x.*, kept.treated_kept, kept.treated_total FROM ({effect_select('b_nu', 'ATT')}) x, kept"""
