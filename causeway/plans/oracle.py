@@ -641,9 +641,8 @@ SELECT count(*) AS n,
        round(avg(CASE WHEN t = 1 THEN yc END) - avg(CASE WHEN t = 0 THEN yc END), 4) + 0.0 AS diff_cuped,
        round(1 - var_samp(yc) / var_samp(y), 6) + 0.0 AS var_reduction FROM cu""")
 
-_OBS = "CAST(('0x' || substr(md5(concat(CAST(id AS VARCHAR), ':', 'obs')), 1, 15)) AS BIGINT) / 1152921504606846976.0"
 ORACLE["ipcw"] = with_customer(f"""
-, ob AS (SELECT nu.*, CASE WHEN {_OBS} < 0.8 THEN 1 ELSE 0 END AS r FROM nu),
+, ob AS (SELECT nu.*, CASE WHEN y > 0 THEN 1 ELSE 0 END AS r FROM nu),
 ck AS (SELECT DISTINCT fold, cell FROM ob),
 pc AS (SELECT k.fold, k.cell, sum(q.r) AS o, count(q.r) AS m
        FROM ck k LEFT JOIN ob q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
