@@ -99,8 +99,8 @@ def poisson_weight(u: Column) -> Column:
 def replicate_uniform(id_col: str, rep: Column, reps: int, salt: str) -> Column:
     """Uniform in [0, 1) per (row, replicate): one md5 per row, then the
     per-replicate affine key of the permutation operator."""
-    coefs = robust.run_coefficients(reps, 0, salt)
-    return robust.run_key(md5_int(id_col, salt), rep, coefs) / F.lit(float(2 ** 62))
+    consts = robust.key_constants(0, salt)
+    return robust.run_key(md5_int(id_col, salt), rep, consts) / F.lit(float(2 ** 62))
 
 
 def rule_bootstrap(df: DataFrame, leaf: str = "leaf", tau: str = "tau", reps: int = BOOT_REPS,

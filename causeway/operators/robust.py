@@ -45,39 +45,43 @@ def perm_salt(seed: int) -> str:
     return f"perm{seed}"
 
 
-def run_coefficients(runs: int, seed: int, salt: str | None = None) -> dict[str, list[int]]:
-    """Per-run coefficients of the permutation key, from md5 of the run
-    number (so any engine derives the same numbers)."""
+def key_constants(seed: int, salt: str | None = None) -> dict[str, tuple[int, int]]:
+    """(multiplier, offset) per coefficient name, from md5 of the salt, so any
+    engine derives the same numbers."""
     salt = salt or perm_salt(seed)
-    out: dict[str, list[int]] = {c: [] for c in COEFS}
-    for run in range(runs):
-        for c in COEFS:
-            v = int(hashlib.md5(f"{salt}:{c}:{run}".encode()).hexdigest()[:15], 16)
-            out[c].append(v % P31 if c.startswith("c") else v % (P31 - 1) + 1)
+    out = {}
+    for c in COEFS:
+        hx = hashlib.md5(f"{salt}:{c}".encode()).hexdigest()
+        out[c] = (int(hx[:15], 16) % (P31 - 1) + 1, int(hx[15:30], 16) % P31)
     return out
 
 
-def run_key(h: Column, run: Column, coefs: dict[str, list[int]]) -> Column:
+def _coef(run: Column, name: str, consts: dict[str, tuple[int, int]]) -> Column:
+    """Coefficient of a run: ((run + 1)·m + o) mod (2^31 − 2) + 1 for the
+    multipliers a, b (never 0), mod 2^31 − 1 for the offsets c."""
+    m, o = consts[name]
+    v = (run.cast("bigint") + 1) * F.lit(m) + F.lit(o)
+    return v % F.lit(P31) if name.startswith("c") else v % F.lit(P31 - 1) + 1
+
+
+def run_key(h: Column, run: Column, consts: dict[str, tuple[int, int]]) -> Column:
     """62-bit permutation key of a row in a run: two affine maps modulo
     2^31 − 1 of the row's 60-bit md5 integer (split in 30-bit halves), with
-    coefficients drawn per run.  One md5 per row serves every run; the
-    products stay below 2^62, so BIGINT arithmetic is exact."""
+    multipliers that differ per run (so runs are not shifts of each other).
+    One md5 per row serves every run; all products stay below 2^62, so BIGINT
+    arithmetic is exact and the key is pure integer math in the scan stage."""
     ha = h.bitwiseAND(F.lit(MASK30))
     hb = F.shiftright(h, 30).bitwiseAND(F.lit(MASK30))
-
-    def coef(c: str) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in coefs[c]]), run + 1)
-
-    k1 = (coef("a1") * ha + coef("b1") * hb + coef("c1")) % F.lit(P31)
-    k2 = (coef("a2") * ha + coef("b2") * hb + coef("c2")) % F.lit(P31)
+    k1 = (_coef(run, "a1", consts) * ha + _coef(run, "b1", consts) * hb + _coef(run, "c1", consts)) % F.lit(P31)
+    k2 = (_coef(run, "a2", consts) * ha + _coef(run, "b2", consts) * hb + _coef(run, "c2", consts)) % F.lit(P31)
     return k1 * F.lit(1 << 31) + k2
 
 
 def _runs(panel: DataFrame, runs: int, cols: Sequence[str], seed: int) -> DataFrame:
-    coefs = run_coefficients(runs, seed)
+    consts = key_constants(seed)
     keyed = panel.select(*cols, md5_int("id", perm_salt(seed)).alias("_h0"))
     exploded = keyed.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    return exploded.withColumn("_h", run_key(F.col("_h0"), F.col("run"), coefs)).drop("_h0")
+    return exploded.withColumn("_h", run_key(F.col("_h0"), F.col("run"), consts)).drop("_h0")
 
 
 def _panel_info(panel: DataFrame, group: list[str]) -> tuple[int, int, DataFrame | int]:
@@ -113,14 +117,46 @@ def permutation_thresholds(panel: DataFrame, runs: int, seed: int,
     return pick.select(*group, "run", F.col("_h").alias("_th"), F.col("id").alias("_tid"))
 
 
+def _per_run(values: list, run: Column, dtype: str = "bigint") -> Column:
+    """Per-run constant as an array literal indexed by the run number."""
+    return F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), run + 1)
+
+
 def permuted(panel: DataFrame, runs: int, seed: int, cols: Sequence[str],
              group: Sequence[str] = ()) -> DataFrame:
-    """``runs`` copies of the panel with an exactly permuted treatment ``t``."""
+    """``runs`` copies of the panel with an exactly permuted treatment ``t``.
+
+    Ungrouped, the per-run target bin and threshold (runs numbers each) are
+    read back and applied as array literals, so the in-bin and final passes
+    are join-free scan-stage filters.  Grouped, they are joined back (the
+    table has groups × runs rows, a known size)."""
     group = list(group)
     info = _panel_info(panel, group)
-    thr = permutation_thresholds(panel, runs, seed, group, info).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = _runs(panel, runs, list(dict.fromkeys(group + ["id"] + list(cols))), seed)
-    j = join_small(rows, thr, group + ["run"], "left", max_rows=info[1] * runs)
+    keep = list(dict.fromkeys(group + ["id"] + list(cols)))
+    if group:
+        thr = permutation_thresholds(panel, runs, seed, group, info).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = _runs(panel, runs, keep, seed)
+        j = join_small(rows, thr, group + ["run"], "left", max_rows=info[1] * runs)
+    else:
+        n_rows, _, n1 = info
+        shift = HASH_BITS - histogram_bits(n_rows)
+        keyed = _runs(panel, runs, ["id"], seed).withColumn("_bin", F.shiftright("_h", shift))
+        hist = keyed.groupBy("run", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy("run").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_cum", F.sum("_c").over(w))
+        tgt = {r["run"]: (r["_bin"], r["_need"]) for r in hist.where(
+            (F.col("_cum") - F.col("_c") < n1) & (F.col("_cum") >= n1)).select(
+            "run", "_bin", (F.lit(n1) - (F.col("_cum") - F.col("_c"))).alias("_need")).collect()}
+        bins = [tgt.get(r, (-1, 0))[0] for r in range(runs)]
+        need = [tgt.get(r, (-1, 0))[1] for r in range(runs)]
+        in_bin = keyed.where(F.col("_bin") == _per_run(bins, F.col("run")))
+        wr = Window.partitionBy("run").orderBy("_h", "id")
+        picks = {r["run"]: (r["_h"], r["id"]) for r in in_bin.withColumn("_rn", F.row_number().over(wr))
+                 .where(F.col("_rn") == _per_run(need, F.col("run"))).select("run", "_h", "id").collect()}
+        th = [picks.get(r, (None, None))[0] for r in range(runs)]
+        tid = [picks.get(r, (None, None))[1] for r in range(runs)]
+        j = _runs(panel, runs, keep, seed).withColumn("_th", _per_run(th, F.col("run"))) \
+            .withColumn("_tid", _per_run(tid, F.col("run")))
     tp = (F.col("_th").isNotNull() & ((F.col("_h") < F.col("_th"))
                                       | ((F.col("_h") == F.col("_th")) & (F.col("id") <= F.col("_tid")))))
     return j.withColumn("t", tp.cast("int")).drop("_h", "_th", "_tid")

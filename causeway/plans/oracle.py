@@ -346,12 +346,18 @@ RUNS = 100
 
 
 def coef_sql(seed: int, salt: str | None = None) -> str:
-    """Per-run permutation coefficients (md5 of '<salt>:<name>:<run>')."""
+    """Per-run permutation coefficients: ((run + 1)·m + o) mod …, with (m, o)
+    from md5 of '<salt>:<name>' (computed here as literals)."""
+    import hashlib
+
     salt = salt or f"perm{seed}"
+    p = 2147483647
     out = []
     for c in ("a1", "b1", "c1", "a2", "b2", "c2"):
-        v = f"CAST(('0x' || substr(md5('{salt}:{c}:' || CAST(run AS VARCHAR)), 1, 15)) AS BIGINT)"
-        out.append(f"{v} % 2147483647 AS {c}" if c.startswith("c") else f"{v} % 2147483646 + 1 AS {c}")
+        hx = hashlib.md5(f"{salt}:{c}".encode()).hexdigest()
+        m, o = int(hx[:15], 16) % (p - 1) + 1, int(hx[15:30], 16) % p
+        v = f"((CAST(run AS BIGINT) + 1) * {m} + {o})"
+        out.append(f"{v} % {p} AS {c}" if c.startswith("c") else f"{v} % {p - 1} + 1 AS {c}")
     return ", ".join(out)
 
 
