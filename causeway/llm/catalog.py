@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, quality, secret_scan, suffix_dedup, warc
+from . import (chunk_dedup, decontam, langid, near_dups, packing, pii, quality, secret_scan,
+               suffix_dedup, warc)
 from .common import read
 
 
@@ -28,14 +29,27 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                  read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.chunk_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_best_fit_packing, op3_pii, op4_quality_rules, op5_warc, op8_language_id,
-    op10_secret_scan)}
+    op1_suffix_dedup, op2_best_fit_packing, op3_pii, op4_quality_rules, op5_warc, op6_decontamination,
+    op7_chunk_dedup, op8_language_id, op9_near_duplicates, op10_secret_scan)}

@@ -7,17 +7,17 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, source, t,
-         list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS ws,
+         list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(t, chr(10)),
-                     x -> length(regexp_replace(x, '[ \t\n\x0B\f\r]+', '', 'g')) > 0) AS ls
+                     lambda x: length(regexp_replace(x, '[ \t\n\x0B\f\r]+', '', 'g')) > 0) AS ls
   FROM d),
 g AS (
   SELECT doc_id, i, row_number() OVER () AS rn, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
 again AS (
-  SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS at
+  SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS pos
   FROM g JOIN (SELECT doc_id, tri FROM g GROUP BY ALL HAVING count(*) > 1) r USING (doc_id, tri)),
-rep AS (SELECT doc_id, count(DISTINCT at) AS n FROM again GROUP BY doc_id),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM again GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) AS BIGINT) AS word_chars,

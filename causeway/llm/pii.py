@@ -135,7 +135,7 @@ def redact(t: str) -> str:
     """The text with every span replaced by its kind in brackets; spans that
     overlap become one, named after the first."""
     pieces, at, until, label = [], 0, -1, ""
-    for s, e, k in sorted((s, e, k) for k, s, e in find(t)):
+    for s, k, e in sorted((s, k, e) for k, s, e in find(t)):
         if s < until:
             until = max(until, e)
             continue
