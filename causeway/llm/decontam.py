@@ -191,12 +191,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; no shuffle."""
-    out = docs
-    for index in index_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
+    def clean(shared):
+        @F.pandas_udf(T.BooleanType())
+        def holds_none(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: not shared.value.find(t)).astype(bool)
+        return holds_none
 
-        out = out.where(F.pandas_udf(clean, T.BooleanType())(F.col("text")))
+    out = docs
+    for index in index_blocks(benchmark):
+        out = out.where(clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))
     return out
