@@ -16,13 +16,15 @@ suffix sorting, cut off at ``length`` bytes and fitted to a shuffle:
    order with equal names are equal runs: all but the earliest are removed
    whole.  A run whose k-gram has one name only has no equal string elsewhere.
 3. *Recurse on names.*  Only the earliest run of each name whose k-gram has
-   several names goes on: its strings are named one by one.
-4. *Merge.*  Those are sorted by name; neighbours that are equal are repeats,
-   all but the earliest are marked.
+   several names goes on.  It is cut into blocks of ``BLOCK`` strings, aligned
+   to the sampled suffix; the bytes all strings of a block share take the
+   k-gram's part and the block's own bytes give its name, as in step 2.
+4. *Merge.*  The strings of the blocks that are left are sorted by name;
+   neighbours that are equal are repeats, all but the earliest are marked.
 5. Marks go back to their documents.
 
 Names are 64-bit hashes, told apart within one k-gram (64 more bits) or, in
-step 3, with 24 bits more.  Copies inside one batch are settled there, so a
+step 4, with 24 bits more.  Copies inside one batch are settled there, so a
 group of copies sends one row per batch; a k-gram with many names in a batch
 is salted, so no k-gram gathers in one task.
 """
@@ -42,6 +44,7 @@ from .common import one_per_id, restore_id
 
 LENGTH = 100
 KGRAM = 40
+BLOCK = 8
 #: A k-gram with more names than this in a batch is spread over SALTS keys.
 HOT_NAMES = 16
 SALTS = 64
@@ -85,17 +88,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (w - size)], x[w - size:]) if size < w else x
 
 
-def runs(body: bytes, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(k-gram hash, first string, number of strings) of each run: the
-    strings that share a sampled suffix."""
+def runs(body: bytes, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
+    """(k-gram hash, its place, first string, number of strings) of each run:
+    the strings that share a sampled suffix."""
     if len(body) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     h = kgram_hashes(np.frombuffer(body, np.uint8), k)
     keyed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     at = (sliding_min(keyed, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return h[at[first]], first, np.diff(np.append(first, len(at)))
+    return h[at[first]], at[first], first, np.diff(np.append(first, len(at)))
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -107,54 +110,78 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _rows(gram: np.ndarray, name: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    """(slot, name, doc_id, packed) of a batch of runs, packed = mark * 4 +
+    kind; the rows are given, and stay, in the order of their documents."""
+    o = np.lexsort((mark, doc, name, gram))
+    g = gram[o]
+    first = _first_of(g, name[o])
+    group = np.cumsum(_first_of(g)) - 1
+    hot = (np.bincount(group, weights=first)[group] > HOT_NAMES) & first
+    nth = np.cumsum(hot) - np.maximum.accumulate(np.where(_first_of(g), np.cumsum(hot) - hot, 0))
+    kind, beacon = np.empty(len(o), np.int64), np.empty(len(o), bool)
+    kind[o] = np.where(hot, FORCED, np.where(first, NORMAL, SETTLED))
+    beacon[o] = hot & (nth <= 2)
+    slot = gram.copy()
+    salted, settled = kind == FORCED, kind == SETTLED
+    slot[salted] ^= _mix((name[salted] % np.uint64(SALTS)) + np.uint64(1))
+    slot[settled] = _mix(gram[settled] ^ _mix(doc[settled].view(np.uint64) * np.uint64(31) + mark[settled].view(np.uint64)))
+    packed = mark * 4 + kind
+    # two names of a salted k-gram tell its unsalted slot that there are several
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((slot, gram[beacon])).view(np.int64)),
+         pa.array(np.concatenate((name, name[beacon])).view(np.int64)),
+         pa.array(np.concatenate((doc, doc[beacon]))),
+         pa.array(np.concatenate((packed, mark[beacon] * 4 + BEACON)))],
+        names=["slot", "name", "doc_id", "packed"])
+
+
 def _sample(length: int, k: int):
-    """(slot, name, doc_id, packed) per run; packed = (start * 128 + strings)
-    * 4 + kind."""
+    """Rows of all runs; mark = (start * 128 + offset of the sampled suffix)
+    * 128 + strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, names, ids, starts, counts = [], [], [], [], []
+            grams, names, ids, marks = [], [], [], []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g, s, n = runs(body, length, k)
+                g, at, s, n = runs(body, length, k)
                 grams.append(g)
-                starts.append(s)
-                counts.append(n)
+                marks.append((s * 128 + (at - s)) * 128 + n)
                 ids.append(np.full(len(g), doc, np.int64))
                 names += [xxh3_64_intdigest(body[a:a + c + length - 1]) for a, c in zip(s.tolist(), n.tolist())]
-            if not names:
-                continue
-            gram, name = np.concatenate(grams), np.array(names, np.uint64)
-            doc, start, count = np.concatenate(ids), np.concatenate(starts), np.concatenate(counts)
-            o = np.lexsort((start, doc, name, gram))
-            gram, name, doc, start, count = gram[o], name[o], doc[o], start[o], count[o]
-            first = _first_of(gram, name)
-            kind = np.where(first, NORMAL, SETTLED)
-            group = np.cumsum(_first_of(gram)) - 1
-            hot = (np.bincount(group, weights=first)[group] > HOT_NAMES) & first
-            kind[hot] = FORCED
-            slot = gram.copy()
-            slot[hot] ^= _mix((name[hot] % np.uint64(SALTS)) + np.uint64(1))
-            away = ~first
-            slot[away] = _mix(gram[away] ^ _mix(doc[away].astype(np.uint64) * np.uint64(31) + start[away].astype(np.uint64)))
-            # two names of a salted k-gram tell its unsalted slot that there are several
-            rank = np.cumsum(hot) - 1
-            lead = np.flatnonzero(hot)
-            base = np.zeros(int(group.max()) + 1, np.int64)
-            if len(lead):
-                np.minimum.at(fill := np.full(len(base), len(gram), np.int64), group[lead], rank[lead])
-                base = fill
-            beacon = np.flatnonzero(hot & (rank - base[group] < 2))
-            packed = (start * 128 + count) * 4 + kind
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((slot, gram[beacon])).view(np.int64)),
-                 pa.array(np.concatenate((name, name[beacon])).view(np.int64)),
-                 pa.array(np.concatenate((doc, doc[beacon]))),
-                 pa.array(np.concatenate((packed, packed[beacon] - FORCED + BEACON)))],
-                names=["slot", "name", "doc_id", "packed"])
+            if names:
+                yield _rows(np.concatenate(grams), np.array(names, np.uint64), np.concatenate(ids), np.concatenate(marks))
+    return run
+
+
+def _blocks(length: int):
+    """Rows of the blocks of the runs that go on (odd marks); mark = start *
+    128 + strings."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, names, ids, marks = [], [], [], []
+            for doc, body, whole in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for m in whole or ():
+                    if not m & 1:
+                        continue
+                    m >>= 1
+                    start, at, end = m >> 14, (m >> 14) + (m >> 7 & 127), (m >> 14) + (m & 127)
+                    while end > start:
+                        # strings last - BLOCK + 1 .. last share the bytes from last on
+                        last = at - (at - end + 1) // BLOCK * BLOCK
+                        low = max(start, last - BLOCK + 1)
+                        grams.append(xxh3_64_intdigest(body[last:last - BLOCK + 1 + length]))
+                        names.append(xxh3_64_intdigest(body[low:end - 1 + length]))
+                        marks.append(low * 128 + end - low)
+                        ids.append(doc)
+                        end = low
+            if names:
+                yield _rows(np.array(grams, np.uint64), np.array(names, np.uint64), np.array(ids, np.int64),
+                            np.array(marks, np.int64))
     return run
 
 
 def _strings(length: int):
-    """(h, x, doc_id, packed) of each string of the runs that go on; packed =
+    """(h, x, doc_id, packed) of each string of the blocks that go on; packed =
     (start * 128 + strings) * 2 + settled.  Repeats within the batch are
     settled here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +243,9 @@ def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, whole, single in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                marks = [m >> 1 for m in whole or () if not m & 1] + (single or [])
+            for body, whole, blocks, single in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                marks = ([(m >> 15) * 128 + (m >> 1 & 127) for m in whole or () if not m & 1]
+                         + [m >> 1 for m in blocks or () if not m & 1] + (single or []))
                 if not marks:
                     out.append((len(body), 0, 0, hashlib.sha256(body).hexdigest()))
                     continue
@@ -233,38 +261,50 @@ def _finish(length: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    """(doc_id, body, whole, single): every document with its marks.
-
-    whole: (start * 128 + strings) * 2 of runs that are repeats, odd values
-    are runs that went on; single: start * 128 + strings of marked strings.
-    The text is shuffled once, by doc_id; both joins read that exchange.
-    """
-    if not 1 <= length - k + 1 <= 127:
-        raise ValueError("length - k + 1 must be between 1 and 127")
-    texts = one_per_id(docs)
-    sampled = texts.mapInArrow(_sample(length, k), "slot long, name long, doc_id long, packed long")
+def _named(rows: DataFrame) -> DataFrame:
+    """(doc_id, m) per run that matters: mark * 2 if it is a repeat, + 1 if
+    it is the earliest of its name and goes on."""
     kind = F.col("packed") % 4
     by_gram = Window.partitionBy("slot")
     open_name = F.when(kind != SETTLED, F.col("name"))
-    named = (sampled.repartition("slot")
+    named = (rows.repartition("slot")
              .withColumn("side", kind >= SETTLED)
              .withColumn("low", F.min(open_name).over(by_gram)).withColumn("high", F.max(open_name).over(by_gram))
              .withColumn("place", F.row_number().over(
                  Window.partitionBy("slot", "name", "side").orderBy("doc_id", "packed"))))
     repeat = (kind == SETTLED) | ((kind < SETTLED) & (F.col("place") > 1))
     goes_on = (kind == FORCED) | ((kind == NORMAL) & (F.col("low") != F.col("high")))
-    marks = (named.where((kind != BEACON) & (repeat | goes_on))
-             .select("doc_id", (F.shiftright("packed", 2) * 2 + F.when(repeat, 0).otherwise(1)).alias("m"))
-             .groupBy("doc_id").agg(F.collect_list("m").alias("whole")))
-    marked = texts.join(marks, "doc_id", "left").select("doc_id", "body", "whole")
-    strings = marked.mapInArrow(_strings(length), "h long, x int, doc_id long, packed long")
+    return (named.where((kind != BEACON) & (repeat | goes_on))
+            .select("doc_id", (F.shiftright("packed", 2) * 2 + F.when(repeat, 0).otherwise(1)).alias("m")))
+
+
+def repeated_strings(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
+    """(doc_id, body, whole, blocks, single): every document with its marks of
+    steps 2 to 4 (odd values in whole and blocks went on to the next step).
+
+    The text is shuffled once, by doc_id; all passes read that exchange.
+    """
+    if not BLOCK <= length - k + 1 <= 127:
+        raise ValueError("length - k + 1 must be between BLOCK and 127")
+    texts = one_per_id(docs)
+    rows = "slot long, name long, doc_id long, packed long"
+
+    def by_doc(marks: DataFrame, name: str) -> DataFrame:
+        return marks.groupBy("doc_id").agg(F.collect_list("m").alias(name))
+
+    whole = by_doc(_named(texts.mapInArrow(_sample(length, k), rows)), "whole")
+    first = texts.join(whole, "doc_id", "left").select("doc_id", "body", "whole")
+    blocks = by_doc(_named(first.mapInArrow(_blocks(length), rows)), "blocks")
+    second = first.join(blocks, "doc_id", "left").select("doc_id", "body", "whole", "blocks")
+    strings = (second.select("doc_id", "body", "blocks")
+               .mapInArrow(_strings(length), "h long, x int, doc_id long, packed long"))
     settled = F.col("packed") % 2 == 1
     again = (strings.repartition("h")
              .withColumn("place", F.row_number().over(Window.partitionBy("h", "x").orderBy("doc_id", "packed")))
              .where(settled | (F.col("place") > 1))
-             .groupBy("doc_id").agg(F.collect_list(F.shiftright("packed", 1)).alias("single")))
-    return marked.join(again, "doc_id", "left").select("doc_id", "body", "whole", "single")
+             .select("doc_id", F.shiftright("packed", 1).alias("m")))
+    return (second.join(by_doc(again, "single"), "doc_id", "left")
+            .select("doc_id", "body", "whole", "blocks", "single"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
