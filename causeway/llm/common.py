@@ -42,6 +42,15 @@ def one_per_id(docs: DataFrame, text: str = "text") -> DataFrame:
             .select("doc_id", F.col("t").cast("binary").alias("body")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size to ``rows`` documents, so what a
+    Python worker holds at once is bounded even where documents are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

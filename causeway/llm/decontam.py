@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from .common import small_batches
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
@@ -197,6 +199,7 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             return texts.map(lambda t: not shared.value.find(t)).astype(bool)
         return holds_none
 
+    small_batches(docs.sparkSession)
     out = docs
     for index in index_blocks(benchmark):
         out = out.where(clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))

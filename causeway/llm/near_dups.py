@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import NULL_ID, components, cut, id_or_sentinel, restore_id
+from .common import NULL_ID, components, cut, id_or_sentinel, restore_id, small_batches
 
 SHINGLE = 5
 LINK_PCT = 85
@@ -252,6 +252,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept."""
+    small_batches(docs.sparkSession)
     s = cut(sketches(docs))
     reps = (s.where("n > 0").groupBy("k1", "k2")
             .agg(F.min(F.struct("doc_id", "sig", "n")).alias("r"))

@@ -34,9 +34,10 @@ SCHEMA = ("doc_id long, piece long, n_words long, shard long, bin long, place lo
 
 
 def n_words(text: Column) -> Column:
-    """Runs of bytes other than ASCII white space."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(flat, " "), lambda w: w != "")).cast("long")
+    """Runs of bytes other than ASCII white space: each becomes one mark, and
+    the marks are counted."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
+    return F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 #: A host fails if its shrunk failure rate exceeds this.
@@ -123,6 +125,7 @@ def judge(docs: DataFrame) -> DataFrame:
     host, planned by size at run time (broadcast where the host table turns
     out small, else a sort-merge join whose hot hosts AQE splits).
     """
+    small_batches(docs.sparkSession)
     names = set(docs.columns) & {"m", "base_failed", "kept", "host", "host_failed"}
     if names:
         raise ValueError(f"columns {sorted(names)} clash with the verdict's; rename them first")
