@@ -52,9 +52,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder (survives lost executors)."""
+    """Checkpoint in the shared folder (survives lost executors).
+
+    The shuffle files behind it are then garbage; Spark's cleaner deletes
+    them when the driver collects its own, which is asked for here."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
