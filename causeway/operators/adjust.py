@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.config import Z975
 from causeway.operators.joins import attach, join_small
+from causeway.operators.order import join_null_safe
 
 
 def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
@@ -21,7 +22,12 @@ def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
     """Row-level ``y_cuped = y − θ_f·(x − x̄_f)``: θ_f and x̄_f are the pooled
     slope and covariate mean of the *other* folds (no own-row leakage)."""
     group = list(group)
-    xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
+    # sums around the overall means (one row): a large offset costs no precision
+    centre = panel.agg(F.coalesce(F.avg(F.col(x).cast("double")), F.lit(0.0)).alias("_cx"),
+                       F.coalesce(F.avg(F.col(y).cast("double")), F.lit(0.0)).alias("_cy"))
+    columns = panel.columns
+    panel = panel.join(F.broadcast(centre))
+    xc, yc = F.col(x).cast("double") - F.col("_cx"), F.col(y).cast("double") - F.col("_cy")
     ok = xc.isNotNull() & yc.isNotNull()
     own = panel.groupBy(*group, fold).agg(
         F.count(F.when(ok, 1)).alias("_n"), F.sum(F.when(ok, xc)).alias("_sx"),
@@ -37,7 +43,8 @@ def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
     coef = tr.select(*group, fold, F.when(sxx > 0, sxy / sxx).otherwise(F.lit(0.0)).alias("theta"),
                      mx.alias("x_mean"))
     out = join_small(panel, coef, group + [fold], "left")
-    return out.withColumn("y_cuped", yc - F.col("theta") * (xc - F.col("x_mean")))
+    return (out.withColumn("y_cuped", F.col(y).cast("double") - F.col("theta") * (xc - F.col("x_mean")))
+            .withColumn("x_mean", F.col("x_mean") + F.col("_cx")).select(*columns, "theta", "x_mean", "y_cuped"))
 
 
 def cuped_summary(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -50,34 +57,39 @@ def cuped_summary(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         (1 - F.var_samp("y_cuped") / F.var_samp("y")).alias("var_reduction"))
 
 
-def ipcw_weights(panel: DataFrame, observed: Column, cell: Column, fold: str = "fold",
+def ipcw_weights(nuis: DataFrame, observed: Column, cell: Column | str, fold: str = "fold",
                  group: Sequence[str] = (), trim: float = 0.01) -> DataFrame:
-    """``pi`` = out-of-fold share of observed outcomes in the cell (fallback:
-    the training folds' share), ``w_ipcw`` = R / pi for the observed rows."""
+    """``pi`` = out-of-fold share of observed outcomes in the (cell, arm) — the
+    training folds' share where there is none — at least ``trim``; ``w_ipcw`` =
+    R / pi.  ``observed`` is a flag of its own, never a function of the outcome."""
     group = list(group)
-    rows = panel.withColumn("_r", observed.cast("int")).withColumn("_cell", cell)
-    own = rows.groupBy(*group, fold, "_cell").agg(F.sum("_r").alias("_o"), F.count(F.lit(1)).alias("_m"))
-    wc = Window.partitionBy(*group, "_cell")
-    wf = Window.partitionBy(*group, fold)
+    rows = nuis.withColumn("_r", observed.cast("int")).withColumn("_cell", F.col(cell) if isinstance(cell, str) else cell)
+    own = rows.groupBy(*group, fold, "_cell", "t").agg(F.sum("_r").alias("_o"), F.count(F.lit(1)).alias("_m"))
+    wc = Window.partitionBy(*group, "_cell", "t")
     wa = Window.partitionBy(*group) if group else Window.partitionBy()
-    t = own.select(*group, fold, "_cell",
-                   (F.sum("_o").over(wc) - F.col("_o")).alias("_co"), (F.sum("_m").over(wc) - F.col("_m")).alias("_cm"),
-                   (F.sum("_o").over(wa) - F.sum("_o").over(wf)).alias("_ao"),
-                   (F.sum("_m").over(wa) - F.sum("_m").over(wf)).alias("_am"))
+    totals = (own.groupBy(*group, fold).agg(F.sum("_o").alias("_fo"), F.sum("_m").alias("_fm"))
+              .select(*group, fold, (F.sum("_fo").over(wa) - F.col("_fo")).alias("_ao"),
+                      (F.sum("_fm").over(wa) - F.col("_fm")).alias("_am")))
+    cells = own.select(*group, fold, "_cell", "t", (F.sum("_o").over(wc) - F.col("_o")).alias("_co"),
+                       (F.sum("_m").over(wc) - F.col("_m")).alias("_cm"))
     pi = (F.when(F.col("_cm") > 0, F.col("_co") / F.col("_cm"))
           .when(F.col("_am") > 0, F.col("_ao") / F.col("_am")).otherwise(F.lit(1.0)))
-    tab = t.select(*group, fold, "_cell", F.greatest(pi, F.lit(trim)).alias("pi"))
-    out = join_small(rows, tab, group + [fold, "_cell"], "left").drop("_cell")
-    return out.withColumn("w_ipcw", F.when(F.col("_r") == 1, 1.0 / F.col("pi")).otherwise(F.lit(0.0))) \
-              .drop("_r")
+    tab = (join_null_safe(cells, totals, [*group, fold])
+           .select(*group, fold, "_cell", "t", F.greatest(pi, F.lit(trim)).alias("pi")))
+    out = join_null_safe(rows, tab, [*group, fold, "_cell", "t"], how="left").drop("_cell")
+    return out.withColumn("w_ipcw", F.when(F.col("_r") == 1, 1.0 / F.col("pi")).otherwise(F.lit(0.0))).drop("_r")
 
 
 def ipcw_ate(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Weighted AIPW mean over observed rows: Σ w·ψ / Σ w."""
-    w = F.col("w_ipcw")
+    """Doubly robust ATE with a partly missing outcome: the mean over all rows of
+    μ1 − μ0 + w·(t(y − μ1)/e − (1 − t)(y − μ0)/(1 − e)), the residual part only
+    for observed rows.  Expects μ fitted on observed rows (``y`` NULL elsewhere)."""
+    w, t, y, e = F.col("w_ipcw"), F.col("t"), F.col("y"), F.col("e")
+    residual = t * (y - F.col("mu1")) / e - (1 - t) * (y - F.col("mu0")) / (1 - e)
+    inf = F.col("mu1") - F.col("mu0") + F.when(w > 0, w * residual).otherwise(F.lit(0.0))
     return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(w > 0, 1)).alias("n_observed"),
-        F.try_divide(F.sum(F.when(w > 0, w * F.col("psi"))), F.sum(w)).alias("est_ipcw"))
+        F.avg(inf).alias("est_ipcw"), (F.stddev_samp(inf) / F.sqrt(F.count(F.lit(1)))).alias("se_ipcw"))
 
 
 def tmle_step(nuis: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -109,8 +121,8 @@ def trim_sensitivity(nuis: DataFrame, bands: Sequence[tuple[float, float]],
     for lo, hi in bands:
         inb = nuis.where(F.col("e").between(lo, hi))
         agg = inb.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("n_kept"), F.avg("psi").alias("est"),
-            (F.stddev_samp("psi") / F.sqrt(F.count(F.lit(1)))).alias("se"),
+            F.count("psi").alias("n_kept"), F.avg("psi").alias("est"),
+            F.try_divide(F.stddev_samp("psi"), F.sqrt(F.count("psi"))).alias("se"),
             F.max(F.abs("psi")).alias("psi_abs_max"))
         agg = agg.select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), *agg.columns)
         parts = agg if parts is None else parts.unionByName(agg)

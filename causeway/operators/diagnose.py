@@ -112,14 +112,18 @@ def smd_table(nuis: DataFrame, features: Sequence[str], estimand: str, cfg: Effe
 
     Means and variances are weighted (population form, ε = 1e-12); for ATT
     the treated arm is unweighted.  Rows with a NULL feature value are left
-    out of that feature.
+    out of that feature.  Sums are taken around each feature's overall mean
+    (a one-row aggregate first), so a large offset, as of a timestamp, costs
+    no precision.
     """
     group = list(group)
     w_t, w_c = arm_weights(estimand, cfg)
     t = F.col("t")
+    centre = nuis.agg(*[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)).alias(f"{f}__centre") for f in features])
+    nuis = nuis.join(F.broadcast(centre))   # one row
     aggs = []
     for f in features:
-        x = F.col(f).cast("double")
+        x = F.col(f).cast("double") - F.col(f"{f}__centre")
         for arm, w in ((1, w_t), (0, w_c)):
             sel = (t == arm) & x.isNotNull()
             aggs += [F.sum(F.when(sel, w)).alias(f"{f}__sw{arm}"),

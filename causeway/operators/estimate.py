@@ -32,11 +32,13 @@ def ato_weight(cfg: EffectConfig) -> Column:
 
 def effect_table(nuis: DataFrame, estimand: str, cfg: EffectConfig,
                  group: Sequence[str] = ()) -> DataFrame:
-    """``group…, n, n_treated, n_control, est, se, ci_lo, ci_hi`` for one estimand."""
+    """``group…, n, n_treated, n_control, est, se, ci_lo, ci_hi`` for one estimand,
+    over the rows with an outcome."""
     estimand = estimand.upper()
     if estimand not in ESTIMANDS:
         raise ValueError(f"estimand must be one of {ESTIMANDS}")
     group = list(group)
+    nuis = nuis.where(F.col("psi").isNotNull())  # rows without an outcome carry no influence
     t = F.col("t")
     counts = [F.count(F.lit(1)).alias("n"),
               F.count(F.when(t == 1, 1)).alias("n_treated"),
@@ -83,7 +85,7 @@ def naive_difference(panel: DataFrame, group: Sequence[str] = (), y: str = "y")
 
 def ci_width_normalised(nuis: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """2·1.96·sd(ψ)/√n divided by max(sd(y), 1e-8) — the tuner's CI penalty."""
-    return nuis.groupBy(*group).agg(
+    return nuis.where(F.col("psi").isNotNull()).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("psi").alias("sd_psi"),
         F.stddev_samp("y").alias("sd_y"),
     ).withColumn("ci_width", 2 * Z_TUNER * F.col("sd_psi") / F.sqrt("n")) \
@@ -93,6 +95,6 @@ def ci_width_normalised(nuis: DataFrame, group: Sequence[str] = ()) -> DataFrame
 def fold_variance(nuis: DataFrame, group: Sequence[str] = (), fold: str = "fold") -> DataFrame:
     """Mean over folds of var(ψ)/n_fold (the variance-minimising objective)."""
     per_fold = nuis.groupBy(*group, fold).agg(
-        (F.var_samp("psi") / F.count(F.lit(1))).alias("v"))
+        F.try_divide(F.var_samp("psi"), F.count("psi")).alias("v"))
     return per_fold.groupBy(*group).agg(F.avg("v").alias("fold_variance"),
                                         F.count(F.lit(1)).alias("n_folds"))

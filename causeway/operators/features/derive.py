@@ -1,24 +1,24 @@
-"""Numeric derivatives: log1p, ratios, pair interactions, equal-frequency bins,
-degree-2 polynomial — column expressions built in one ``select``.
+"""Numeric derivatives: log1p, ratios, products, equal-frequency bins, degree-2
+polynomial — column expressions built in one ``select``.
 
-Which pairs to build is decided on the driver from the schema (names only);
-the work itself is row-local.  Equal-frequency cut points come from exact
-bucketed quantiles, one pass for all columns.
+Nothing is capped here: every asked pair and every bin becomes a column.  A
+caller who wants fewer names the pairs (say, of the best columns by
+``reduce.column_scores``) or reduces the result with ``reduce.pca_cap``.
+Equal-frequency cut points come from exact quantiles, one pass for all columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.scalar import log1p_pos, safe_div
 from causeway.operators.order import exact_quantiles
 
-# Name fragments that mark a column as a count-like denominator.
-DENOMINATOR_MARKERS = ("cnt", "count", "num", "hour", "day", "n_")
+_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 
 
 def num(c: str) -> Column:
@@ -30,46 +30,35 @@ def log1p_columns(nums: Sequence[str]) -> list[Column]:
     return [log1p_pos(num(c)).alias(f"{c}__log1p") for c in nums]
 
 
-def ratio_pairs(nums: Sequence[str], limit: int = 60) -> list[tuple[str, str]]:
-    denom = [c for c in nums if any(s in c.lower() for s in DENOMINATOR_MARKERS)]
-    numer = [c for c in nums if c not in denom]
-    pairs = [(a, b) for a in numer for b in denom if a != b]
-    return pairs[:limit]
+def counts_of(df: DataFrame, nums: Sequence[str]) -> list[str]:
+    """The columns that count something: those of an integral type."""
+    kinds = dict(df.dtypes)
+    return [c for c in nums if kinds[c] in _INTEGRAL]
 
 
-def ratio_columns(nums: Sequence[str], limit: int = 60) -> list[Column]:
-    return [safe_div(num(a), num(b)).alias(f"ratio__{a}__per__{b}") for a, b in ratio_pairs(nums, limit)]
+def ratio_columns(nums: Sequence[str], per: Sequence[str]) -> list[Column]:
+    """Every column of ``nums`` that isn't in ``per``, per unit of each that is."""
+    return [safe_div(num(a), num(b)).alias(f"ratio__{a}__per__{b}")
+            for b in per for a in nums if a not in set(per)]
 
 
-def interaction_pairs(nums: Sequence[str], max_interactions: int = 40, seed: int = 42,
-                      first: int = 14) -> list[tuple[str, str]]:
-    """All i < j pairs of the first ``first`` numerics, shuffled with a seeded
-    Mersenne-Twister generator, first ``max_interactions`` kept."""
-    base = list(nums)[:first]
-    pairs = [(base[i], base[j]) for i in range(len(base)) for j in range(i + 1, len(base))]
-    order = list(range(len(pairs)))
-    np.random.RandomState(seed).shuffle(order)
-    return [pairs[i] for i in order][:max_interactions]
-
-
-def interaction_columns(nums: Sequence[str], max_interactions: int = 40, seed: int = 42) -> list[Column]:
-    cols = []
-    for a, b in interaction_pairs(nums, max_interactions, seed):
-        cols.append((num(a) * num(b)).alias(f"inter__{a}__x__{b}"))
-        cols.append(safe_div(num(a), num(b)).alias(f"inter__{a}__div__{b}"))
-    return cols
+def interaction_columns(pairs: Iterable[tuple[str, str]]) -> list[Column]:
+    """Product and quotient of each pair."""
+    return [col for a, b in pairs
+            for col in ((num(a) * num(b)).alias(f"inter__{a}__x__{b}"),
+                        safe_div(num(a), num(b)).alias(f"inter__{a}__div__{b}"))]
 
 
 def numeric_derivatives(df: DataFrame, nums: Sequence[str], log1p: bool = True, ratios: bool = True,
-                        interactions: bool = True, max_interactions: int = 40, ratio_limit: int = 60,
-                        seed: int = 42) -> DataFrame:
-    cols: list[Column] = []
-    if log1p:
-        cols += log1p_columns(nums)
-    if ratios and len(nums) >= 2:
-        cols += ratio_columns(nums, ratio_limit)
-    if interactions and len(nums) >= 2:
-        cols += interaction_columns(nums, max_interactions, seed)
+                        interactions: bool = True, per: Sequence[str] | None = None,
+                        pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """``df`` with the derived columns.  ``per``: the denominators of ratios
+    (default: ``counts_of``); ``pairs``: the interactions (default: all)."""
+    cols = log1p_columns(nums) if log1p else []
+    if ratios:
+        cols += ratio_columns(nums, counts_of(df, nums) if per is None else per)
+    if interactions:
+        cols += interaction_columns(combinations(nums, 2) if pairs is None else pairs)
     return df.select("*", *cols)
 
 
@@ -80,36 +69,31 @@ def quantile_cuts(df: DataFrame, nums: Sequence[str], q: int = 10) -> DataFrame:
     return exact_quantiles(long, "v", [i / q for i in range(1, q)], ["col"]).withColumnRenamed("q", "cut")
 
 
-def quantile_bins(df: DataFrame, nums: Sequence[str], q: int = 10, keep: int = 6) -> tuple[DataFrame, dict]:
-    """Equal-frequency bins as INT dummies ``<c>__qbin_<k>`` (k = bin index,
-    ``nan`` for missing); only the first ``keep`` dummies per column.
+def quantile_bins(df: DataFrame, nums: Sequence[str], q: int = 10) -> tuple[DataFrame, dict]:
+    """Equal-frequency bins as INT dummies: ``<c>__qbin_0`` … ``<c>__qbin_<q-1>``
+    and ``<c>__qbin_nan`` for missing values.
 
-    Bin k holds values in (cut_{k-1}, cut_k] with duplicate cuts merged;
-    the cut points are returned so they can be reused at transform.
+    Bin k holds values in (cut_{k-1}, cut_k] with duplicate cuts merged (the
+    bins that are left over are 0 everywhere, so the schema is always the
+    same); the cut points are returned, for ``bin_columns`` at transform.
     """
-    cuts_rows = quantile_cuts(df, nums, q).collect()  # (#nums × (q-1)) numbers
     cuts: dict[str, list[float]] = {c: [] for c in nums}
-    for r in sorted(cuts_rows, key=lambda r: (r["col"], r["p"])):
-        if r["cut"] is not None and (not cuts[r["col"]] or r["cut"] > cuts[r["col"]][-1]):
-            cuts[r["col"]].append(float(r["cut"]))
-    cols = []
-    for c in nums:
-        x = num(c)
-        edges = cuts[c]
-        names = []
-        for k in range(len(edges) + 1):
-            lo = edges[k - 1] if k > 0 else None
-            hi = edges[k] if k < len(edges) else None
-            cond = x.isNotNull()
-            if lo is not None:
-                cond = cond & (x > lo)
-            if hi is not None:
-                cond = cond & (x <= hi)
-            names.append((f"{c}__qbin_{k}", cond))
-        names.append((f"{c}__qbin_nan", x.isNull()))
-        for name, cond in names[:keep]:
-            cols.append(F.when(cond, 1).otherwise(0).alias(name))
-    return df.select("*", *cols), cuts
+    # at most (q - 1) numbers per column
+    for row in quantile_cuts(df, nums, q).where("cut is not null").orderBy("col", "p").collect():
+        known = cuts[row["col"]]
+        if not known or row["cut"] > known[-1]:
+            known.append(float(row["cut"]))
+    return df.select("*", *bin_columns(cuts, q)), cuts
+
+
+def bin_columns(cuts: dict[str, list[float]], q: int) -> list[Column]:
+    """The dummies for given cut points."""
+    out = []
+    for c, edges in cuts.items():
+        at = sum([(num(c) > e).cast("int") for e in edges], F.lit(0))
+        out += [F.when(num(c).isNotNull() & (at == k), 1).otherwise(0).alias(f"{c}__qbin_{k}") for k in range(q)]
+        out.append(F.when(num(c).isNull(), 1).otherwise(0).alias(f"{c}__qbin_nan"))
+    return out
 
 
 def poly2_columns(nums: Sequence[str]) -> list[Column]:

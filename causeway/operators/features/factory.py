@@ -35,7 +35,7 @@ class FeatureFactory:
     log1p: bool = True
     ratios: bool = True
     interactions: bool = True
-    max_interactions: int = 40
+    pairs: Sequence[tuple[str, str]] | None = None
     quantile_bins: int = 10
     poly2: bool = True
     leaf_embeddings: bool = False
@@ -47,14 +47,16 @@ class FeatureFactory:
     fitted: dict = field(default_factory=dict)
 
     def _numeric(self, df: DataFrame, y: str | None) -> DataFrame:
+        if "per" not in self.fitted:
+            self.fitted["per"] = derive.counts_of(df, self.num_cols)
         out = derive.numeric_derivatives(df, self.num_cols, self.log1p, self.ratios, self.interactions,
-                                         self.max_interactions, seed=self.seed)
+                                         per=self.fitted["per"], pairs=self.pairs)
         if self.quantile_bins and self.quantile_bins > 1:
             if "cuts" not in self.fitted:
                 out, cuts = derive.quantile_bins(out, self.num_cols, self.quantile_bins)
                 self.fitted["cuts"] = cuts
             else:
-                out = _apply_bins(out, self.num_cols, self.fitted["cuts"])
+                out = out.select("*", *derive.bin_columns(self.fitted["cuts"], self.quantile_bins))
         if self.poly2 and self.num_cols:
             out = out.select("*", *derive.poly2_columns(self.num_cols))
         return out
@@ -80,7 +82,7 @@ class FeatureFactory:
         if self.max_total_cols is not None:
             cols = self.feature_columns(out, df)
             if len(cols) > self.max_total_cols:
-                out, anchors = reduce.pca_cap(out, cols, self.max_total_cols, None,
+                out, anchors = reduce.pca_cap(out, cols, self.max_total_cols, y,
                                               keep=[c for c in out.columns if c not in cols])
                 self.fitted["anchors"] = anchors
         return out
@@ -105,21 +107,3 @@ class FeatureFactory:
     def feature_columns(out: DataFrame, base: DataFrame) -> list[str]:
         numeric = {"double", "float", "int", "bigint"}
         return [c for c, t in out.dtypes if c not in base.columns and t in numeric]
-
-
-def _apply_bins(df: DataFrame, nums: Sequence[str], cuts: dict, keep: int = 6) -> DataFrame:
-    cols = []
-    for c in nums:
-        x = derive.num(c)
-        edges = cuts.get(c, [])
-        names = []
-        for k in range(len(edges) + 1):
-            cond = x.isNotNull()
-            if k > 0:
-                cond = cond & (x > edges[k - 1])
-            if k < len(edges):
-                cond = cond & (x <= edges[k])
-            names.append((f"{c}__qbin_{k}", cond))
-        names.append((f"{c}__qbin_nan", x.isNull()))
-        cols += [F.when(cond, 1).otherwise(0).alias(n) for n, cond in names[:keep]]
-    return df.select("*", *cols)

@@ -22,6 +22,7 @@ from causeway.config import Z975
 from causeway.functions.hashing import md5_uniform
 from causeway.functions.scalar import significance_label
 from causeway.operators.joins import join_small
+from causeway.operators.order import join_null_safe
 
 Z95 = 1.6448536269514722  # two-sided 90 % normal quantile
 Z995 = 2.5758293035489004  # two-sided 99 % normal quantile
@@ -36,16 +37,15 @@ def dr_segment(nuis: DataFrame, segment: Column | str, group: Sequence[str] = ()
     ok = F.col(psi).isNotNull()
     own = rows.groupBy(*group, fold, "_seg").agg(
         F.sum(F.when(ok, F.col(psi))).alias("_os"), F.count(F.when(ok, 1)).alias("_on"))
-    # ``own`` is small (groups × folds × segments): one exchange on the group
-    # keys (or one partition) serves the three windows of totals below.
-    base = own.repartition(*group) if group else own.coalesce(1)
+    # Segment totals by a window per segment; fold and overall totals from a
+    # second aggregate with one row per (group and) fold.
     w_seg = Window.partitionBy(*group, "_seg")
-    w_fold = Window.partitionBy(*group, fold)
     w_all = Window.partitionBy(*group) if group else Window.partitionBy()
-    t = base.select(*group, fold, "_seg", "_os", "_on",
-                    F.sum("_os").over(w_seg).alias("_ts"), F.sum("_on").over(w_seg).alias("_tn"),
-                    F.sum("_os").over(w_fold).alias("_fs"), F.sum("_on").over(w_fold).alias("_fn"),
-                    F.sum("_os").over(w_all).alias("_as"), F.sum("_on").over(w_all).alias("_an"))
+    totals = (own.groupBy(*group, fold).agg(F.sum("_os").alias("_fs"), F.sum("_on").alias("_fn"))
+              .select("*", F.sum("_fs").over(w_all).alias("_as"), F.sum("_fn").over(w_all).alias("_an")))
+    parts = own.select(*group, fold, "_seg", "_os", "_on",
+                       F.sum("_os").over(w_seg).alias("_ts"), F.sum("_on").over(w_seg).alias("_tn"))
+    t = join_null_safe(parts, totals if group else F.broadcast(totals), [*group, fold])
     n_tr = F.col("_tn") - F.col("_on")
     n_fb = F.col("_an") - F.col("_fn")
     tau = (F.when(n_tr > 0, (F.col("_ts") - F.coalesce(F.col("_os"), F.lit(0.0))) / n_tr)

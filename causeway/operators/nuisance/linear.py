@@ -24,14 +24,24 @@ from causeway.config import EffectConfig
 from causeway.functions.scalar import aipw_psi, propensity
 
 
-def _terms(xcols: Sequence[str]) -> list[Column]:
-    return [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xcols]
+def _terms(xcols: Sequence[str], centre: Sequence[float] | None = None) -> list[Column]:
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xcols]
+    return [F.lit(1.0)] + [x - F.lit(m) for x, m in zip(xs, centre or [0.0] * len(xs))]
+
+
+def column_means(df: DataFrame, xcols: Sequence[str]) -> list[float]:
+    """Overall means (NULL as 0): the centre the Gram sums are taken around, so
+    that a large offset costs no precision."""
+    if not xcols:
+        return []
+    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_terms(xcols)[1:])]).first()
+    return [float(v or 0.0) for v in row]
 
 
 def gram_sums(df: DataFrame, xcols: Sequence[str], target: str, keys: Sequence[str],
-              where: Column | None = None) -> dict[tuple, dict]:
-    """Per key tuple: n, X'X, X'y, Σy (small, collected)."""
-    xs = _terms(xcols)
+              where: Column | None = None, centre: Sequence[float] | None = None) -> dict[tuple, dict]:
+    """Per key tuple: n, X'X, X'y, Σy (small, collected), of X minus ``centre``."""
+    xs = _terms(xcols, centre)
     q = len(xs)
     y = F.col(target).cast("double")
     ok = y.isNotNull() if where is None else (y.isNotNull() & where)
@@ -69,7 +79,8 @@ def _solve(n: float, xx: np.ndarray, xy: np.ndarray, sy: float) -> np.ndarray:
 def ols_oof(df: DataFrame, xcols: Sequence[str], y: str, folds: Sequence[int], fold: str = "fold",
             t: str = "t") -> dict[tuple[int, int], np.ndarray]:
     """Out-of-fold coefficients per (fold, arm)."""
-    stats = gram_sums(df, xcols, y, [fold, t])
+    centre = column_means(df, xcols)
+    stats = gram_sums(df, xcols, y, [fold, t], centre=centre)
     coefs = {}
     for arm in (0, 1):
         own = {f: stats.get((f, arm)) for f in folds}
@@ -83,7 +94,9 @@ def ols_oof(df: DataFrame, xcols: Sequence[str], y: str, folds: Sequence[int], f
             xx = tot_xx - (s["xx"] if s else 0)
             xy = tot_xy - (s["xy"] if s else 0)
             sy = tot_sy - (s["sy"] if s else 0)
-            coefs[(f, arm)] = _solve(n, xx, xy, sy)
+            b = _solve(n, xx, xy, sy)
+            b[0] -= b[1:] @ np.array(centre)        # back to uncentred columns
+            coefs[(f, arm)] = b
     return coefs
 
 
@@ -99,9 +112,10 @@ def _predict(coefs: dict[tuple[int, int], np.ndarray], arm: int, xcols: Sequence
 
 
 def logit_oof(df: DataFrame, xcols: Sequence[str], folds: Sequence[int], fold: str = "fold",
-              t: str = "t", iters: int = 8, ridge: float = 1e-6) -> dict[int, np.ndarray]:
+              t: str = "t", iters: int = 50, ridge: float = 1e-6) -> dict[int, np.ndarray]:
     """Cross-fitted logistic regression by IRLS; one aggregate per iteration
-    for all folds.  Covariates are standardised inside (global mean / sd)."""
+    for all folds.  Covariates are standardised inside (global mean / sd).
+    Raises if ``iters`` steps don't bring the largest change below 1e-6."""
     mom = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in xcols],
                   *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in xcols]).first()
     z = [F.lit(1.0)] + [F.coalesce((F.col(c).cast("double") - (mom[f"m_{c}"] or 0.0))
@@ -134,6 +148,8 @@ def logit_oof(df: DataFrame, xcols: Sequence[str], folds: Sequence[int], fold: s
             step = max(step, float(np.max(np.abs(delta))))
         if step < 1e-8:
             break
+    if not step < 1e-6:
+        raise RuntimeError(f"the propensity model did not settle in {iters} steps (last change {step:.3g})")
     # back to the raw scale: eta = b0 + Σ b_i (x_i − m_i)/s_i
     out = {}
     for f in folds:

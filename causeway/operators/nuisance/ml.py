@@ -59,11 +59,13 @@ def ml_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds
             elif outcome_loss == "tweedie":
                 from pyspark.ml.regression import GeneralizedLinearRegression
 
+                if st["lo"] < 0:
+                    raise ValueError("a Tweedie outcome can't be negative: use the squared loss")
                 glm = GeneralizedLinearRegression(featuresCol="_x", labelCol="y", family="tweedie",
                                                   variancePower=min(max(tweedie_power, 1.1), 1.9),
                                                   linkPower=0.0, maxIter=25, regParam=1e-6,
                                                   predictionCol=col)
-                scored = glm.fit(tr.where(F.col("y") >= 0)).transform(scored)
+                scored = glm.fit(tr).transform(scored)
             else:
                 reg = GBTRegressor(featuresCol="_x", labelCol="y", maxIter=max_iter, maxDepth=max_depth,
                                    stepSize=step, seed=cfg.seed + 10 * f + arm, predictionCol=col)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from causeway.config import EffectConfig
 from causeway.functions.scalar import aipw_psi, propensity
 from causeway.operators.joins import join_small
+from causeway.operators.order import join_null_safe
 
 STAT_COLS = ("n1", "n0", "m1", "m0", "s1", "s0")
 
@@ -63,18 +64,17 @@ def oof_table(stats: DataFrame, cfg: EffectConfig, group: Sequence[str] = (),
               fold: str = "fold", y_scale: int | None = None) -> DataFrame:
     """Out-of-fold ``e_raw, e, mu1, mu0`` per (group, fold, cell)."""
     group = list(group)
-    # ``stats`` is small (groups × folds × cells).  One exchange on the group
-    # keys (or to a single partition when there are none) satisfies all
-    # three windows below, so totals need no joins and no further shuffles.
-    base = stats.repartition(*group) if group else stats.coalesce(1)
+    # Cell totals come from a window per cell; fold and overall totals from a
+    # second aggregate with one row per (group and) fold.
     w_cell = Window.partitionBy(*group, "cell")
-    w_fold = Window.partitionBy(*group, fold)
     w_all = Window.partitionBy(*group) if group else Window.partitionBy()
-    t = base.select(*group, fold, "cell",
-                    *[F.col(c).alias("o_" + c) for c in STAT_COLS],
-                    *[F.sum(c).over(w_cell).alias("c_" + c) for c in STAT_COLS],
-                    *[F.sum(c).over(w_fold).alias("f_" + c) for c in STAT_COLS],
-                    *[F.sum(c).over(w_all).alias("a_" + c) for c in STAT_COLS])
+    totals = (stats.groupBy(*group, fold).agg(*[F.sum(c).alias("f_" + c) for c in STAT_COLS])
+              .select("*", *[F.sum("f_" + c).over(w_all).alias("a_" + c) for c in STAT_COLS]))
+    cells = stats.select(*group, fold, "cell",
+                         *[F.col(c).alias("o_" + c) for c in STAT_COLS],
+                         *[F.sum(c).over(w_cell).alias("c_" + c) for c in STAT_COLS])
+    # without groups: as many rows as folds
+    t = join_null_safe(cells, totals if group else F.broadcast(totals), [*group, fold])
 
     def tr(c: str, scope: str) -> Column:
         own = F.col("o_" + c) if scope == "c_" else F.col("f_" + c)

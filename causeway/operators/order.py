@@ -3,19 +3,20 @@
 A window with no ``partitionBy`` pulls every row into one task.  Instead
 rows get a *bucket* that is a pure, monotone function of the sort key:
 
-1. one aggregate pass computes approximate quantiles of the key (and of the
-   tie-break column) — the cut points, a few dozen numbers;
+1. one aggregate pass takes approximate quantiles of the key and of the
+   tie-break column: at most ``CUTS`` cut points each, whatever the input;
 2. ``Bucketizer`` maps each key to its bucket by binary search in the JVM.
    Every cut value ``v`` gets its own single-valued bucket ``[v, nextUp(v))``,
    so a heavily repeated key (say a third of all rows) is isolated, and such a
    bucket is split further by the tie-break column, which keeps the order
    ``(key, tie)`` intact;
-3. per-bucket counts (and sums) form a tiny table whose running totals are
-   the bucket offsets; it is joined back with a checked broadcast;
+3. per-bucket counts (and sums) form a small table whose running totals are
+   the bucket offsets; it is joined back (null-safe on the group keys);
 4. ``row_number`` / running ``sum`` over ``partitionBy(group, bucket, sub)``.
 
-The result is exact whatever the cut points are, and deterministic under
-task retry (no partition ids, no random numbers).
+The one plan serves every size; the result is exact whatever the cut points
+are and deterministic under task retry (no partition ids, no random numbers).
+Quantiles work on (value, count) pairs, so a repeated value is one row.
 """
 
 from __future__ import annotations
@@ -23,39 +24,29 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import join_small
+from causeway.operators.joins import attach
 
 _INF = float("inf")
 
+#: Cut points per column (``causeway.order.cuts`` in the session raises it).  It
+#: bounds the driver's list and the offsets table and doesn't grow with the
+#: input: a bucket holds about 1 / CUTS of the rows.
+CUTS = 256
+#: Characters of a string id (after the prefix all ids share) that split ties.
+_ID_BYTES = 6
 
-# Inputs with at most this many rows are ordered by one window per group:
-# a single task sorting a bounded number of rows is fine at any scale.
-SMALL_ROWS = 50_000
 
-
-def _n_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(32, 4 * parts)
-
-
-def _splits(cuts: Sequence[float] | None) -> tuple[list[float], set[int]]:
-    """Strictly increasing splits; indices of the single-valued buckets."""
-    vals = sorted({float(c) for c in (cuts or []) if c is not None and not math.isnan(c)})
-    pts: set[float] = set()
-    for v in vals:
-        if math.isinf(v):
-            continue
-        pts.add(v)
-        pts.add(math.nextafter(v, _INF))
-    splits = [-_INF] + sorted(pts) + [_INF]
-    single = {i for i in range(len(splits) - 1)
-              if splits[i] in vals and splits[i + 1] == math.nextafter(splits[i], _INF)}
-    return splits, single
+def _splits(cuts: Sequence[float] | None) -> list[float]:
+    """Strictly increasing splits; every odd bucket holds one value only."""
+    splits = [-_INF]
+    for v in sorted({float(c) for c in (cuts or []) if c is not None and math.isfinite(c)}):
+        if v > splits[-1]:      # a cut next to the last one would leave no gap
+            splits += [v, math.nextafter(v, _INF)]
+    return splits + [_INF]
 
 
 def _bucketize(df: DataFrame, in_col: str, out_col: str, splits: list[float]) -> DataFrame:
@@ -63,111 +54,109 @@ def _bucketize(df: DataFrame, in_col: str, out_col: str, splits: list[float]) ->
                       handleInvalid="keep").transform(df)
 
 
+def _shared_prefix(a: str, b: str) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _tie_number(df: DataFrame, tie: str) -> Column:
+    """A number that rises with the tie-break column (equal for near values).
+    A string gives the bytes after the prefix that the least and the greatest
+    id share, so ids such as ``user-000017`` are told apart."""
+    kind = dict(df.dtypes)[tie]
+    if kind != "string":
+        return F.col(tie).cast("double")
+    ends = df.agg(F.min(tie).alias("a"), F.max(tie).alias("b")).first()
+    skip = _shared_prefix(ends["a"], ends["b"]) if ends["a"] is not None else 0
+    part = F.substring(F.substring(F.col(tie), skip + 1, _ID_BYTES).cast("binary"), 1, _ID_BYTES)
+    return F.conv(F.rpad(F.hex(part), 2 * _ID_BYTES, "0"), 16, 10).cast("double")
+
+
 def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
             group: Sequence[str] = (), sums: Sequence[str] = (), pos_col: str = "pos",
-            n_buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
+            source: DataFrame | None = None, cuts: int | None = None) -> DataFrame:
     """Add the 1-based position of each row within ``group`` when sorted by
-    ``key`` (NULLS LAST) then ``tie`` ascending, plus inclusive running sums
-    ``cum_<s>`` for every column in ``sums``.
+    ``key`` (NULLS LAST) then ``tie`` ascending (NULLS FIRST), plus inclusive
+    running sums ``cum_<s>`` for every column in ``sums``.
 
-    Inputs of at most ``small_rows`` rows (checked by a count) take one
-    window per group; passing ``n_buckets`` forces the bucketed plan.
+    ``tie`` may be a number or a string; NULL group keys are a group.
+    ``source``: the same rows in a cheaper plan, to take the cut points from.
     """
     group = list(group)
-    if not df.is_cached:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     k = F.col(key).cast("double") + F.lit(0.0)  # −0.0 and 0.0 sort as one value
-    order_key = k.asc_nulls_last() if ascending else k.desc_nulls_last()
-    if small_rows is None:
-        small_rows = SMALL_ROWS
-    if n_buckets is None and df.count() <= small_rows:
-        w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(
-            order_key, F.col(tie).asc())
-        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn(pos_col, F.row_number().over(w).cast("bigint"))
-        for s in sums:
-            out = out.withColumn(f"cum_{s}", F.sum(s).over(w_run))
-        return out
-    nb = n_buckets or _n_buckets(df)
-    probs = [i / nb for i in range(1, nb)]
-    work = df.withColumn("_k", k if ascending else -k).withColumn("_t", F.col(tie).cast("double"))
-    cuts = work.agg(F.percentile_approx("_k", probs, 10000).alias("ck"),
-                    F.percentile_approx("_t", probs, 10000).alias("ct")).first()
-    k_splits, single = _splits(cuts["ck"])
-    t_splits, _ = _splits(cuts["ct"])
-    null_bucket = float(len(k_splits))
+    cuts = cuts or int(df.sparkSession.conf.get("causeway.order.cuts", str(CUTS)))
+    tie_number = _tie_number(df if source is None else source, tie)
+    work = df.withColumn("_k", k if ascending else -k).withColumn("_t", tie_number)
+    seen = work if source is None else source.withColumn("_k", k if ascending else -k).withColumn("_t", tie_number)
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    k_cuts, t_cuts = seen.select("_k", "_t").approxQuantile(["_k", "_t"], probs, 0.25 / cuts)
+    k_splits, t_splits = _splits(k_cuts), _splits(t_cuts)
 
     work = work.withColumn("_kf", F.coalesce(F.col("_k"), F.lit(0.0)))
     work = _bucketize(work, "_kf", "_b0", k_splits)
-    work = work.withColumn("_tf", F.coalesce(F.col("_t"), F.lit(0.0)))
+    work = work.withColumn("_tf", F.coalesce(F.col("_t"), F.lit(-_INF)))
     work = _bucketize(work, "_tf", "_s0", t_splits)
-    is_single = F.col("_b0").isin(*[float(i) for i in single]) if single else F.lit(False)
-    work = (work.withColumn("_b", F.when(F.col("_k").isNull(), F.lit(null_bucket))
+    alone = F.col("_b0") % 2 == 1
+    work = (work.withColumn("_b", F.when(F.col("_k").isNull(), F.lit(float(len(k_splits))))
                             .otherwise(F.col("_b0")).cast("int"))
-            .withColumn("_s", F.when(is_single & F.col("_k").isNotNull(), F.col("_s0"))
+            .withColumn("_s", F.when(F.col("_k").isNull() | alone, F.col("_s0"))
                         .otherwise(F.lit(0.0)).cast("int"))
             .drop("_kf", "_tf", "_b0", "_s0"))
 
-    keys = group + ["_b", "_s"]
-    counts = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                     *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    counts = work.groupBy(*group, "_b", "_s").agg(F.count(F.lit(1)).alias("_n"),
+                                                  *[F.sum(s).alias(f"_sum_{s}") for s in sums])
     prior = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_b", "_s") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys,
+        *group, "_b", "_s",
         F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(prior), F.lit(0.0)).alias(f"_soff_{s}") for s in sums],
     )
-    work = join_small(work, offsets, keys, "inner")
+    # no more buckets than rows; AQE broadcasts the offsets if they prove small
+    work = join_null_safe(work, offsets, group, ["_b", "_s"])
 
-    w = Window.partitionBy(*keys).orderBy(F.col("_k").asc_nulls_last(), F.col(tie).asc())
+    w = Window.partitionBy(*group, "_b", "_s").orderBy(F.col("_k").asc_nulls_last(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = work.withColumn(pos_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_soff_{s}") + F.sum(s).over(w_run))
-    drop = ["_k", "_t", "_b", "_s", "_off"] + [f"_soff_{s}" for s in sums]
-    return out.drop(*drop)
+    return out.drop("_k", "_t", "_b", "_s", "_off", *[f"_soff_{s}" for s in sums])
+
+
+def join_null_safe(big: DataFrame, small: DataFrame, group: Sequence[str], keys: Sequence[str] = (),
+                   how: str = "inner") -> DataFrame:
+    """Equi-join on ``group`` (NULL equals NULL) and ``keys`` (never NULL)."""
+    right = small.select(*[F.col(c).alias(f"_j_{c}") if c in group or c in keys else F.col(c)
+                           for c in small.columns])
+    on = [big[c].eqNullSafe(right[f"_j_{c}"]) for c in group] + [big[c] == right[f"_j_{c}"] for c in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return big.join(right, cond, how).drop(*[f"_j_{c}" for c in [*group, *keys]])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy 'linear', SQL quantile_cont) per
-    group, exact, from bucketed positions.  Returns ``group…, p, q``.
+    group, exact.  Returns ``group…, p, q``; a NULL group key is a group.
+
+    Values are counted first (map-side), so ties cost nothing; ``tie`` is not
+    needed and only kept for callers that name one.
     """
     group = list(group)
-    base = df.where(F.col(value).isNotNull())
-    if tie is None:
-        base = base.withColumn("_tie", F.col(value))
-        tie = "_tie"
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    base = base.select(*group, value, tie).persist(StorageLevel.MEMORY_AND_DISK)
-    if base.count() <= SMALL_ROWS:
-        # Bounded input: one window per group gives positions and counts.
-        w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(value, tie)
-        wc = Window.partitionBy(*group) if group else Window.partitionBy()
-        ranked = base.select(*group, value, F.row_number().over(w).alias("_pos"),
-                             F.count(F.lit(1)).over(wc).alias("_cnt"))
-        ranked = ranked.select("*", F.explode(p_arr).alias("p"))
-        h = F.col("p") * (F.col("_cnt") - 1)
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        return (ranked.where((F.col("_pos") == lo) | (F.col("_pos") == hi)).groupBy(*group, "p").agg(
-            F.max(F.when(F.col("_pos") == lo, F.col(value))).alias("_vlo"),
-            F.max(F.when(F.col("_pos") == hi, F.col(value))).alias("_vhi"),
-            F.first(h - F.floor(h)).alias("_frac"))
-            .select(*group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))
-    pos = ordered(base, value, True, tie, group, pos_col="_pos", n_buckets=_n_buckets(base))
-    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_cnt"))
-    need = (n.select(*group, "_cnt", F.explode(p_arr).alias("p"))
-            .withColumn("_h", F.col("p") * (F.col("_cnt") - 1))
-            .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-            .withColumn("_hi", F.ceil("_h").cast("bigint") + 1)
-            .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    lo = need.select(*group, "p", "_frac", F.col("_lo").alias("_pos"), F.lit(0).alias("_side"))
-    hi = need.select(*group, "p", "_frac", F.col("_hi").alias("_pos"), F.lit(1).alias("_side"))
-    wanted = lo.unionByName(hi)
-    hit = join_small(pos, wanted, group + ["_pos"], "inner")
-    return (hit.groupBy(*group, "p").agg(
-        F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_vhi"),
-        F.first("_frac").alias("_frac"))
+    pairs = (df.where(F.col(value).isNotNull()).select(*group, (F.col(value) + F.lit(0)).alias(value))
+             .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")))
+    run = ordered(pairs, value, True, value, group, sums=["_c"], pos_col="_p")
+    n = pairs.groupBy(*group).agg(F.sum("_c").alias("_cnt"))
+    ranked = attach(run, n, group).select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    h = F.col("p") * (F.col("_cnt") - 1)
+    first, last = F.col("cum__c") - F.col("_c") + 1, F.col("cum__c")
+    lo, hi = F.floor(h) + 1, F.ceil(h) + 1
+    is_lo, is_hi = lo.between(first, last), hi.between(first, last)
+    return (ranked.where(is_lo | is_hi).groupBy(*group, "p").agg(
+        F.max(F.when(is_lo, F.col(value))).alias("_vlo"),
+        F.max(F.when(is_hi, F.col(value))).alias("_vhi"),
+        F.first(h - F.floor(h)).alias("_frac"))
         .select(*group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q")))

@@ -16,17 +16,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import attach, join_small
-from causeway.operators.order import SMALL_ROWS, ordered
+from causeway.operators.joins import attach
+from causeway.operators.order import join_null_safe, ordered
 
 
 def rank_desc(df: DataFrame, score: str, group: Sequence[str] = (), pos: str = "pos",
-              sums: Sequence[str] = ()) -> DataFrame:
-    return ordered(df, score, ascending=False, tie="id", group=group, sums=sums, pos_col=pos)
+              sums: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
+    return ordered(df, score, ascending=False, tie="id", group=group, sums=sums, pos_col=pos, source=source)
 
 
 def _area_terms(ranked: DataFrame, group: list[str], pos: str, psi: str, centered: bool) -> list:
@@ -39,30 +38,17 @@ def _area_terms(ranked: DataFrame, group: list[str], pos: str, psi: str, centere
 def auuc_areas(df: DataFrame, scores: Sequence[str], psi: str = "psi", group: Sequence[str] = (),
                centered: bool = True) -> DataFrame:
     """``group…, n, area_<score>…`` — trapezoid areas of cumulative ψ, one
-    per score ordering.  A bounded input (checked by a count) gets all
-    orderings as windows of one pass; otherwise each ordering is a bucketed
-    global rank."""
+    per score ordering; each ordering adds a rank column to the same rows."""
     group = list(group)
     cols = list(dict.fromkeys([*group, "id", *scores, psi]))
-    base = df.where(F.col(psi).isNotNull()).select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = Window.partitionBy(*group) if group else Window.partitionBy()
-    if base.count() <= SMALL_ROWS:
-        ranked = base.select("*", F.count(F.lit(1)).over(whole).alias("_n"), F.avg(psi).over(whole).alias("_m"),
-                             *[F.row_number().over(whole.orderBy((F.col(sc) + F.lit(0.0)).desc_nulls_last(),
-                                                                 F.col("id")))
-                               .alias(f"_r{i}") for i, sc in enumerate(scores)])
-        agg = ranked.groupBy(*group).agg(F.first("_n").alias("n"),
-                                         *[t for i in range(len(scores))
-                                           for t in _area_terms(ranked, group, f"_r{i}", psi, centered)])
-    else:
-        stats = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(psi).alias("_m"))
-        agg = None
-        for i, sc in enumerate(scores):
-            ranked = attach(rank_desc(base, sc, group, pos=f"_r{i}"), stats, group)
-            part = ranked.groupBy(*group).agg(F.first("_n").alias("n"),
-                                              *_area_terms(ranked, group, f"_r{i}", psi, centered))
-            agg = part if agg is None else agg.join(part.drop("n"), group) if group else \
-                attach(agg, part.drop("n"), [])
+    base = df.where(F.col(psi).isNotNull()).select(*cols)
+    stats = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(psi).alias("_m"))
+    ranked = base
+    for i, sc in enumerate(scores):
+        ranked = rank_desc(ranked, sc, group, pos=f"_r{i}", source=base)
+    agg = attach(ranked, stats, group).groupBy(*group).agg(
+        F.first("_n").alias("n"), *[t for i in range(len(scores))
+                                    for t in _area_terms(ranked, group, f"_r{i}", psi, centered)])
     out = [(F.col(f"_sw__r{i}") - (F.col(f"_v1__r{i}") + F.col(f"_sv__r{i}")) / 2.0) / F.col("n")
            for i in range(len(scores))]
     return agg.select(*group, "n", *[o.alias(f"area_{sc}") for o, sc in zip(out, scores)])
@@ -132,8 +118,7 @@ def gain_curve(df: DataFrame, score: str = "tau", psi: str = "psi", points: int
     grid = n.select(*group, "_n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("q")) \
         .withColumn("_r", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("q") / F.lit(float(points))))
                     .cast("bigint"))
-    hit = join_small(ranked.select(*group, "_r", F.col(f"cum_{psi}").alias("gain")), grid,
-                     group + ["_r"], "inner")
+    hit = join_null_safe(ranked.select(*group, "_r", F.col(f"cum_{psi}").alias("gain")), grid, group, ["_r"])
     return hit.select(*group, "q", F.col("_r").alias("m"), (F.col("_r") / F.col("_n")).alias("coverage"),
                       "gain")
 
@@ -145,7 +130,7 @@ def average_ranks(df: DataFrame, value: str, group: Sequence[str] = (), out: str
         F.count(F.lit(1)).alias("_c"))
     run = ordered(distinct, value, True, value, group, sums=["_c"], pos_col="_p")
     run = run.select(*group, value, (F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(run, group + [value], "inner")
+    return join_null_safe(df, run, group, [value])
 
 
 def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
@@ -154,7 +139,7 @@ def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFr
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, "id", a, b)
     ra = average_ranks(both, a, group, "_ra")
     rb = average_ranks(both.select(*group, "id", b), b, group, "_rb").select(*group, "id", "_rb")
-    j = ra.join(rb, group + ["id"])
+    j = join_null_safe(ra, rb, group, ["id"])
     return j.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("spearman"))
 
 
@@ -167,8 +152,7 @@ def uplift_curve(df: DataFrame, score: str = "tau", psi: str = "psi",
     ranked = rank_desc(base, score, group, pos="_r", sums=[psi])
     grid = n.select(*group, "_n", F.explode(F.array(*[F.lit(int(q)) for q in percents])).alias("q")) \
         .withColumn("_r", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("q") / F.lit(100.0))).cast("bigint"))
-    hit = join_small(ranked.select(*group, "_r", F.col(f"cum_{psi}").alias("_cum")), grid,
-                     group + ["_r"], "inner")
+    hit = join_null_safe(ranked.select(*group, "_r", F.col(f"cum_{psi}").alias("_cum")), grid, group, ["_r"])
     return hit.select(*group, "q", F.col("_r").alias("m"), (F.col("_cum") / F.col("_r")).alias("mean_uplift"))
 
 
@@ -185,7 +169,6 @@ def qini_curve(df: DataFrame, score: str = "tau", y: str = "y", points: int = 10
     grid = n.select(*group, "_n", F.explode(F.sequence(F.lit(1), F.lit(points))).alias("q")) \
         .withColumn("_r", F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("q") / F.lit(float(points))))
                     .cast("bigint"))
-    hit = join_small(ranked.select(*group, "_r", "cum__y1", "cum__y0", "cum__t1", "cum__t0"), grid,
-                     group + ["_r"], "inner")
+    hit = join_null_safe(ranked.select(*group, "_r", "cum__y1", "cum__y0", "cum__t1", "cum__t0"), grid, group, ["_r"])
     qini = F.col("cum__y1") - F.col("cum__y0") * F.col("cum__t1") / F.when(F.col("cum__t0") > 0, F.col("cum__t0"))
     return hit.select(*group, "q", F.col("_r").alias("m"), qini.alias("qini"))

@@ -182,7 +182,7 @@ def estimates_from_stats(stats: DataFrame, oof: DataFrame, cfg: EffectConfig, gr
     """ATE / ATT / ATO per group from own-fold sums and out-of-fold cell nuisances."""
     j = stats.join(oof, group + [fold, "cell"])
     e, mu1, mu0 = F.col("e"), F.col("mu1"), F.col("mu0")
-    n1, n0 = F.col("n1"), F.col("n0")
+    n1, n0 = F.col("m1"), F.col("m0")  # rows with an outcome: the others have no influence value
     scale = 10.0 ** y_scale if y_scale is not None else 1.0
     s1, s0 = F.col("s1").cast("double") / scale, F.col("s0").cast("double") / scale
     psi_sum = (s1 - n1 * mu1) / e - (s0 - n0 * mu0) / (1 - e) + (n1 + n0) * (mu1 - mu0)
@@ -201,13 +201,14 @@ def estimates_from_stats(stats: DataFrame, oof: DataFrame, cfg: EffectConfig, gr
 def placebo_runs(panel: DataFrame, cell: Column | str, cfg: EffectConfig, runs: int,
                  outcomes: Sequence[str] = ("y",), group: Sequence[str] = (),
                  y_scale: int | None = None, fold: str = "fold") -> DataFrame:
-    """Per (group, run, outcome): the cross-fitted ATE/ATT/ATO under permuted T."""
+    """Per (group, run, outcome): the cross-fitted ATE/ATT/ATO under permuted T,
+    over the rows with all ``outcomes`` (T is permuted among them)."""
     group = list(group)
     c = F.col(cell) if isinstance(cell, str) else cell
     # The narrow panel (keys, fold, cell, t, outcomes) is read by three passes
     # over rows × runs: persisted once.
     base = panel.select(*group, "id", "t", fold, c.alias("cell"), *outcomes) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .dropna(subset=list(outcomes)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = permuted(base, runs, cfg.seed, [fold, "cell", *outcomes], group)
     keys = group + ["run", fold, "cell"]
     stats = _outcome_stats(rows, keys, outcomes, y_scale).persist(StorageLevel.MEMORY_AND_DISK)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions.scalar import r
 from causeway.operators import estimate
+from causeway.operators.nuisance.strata import strata_nuisance
+from causeway.operators.order import exact_quantiles, ordered
 from causeway.plans.common import DEFAULT, customer_folds, customer_nuisance, order_nuisance
 from causeway.sources.panels import panel_customer, panel_orders
 
@@ -383,7 +385,7 @@ def q_group_agg(spark, sf_dir):
 
 @query("num_derive")
 def q_num_derive(spark, sf_dir):
-    out = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS, max_interactions=40)
+    out = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS)
     dcols = [c for c in out.columns if "__" in c]
     # log1p may differ by an ulp between engines; products/quotients do not.
     return out.select("id", *[r(c, 6).alias(c) if c.endswith("__log1p") else F.col(c) for c in dcols])
@@ -409,7 +411,7 @@ def q_col_score(spark, sf_dir):
 
 @query("pca_cap")
 def q_pca_cap(spark, sf_dir):
-    p = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS, max_interactions=40)
+    p = derive.numeric_derivatives(panel_customer(spark, sf_dir), NUM_COLS)
     nums = [c for c in p.columns if c not in ("id", "t", "seg", "y")]
     capped, _ = reduce.pca_cap(p.select("id", *nums), nums, cap=8, y=None)
     return capped
@@ -474,11 +476,11 @@ def q_cuped(spark, sf_dir):
 
 @query("ipcw")
 def q_ipcw(spark, sf_dir):
-    nuis = customer_nuisance(spark, sf_dir)
-    # the outcome counts as observed for customers active in the outcome year
-    w = adjust.ipcw_weights(nuis, F.col("y") > 0, customer_cell())
-    s = adjust.ipcw_ate(w)
-    return s.select("n", "n_observed", r("est_ipcw", 4).alias("est_ipcw"))
+    # outcomes were recorded for accounts in credit only; the flag is no function of y
+    panel = customer_folds(spark, sf_dir).withColumn("seen", F.col("acctbal") > 0)
+    nuis = strata_nuisance(panel.withColumn("y", F.when(F.col("seen"), F.col("y"))), customer_cell(), DEFAULT, y_scale=2)
+    s = adjust.ipcw_ate(adjust.ipcw_weights(nuis, F.col("seen"), customer_cell()))
+    return s.select("n", "n_observed", r("est_ipcw", 4).alias("est_ipcw"), r("se_ipcw", 4).alias("se_ipcw"))
 
 
 @query("tmle")
@@ -604,17 +606,12 @@ def q_rule_boot(spark, sf_dir):
     return b.select("leaf", r("lo90", 4).alias("lo90"), r("hi90", 4).alias("hi90"))
 
 
-_STUDENTS: dict = {}
 
 
 def _student(spark, sf_dir):
-    """The fitted student is shared by the queries of one session."""
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _STUDENTS:
-        tau = customer_tau(spark, sf_dir)
-        model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
-        _STUDENTS[key] = (tau, model, depth)
-    return _STUDENTS[key]
+    tau = customer_tau(spark, sf_dir)
+    model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
+    return tau, model, depth
 
 
 @query("student_tree")
@@ -739,7 +736,6 @@ def q_panel_events(spark, sf_dir):
 @query("ate_events_strata")
 def q_ate_events(spark, sf_dir):
     from causeway.operators.folds import assign_folds
-    from causeway.operators.nuisance.strata import strata_nuisance
 
     panel = assign_folds(panel_events(spark, sf_dir), DEFAULT.n_splits, DEFAULT.seed)
     nuis = strata_nuisance(panel, event_cell(), DEFAULT, y_scale=2)
@@ -769,7 +765,6 @@ def q_te_strat(spark, sf_dir):
 @query("att_band")
 def q_att_band(spark, sf_dir):
     """ATT re-estimated inside the overlap band 0.2 ≤ ê ≤ 0.8 (new cross-fit on the band rows)."""
-    from causeway.operators.nuisance.strata import strata_nuisance
 
     nuis = customer_nuisance(spark, sf_dir)
     band = nuis.where(F.col("e").between(0.2, 0.8)).select(*customer_folds(spark, sf_dir).columns)
@@ -785,3 +780,61 @@ def q_pca_add(spark, sf_dir):
     p = panel_customer(spark, sf_dir)
     out = reduce.pca_features(p, ["before_cnt", "before_amt", "acctbal", "region"], 2)
     return out.select("id", "pca_1", "pca_2")
+
+
+# ------------------------------------------------------------ missing outcomes, NULL groups, string ids
+def customer_missing(spark, sf_dir):
+    """Customer panel in which outcomes are missing by arm."""
+    gone = ((F.col("t") == 1) & (F.col("id") % 10 == 0)) | ((F.col("t") == 0) & (F.col("id") % 10 < 7))
+    return customer_folds(spark, sf_dir).withColumn("y", F.when(~gone, F.col("y")))
+
+
+def _missing_effect(estimand):
+    def fn(spark, sf_dir):
+        nuis = strata_nuisance(customer_missing(spark, sf_dir), customer_cell(), DEFAULT, y_scale=2)
+        return _effect_row(estimate.effect_table(nuis, estimand, DEFAULT))
+    return fn
+
+
+for _e in ("ATE", "ATT", "ATO"):
+    QUERIES[f"{_e.lower()}_null_y"] = _missing_effect(_e)
+
+
+@query("placebo_null_y")
+def q_placebo_null_y(spark, sf_dir):
+    runs = robust.placebo_runs(customer_missing(spark, sf_dir), customer_cell(), DEFAULT, 20, y_scale=2)
+    return runs.select("run", r("ate", 4).alias("ate"), r("att", 4).alias("att"), r("ato", 4).alias("ato"))
+
+
+def _ranked_panel(spark, sf_dir):
+    """A NULL group, string ids, a score that a third of all rows share."""
+    return panel_customer(spark, sf_dir).select(
+        F.when(F.col("region") > 0, F.col("region").cast("string")).alias("grp"),
+        F.concat(F.lit("cust-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("sid"),
+        F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 50 == 1, None)
+        .otherwise(F.floor(F.col("acctbal") / 500).cast("double")).alias("score"))
+
+
+@query("rank_null_group")
+def q_rank_null_group(spark, sf_dir):
+    return ordered(_ranked_panel(spark, sf_dir), "score", False, "sid", ["grp"]).select("grp", "sid", "pos")
+
+
+@query("quantiles_null_group")
+def q_quantiles_null_group(spark, sf_dir):
+    return exact_quantiles(_ranked_panel(spark, sf_dir), "score", [0.1, 0.25, 0.5, 0.75, 0.9], ["grp"])
+
+
+@query("smd_offset")
+def q_smd_offset(spark, sf_dir):
+    """Balance of a time-stamp-sized feature equals that of the plain one."""
+    nuis = customer_nuisance(spark, sf_dir).withColumn("at", F.col("before_cnt") + F.lit(1.7e9))
+    s = diagnose.smd_table(nuis, ["at", "before_cnt"], "ATO", DEFAULT)
+    return s.select("feature", r("smd", 6).alias("smd"))
+
+
+@query("cuped_offset")
+def q_cuped_offset(spark, sf_dir):
+    panel = customer_folds(spark, sf_dir).withColumn("at", F.col("before_amt") / 1000 + F.lit(1.7e9))
+    s = adjust.cuped_summary(adjust.cuped(panel, "at"))
+    return s.select("n", r("diff_cuped", 2).alias("diff_cuped"), r("var_reduction", 5).alias("var_reduction"))

@@ -82,16 +82,16 @@ def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "", s
 {prefix}pk AS (SELECT DISTINCT fold, cell FROM {prefix}p),
 {prefix}trc AS (
   SELECT k.fold, k.cell,
-         count(CASE WHEN q.t = 1 THEN 1 END) AS n1,
-         count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
+         count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 1 THEN q.{y} END) AS m1,
+         count(CASE WHEN q.t = 0 THEN 1 END) AS n0, count(CASE WHEN q.t = 0 THEN q.{y} END) AS m0,
          sum(CASE WHEN q.t = 1 THEN {cents('q.' + y)} END) AS s1,
          sum(CASE WHEN q.t = 0 THEN {cents('q.' + y)} END) AS s0
   FROM {prefix}pk k LEFT JOIN {prefix}p q ON q.cell = k.cell AND q.fold <> k.fold
   GROUP BY k.fold, k.cell),
 {prefix}tra AS (
   SELECT f.fold,
-         count(CASE WHEN q.t = 1 THEN 1 END) AS n1,
-         count(CASE WHEN q.t = 0 THEN 1 END) AS n0,
+         count(CASE WHEN q.t = 1 THEN 1 END) AS n1, count(CASE WHEN q.t = 1 THEN q.{y} END) AS m1,
+         count(CASE WHEN q.t = 0 THEN 1 END) AS n0, count(CASE WHEN q.t = 0 THEN q.{y} END) AS m0,
          sum(CASE WHEN q.t = 1 THEN {cents('q.' + y)} END) AS s1,
          sum(CASE WHEN q.t = 0 THEN {cents('q.' + y)} END) AS s0
   FROM (SELECT DISTINCT fold FROM {prefix}p) f LEFT JOIN {prefix}p q ON q.fold <> f.fold
@@ -101,11 +101,11 @@ def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "", s
     CASE WHEN c.n1 + c.n0 > 0 THEN CAST(c.n1 AS DOUBLE) / (c.n1 + c.n0)
          WHEN a.n1 + a.n0 > 0 THEN CAST(a.n1 AS DOUBLE) / (a.n1 + a.n0)
          ELSE 0.5 END AS e_raw,
-    CASE WHEN c.n1 > 0 THEN CAST(c.s1 AS DOUBLE) / CAST(100 AS DOUBLE) / c.n1
-         WHEN a.n1 > 0 THEN CAST(a.s1 AS DOUBLE) / CAST(100 AS DOUBLE) / a.n1
+    CASE WHEN c.m1 > 0 THEN CAST(c.s1 AS DOUBLE) / CAST(100 AS DOUBLE) / c.m1
+         WHEN a.m1 > 0 THEN CAST(a.s1 AS DOUBLE) / CAST(100 AS DOUBLE) / a.m1
          ELSE CAST(0 AS DOUBLE) END AS mu1,
-    CASE WHEN c.n0 > 0 THEN CAST(c.s0 AS DOUBLE) / CAST(100 AS DOUBLE) / c.n0
-         WHEN a.n0 > 0 THEN CAST(a.s0 AS DOUBLE) / CAST(100 AS DOUBLE) / a.n0
+    CASE WHEN c.m0 > 0 THEN CAST(c.s0 AS DOUBLE) / CAST(100 AS DOUBLE) / c.m0
+         WHEN a.m0 > 0 THEN CAST(a.s0 AS DOUBLE) / CAST(100 AS DOUBLE) / a.m0
          ELSE CAST(0 AS DOUBLE) END AS mu0
   FROM {prefix}trc c JOIN {prefix}tra a USING (fold)),
 {prefix}nu0 AS (
@@ -122,6 +122,7 @@ def effect_select(src: str, estimand: str) -> str:
     """n, n_treated, n_control, est, se, ci_lo, ci_hi — two-pass textbook form."""
     counts = ("count(*) AS n, count(CASE WHEN t = 1 THEN 1 END) AS n_treated, "
               "count(CASE WHEN t = 0 THEN 1 END) AS n_control")
+    src = f"(SELECT * FROM {src} WHERE psi IS NOT NULL)"
     if estimand == "ATE":
         inner = f"SELECT {counts}, avg(psi) AS est, stddev_samp(psi) / sqrt(count(*)) AS se FROM {src}"
     elif estimand == "ATT":
@@ -525,17 +526,15 @@ ORACLE["group_agg"] = _group_agg_sql()
 
 
 def _num_derive_sql() -> str:
-    from causeway.operators.features.derive import interaction_pairs, ratio_pairs
-
     nums = ["before_cnt", "before_amt", "acctbal", "y_nc"]
     x = {c: f"CAST({c} AS DOUBLE)" for c in nums}
     cols = [f"round(CASE WHEN {x[c]} IS NOT NULL THEN ln(1 + greatest({x[c]}, 0.0)) END, 6) + 0.0 AS {c}__log1p"
             for c in nums]
-    cols += [f"{x[a]} / nullif({x[b]}, 0.0) AS ratio__{a}__per__{b}"
-             for a, b in ratio_pairs(nums, 60)]
-    for a, b in interaction_pairs(nums, 40, 42):
-        cols.append(f"{x[a]} * {x[b]} AS inter__{a}__x__{b}")
-        cols.append(f"{x[a]} / nullif({x[b]}, 0.0) AS inter__{a}__div__{b}")
+    cols += [f"{x[a]} / nullif({x['before_cnt']}, 0.0) AS ratio__{a}__per__before_cnt" for a in nums[1:]]
+    for i, a in enumerate(nums):
+        for b in nums[i + 1:]:
+            cols.append(f"{x[a]} * {x[b]} AS inter__{a}__x__{b}")
+            cols.append(f"{x[a]} / nullif({x[b]}, 0.0) AS inter__{a}__div__{b}")
     return f"SELECT id, {', '.join(cols)} FROM ({PANEL_CUSTOMER})"
 
 
@@ -550,8 +549,9 @@ def _qbin_sql() -> str:
         ctes.append(f"c_{c} AS (SELECT DISTINCT unnest([{', '.join(f'q{i}' for i in range(1, 10))}]) AS cut "
                     f"FROM (SELECT {qs} FROM p))")
         idx = f"(SELECT count(*) FROM c_{c} WHERE cut < p.{c})"
-        for k in range(6):
+        for k in range(10):
             cols.append(f"CASE WHEN p.{c} IS NOT NULL AND {idx} = {k} THEN 1 ELSE 0 END AS {c}__qbin_{k}")
+        cols.append(f"CASE WHEN p.{c} IS NULL THEN 1 ELSE 0 END AS {c}__qbin_nan")
     return (f"WITH p AS ({PANEL_CUSTOMER}),\n" + ",\n".join(ctes)
             + f"\nSELECT p.id, {', '.join(cols)} FROM p")
 
@@ -647,19 +647,22 @@ SELECT count(*) AS n,
        round(avg(CASE WHEN t = 1 THEN yc END) - avg(CASE WHEN t = 0 THEN yc END), 4) + 0.0 AS diff_cuped,
        round(1 - var_samp(yc) / var_samp(y), 6) + 0.0 AS var_reduction FROM cu""")
 
-ORACLE["ipcw"] = with_customer(f"""
-, ob AS (SELECT nu.*, CASE WHEN y > 0 THEN 1 ELSE 0 END AS r FROM nu),
-ck AS (SELECT DISTINCT fold, cell FROM ob),
-pc AS (SELECT k.fold, k.cell, sum(q.r) AS o, count(q.r) AS m
-       FROM ck k LEFT JOIN ob q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
+SEEN_Y = f"SELECT * REPLACE (CASE WHEN acctbal > 0 THEN y END AS y) FROM ({PANEL_CUSTOMER})"
+ORACLE["ipcw"] = f"""WITH {strata_ctes(SEEN_Y, CUSTOMER_CELL)},
+ob AS (SELECT nu.*, CASE WHEN acctbal > 0 THEN 1 ELSE 0 END AS r FROM nu),
+pc AS (SELECT k.fold, k.cell, k.t, sum(q.r) AS o, count(q.r) AS m
+       FROM (SELECT DISTINCT fold, cell, t FROM ob) k
+       LEFT JOIN ob q ON q.cell = k.cell AND q.t = k.t AND q.fold <> k.fold GROUP BY k.fold, k.cell, k.t),
 pa AS (SELECT f.fold, sum(q.r) AS o, count(q.r) AS m
        FROM (SELECT DISTINCT fold FROM ob) f LEFT JOIN ob q ON q.fold <> f.fold GROUP BY f.fold),
-pp AS (SELECT pc.fold, pc.cell, greatest(CASE WHEN pc.m > 0 THEN pc.o / pc.m WHEN pa.m > 0 THEN pa.o / pa.m
-                                              ELSE 1.0 END, 0.01) AS pi
+pp AS (SELECT pc.fold, pc.cell, pc.t, greatest(CASE WHEN pc.m > 0 THEN pc.o / pc.m WHEN pa.m > 0 THEN pa.o / pa.m
+                                                    ELSE 1.0 END, 0.01) AS pi
        FROM pc JOIN pa USING (fold)),
-wt AS (SELECT ob.psi, CASE WHEN ob.r = 1 THEN 1.0 / pp.pi ELSE 0.0 END AS w FROM ob JOIN pp USING (fold, cell))
-SELECT count(*) AS n, count(CASE WHEN w > 0 THEN 1 END) AS n_observed,
-       round(sum(CASE WHEN w > 0 THEN w * psi END) / sum(w), 4) + 0.0 AS est_ipcw FROM wt""")
+dr AS (SELECT ob.r, mu1 - mu0 + CASE WHEN ob.r = 1
+              THEN (ob.t * (y - mu1) / e - (1 - ob.t) * (y - mu0) / (1 - e)) / pp.pi ELSE 0.0 END AS inf
+       FROM ob JOIN pp USING (fold, cell, t))
+SELECT count(*) AS n, sum(r)::BIGINT AS n_observed, round(avg(inf), 4) + 0.0 AS est_ipcw,
+       round(stddev_samp(inf) / sqrt(count(*)), 4) + 0.0 AS se_ipcw FROM dr"""
 
 ORACLE["tmle"] = with_customer("""
 , ep AS (SELECT sum((t / e - (1 - t) / (1 - e)) * (y - CASE WHEN t = 1 THEN mu1 ELSE mu0 END))
@@ -829,3 +832,36 @@ ORACLE["att_band"] = f"""WITH {strata_ctes(PANEL_CUSTOMER, CUSTOMER_CELL)},
 kept AS (SELECT count(CASE WHEN e BETWEEN 0.2 AND 0.8 AND t = 1 THEN 1 END) AS treated_kept,
                 count(CASE WHEN t = 1 THEN 1 END) AS treated_total FROM nu)
 SELECT x.*, kept.treated_kept, kept.treated_total FROM ({effect_select('b_nu', 'ATT')}) x, kept"""
+
+
+# ------------------------------------------------------------ missing outcomes, NULL groups, string ids
+MISSING_Y = f"""SELECT * REPLACE (CASE WHEN (t = 1 AND id % 10 = 0) OR (t = 0 AND id % 10 < 7) THEN NULL ELSE y END AS y)
+FROM ({PANEL_CUSTOMER})"""
+ORACLE["ate_null_y"] = f"WITH {strata_ctes(MISSING_Y, CUSTOMER_CELL)}\n{effect_select('nu', 'ATE')}"
+ORACLE["att_null_y"] = f"WITH {strata_ctes(MISSING_Y, CUSTOMER_CELL)}\n{effect_select('nu', 'ATT')}"
+ORACLE["ato_null_y"] = f"WITH {strata_ctes(MISSING_Y, CUSTOMER_CELL)}\n{effect_select('nu', 'ATO')}"
+ORACLE["placebo_null_y"] = f"""WITH {strata_ctes(f"SELECT * FROM ({MISSING_Y}) WHERE y IS NOT NULL", CUSTOMER_CELL)}
+{placebo_ctes("y", runs=20)}
+SELECT run, round(ate, 4) + 0.0 AS ate, round(att, 4) + 0.0 AS att, round(ato, 4) + 0.0 AS ato FROM re"""
+
+RANKED = f"""SELECT CASE WHEN region > 0 THEN CAST(region AS VARCHAR) END AS grp, 'cust-' || lpad(CAST(id AS VARCHAR), 9, '0') AS sid,
+       CASE WHEN id % 3 = 0 THEN 0.0 WHEN id % 50 = 1 THEN NULL ELSE floor(acctbal / 500) END AS score FROM ({PANEL_CUSTOMER})"""
+ORACLE["rank_null_group"] = f"""
+SELECT grp, sid, row_number() OVER (PARTITION BY grp ORDER BY score DESC NULLS LAST, sid) AS pos FROM ({RANKED})"""
+ORACLE["quantiles_null_group"] = f"""
+WITH g AS (SELECT grp, quantile_cont(score, [0.1, 0.25, 0.5, 0.75, 0.9]) AS qs FROM ({RANKED}) WHERE score IS NOT NULL GROUP BY grp)
+SELECT grp, CAST([0.1, 0.25, 0.5, 0.75, 0.9][i] AS DOUBLE) AS p, qs[i] AS q FROM g, range(1, 6) r(i)"""
+
+ORACLE["smd_offset"] = with_customer("""
+, w AS (SELECT t, CAST(before_cnt AS DOUBLE) AS x, CASE WHEN t = 1 THEN 1 - e ELSE e END AS w FROM nu),
+m AS (SELECT t, sum(w * x) / (sum(w) + 1e-12) AS m, sum(w) AS sw FROM w GROUP BY t),
+v AS (SELECT w.t, max(m.m) AS m, sum(w.w * (x - m.m) * (x - m.m)) / (max(m.sw) + 1e-12) AS v FROM w JOIN m ON w.t = m.t GROUP BY w.t),
+s AS (SELECT (a.m - b.m) / (sqrt((a.v + b.v) / 2 + 1e-12) + 1e-12) AS smd FROM v a, v b WHERE a.t = 1 AND b.t = 0)
+SELECT unnest(['at', 'before_cnt']) AS feature, round(smd, 6) + 0.0 AS smd FROM s""")
+ORACLE["cuped_offset"] = with_customer("""
+, tr AS (SELECT f.fold, regr_slope(q.y, q.before_amt) AS theta, avg(q.before_amt) AS xm
+         FROM (SELECT DISTINCT fold FROM p) f JOIN p q ON q.fold <> f.fold GROUP BY f.fold),
+cu AS (SELECT p.t, p.y, p.y - coalesce(tr.theta, 0.0) * (p.before_amt - tr.xm) AS yc FROM p JOIN tr USING (fold))
+SELECT count(*) AS n,
+       round(avg(CASE WHEN t = 1 THEN yc END) - avg(CASE WHEN t = 0 THEN yc END), 2) + 0.0 AS diff_cuped,
+       round(1 - var_samp(yc) / var_samp(y), 5) + 0.0 AS var_reduction FROM cu""")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -40,7 +40,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, choosing a private one only if unset."""
+    """Return the checkpoint folder.  A private one is chosen only where none is
+    set and Spark runs in this one process; a cluster must name a shared one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -49,17 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="causeway-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_limit_rows(spark: SparkSession) -> int:
     """Row bound under which a derived (aggregated) table is broadcast."""
     return int(os.environ.get("CAUSEWAY_BROADCAST_ROWS",

@@ -1,8 +1,9 @@
 """File sources of campaign data.
 
-* ``scan_campaign_files``: every file of a folder whose name contains a
-  token, read as one DataFrame; the file name becomes ``activity_id`` so
-  all campaigns go through one job (grouped by activity) instead of a loop.
+* ``scan_campaign_files``: all campaigns below a folder, each a file or a
+  folder of part files, as one DataFrame; the path part the caller names
+  becomes ``activity_id``, so all campaigns go through one job (grouped by
+  activity) instead of a loop.
 * ``read_campaign_csv``: CSV with an explicit schema (no inference pass),
   NaN-like text and empty strings read as NULL.
 """
@@ -15,14 +16,21 @@ from pyspark.sql.types import StructType
 
 
 def scan_campaign_files(spark: SparkSession, folder: str, token: str = "", fmt: str = "parquet",
-                        schema: StructType | None = None, **options) -> DataFrame:
-    reader = spark.read.format(fmt).option("pathGlobFilter", f"*{token}*" if token else "*")
+                        schema: StructType | None = None, part: int = -1, **options) -> DataFrame:
+    """``part``: which path part names the campaign, -1 the file (without its
+    extension), -2 the folder it is in.  Only campaigns whose name contains
+    ``token`` are listed."""
+    reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    df = reader.load(folder)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    if part == -1:
+        df = reader.option("pathGlobFilter", f"*{token}*").load(folder)
+    else:
+        df = reader.load(f"{folder.rstrip('/')}/{'*/' * (-part - 2)}*{token}*")
+    named = F.element_at(F.split(F.col("_metadata.file_path"), "/"), part)
+    name = F.url_decode(F.regexp_replace(named, r"(?<=.)\.[^.]*$", "") if part == -1 else named)
     return df.withColumn("activity_id", name)
 
 

@@ -13,11 +13,21 @@ def append_reports(report: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_result_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("activity_uuid").parquet(path)
+    _write(records, path)
 
 
 def write_user_uplift(uplift: DataFrame, path: str) -> None:
-    uplift.write.mode("append").partitionBy("activity_uuid").parquet(path)
+    _write(uplift, path)
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Appends rows by activity.  Rows of a stream carry ``batch_id``: then only
+    the partitions of that batch are replaced, so a retried batch writes once."""
+    if "batch_id" in rows.columns:
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("activity_uuid", "batch_id").parquet(path))
+    else:
+        rows.write.mode("append").partitionBy("activity_uuid").parquet(path)
 
 
 def long_form(result: DataFrame, keys: list[str], section: str) -> DataFrame:

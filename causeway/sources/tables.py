@@ -23,16 +23,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Parquet scan of one table (the relation is resolved once per session;
-    DataFrames are immutable, so reusing it is safe)."""
-    key = (id(spark._jsparkSession), table_path(sf_dir, name))
-    df = _SCANS.get(key)
-    if df is None:
-        df = _SCANS[key] = spark.read.parquet(table_path(sf_dir, name))
+    """Parquet scan of one table."""
+    df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
 

@@ -4,10 +4,11 @@ A folder receives one panel file per campaign.  ``start_campaign_stream``
 reads it as a file stream; every micro-batch holds the rows of newly
 arrived files, tagged with their file name as ``activity_id``, and is
 analysed by the grouped campaign plan — all campaigns of the batch in one
-job — then the result records and the treated rows' uplift are appended to
-sinks partitioned by activity.  The stream's checkpoint lives under the
-session's shared checkpoint folder, so a restarted job resumes where it
-stopped and never re-analyses a file.
+job — then the result records and the treated rows' uplift are written to
+sinks partitioned by activity and batch.  The stream's checkpoint lives under
+the session's shared checkpoint folder, so a restarted job resumes where it
+stopped; a batch that is retried replaces its own partitions.  A campaign
+whose files arrive in several batches has one result per batch.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def campaign_batch_writer(cell: Column, spec: CampaignSpec, results_path: str,
             return
         res, uplift = campaign_analysis(batch, cell, spec, ["activity_id"])
         write_result_records(result_record(res, spec).withColumn("batch_id", F.lit(batch_id)), results_path)
-        write_user_uplift(uplift, uplift_path)
+        write_user_uplift(uplift.withColumn("batch_id", F.lit(batch_id)), uplift_path)
     return run
 
 

@@ -20,18 +20,32 @@ def _frame(spark, n=3000, seed=1):
 
 def test_bucketed_equals_window(spark):
     df, pdf = _frame(spark)
+    df = (df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+          .withColumn("name", F.concat(F.lit("user-"), F.lpad(F.col("id").cast("string"), 7, "0"))))
     for asc in (True, False):
-        a = ordered(df, "score", asc, "id", ["g"], sums=["v"], n_buckets=8).toPandas()
-        b = ordered(df, "score", asc, "id", ["g"], sums=["v"], small_rows=10 ** 9).toPandas()
-        m = a.merge(b, on="id", suffixes=("_a", "_b"))
-        assert len(m) == len(pdf)
-        assert (m.pos_a == m.pos_b).all()
-        assert np.allclose(m.cum_v_a, m.cum_v_b)
+        for tie in ("id", "name"):
+            for cuts in (3, 200):
+                got = ordered(df, "score", asc, tie, ["g"], sums=["v"], cuts=cuts).toPandas()
+                assert len(got) == len(pdf)
+                key = got.score if asc else -got.score
+                want = got.assign(key=key).sort_values(["key", tie], na_position="last")
+                for _, part in want.groupby("g", dropna=False):
+                    assert list(part.pos) == list(range(1, len(part) + 1))
+                    assert np.allclose(part.cum_v, part.v.cumsum())
+
+
+def test_hot_value_is_spread_over_buckets(spark):
+    """A value that a third of all rows share is split by the tie-break."""
+    df = spark.range(30_000).withColumn("score", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.0))
+    plan = ordered(df, "score", cuts=50)
+    sizes = (plan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
+    assert sum(s["count"] for s in sizes) == 30_000
+    assert [r.pos for r in plan.orderBy("score", "id").collect()] == list(range(1, 30_001))
 
 
 def test_positions_are_a_permutation(spark):
     df, pdf = _frame(spark, seed=2)
-    a = ordered(df, "score", False, "id", n_buckets=16).toPandas()
+    a = ordered(df, "score", False, "id", cuts=16).toPandas()
     assert sorted(a.pos) == list(range(1, len(pdf) + 1))
     s = pdf.assign(key=-pdf.score).sort_values(["key", "id"], na_position="last")
     assert list(a.set_index("id").loc[s.id, "pos"]) == list(range(1, len(pdf) + 1))

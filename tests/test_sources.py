@@ -32,6 +32,22 @@ def test_folder_scan_tags_activity(spark):
     assert df.count() == 25
 
 
+def test_campaign_folders_of_part_files(spark):
+    folder = tempfile.mkdtemp(prefix="causeway-folders-")
+    for name, n in (("spring_a", 30), ("spring_b", 20), ("autumn", 10)):
+        spark.range(n).repartition(3).write.mode("overwrite").parquet(f"{folder}/{name}")
+    got = files.scan_campaign_files(spark, folder, token="spring", part=-2).groupBy("activity_id").count().collect()
+    assert {r["activity_id"]: r["count"] for r in got} == {"spring_a": 30, "spring_b": 20}
+
+
+def test_retried_batch_writes_once(spark):
+    out = tempfile.mkdtemp(prefix="causeway-batches-")
+    row = spark.createDataFrame([("a", 1.0)], "activity_uuid string, est double")
+    for batch in (0, 0, 1):
+        sinks.write_result_records(row.withColumn("batch_id", F.lit(batch)), out)
+    assert spark.read.parquet(out).count() == 2
+
+
 def test_report_sink_appends(spark):
     out = tempfile.mkdtemp(prefix="causeway-report-")
     row = spark.createDataFrame([("a1", 3.0, 4)], "activity_id string, est double, n bigint")
