@@ -64,17 +64,21 @@ def oof_table(stats: DataFrame, cfg: EffectConfig, group: Sequence[str] = (),
               fold: str = "fold", y_scale: int | None = None) -> DataFrame:
     """Out-of-fold ``e_raw, e, mu1, mu0`` per (group, fold, cell)."""
     group = list(group)
-    # Cell totals come from a window per cell; fold and overall totals from a
-    # second aggregate with one row per (group and) fold.
     w_cell = Window.partitionBy(*group, "cell")
-    w_all = Window.partitionBy(*group) if group else Window.partitionBy()
-    totals = (stats.groupBy(*group, fold).agg(*[F.sum(c).alias("f_" + c) for c in STAT_COLS])
-              .select("*", *[F.sum("f_" + c).over(w_all).alias("a_" + c) for c in STAT_COLS]))
-    cells = stats.select(*group, fold, "cell",
-                         *[F.col(c).alias("o_" + c) for c in STAT_COLS],
-                         *[F.sum(c).over(w_cell).alias("c_" + c) for c in STAT_COLS])
-    # without groups: as many rows as folds
-    t = join_null_safe(cells, totals if group else F.broadcast(totals), [*group, fold])
+    own = [F.col(c).alias("o_" + c) for c in STAT_COLS]
+    of_cell = [F.sum(c).over(w_cell).alias("c_" + c) for c in STAT_COLS]
+    if group:
+        # one exchange on the group keys serves all three windows
+        w_fold, w_all = Window.partitionBy(*group, fold), Window.partitionBy(*group)
+        t = stats.repartition(*group).select(
+            *group, fold, "cell", *own, *of_cell,
+            *[F.sum(c).over(w_fold).alias("f_" + c) for c in STAT_COLS],
+            *[F.sum(c).over(w_all).alias("a_" + c) for c in STAT_COLS])
+    else:
+        # cells stay spread; fold and overall totals are one row per fold
+        totals = (stats.groupBy(fold).agg(*[F.sum(c).alias("f_" + c) for c in STAT_COLS])
+                  .select("*", *[F.sum("f_" + c).over(Window.partitionBy()).alias("a_" + c) for c in STAT_COLS]))
+        t = join_null_safe(stats.select(fold, "cell", *own, *of_cell), F.broadcast(totals), [fold])
 
     def tr(c: str, scope: str) -> Column:
         own = F.col("o_" + c) if scope == "c_" else F.col("f_" + c)
