@@ -16,6 +16,9 @@ an empty one; each row is scanned by itself, repeated rows included.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +46,20 @@ ALLOW = (
     r"(?i)0123456789|abcdefghij",
 )
 
+#: Long texts are worked on in stretches: matches or spans taken together, and
+#: windows per stretch of a candidate (first level, second level).
+AT_ONCE = 256
+STRETCHES = (65_536, 256)
+
 _OPEN, _CLOSE, _SPARE = "\u0001", "\u0002", "\u0003"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often (also
+    inside lambdas) it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _split(text: Column, pattern: str, shown: str = "$0") -> Column:
     """Pieces of ``text``: the first before any match, each other one a match,
     the closing mark and what follows it (``shown`` may add to the match)."""
@@ -58,20 +72,33 @@ def _matches(text: Column, pattern: str, value_group: bool = False) -> Column:
     text v that length rules apply to (group 2 or the whole match)."""
     pieces = _split(text, pattern, f"$0{_CLOSE}$2" if value_group else "$0")
     none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def width(part: Column) -> Column:
+        return F.length(F.element_at(part, 1)) + F.when(F.size(part) > 1, F.length(F.element_at(part, -1))).otherwise(0)
 
     def step(acc: Column, piece: Column) -> Column:
         part = F.split(piece, _CLOSE)
-        size = F.size(part)
         found = F.element_at(part, 1)
         value = F.element_at(part, 2) if value_group else found
-        rest = F.element_at(part, -1)
         here = F.struct(acc["at"].alias("s"), (acc["at"] + F.length(found)).alias("e"), value.alias("v"))
-        return F.when(size == 1, F.struct((acc["at"] + F.length(piece)).alias("at"), acc["found"].alias("found"))) \
-            .otherwise(F.struct((acc["at"] + F.length(found) + F.length(rest)).alias("at"),
-                                F.concat(acc["found"], F.array(here)).alias("found")))
+        return F.struct((acc["at"] + width(part)).alias("at"),
+                        F.when(F.size(part) == 1, acc["found"]).otherwise(
+                            F.concat(acc["found"], F.array(here))).alias("found"))
+
+    # an accumulator is copied at every step, so matches gather in lots: the
+    # lots' widths give their places, each lot is then worked on by itself
+    def located(p: Column) -> Column:
+        lots = F.transform(F.sequence(F.lit(1), F.size(p), F.lit(AT_ONCE)), lambda i: F.slice(p, i, AT_ONCE))
+        return _once(lots, placed)
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda a: a["found"])).otherwise(none)
+    def placed(lots: Column) -> Column:
+        widths = F.transform(lots, lambda lot: F.aggregate(
+            lot, F.lit(0), lambda n, piece: n + width(F.split(piece, _CLOSE))))
+        places = F.aggregate(widths, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+        return _once(places, lambda at: F.flatten(F.transform(lots, lambda lot, k: F.aggregate(
+            lot, F.struct(F.get(at, k).alias("at"), none.alias("found")), step, lambda a: a["found"]))))
+
+    return _once(pieces, lambda p: F.when(F.size(p) > 1, located(p)).otherwise(none))
 
 
 def _spans(found: Column, kind: int, least: int) -> Column:
@@ -80,13 +107,15 @@ def _spans(found: Column, kind: int, least: int) -> Column:
                        lambda m: F.struct(m["s"].alias("s"), F.lit(kind).alias("k"), m["e"].alias("e")))
 
 
-def peak_entropy(s: Column, window: int = WINDOW) -> Column:
-    """Greatest Shannon entropy (bits) of any ``window`` consecutive characters.
+def _stretches(s: Column, windows: int, window: int) -> Column:
+    """Substrings that hold ``windows`` consecutive windows each (the last may
+    hold fewer); every window of ``s`` is in one of them."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - window + 1), F.lit(windows))
+    return F.transform(starts, lambda i: F.substr(s, i, F.lit(windows + window - 1)))
 
-    H = log2 W - S / W with S the sum of c log2 c over the window's character
-    counts c.  S is kept up to date as the window slides: the character that
-    leaves lowers its own count by one, the one that enters raises its own.
-    """
+
+def _least_sum(s: Column, window: int) -> Column:
+    """Least S of any window of a short string (see peak_entropy)."""
     def f(c: Column) -> Column:
         return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
@@ -107,9 +136,21 @@ def peak_entropy(s: Column, window: int = WINDOW) -> Column:
         return F.struct(total.alias("s"), low.alias("low"))
 
     start = F.struct(F.lit(0.0).alias("s"), F.lit(1e300).alias("low"))
-    import math
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step,
-                       lambda a: F.lit(math.log2(window)) - a["low"] / window)
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["low"])
+
+
+def peak_entropy(s: Column, window: int = WINDOW) -> Column:
+    """Greatest Shannon entropy (bits) of any ``window`` consecutive characters.
+
+    H = log2 W - S / W with S the sum of c log2 c over the window's character
+    counts c.  S is kept up to date as the window slides: the character that
+    leaves lowers its own count by one, the one that enters raises its own.
+    Each stretch of windows starts afresh, so the time is linear in ``s``.
+    """
+    long, short = STRETCHES
+    low = F.array_min(F.transform(_stretches(s, long, window), lambda p: F.array_min(
+        F.transform(_stretches(p, short, window), lambda q: _least_sum(q, window)))))
+    return F.lit(math.log2(window)) - low / window
 
 
 def _suspicious(s: Column) -> Column:
@@ -139,14 +180,23 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         _spans(_matches(t, ACCESS), 1, MIN_ACCESS),
         # runs of {24,} are the runs of + that are long enough; shorter ones need no mark
         _spans(_matches(t, HEX[:-1] + f"{{{MIN_HEX},}}+"), 2, MIN_HEX)))
-    found = _matches(t, CANDIDATE)
+    # base spans by AT_ONCE, each lot with the range it lies in
+    lots = F.transform(
+        F.when(F.size("base") > 0, F.sequence(F.lit(1), F.size("base"), F.lit(AT_ONCE))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.element_at("base", i)["s"].alias("s"),
+                           F.array_max(F.transform(F.slice("base", i, AT_ONCE), lambda b: b["e"])).alias("e"),
+                           F.slice("base", i, AT_ONCE).alias("spans")))
+
+    def touches(x: Column, m: Column) -> Column:
+        return (x["s"] < m["e"]) & (m["s"] < x["e"])
 
-    def new(m: Column) -> Column:
-        outside = ~F.exists(F.col("base"), lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
-        return outside & _suspicious(m["v"])
+    def new(m: Column, known: Column) -> Column:
+        inside = F.exists(known, lambda lot: touches(lot, m) & F.exists(lot["spans"], lambda b: touches(b, m)))
+        return ~inside & _suspicious(m["v"])
 
+    added = _once(lots, lambda known: F.filter(_matches(t, CANDIDATE), lambda m: new(m, known)))
     return (docs.withColumn("base", base)
-            .withColumn("added", F.transform(F.filter(found, new), lambda m: F.struct(
+            .withColumn("added", F.transform(added, lambda m: F.struct(
                 m["s"].alias("s"), F.lit(3).alias("k"), m["e"].alias("e")))))
 
 

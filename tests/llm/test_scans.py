@@ -116,16 +116,39 @@ def test_secret_base_equals_the_plain_patterns(spark):
     assert rows[3].n_entropy == 1 and rows[4].n_entropy == 0
 
 
+def peak(w):
+    """Greatest entropy of 20 characters in a row, counted afresh for each."""
+    return max(-sum(c / 20 * math.log2(c / 20) for c in Counter(w[i:i + 20]).values()) for i in range(len(w) - 19))
+
+
 def test_entropy_by_increments_equals_recounting(spark):
     rng = random.Random(6)
     words = [noise(rng, "abc012XYZ"[:rng.randint(2, 9)], rng.randint(20, 60)) for _ in range(60)]
 
-    def entropy(w):
-        return -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-
     df = spark.createDataFrame([(w,) for w in words], "w string")
     for w, h in df.select("w", secret_scan.peak_entropy(F.col("w"))).collect():
-        assert h == pytest.approx(max(entropy(w[i:i + 20]) for i in range(len(w) - 19)), abs=1e-9)
+        assert h == pytest.approx(peak(w), abs=1e-9)
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    """Thousands of matches and a candidate of many stretches in one text."""
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    many = "é ".join(f"token={rng.getrandbits(48):x}; {noise(rng, 'abcdef0123456789', rng.randrange(20, 30))}"
+                     for _ in range(3000))
+    dull = "xy1" * 30_000
+    # the only telling window crosses the edge of two stretches
+    edge = dull[:65_530] + noise(rng, alphabet, 20) + dull[:5000]
+    texts = [many, dull, edge, many + " " + edge]
+    rows = {r.doc_id: r for r in secret_scan.secret_spans(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].base_sha256 == hashlib.sha256(text_of(base_secrets(t)).encode()).hexdigest()
+    assert rows[1].n_entropy == 0 and rows[1].spans == ""
+    assert rows[2].spans == f"entropy:0:{len(edge)}"
+    assert rows[3].spans.endswith(f"entropy:{len(many) + 1}:{len(texts[3])}")
+    # a candidate that touches a base span adds nothing
+    alone = [w for w in re.findall("[0-9a-f]+", many) if 20 <= len(w) < 24 and re.search("[a-f]", w) and re.search("[0-9]", w)]
+    assert rows[0].n_entropy == sum(peak(w) >= 3.0 for w in alone) > 0
 
 
 def test_secret_scan_is_native(spark):
