@@ -32,22 +32,19 @@ def finite(df: DataFrame, *cols: str) -> DataFrame:
 
 def repair_predictions(df: DataFrame, fold: str = "fold", y: str = "y", t: str = "t") -> DataFrame:
     """Non-finite μ̂ → the arm mean of the training folds (total − own fold)."""
-    own = df.groupBy(fold, t).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    tot = own.groupBy(t).agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
-    means = own.join(tot, t).select(fold, t, ((F.col("_S") - F.col("_s")) / (F.col("_N") - F.col("_n")))
-                                    .alias("_m"))
-    arm: dict[int, dict] = {}
-    for r in means.collect():  # ≤ folds × 2 rows
-        arm.setdefault(r[t], {})[r[fold]] = r["_m"]
+    own = {(r[0], r[1]): (r["s"], r["n"]) for r in df.groupBy(fold, t).agg(
+        F.sum(F.col(y).cast("double")).alias("s"), F.count(y).alias("n")).collect()}  # ≤ folds × 2 rows
+    folds = sorted({f for f, _ in own if f is not None})
     out = df
-    for a, col in ((1, "mu1"), (0, "mu0")):
-        repl = None
-        for f, m in arm.get(a, {}).items():
-            v = F.lit(m if m is not None else 0.0)
-            repl = F.when(F.col(fold) == f, v) if repl is None else repl.when(F.col(fold) == f, v)
+    for arm, col in ((1, "mu1"), (0, "mu0")):
+        repl = F.lit(0.0)  # no training row of the arm
+        for f in folds:
+            rest = [own[g, arm] for g in folds if g != f and (g, arm) in own]
+            n = sum(k for _, k in rest)
+            if n:
+                repl = F.when(F.col(fold) == f, sum(s for s, k in rest if k) / n).otherwise(repl)
         bad = F.col(col).isNull() | F.isnan(col) | (F.abs(col) == float("inf"))
-        if repl is not None:
-            out = out.withColumn(col, F.when(bad, repl).otherwise(F.col(col)))
+        out = out.withColumn(col, F.when(bad, repl).otherwise(F.col(col)))
     return out
 
 

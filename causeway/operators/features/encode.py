@@ -85,6 +85,31 @@ def stratified_target_folds(df: DataFrame, y: str, k: int, seed: int, out: str =
     return assign_folds_stratified(strat, k, seed, "_strat", fold_col=out).drop("_strat")
 
 
+def _target_value(df: DataFrame, y: str) -> Column:
+    return (F.col(y) == 1).cast("double") if is_binary_target(df, y) else F.col(y).cast("double")
+
+
+def global_mean(df: DataFrame, y: str, value: Column | None = None) -> float:
+    """Mean of the target over the rows that have one (0 without any)."""
+    value = _target_value(df, y) if value is None else value
+    return float(df.agg(F.avg(F.when(F.col(y).isNotNull(), value))).first()[0] or 0.0)
+
+
+def _look_up(df: DataFrame, table: DataFrame, c: str, value: Column, out: str) -> DataFrame:
+    """Adds ``out``: ``value`` of the row of ``table`` (col, level, …) that
+    holds the level of ``c``; NULL for levels it doesn't hold."""
+    tab = table.where(F.col("col") == c).select(F.col("level").alias("_lvl"), value.alias(out))
+    return join_small(df.withColumn("_lvl", category(c)), tab, "_lvl", "left").drop("_lvl")
+
+
+def target_encode_apply(df: DataFrame, cats: Sequence[str], te_map: DataFrame, gm: float) -> DataFrame:
+    """``<c>__te`` from a fitted map; levels the map doesn't hold get the global mean."""
+    for c in cats:
+        df = _look_up(df, te_map, c, F.col("te"), f"{c}__te").withColumn(
+            f"{c}__te", F.coalesce(F.col(f"{c}__te"), F.lit(gm)))
+    return df
+
+
 def target_encode_oof(df: DataFrame, cats: Sequence[str], y: str, k: int, fold: str = "fold",
                       smoothing: float = TE_SMOOTHING) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold target encoding ``<c>__te`` plus the inference map.
@@ -94,10 +119,8 @@ def target_encode_oof(df: DataFrame, cats: Sequence[str], y: str, k: int, fold:
     is the plain mean over folds of the per-fold encodings, skipping folds in
     which the level was absent.
     """
-    binary = is_binary_target(df, y)
-    yv = (F.col(y) == 1).cast("double") if binary else F.col(y).cast("double")
-    gm_row = df.agg(F.avg(F.when(F.col(y).isNotNull(), yv)).alias("gm")).first()
-    gm = F.lit(float(gm_row["gm"]) if gm_row["gm"] is not None else 0.0)
+    yv = _target_value(df, y)
+    gm = F.lit(global_mean(df, y, yv))
     work = df.withColumn("_yv", F.when(F.col(y).isNotNull(), yv))
     stats = target_stats(work, cats, "_yv", fold)
     per_fold = te_fold_table(stats, gm, smoothing, fold, list(range(k)))
@@ -113,20 +136,23 @@ def target_encode_oof(df: DataFrame, cats: Sequence[str], y: str, k: int, fold:
     return out, te_map
 
 
-def count_frequency(df: DataFrame, cats: Sequence[str]) -> DataFrame:
-    """``<c>__count`` and ``<c>__freq`` = count / N, missing counted as a level."""
-    counts = _stack(df, cats, []).groupBy("col", "level").agg(F.count(F.lit(1)).alias("cnt"))
-    n_tot = df.agg(F.count(F.lit(1)).alias("_N"))
-    counts = counts.persist()
-    out = attach(df, n_tot, [])
+def count_table(df: DataFrame, cats: Sequence[str]) -> tuple[DataFrame, int]:
+    """(col, level, cnt) of every level, missing counted as one, and the row count."""
+    return _stack(df, cats, []).groupBy("col", "level").agg(F.count(F.lit(1)).alias("cnt")), df.count()
+
+
+def count_frequency(df: DataFrame, cats: Sequence[str], table: DataFrame | None = None,
+                    rows: int | None = None) -> DataFrame:
+    """``<c>__count`` and ``<c>__freq`` = count / N from a fitted count_table or,
+    without one, from ``df`` itself; levels it doesn't hold get 0."""
+    if table is None:
+        table, rows = count_table(df, cats)
+        table = table.persist()
     for c in cats:
-        tab = counts.where(F.col("col") == c).select(F.col("level").alias(f"_{c}_lvl"),
-                                                     F.col("cnt").cast("double").alias(f"{c}__count"))
-        out = join_small(out.withColumn(f"_{c}_lvl", category(c)), tab, f"_{c}_lvl", "left")
-        out = out.withColumn(f"{c}__count", F.coalesce(F.col(f"{c}__count"), F.lit(0.0))) \
-                 .withColumn(f"{c}__freq", F.col(f"{c}__count") / F.greatest(F.col("_N"), F.lit(1))) \
-                 .drop(f"_{c}_lvl")
-    return out.drop("_N")
+        df = _look_up(df, table, c, F.col("cnt").cast("double"), f"{c}__count")
+        df = df.withColumn(f"{c}__count", F.coalesce(F.col(f"{c}__count"), F.lit(0.0))) \
+               .withColumn(f"{c}__freq", F.col(f"{c}__count") / F.lit(max(rows, 1)))
+    return df
 
 
 def woe_table(df: DataFrame, cats: Sequence[str], y: str) -> DataFrame:
@@ -143,13 +169,10 @@ def woe_table(df: DataFrame, cats: Sequence[str], y: str) -> DataFrame:
     return per.select("col", "level", "n1", "n0", woe.alias("woe"))
 
 
-def woe_encode(df: DataFrame, cats: Sequence[str], y: str) -> DataFrame:
-    """Row-level ``<c>__woe`` from :func:`woe_table`."""
-    tab = woe_table(df, cats, y).persist()
-    out = df
+def woe_encode(df: DataFrame, cats: Sequence[str], y: str | None = None,
+               table: DataFrame | None = None) -> DataFrame:
+    """Row-level ``<c>__woe`` from a fitted :func:`woe_table` or from ``df`` and ``y``."""
+    table = woe_table(df, cats, y).persist() if table is None else table
     for c in cats:
-        t = tab.where(F.col("col") == c).select(F.col("level").alias(f"_{c}_lvl"),
-                                                F.col("woe").alias(f"{c}__woe"))
-        out = join_small(out.withColumn(f"_{c}_lvl", category(c)), t, f"_{c}_lvl", "left") \
-            .drop(f"_{c}_lvl")
-    return out
+        df = _look_up(df, table, c, F.col("woe"), f"{c}__woe")
+    return df

@@ -1,8 +1,9 @@
 """The feature step as one estimator: ``fit_transform`` learns its state
-(target-encoding map, bin cut points, interaction pairs, PCA/anchors) and
-``transform`` applies it to another batch.  Count/frequency and group
-statistics use the fitted tables by default (``state='fit'``); with
-``state='batch'`` they are recomputed on the batch being transformed.
+(target-encoding map, counts, weights of evidence, group statistics, bin cut
+points, ratio denominators, leaf model, PCA, anchors) and ``transform``
+applies it to another batch.  With ``state='batch'`` counts, frequencies and
+group statistics are recomputed on the batch being transformed; the default
+``state='fit'`` uses the fitted ones.
 
 Output names follow the feature contract: ``c__te``, ``c__count``,
 ``c__freq``, ``c__woe``, ``grp_{keys}__{num}__{f}``, ``c__log1p``,
@@ -16,11 +17,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from causeway.functions.scalar import category
 from causeway.operators.features import derive, encode, groups, reduce
-from causeway.operators.joins import join_small
 
 
 @dataclass
@@ -61,47 +60,84 @@ class FeatureFactory:
             out = out.select("*", *derive.poly2_columns(self.num_cols))
         return out
 
-    def fit_transform(self, df: DataFrame, y: str | None = None, fold: str = "fold") -> DataFrame:
-        out = df
-        for c in self.cat_cols:
-            out = out.withColumn(c, category(c))
+    def _fit_levels(self, df: DataFrame, y: str | None, fold: str) -> DataFrame:
+        """Learns the level and group tables; returns ``df`` with the
+        out-of-fold target encodings, which only training rows get."""
+        out, fitted = df, self.fitted
         if y is not None and self.target_encoding and self.cat_cols:
             out, te_map = encode.target_encode_oof(out, self.cat_cols, y, self.n_splits, fold)
-            self.fitted["te_map"] = te_map.persist()
+            fitted["te_map"], fitted["te_mean"] = te_map.persist(), encode.global_mean(df, y)
         if self.count_freq and self.cat_cols:
-            out = encode.count_frequency(out, self.cat_cols)
+            counts, fitted["rows"] = encode.count_table(df, self.cat_cols)
+            fitted["counts"] = counts.persist()
         if y is not None and self.woe and self.cat_cols and encode.is_binary_target(df, y):
-            out = encode.woe_encode(out, self.cat_cols, y)
+            fitted["woe"] = encode.woe_table(df, self.cat_cols, y).persist()
         if self.group_stats and self.group_keys and self.num_cols:
-            out = groups.group_aggregates(out, self.group_keys, self.num_cols)
+            fitted["groups"] = [(k, t.persist()) for k, t in groups.group_tables(df, self.group_keys, self.num_cols)]
+        return out
+
+    def _apply_levels(self, out: DataFrame, batch: bool) -> DataFrame:
+        """Counts, WoE and group statistics from the fitted tables; ``batch``
+        takes counts and statistics from ``out`` instead."""
+        fitted = self.fitted
+        if "counts" in fitted:
+            table = (None, None) if batch else (fitted["counts"], fitted["rows"])
+            out = encode.count_frequency(out, self.cat_cols, *table)
+        if "woe" in fitted:
+            out = encode.woe_encode(out, self.cat_cols, table=fitted["woe"])
+        if "groups" in fitted:
+            tables = groups.group_tables(out, self.group_keys, self.num_cols) if batch else fitted["groups"]
+            out = groups.group_apply(out, tables)
+        return out
+
+    def _categories(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: category(c) for c in self.cat_cols}) if self.cat_cols else df
+
+    def fit_transform(self, df: DataFrame, y: str | None = None, fold: str = "fold") -> DataFrame:
+        self.release()
+        out = self._apply_levels(self._fit_levels(self._categories(df), y, fold), False)
         out = self._numeric(out, y)
+        fitted = self.fitted
         if self.leaf_embeddings and y is not None:
-            out = reduce.leaf_embedding(out, list(self.num_cols), y)
+            fitted["leaf"] = reduce.leaf_fit(out, list(self.num_cols), y)
+            out = reduce.leaf_apply(out, fitted["leaf"])
         if self.pca:
-            out = reduce.pca_features(out, self.feature_columns(out, df), self.pca)
-        if self.max_total_cols is not None:
-            cols = self.feature_columns(out, df)
-            if len(cols) > self.max_total_cols:
-                out, anchors = reduce.pca_cap(out, cols, self.max_total_cols, y,
-                                              keep=[c for c in out.columns if c not in cols])
-                self.fitted["anchors"] = anchors
+            fitted["pca"] = reduce.pca_fit(out, self.feature_columns(out, df), self.pca)
+            out = reduce.pca_apply(out, fitted["pca"])
+        cols = self.feature_columns(out, df)
+        if self.max_total_cols is not None and len(cols) > self.max_total_cols:
+            fitted["anchors"] = reduce.anchors_of(out, cols, y)
+            fitted["cap"] = reduce.pca_fit(out, fitted["anchors"], min(self.max_total_cols, len(fitted["anchors"])),
+                                           prefix="dsban_pc_")
+            fitted["replaced"] = cols
+            out = reduce.pca_apply(out, fitted["cap"]).drop(*cols)
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c in self.cat_cols:
-            out = out.withColumn(c, category(c))
-        te = self.fitted.get("te_map")
-        if te is not None:
-            for c in self.cat_cols:
-                tab = te.where(F.col("col") == c).select(F.col("level").alias("_lvl"),
-                                                          F.col("te").alias(f"{c}__te"))
-                out = join_small(out.withColumn("_lvl", F.col(c)), tab, "_lvl", "left").drop("_lvl")
-        if self.count_freq and self.cat_cols:
-            out = encode.count_frequency(out, self.cat_cols)
-        if self.group_stats and self.group_keys and self.num_cols:
-            out = groups.group_aggregates(out, self.group_keys, self.num_cols)
-        return self._numeric(out, None)
+        """The fitted steps on another batch: the same feature columns in the
+        same order.  Levels unknown to the fit get the global mean, count 0
+        and a NULL weight of evidence; unknown groups get NULLs."""
+        if "per" not in self.fitted:
+            raise ValueError("fit_transform first")
+        fitted, out = self.fitted, self._categories(df)
+        if "te_map" in fitted:
+            out = encode.target_encode_apply(out, self.cat_cols, fitted["te_map"], fitted["te_mean"])
+        out = self._numeric(self._apply_levels(out, self.state == "batch"), None)
+        if "leaf" in fitted:
+            out = reduce.leaf_apply(out, fitted["leaf"])
+        if "pca" in fitted:
+            out = reduce.pca_apply(out, fitted["pca"])
+        if "cap" in fitted:
+            out = reduce.pca_apply(out, fitted["cap"]).drop(*fitted["replaced"])
+        return out
+
+    def release(self) -> None:
+        """Drops the fitted state and frees its cached tables."""
+        for v in self.fitted.values():
+            for t in [t for _, t in v] if isinstance(v, list) and v and isinstance(v[0], tuple) else [v]:
+                if isinstance(t, DataFrame):
+                    t.unpersist()
+        self.fitted = {}
 
     @staticmethod
     def feature_columns(out: DataFrame, base: DataFrame) -> list[str]:

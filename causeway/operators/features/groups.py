@@ -30,11 +30,11 @@ def _median_long(df: DataFrame, keys: list[str], nums: Sequence[str]) -> DataFra
     return q.select("_key", "_num", F.col("q").alias("median"))
 
 
-def group_aggregates(df: DataFrame, key_sets: Sequence[Sequence[str]], nums: Sequence[str],
-                     funcs: Sequence[str] = AGG_FUNCS) -> DataFrame:
-    out = df
-    for keys in key_sets:
-        keys = list(keys)
+def group_tables(df: DataFrame, key_sets: Sequence[Sequence[str]], nums: Sequence[str],
+                 funcs: Sequence[str] = AGG_FUNCS) -> list[tuple[list[str], DataFrame]]:
+    """(keys, statistics table) per key set; the keys are named ``_k_<key>``."""
+    tables = []
+    for keys in map(list, key_sets):
         kname = "__".join(keys)
         aggs = []
         for n in nums:
@@ -54,11 +54,21 @@ def group_aggregates(df: DataFrame, key_sets: Sequence[Sequence[str]], nums: Seq
             wide = wide.select("_key", *[F.col(n).alias(f"grp_{kname}__{n}__median") for n in nums])
             stats = stats.withColumn("_key", F.to_json(F.struct(*[F.col(k) for k in keys])))
             stats = stats.join(wide, "_key", "left").drop("_key")
-        renamed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                               *[c for c in stats.columns if c not in keys])
-        cond = None
+        tables.append((keys, stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                                          *[c for c in stats.columns if c not in keys])))
+    return tables
+
+
+def group_apply(df: DataFrame, tables: Sequence[tuple[list[str], DataFrame]]) -> DataFrame:
+    """Joins fitted statistics back; a group they don't hold gets NULLs."""
+    for keys, stats in tables:
+        cond = F.lit(True)
         for k in keys:
-            c = out[k].eqNullSafe(renamed[f"_k_{k}"])
-            cond = c if cond is None else cond & c
-        out = join_small(out, renamed, cond, "left").drop(*[f"_k_{k}" for k in keys])
-    return out
+            cond = cond & df[k].eqNullSafe(stats[f"_k_{k}"])
+        df = join_small(df, stats, cond, "left").drop(*[f"_k_{k}" for k in keys])
+    return df
+
+
+def group_aggregates(df: DataFrame, key_sets: Sequence[Sequence[str]], nums: Sequence[str],
+                     funcs: Sequence[str] = AGG_FUNCS) -> DataFrame:
+    return group_apply(df, group_tables(df, key_sets, nums, funcs))

@@ -61,21 +61,38 @@ def _assemble(df: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(filled)
 
 
-def pca_features(df: DataFrame, cols: Sequence[str], k: int, scale: bool = True,
-                 prefix: str = "pca_") -> DataFrame:
+def pca_fit(df: DataFrame, cols: Sequence[str], k: int, scale: bool = True, prefix: str = "pca_") -> dict:
+    """Fitted scaler and components over ``cols`` (NULL counts as 0)."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
 
-    data = _assemble(df, cols, "_x")
-    src = "_x"
+    data, scaler = _assemble(df, cols, "_x").select("_x"), None
     if scale:
-        data = StandardScaler(inputCol="_x", outputCol="_xs", withMean=True, withStd=True) \
-            .fit(data).transform(data)
-        src = "_xs"
+        scaler = StandardScaler(inputCol="_x", outputCol="_xs", withMean=True, withStd=True).fit(data)
+        data = scaler.transform(data)
     k = min(k, len(cols))
-    model = PCA(k=k, inputCol=src, outputCol="_pc").fit(data)
-    out = model.transform(data).withColumn("_pca", vector_to_array("_pc"))
-    return out.select(*df.columns, *[F.col("_pca")[i].alias(f"{prefix}{i + 1}") for i in range(k)])
+    model = PCA(k=k, inputCol="_xs" if scale else "_x", outputCol="_pc").fit(data)
+    return {"cols": list(cols), "k": k, "scaler": scaler, "pca": model, "prefix": prefix}
+
+
+def pca_apply(df: DataFrame, fitted: dict) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    data = _assemble(df, fitted["cols"], "_x")
+    if fitted["scaler"] is not None:
+        data = fitted["scaler"].transform(data)
+    out = fitted["pca"].transform(data).withColumn("_pca", vector_to_array("_pc"))
+    return out.select(*df.columns, *[F.col("_pca")[i].alias(f"{fitted['prefix']}{i + 1}") for i in range(fitted["k"])])
+
+
+def pca_features(df: DataFrame, cols: Sequence[str], k: int, scale: bool = True,
+                 prefix: str = "pca_") -> DataFrame:
+    return pca_apply(df, pca_fit(df, cols, k, scale, prefix))
+
+
+def anchors_of(df: DataFrame, cols: Sequence[str], y: str | None = None) -> list[str]:
+    """The top max(20, ceil(0.2 p)) columns by score."""
+    scores = column_scores(df, cols, y).orderBy(F.col("score").desc(), F.col("feature")).collect()
+    return [r["feature"] for r in scores[:min(len(cols), max(MIN_ANCHORS, math.ceil(ANCHOR_FRAC * len(cols))))]]
 
 
 def pca_cap(df: DataFrame, cols: Sequence[str], cap: int, y: str | None = None,
@@ -84,24 +101,32 @@ def pca_cap(df: DataFrame, cols: Sequence[str], cap: int, y: str | None = None,
     there are more than ``cap`` of them; returns (frame, anchors)."""
     if len(cols) <= cap:
         return df, list(cols)
-    scores = column_scores(df, cols, y).orderBy(F.col("score").desc(), F.col("feature")).collect()
-    n_anchor = min(len(cols), max(MIN_ANCHORS, math.ceil(ANCHOR_FRAC * len(cols))))
-    anchors = [r["feature"] for r in scores[:n_anchor]]
-    out = pca_features(df.select(*keep, *anchors), anchors, min(cap, n_anchor), True, "dsban_pc_")
+    anchors = anchors_of(df, cols, y)
+    out = pca_features(df.select(*keep, *anchors), anchors, min(cap, len(anchors)), True, "dsban_pc_")
     return out.drop(*anchors), anchors
 
 
-def leaf_embedding(df: DataFrame, cols: Sequence[str], y: str, task: str = "reg",
-                   trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    """``leaf_idx_i`` — the leaf reached in each tree of a fitted GBT."""
+def leaf_fit(df: DataFrame, cols: Sequence[str], y: str, task: str = "reg",
+             trees: int = 20, depth: int = 4, seed: int = 42) -> dict:
+    """GBT of ``y`` on ``cols``, fitted on the rows that have a target."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
-    data = _assemble(df, cols, "_x")
     est = (GBTClassifier if task == "clf" else GBTRegressor)(
         featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, seed=seed, leafCol="_leaf")
-    model = est.fit(data.where(F.col(y).isNotNull()))
-    out = model.transform(data).withColumn("_l", vector_to_array("_leaf"))
+    return {"cols": list(cols), "trees": trees,
+            "model": est.fit(_assemble(df, cols, "_x").where(F.col(y).isNotNull()))}
+
+
+def leaf_apply(df: DataFrame, fitted: dict) -> DataFrame:
+    """``leaf_idx_i`` — the leaf reached in each tree of a fitted GBT."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = fitted["model"].transform(_assemble(df, fitted["cols"], "_x")).withColumn("_l", vector_to_array("_leaf"))
     return out.select(*df.columns, *[F.col("_l")[i].cast("int").alias(f"leaf_idx_{i}")
-                                     for i in range(trees)])
+                                     for i in range(fitted["trees"])])
+
+
+def leaf_embedding(df: DataFrame, cols: Sequence[str], y: str, task: str = "reg",
+                   trees: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
+    return leaf_apply(df, leaf_fit(df, cols, y, task, trees, depth, seed))

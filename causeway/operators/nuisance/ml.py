@@ -18,9 +18,23 @@ from causeway.config import EffectConfig
 from causeway.functions.scalar import aipw_psi, propensity
 
 
+def class_weights(df: DataFrame, scheme: bool | str = "balanced", t: str = "t") -> tuple[float, float]:
+    """(treated, control) weights: ``balanced`` (or True) n / (2 n_arm), ``sqrt``
+    the root of largest arm / n_arm, else 1; an empty arm counts as one row."""
+    if not scheme:
+        return 1.0, 1.0
+    n1, n = df.agg(F.sum(t), F.count(t)).first()
+    arms = max(n1 or 0, 1), max(n - (n1 or 0), 1)
+    if scheme == "sqrt":
+        return (max(arms) / arms[0]) ** 0.5, (max(arms) / arms[1]) ** 0.5
+    if scheme not in (True, "balanced"):
+        raise ValueError(f"unknown class weights: {scheme}")
+    return n / (2.0 * arms[0]), n / (2.0 * arms[1])
+
+
 def ml_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds: Sequence[int],
                 fold: str = "fold", max_iter: int = 20, max_depth: int = 4, step: float = 0.1,
-                balanced: bool = True, outcome_loss: str = "squared",
+                balanced: bool | str = True, outcome_loss: str = "squared",
                 tweedie_power: float = 1.3) -> DataFrame:
     """``outcome_loss='tweedie'`` fits the arm outcome models as Tweedie GLMs
     (log link, variance power in [1.1, 1.9]) instead of squared-loss GBTs."""
@@ -31,13 +45,8 @@ def ml_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds
 
     asm = VectorAssembler(inputCols=list(xcols), outputCol="_x", handleInvalid="keep")
     data = asm.transform(panel.fillna(0.0, subset=list(xcols)))
-    if balanced:  # class weights n / (2·n_arm), as a balanced classifier would use
-        n1, n = data.agg(F.sum("t").alias("a"), F.count(F.lit(1)).alias("b")).first()
-        w1 = n / (2.0 * max(n1 or 1, 1))
-        w0 = n / (2.0 * max(n - (n1 or 0), 1))
-        data = data.withColumn("_w", F.when(F.col("t") == 1, w1).otherwise(w0))
-    else:
-        data = data.withColumn("_w", F.lit(1.0))
+    w1, w0 = class_weights(data, balanced)
+    data = data.withColumn("_w", F.when(F.col("t") == 1, w1).otherwise(w0))
     parts = None
     for f in sorted(folds):
         train = data.where(F.col(fold) != f)

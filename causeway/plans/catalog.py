@@ -724,6 +724,75 @@ def q_factory(spark, sf_dir):
     return out.select("id", *ff.feature_columns(out, customer_folds(spark, sf_dir)))
 
 
+@query("feature_transform")
+def q_feature_transform(spark, sf_dir):
+    """Fitted on the labelled documents, applied to all documents."""
+    from causeway.sources.tables import read_table
+
+    ff = FeatureFactory(cat_cols=CAT_COLS, num_cols=["n_chars"], group_keys=[["lang"]], woe=True,
+                        ratios=False, interactions=False, quantile_bins=0, poly2=False)
+    ff.fit_transform(_docs_folded(spark, sf_dir), "quality")
+    out = ff.transform(read_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars"))
+    fitted = [c for c in out.columns if c.endswith(("__te", "__woe", "__freq", "__mean", "__log1p"))]
+    return out.select(F.col("doc_id").alias("id"), *[r(c, 6).alias(c) for c in fitted],
+                      *[c for c in out.columns if c.endswith("__count")])
+
+
+# ------------------------------------------------------------ cleaning steps and small scores
+from causeway.functions import schema  # noqa: E402
+from causeway.functions.scalar import fused_score, weight_cap  # noqa: E402
+from causeway.operators.nuisance.ml import class_weights  # noqa: E402
+
+
+@query("outcome_change")
+def q_outcome_change(spark, sf_dir):
+    out = schema.derived_outcome(panel_customer(spark, sf_dir), "y", "before_amt", "y_change")
+    return out.select("id", r("y_change", 2).alias("y_change"))
+
+
+@query("capped_weights")
+def q_capped_weights(spark, sf_dir):
+    t, e = F.col("t"), F.col("e")
+    return customer_nuisance(spark, sf_dir).select(
+        "id", r(weight_cap(t / e + (1 - t) / (1 - e), 1.5), 6).alias("weight"))
+
+
+@query("finite_rows")
+def q_finite_rows(spark, sf_dir):
+    p = panel_customer(spark, sf_dir).withColumn("per_order", F.col("before_amt") / F.nullif(
+        F.col("before_cnt").cast("double"), F.lit(0.0)))
+    return clean.finite(p.withColumn("log_balance", F.when(F.col("acctbal") >= 0, F.log("acctbal"))),
+                        "per_order", "log_balance").select("id", "per_order")
+
+
+@query("repaired_predictions")
+def q_repaired(spark, sf_dir):
+    lost = F.col("acctbal") < 0
+    nuis = customer_nuisance(spark, sf_dir)
+    nuis = nuis.withColumn("mu1", F.when(~lost, F.col("mu1"))).withColumn(
+        "mu0", F.when(lost, F.lit(float("nan"))).otherwise(F.col("mu0")))
+    out = clean.repair_predictions(nuis)
+    return out.where(lost).select("id", r("mu1", 4).alias("mu1"), r("mu0", 4).alias("mu0"))
+
+
+@query("fused_scores")
+def q_fused_scores(spark, sf_dir):
+    return customer_tau(spark, sf_dir).select("id", r(fused_score("tau", "psi", 0.3), 4).alias("score"))
+
+
+@query("validity_gate")
+def q_validity_gate(spark, sf_dir):
+    return clean.validity_gate(customer_tau(spark, sf_dir), DEFAULT.n_splits, group=["seg"])
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    panel = panel_customer(spark, sf_dir)
+    rows = [(s, *class_weights(panel, s)) for s in ("balanced", "sqrt")]
+    return spark.createDataFrame(rows, "scheme string, treated double, control double").select(
+        "scheme", r("treated", 6).alias("treated"), r("control", 6).alias("control"))
+
+
 # ------------------------------------------------------------ event-log panel (small-n case)
 from causeway.sources.panels import event_cell, panel_events  # noqa: E402
 

@@ -865,3 +865,50 @@ cu AS (SELECT p.t, p.y, p.y - coalesce(tr.theta, 0.0) * (p.before_amt - tr.xm) A
 SELECT count(*) AS n,
        round(avg(CASE WHEN t = 1 THEN yc END) - avg(CASE WHEN t = 0 THEN yc END), 2) + 0.0 AS diff_cuped,
        round(1 - var_samp(yc) / var_samp(y), 5) + 0.0 AS var_reduction FROM cu""")
+
+# ------------------------------------------------------------ fitted features, cleaning steps, small scores
+ORACLE["feature_transform"] = TE_CTES + """,
+tm AS (SELECT col, level, avg(te) AS te FROM te WHERE te IS NOT NULL GROUP BY col, level),
+n AS (SELECT count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS t1,
+             count(CASE WHEN quality = 0 THEN 1 END) AS t0 FROM d),
+c AS (SELECT col, level, count(*) AS c, count(CASE WHEN quality = 1 THEN 1 END) AS n1,
+             count(CASE WHEN quality = 0 THEN 1 END) AS n0 FROM lv GROUP BY col, level),
+w AS (SELECT col, level, c, CASE WHEN n1 > 0 AND n0 > 0 THEN ln((n1 / t1) / (n0 / t0)) END AS woe FROM c CROSS JOIN n),
+g AS (SELECT d.lang, avg(CAST(x.n_chars AS DOUBLE)) AS m, CAST(count(x.n_chars) AS DOUBLE) AS k
+      FROM d JOIN documents x ON x.doc_id = d.id GROUP BY d.lang),
+a AS (SELECT doc_id AS id, n_chars, coalesce(CAST(lang AS VARCHAR), '__NA__') AS lang,
+             coalesce(CAST(source AS VARCHAR), '__NA__') AS source FROM documents)
+SELECT a.id, round(coalesce(tl.te, gm.gm), 6) + 0.0 AS lang__te, round(coalesce(ts.te, gm.gm), 6) + 0.0 AS source__te,
+       CAST(coalesce(wl.c, 0) AS DOUBLE) AS lang__count, CAST(coalesce(ws.c, 0) AS DOUBLE) AS source__count,
+       round(coalesce(wl.c, 0) / n.n, 6) + 0.0 AS lang__freq, round(coalesce(ws.c, 0) / n.n, 6) + 0.0 AS source__freq,
+       round(wl.woe, 6) + 0.0 AS lang__woe, round(ws.woe, 6) + 0.0 AS source__woe,
+       round(g.m, 6) + 0.0 AS grp_lang__n_chars__mean, g.k AS grp_lang__n_chars__count,
+       round(CASE WHEN a.n_chars IS NOT NULL THEN ln(1 + greatest(CAST(a.n_chars AS DOUBLE), 0.0)) END, 6) + 0.0
+         AS n_chars__log1p
+FROM a CROSS JOIN gm CROSS JOIN n
+LEFT JOIN tm tl ON tl.col = 'lang' AND tl.level = a.lang LEFT JOIN tm ts ON ts.col = 'source' AND ts.level = a.source
+LEFT JOIN w wl ON wl.col = 'lang' AND wl.level = a.lang LEFT JOIN w ws ON ws.col = 'source' AND ws.level = a.source
+LEFT JOIN g ON g.lang = a.lang"""
+
+ORACLE["outcome_change"] = f"SELECT id, round(y - before_amt, 2) + 0.0 AS y_change FROM ({PANEL_CUSTOMER})"
+ORACLE["capped_weights"] = with_customer(
+    "SELECT id, round(least(CASE WHEN t = 1 THEN 1 / e ELSE 1 / (1 - e) END, 1.5), 6) + 0.0 AS weight FROM nu")
+ORACLE["finite_rows"] = f"""
+SELECT id, before_amt / before_cnt AS per_order FROM ({PANEL_CUSTOMER})
+WHERE before_cnt > 0 AND acctbal > 0"""
+ORACLE["repaired_predictions"] = with_customer("""
+SELECT a.id,
+       round((SELECT avg(b.y) FROM nu b WHERE b.t = 1 AND b.fold <> a.fold), 4) + 0.0 AS mu1,
+       round((SELECT avg(b.y) FROM nu b WHERE b.t = 0 AND b.fold <> a.fold), 4) + 0.0 AS mu0
+FROM nu a WHERE a.acctbal < 0""")
+ORACLE["fused_scores"] = with_tau("SELECT id, round(0.7 * tau + 0.3 * psi, 4) + 0.0 AS score FROM ht")
+ORACLE["validity_gate"] = with_tau("""
+SELECT seg, count(CASE WHEN psi IS NOT NULL AND tau IS NOT NULL THEN 1 END) AS n_valid,
+       count(CASE WHEN psi IS NOT NULL AND tau IS NOT NULL THEN 1 END) >= 30 AS valid,
+       CASE WHEN count(CASE WHEN psi IS NOT NULL AND tau IS NOT NULL THEN 1 END) < 30
+            THEN 'too few valid out-of-fold points' END AS note
+FROM ht GROUP BY seg""")
+ORACLE["class_weights"] = f"""
+WITH n AS (SELECT CAST(sum(t) AS DOUBLE) AS a, CAST(sum(1 - t) AS DOUBLE) AS b FROM ({PANEL_CUSTOMER}))
+SELECT 'balanced' AS scheme, round((a + b) / (2 * a), 6) + 0.0 AS treated, round((a + b) / (2 * b), 6) + 0.0 AS control FROM n
+UNION ALL SELECT 'sqrt', round(sqrt(greatest(a, b) / a), 6) + 0.0, round(sqrt(greatest(a, b) / b), 6) + 0.0 FROM n"""
