@@ -1,8 +1,9 @@
 """Seeded hyper-parameter search for the Spark ML nuisance learners.
 
 A trial fits the cross-fitted GBT nuisances with one parameter set (k × 3
-distributed fits), derives τ̂ with the segment DR learner and scores the
-trial with distributed aggregates only.  Objectives:
+distributed fits), learns τ̂ by a cross-fitted GBT of ψ with the same parameters
+(or takes the segment DR learner, if segments are given) and scores the trial
+with distributed aggregates only.  Objectives:
 
 * ``nauuc``     — mean over folds of the uncentred nAUUC (oracle ≤ 0 → 0);
 * ``nauuc_ci``  — that minus λ · (normalised 95 % CI width of ψ), λ = 0.15;
@@ -49,8 +50,10 @@ def search_space(trials: int, seed: int) -> list[dict]:
 
 
 def ranker_scores(nuis: DataFrame, xcols: Sequence[str], folds: Sequence[int], fold: str = "fold",
-                  seed: int = 42) -> DataFrame:
-    """Cross-fitted pointwise ranker: GBT regression of ψ on x, per fold."""
+                  seed: int = 42, out: str = "rank_score", max_iter: int = 10, max_depth: int = 3,
+                  step: float = 0.1) -> DataFrame:
+    """Cross-fitted GBT regression of ψ on x, per fold: the pointwise ranker
+    and, with a trial's parameters, its effect learner."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -58,16 +61,22 @@ def ranker_scores(nuis: DataFrame, xcols: Sequence[str], folds: Sequence[int], f
         nuis.fillna(0.0, subset=list(xcols)))
     parts = None
     for f in sorted(folds):
-        m = GBTRegressor(featuresCol="_rx", labelCol="psi", maxIter=10, maxDepth=3, seed=seed + f,
-                         predictionCol="rank_score").fit(data.where((F.col(fold) != f) & F.col("psi").isNotNull()))
+        m = GBTRegressor(featuresCol="_rx", labelCol="psi", maxIter=max_iter, maxDepth=max_depth, stepSize=step,
+                         seed=seed + f, predictionCol=out).fit(
+            data.where((F.col(fold) != f) & F.col("psi").isNotNull()))
         p = m.transform(data.where(F.col(fold) == f))
         parts = p if parts is None else parts.unionByName(p)
     return parts.drop("_rx")
 
 
-def evaluate(nuis: DataFrame, segment: Column | str, objective: str, band: tuple[float, float],
-             k: int, xcols: Sequence[str] = (), folds: Sequence[int] = ()) -> dict:
-    tau = hte.dr_segment(nuis, segment)
+def evaluate(nuis: DataFrame, segment: Column | str | None, objective: str, band: tuple[float, float],
+             k: int, xcols: Sequence[str] = (), folds: Sequence[int] = (), **learner) -> dict:
+    """Scores of one trial; ``learner`` (max_iter, max_depth, step) are its
+    parameters, used for τ̂ where no segments are given."""
+    if segment is None:
+        tau = ranker_scores(nuis, xcols, folds, out="tau", **learner)
+    else:
+        tau = hte.dr_segment(nuis, segment)
     if objective == "fused":
         tau = ranker_scores(tau, xcols, folds).withColumn(
             "tau", fused_score("tau", "rank_score", ETA_FUSED))
@@ -95,12 +104,13 @@ def evaluate(nuis: DataFrame, segment: Column | str, objective: str, band: tuple
 
 
 def tune(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, folds: Sequence[int],
-         segment: Column | str, objective: str = "nauuc_ci", trials: int = 3, seed: int = 42,
+         segment: Column | str | None = None, objective: str = "nauuc_ci", trials: int = 3, seed: int = 42,
          stop: float = 0.5, band: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
     rows = []
     for i, params in enumerate(search_space(trials, seed)):
         nuis = ml_nuisance(panel, xcols, cfg, folds, **params).persist(StorageLevel.MEMORY_AND_DISK)
-        res = evaluate(nuis, segment, objective, band, len(folds), xcols, folds)
+        learner = {p: params[p] for p in ("max_iter", "max_depth", "step")}
+        res = evaluate(nuis, segment, objective, band, len(folds), xcols, folds, **learner)
         nuis.unpersist()
         rows.append({"trial": i, **params, **res})
         if res["objective"] is not None and res["objective"] >= stop:

@@ -680,8 +680,7 @@ def q_tune(spark, sf_dir):
     from causeway.operators.folds import assign_folds
 
     panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)
-    return tuning.tune(panel, LEARN_X, DEFAULT, [0, 1, 2], customer_cell(),
-                       objective="nauuc_ci", trials=2, seed=42)
+    return tuning.tune(panel, LEARN_X, DEFAULT, [0, 1, 2], objective="nauuc_ci", trials=2, seed=42)
 
 
 # ------------------------------------------------------------ cleaning, calibration, feature step
