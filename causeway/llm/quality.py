@@ -6,6 +6,12 @@ a beta prior fitted to the hosts themselves (method of moments), and the
 host verdicts are joined back: a document of a failing host must also pass
 the strict rules, one of a good host only the base rules.
 
+The report (``judge``) fails a host at a fixed rate of base failures, as its
+SQL twin says.  The stage goes further: failures of the strict rules are
+aggregated and shrunk by host as well, a host also fails where one of its
+shrunk rates stands out from the corpus, and a text that breaks a strict rule
+clearly goes whatever its host.
+
 Measures: words are runs of bytes other than ASCII white space; lines are
 split at ``\\n`` and count if they hold a word.  Null or empty text has no
 words and fails.  Rows are judged one by one, so repeated rows each get the
@@ -29,6 +35,12 @@ HOST_LIMIT = 0.5
 #: Strict rules for documents of failing hosts, in percent of words / lines.
 STRICT_SYMBOL_PCT = 10
 STRICT_DUP_LINE_PCT = 30
+#: In the stage a host also fails if a shrunk rate, less SPREADS of its
+#: posterior, exceeds so many times the corpus mean.
+STAND_OUT, SPREADS = 1.5, 2.0
+#: In the stage a text beyond these fails in any host.
+CLEAR_SYMBOL_PCT = 100
+CLEAR_DUP_LINE_PCT = 60
 
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in
                          ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
@@ -83,43 +95,61 @@ def base_failed(m: str = "m") -> Column:
             | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PCT * F.col(f"{m}.n_words")))
 
 
-def strict_failed(m: str = "m") -> Column:
-    return ((100 * F.col(f"{m}.n_symbols") > STRICT_SYMBOL_PCT * F.col(f"{m}.n_words"))
-            | (100 * F.col(f"{m}.n_dup_lines") > STRICT_DUP_LINE_PCT * F.col(f"{m}.n_lines")))
+def strict_failed(m: str = "m", symbol_pct: int = STRICT_SYMBOL_PCT, dup_line_pct: int = STRICT_DUP_LINE_PCT) -> Column:
+    return ((100 * F.col(f"{m}.n_symbols") > symbol_pct * F.col(f"{m}.n_words"))
+            | (100 * F.col(f"{m}.n_dup_lines") > dup_line_pct * F.col(f"{m}.n_lines")))
 
 
 def host_rates(docs: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, rate, shrunk, host_failed) per source.
+    """(host, n_docs, n_failed, rate, n_strict, strict_rate, shrunk,
+    host_failed, strict_shrunk, stands_out) per source.
 
     The prior is beta(a, b) with the mean and variance of the hosts' rates:
     mean m, variance v, strength s = m(1-m)/v - 1 (at least 1, at most 1e6;
-    1 where v is 0 or m is 0 or 1); shrunk = (failed + m s) / (n + s).
+    1 where v is 0 or m is 0 or 1); shrunk = (failed + m s) / (n + s).  Base
+    and strict failures have a prior each.
     """
     hosts = (docs.select(F.col("source").alias("host"), measures(F.col("text")).alias("m"))
              .groupBy("host").agg(F.count("*").alias("n_docs"),
-                                  F.sum(base_failed().cast("long")).alias("n_failed"))
-             .withColumn("rate", F.col("n_failed") / F.col("n_docs")))
+                                  F.sum(base_failed().cast("long")).alias("n_failed"),
+                                  F.sum(strict_failed().cast("long")).alias("n_strict"))
+             .withColumn("rate", F.col("n_failed") / F.col("n_docs"))
+             .withColumn("strict_rate", F.col("n_strict") / F.col("n_docs")))
     return shrink(hosts)
 
 
+def _prior(failed: str, rate: str) -> Column:
+    """Struct (mean, strength) of the beta prior: a global aggregate."""
+    mean, var = F.sum(failed) / F.sum("n_docs"), F.var_pop(rate)
+    return F.struct(mean.alias("mean"), F.when((var > 0) & mean.between(1e-12, 1 - 1e-12), F.least(
+        F.lit(1e6), F.greatest(F.lit(1.0), mean * (1 - mean) / var - 1))).otherwise(1.0).alias("strength"))
+
+
+def _shrunk(failed: str, prior: str) -> Column:
+    return ((F.col(failed) + F.col(f"{prior}.mean") * F.col(f"{prior}.strength"))
+            / (F.col("n_docs") + F.col(f"{prior}.strength")))
+
+
+def _stands_out(shrunk: str, prior: str) -> Column:
+    spread = F.sqrt(F.col(shrunk) * (1 - F.col(shrunk)) / (F.col("n_docs") + F.col(f"{prior}.strength") + 1))
+    return F.col(shrunk) - SPREADS * spread > STAND_OUT * F.col(f"{prior}.mean")
+
+
 def shrink(hosts: DataFrame) -> DataFrame:
-    """Adds shrunk and host_failed to (host, n_docs, n_failed, rate)."""
-    prior = (hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.var_pop("rate").alias("var"))
-             .select("mean", F.when((F.col("var") > 0) & F.col("mean").between(1e-12, 1 - 1e-12),
-                                    F.least(F.lit(1e6), F.greatest(
-                                        F.lit(1.0), F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1)))
-                     .otherwise(1.0).alias("strength")))
+    """Adds the shrunk rates and verdicts to the hosts' counts and rates."""
+    prior = hosts.agg(_prior("n_failed", "rate").alias("base"), _prior("n_strict", "strict_rate").alias("strict"))
     # one row: the broadcast side is a global aggregate
     return (hosts.join(F.broadcast(prior))
-            .withColumn("shrunk", (F.col("n_failed") + F.col("mean") * F.col("strength"))
-                        / (F.col("n_docs") + F.col("strength")))
+            .withColumn("shrunk", _shrunk("n_failed", "base"))
             .withColumn("host_failed", F.col("shrunk") > HOST_LIMIT)
-            .drop("mean", "strength"))
+            .withColumn("strict_shrunk", _shrunk("n_strict", "strict"))
+            .withColumn("stands_out", _stands_out("shrunk", "base") | _stands_out("strict_shrunk", "strict"))
+            .drop("base", "strict"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, stage: bool = False) -> DataFrame:
     """Every row of ``docs`` with the columns m (measures), base_failed and
-    kept added.
+    kept added; ``stage`` adds the stage's verdicts to the report's.
 
     Host totals are partial aggregates per source; the join back is on the
     host, planned by size at run time (broadcast where the host table turns
@@ -129,10 +159,12 @@ def judge(docs: DataFrame) -> DataFrame:
     names = set(docs.columns) & {"m", "base_failed", "kept", "host", "host_failed"}
     if names:
         raise ValueError(f"columns {sorted(names)} clash with the verdict's; rename them first")
-    verdicts = host_rates(docs).select("host", "host_failed")
+    failed = F.col("host_failed") | F.col("stands_out") if stage else F.col("host_failed")
+    verdicts = host_rates(docs).select("host", failed.alias("host_failed"))
+    clear = strict_failed("m", CLEAR_SYMBOL_PCT, CLEAR_DUP_LINE_PCT) if stage else F.lit(False)
     marked = docs.withColumn("m", measures(F.col("text"))).withColumn("base_failed", base_failed())
     return (marked.join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
-            .withColumn("kept", ~F.col("base_failed")
+            .withColumn("kept", ~F.col("base_failed") & ~clear
                         & ~(F.coalesce(F.col("host_failed"), F.lit(False)) & strict_failed()))
             .drop("host", "host_failed"))
 
@@ -149,4 +181,4 @@ def quality_stage(docs: DataFrame) -> DataFrame:
     names are set aside during the judging."""
     names = docs.columns
     packed = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return judge(packed).where("kept").select("row.*")
+    return judge(packed, stage=True).where("kept").select("row.*")

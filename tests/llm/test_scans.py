@@ -197,6 +197,23 @@ def test_host_verdict_and_stage(spark):
     assert quality.quality_report(df.limit(0)).count() == 0
 
 
+def test_stage_fails_hosts_that_stand_out_and_clear_breaks(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    odd = " ".join(f"w{i}#" if i < 12 else f"w{i}" for i in range(60))
+    worst = " ".join(f"w{i}##" for i in range(60))
+    lines = "\n".join([good] + ["one more line"] * 9)
+    rows = [(100 * h + i, good, f"h{h}") for h in range(20) for i in range(30)]
+    rows += [(5000 + i, odd, "h3") for i in range(12)] + [(6000, odd, "h4"), (6001, worst, "h5"), (6002, lines, "h6"),
+                                                          (6003, None, "h6"), (6004, odd, None), (6005, good, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # no host fails half of its documents: the report keeps what passes the base rules
+    assert quality.quality_report(df).where("not base_failed and not kept").count() == 0
+    hosts = {r.host: r.stands_out for r in quality.host_rates(df).collect()}
+    assert {h for h, out in hosts.items() if out} == {"h3"}
+    kept = {r.doc_id for r in quality.quality_stage(df).collect()}
+    assert kept == {d for d, t, _ in rows if t == good} | {6000, 6004}
+
+
 # --- WARC ----------------------------------------------------------------
 
 PAGES = [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nx", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "v", "WARC/1.0\r\n\r\n\r\nx"),
