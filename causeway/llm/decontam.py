@@ -2,14 +2,17 @@
 
 A benchmark item of m words is looked for in all windows of m words of a
 document (the whole document if it is shorter).  Windows and items are
-compared in three steps, each lossless for the next:
+compared in three steps; no pair at ``SIMILARITY`` is lost on the way:
 
 1. A window can only be similar if it shares a five-word shingle with the
    item, so windows without one are not fingerprinted.
 2. 64-bit SimHash fingerprints; a multi-index over ``BLOCKS`` bit blocks
    finds every item of that size within ``RADIUS`` bits (RADIUS + 1 blocks:
-   at least one is equal), then the distance is taken.  At a similarity of
-   0.8 the distance is about 10 bits with a spread of 3, so RADIUS is 20.
+   at least one is equal), then the distance is taken.  Fingerprints miss
+   pairs where few shingles hold most of the weight, so a window they pass
+   over is compared all the same if the weight it shares with the item allows
+   the similarity: with c the weight of the window's shingles that the item
+   holds, it is at most c / (weight of item + weight of window - c).
 3. The exact weighted-shingle similarity of window and item, sum of minima
    over sum of maxima of the shingle counts, each weighted by 1 / (number of
    items that hold the shingle), must be at least ``SIMILARITY``.
@@ -83,6 +86,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[tuple[int, int, Counter, int]] = []     # id, shingles, counts, fingerprint
+        self.total: list[float] = []                             # weight of all its shingles
         holders: dict[int, set[int]] = defaultdict(set)
         parsed = []
         for item_id, text in dict(items).items():
@@ -98,6 +102,7 @@ class Index:
         for i, (item_id, sh) in enumerate(parsed):
             f = int(_simhashes(sh, self._weights(sh), np.zeros(1, np.int64), len(sh))[0])
             self.items.append((item_id, len(sh), Counter(sh.tolist()), f))
+            self.total.append(float(self._weights(sh).sum()))
             for b, value in enumerate(_blocks(f)):
                 self.lookup[len(sh), b, value].append(i)
         self.lookup = dict(self.lookup)
@@ -114,6 +119,27 @@ class Index:
             high += w * max(window.get(x, 0), counts.get(x, 0))
         return low / high if high else 0.0
 
+    def _allowed(self, held: dict[int, list[int]], weight: np.ndarray) -> dict[int, dict[int, set[int]]]:
+        """Per item size and start the items that a window of that size may
+        be similar to, by the weight it shares with them."""
+        out: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        total = np.concatenate(([0.0], np.cumsum(weight)))
+        n = len(weight)
+        for i, where in held.items():
+            p = np.array(where, np.int64)
+            shared = np.concatenate(([0.0], np.cumsum(weight[p])))
+            if shared[-1] < SIMILARITY * self.total[i] - 1e-6:
+                continue
+            m = self.items[i][1]
+            size = min(m, n)
+            start = np.unique(np.clip(np.concatenate((p, p - size + 1)), 0, n - size))
+            start = np.arange(start[0], start[-1] + 1)
+            c = shared[np.searchsorted(p, start + size)] - shared[np.searchsorted(p, start)]
+            most = self.total[i] + total[start + size] - total[start] - c
+            for s in start[c >= SIMILARITY * most - 1e-6].tolist():
+                out[m][s].add(i)
+        return out
+
     def find(self, text: str | None) -> list[tuple[int, float, int]]:
         """(item id, similarity, first word of the best window) of the items
         the text holds."""
@@ -127,11 +153,14 @@ class Index:
         if not len(hits):
             return []
         by_size: dict[int, set[int]] = defaultdict(set)
+        held: dict[int, list[int]] = defaultdict(list)
         for p in hits.tolist():
-            for i in self.holders[int(sh[p])]:
-                m = self.items[i][1]
+            for m in {self.items[i][1] for i in self.holders[int(sh[p])]}:
                 by_size[m].update(range(max(0, p - m + 1), max(0, min(p, len(sh) - m)) + 1))
+            for i in self.holders[int(sh[p])]:
+                held[i].append(p)
         weight = self._weights(sh)
+        allowed = self._allowed(held, weight)
         best: dict[int, tuple[float, int]] = {}
         for m, where in by_size.items():
             size = min(m, len(sh))
@@ -142,6 +171,7 @@ class Index:
             for s, f in zip(starts.tolist(), prints.tolist()):
                 near = {i for b, value in enumerate(_blocks(f)) for i in self.lookup.get((m, b, value), ())
                         if (f ^ self.items[i][3]).bit_count() <= RADIUS}
+                near |= allowed[m].get(s, set())
                 if near:
                     window = Counter(sh[s:s + size].tolist())
                     for i in near:

@@ -141,6 +141,28 @@ def test_decontamination_matches_all_windows(spark, monkeypatch):
     assert decontam.contamination(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_of_repeated_items_pass_the_filter():
+    """An unknown shingle outweighs many shared ones: the fingerprints are far
+    apart where the similarity is still above the limit."""
+    rng = random.Random(11)
+    ws = vocabulary(rng, 3000)
+    missed = found = 0
+    for n, copies in ((55, 8), (30, 5), (40, 8), (55, 10), (55, 5)):
+        text = [rng.choice(ws) for _ in range(n + 4)]
+        items = [(i, " ".join(text)) for i in range(copies)] + [(99, " ".join(rng.choice(ws) for _ in range(n + 4)))]
+        leak = [*text[:-1], "changed"]
+        docs = [(k, " ".join([rng.choice(ws) for _ in range(k)] + leak + [rng.choice(ws) for _ in range(30)])) for k in range(5)]
+        want = plain_contamination(docs, items)
+        index = decontam.Index(items)
+        for d, t in docs:
+            assert sorted(i for i, *_ in index.find(t)) == want[d]
+            found += len(want[d])
+        window = decontam.shingles(decontam.words(" ".join(leak)))
+        print_ = decontam._simhashes(window, index._weights(window), np.zeros(1, np.int64), len(window))[0]
+        missed += (int(print_) ^ index.items[0][3]).bit_count() > decontam.RADIUS
+    assert found == 5 * (8 + 5 + 8 + 10 + 5) and missed >= 2
+
+
 # --- near-duplicates -----------------------------------------------------------
 
 def plain_components(docs, pct=85):
