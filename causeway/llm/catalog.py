@@ -31,7 +31,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
-                                  read(spark, sf_dir, "benchmark", "item_id", "text"))
+                                  read(spark, sf_dir, "benchmark", "item_id", "text"), short_items=True)
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ compared in three steps; no pair at ``SIMILARITY`` is lost on the way:
    items that hold the shingle), must be at least ``SIMILARITY``.
 
 Words are lower-cased, split at ASCII white space and stripped of ASCII
-punctuation; items of fewer than five words are one shingle.  The benchmark
+punctuation; items of fewer than five words are one shingle.  With
+``short_items`` such an item of m words is looked for in all windows of m
+words too (one shingle: a window is equal or not similar at all); without, it
+only matches a whole document of m words.  The benchmark
 is a query set: it is taken in blocks of at most ``BLOCK_SHINGLES`` shingles
 (the bound of a broadcast), each run against all documents.  Null texts and
 items match nothing; repeated items count once.
@@ -55,13 +58,13 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(_STRIP) for x in (text or "").lower().encode("utf-8", "replace").split()) if w]
 
 
-def shingles(ws: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the word shingles, in order."""
+def shingles(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles of ``size`` words, in order."""
     n = len(ws)
     if not n:
         return np.zeros(0, np.uint64)
     h = np.fromiter((xxh3_64_intdigest(w) for w in ws), np.uint64, n)
-    size = min(n, SHINGLE)
+    size = min(n, size)
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
         out = out * _MULTIPLIER + h[i:n - size + 1 + i]
@@ -84,14 +87,18 @@ def _blocks(fingerprint: int) -> list[int]:
 class Index:
     """One block of benchmark items, ready for lookups."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], short_items: bool = False):
         self.items: list[tuple[int, int, Counter, int]] = []     # id, shingles, counts, fingerprint
         self.total: list[float] = []                             # weight of all its shingles
         holders: dict[int, set[int]] = defaultdict(set)
         parsed = []
+        self.short: dict[int, dict[int, list[int]]] = {}         # words, shingle, items
         for item_id, text in dict(items).items():
-            sh = shingles(words(text))
+            ws = words(text)
+            sh = shingles(ws)
             if len(sh):
+                if short_items and len(ws) < SHINGLE:
+                    self.short.setdefault(len(ws), {}).setdefault(int(sh[0]), []).append(len(parsed))
                 parsed.append((item_id, sh))
                 for x in sh.tolist():
                     holders[x].add(len(parsed) - 1)
@@ -145,13 +152,24 @@ class Index:
         the text holds."""
         if not len(self.known):
             return []
-        sh = shingles(words(text))
+        ws = words(text)
+        sh = shingles(ws)
         if not len(sh):
             return []
+        best: dict[int, tuple[float, int]] = {}
+        for size, items in self.short.items():
+            for s, x in enumerate(shingles(ws, size).tolist()):
+                for i in items.get(x, ()):
+                    best.setdefault(i, (1.0, s))
+        self._find_long(sh, best)
+        return sorted((self.items[i][0], sim, s) for i, (sim, s) in best.items())
+
+    def _find_long(self, sh: np.ndarray, best: dict[int, tuple[float, int]]) -> None:
+        """Adds the items found in the windows of the shingles ``sh``."""
         at = np.searchsorted(self.known, sh)
         hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == sh)
         if not len(hits):
-            return []
+            return
         by_size: dict[int, set[int]] = defaultdict(set)
         held: dict[int, list[int]] = defaultdict(list)
         for p in hits.tolist():
@@ -161,7 +179,6 @@ class Index:
                 held[i].append(p)
         weight = self._weights(sh)
         allowed = self._allowed(held, weight)
-        best: dict[int, tuple[float, int]] = {}
         for m, where in by_size.items():
             size = min(m, len(sh))
             starts = np.array(sorted(where), np.int64)
@@ -178,10 +195,9 @@ class Index:
                         sim = self.similarity(window, i)
                         if sim >= SIMILARITY - 1e-12 and sim > best.get(i, (0.0, 0))[0]:
                             best[i] = (sim, s)
-        return sorted((self.items[i][0], sim, s) for i, (sim, s) in best.items())
 
 
-def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
+def index_blocks(benchmark: DataFrame, short_items: bool = False) -> Iterator[Index]:
     """The benchmark (item_id, text) in blocks of bounded size, in id order."""
     block: list[tuple[int, str]] = []
     size = 0
@@ -189,18 +205,18 @@ def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
                           .orderBy("item_id").toLocalIterator()):
         n = len(text.split())
         if block and size + n > BLOCK_SHINGLES:
-            yield Index(block)
+            yield Index(block, short_items)
             block, size = [], 0
         block.append((item_id, text))
         size += n
-    yield Index(block)
+    yield Index(block, short_items)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """Per doc_id: contaminated, item_ids (comma-joined, in order), n_items
     and similarity (of the best window, 0 without one)."""
     found = None
-    for index in index_blocks(benchmark):
+    for index in index_blocks(benchmark, short_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -221,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          F.size("items").cast("long").alias("n_items"), "similarity")
 
 
-def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; no shuffle."""
     def clean(shared):
         @F.pandas_udf(T.BooleanType())
@@ -231,6 +247,6 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession)
     out = docs
-    for index in index_blocks(benchmark):
+    for index in index_blocks(benchmark, short_items):
         out = out.where(clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))
     return out

@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.decontaminate_stage(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontam.decontaminate_stage(docs, read(spark, sf_dir, "benchmark", "item_id", "text"), short_items=True)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

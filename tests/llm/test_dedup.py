@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from causeway.llm import chunk_dedup, decontam, near_dups
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -163,6 +164,28 @@ def test_leaks_of_repeated_items_pass_the_filter():
     assert found == 5 * (8 + 5 + 8 + 10 + 5) and missed >= 2
 
 
+def test_short_items_are_found_inside_texts(spark, tmp_path):
+    from causeway.llm.catalog import QUERIES
+
+    rng = random.Random(12)
+    ws = vocabulary(rng, 60)
+    items = [(i, " ".join(rng.choice(ws) for _ in range(1 + i % 5))) for i in range(40)]
+    docs = [(i, " ".join(rng.choice(ws) for _ in range(i % 40))) for i in range(120)]
+    docs += [(500, "x " * 9 + items[13][1].upper() + ". " + "x " * 9), (501, items[2][1]), (502, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def holds(t, item):
+        a, b = decontam.words(t), decontam.words(item)
+        return any(a[k:k + len(b)] == b for k in range(len(a) - len(b) + 1))
+    want = {d: sorted(i for i, item in items if holds(t, item)) for d, t in docs}
+    got = {r.doc_id: [int(x) for x in r.item_ids.split(",") if x]
+           for r in QUERIES["op6_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == want and 13 in got[500] and 2 in got[501]
+    clean = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in clean.collect()} == {d for d, i in want.items() if not i}
+
+
 # --- near-duplicates -----------------------------------------------------------
 
 def plain_components(docs, pct=85):
