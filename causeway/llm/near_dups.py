@@ -2,24 +2,25 @@
 
 A document's set is its distinct five-word shingles (ASCII lower-cased words
 split at ASCII white space; with fewer words the whole sequence is one);
-documents with 100 * intersection >= 85 * union are linked, groups are the
-connected components.
+documents with 100 * intersection >= pct * union are linked, groups are the
+connected components.  ``pct`` is 85 unless the caller gives another; trees,
+depth and agreement follow from it (``Plan``).
 
 1. *Signatures.*  120 MinHash values of 16 bits per document.  Documents with
    equal sets become one representative (a grouped minimum).
-2. *Forest.*  24 trees, each an order of the signature that starts at another
-   value.  Neighbours in a tree's order with a common prefix of at least 5
-   values are candidates (a pair at 0.85 is missed by all trees with
-   probability 8e-7).
-3. *Regions.*  Within a prefix, candidates whose signatures agree in 86 or
-   more of 120 values (four spreads below 0.85) are joined; a prefix shared
-   by more than ``DENSE`` representatives is joined as a whole.  The
+2. *Forest.*  24 trees (30 at 80), each an order of the signature that starts
+   at another value.  Neighbours in a tree's order with a common prefix of at
+   least 5 (4) values are candidates (a pair at the limit is missed by all
+   trees with probability 8e-7 or 1e-7).
+3. *Regions.*  Within a prefix, candidates whose signatures agree in 86 (78)
+   or more of 120 values (four spreads below the limit) are joined; a prefix
+   shared by more than ``DENSE`` representatives is joined as a whole.  The
    components of that graph are the regions: no link leaves its region.
 4. *Adaptive blocks.*  A region is cut into as many blocks as its members and
    shingles need, one for almost all; every pair of blocks is one bounded
    task.  So dense regions go deeper instead of being capped.
 5. *Verification.*  A task takes the full shingle sets: documents with more
-   than 15 % of shingles nobody else there has can't be linked and go; the
+   than 100 - pct % of shingles nobody else there has can't be linked and go; the
    intersections of the others come from one incidence product.  It returns
    a spanning forest of the links, never the pairs.
 6. Components of those links, joined back to all copies.
@@ -31,6 +32,8 @@ row with the most shingles counts; a null id is a document of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,9 @@ from .common import NULL_ID, components, cut, id_or_sentinel, restore_id, small_
 
 SHINGLE = 5
 LINK_PCT = 85
-TREES, DEPTH = 24, 5
-HASHES = TREES * DEPTH
-AGREE = 86
+HASHES = 120
+#: A pair at the limit is missed by all trees with at most this probability.
+MISS = 1e-6
 DENSE = 1000
 BLOCK_DOCS, BLOCK_SHINGLES = 2000, 4_000_000
 
@@ -54,6 +57,25 @@ _A = _rng.integers(0, 2 ** 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint
 _B = _rng.integers(0, 2 ** 32, HASHES, dtype=np.uint32)
 
 
+class Plan(NamedTuple):
+    """What finds the pairs of a similarity of ``pct`` percent."""
+
+    pct: int
+    trees: int
+    depth: int
+    agree: int
+
+
+def plan(pct: int) -> Plan:
+    """The deepest forest over HASHES values that misses at most MISS of the
+    pairs at ``pct``, and an agreement four spreads below it."""
+    p = pct / 100
+    depth = max((d for d in range(1, HASHES + 1) if HASHES % d == 0 and (1 - p ** d) ** (HASHES // d) <= MISS), default=0)
+    if not depth:
+        raise ValueError(f"{HASHES} values can't find pairs at {pct} %")
+    return Plan(pct, HASHES // depth, depth, int(HASHES * p - 4 * (HASHES * p * (1 - p)) ** 0.5))
+
+
 def shingle_set(body: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
     ws = body.lower().split()
@@ -129,7 +151,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
                                        pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the pairs of a prefix with similar signatures."""
     pairs: list[tuple[int, int]] = []
     for _, (ids, sigs) in _grouped(batches, 1):
@@ -137,7 +159,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = np.zeros((len(s), len(s)), bool)
         step = max(1, 2_000_000 // (len(s) * HASHES))
         for i in range(0, len(s), step):
-            links[i:i + step] = (s[i:i + step, None, :] == s[None, :, :]).sum(axis=2) >= AGREE
+            links[i:i + step] = (s[i:i + step, None, :] == s[None, :, :]).sum(axis=2) >= agree
         pairs += _forest(links, np.array(ids))
         if len(pairs) > 50_000:
             yield _edges(pairs)
@@ -145,7 +167,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(pairs)
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], pct: int = LINK_PCT) -> np.ndarray:
     """Boolean matrix of the links between full shingle sets."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -157,7 +179,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         on = alive[owner]
         df = np.bincount(code[on], minlength=code.max(initial=0) + 1)
         shared = np.bincount(owner[on & (df[code] > 1)], minlength=n)
-        still = alive & (100 * shared >= LINK_PCT * size)
+        still = alive & (100 * shared >= pct * size)
         if (still == alive).all():
             break
         alive = still
@@ -180,14 +202,14 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         both += m @ m.T
     both = np.rint(both).astype(np.int64)
     union = size[who][:, None] + size[who][None, :] - both
-    out[np.ix_(who, who)] = 100 * both >= LINK_PCT * union
+    out[np.ix_(who, who)] = 100 * both >= pct * union
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
     for _, (ids, sets) in _grouped(batches, 3):
         if len(ids) > 1:
-            pairs = _forest(linked([np.frombuffer(s, np.uint64) for s in sets]), np.array(ids))
+            pairs = _forest(linked([np.frombuffer(s, np.uint64) for s in sets], pct), np.array(ids))
             if pairs:
                 yield _edges(pairs)
 
@@ -214,23 +236,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return s.groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sig")).alias("s")).select("doc_id", "s.*")
 
 
-def regions(reps: DataFrame) -> DataFrame:
+def regions(reps: DataFrame, how: Plan) -> DataFrame:
     """(node, root) of the candidate graph over (rep, sig)."""
-    ring = F.concat("sig", F.substring("sig", 1, 2 * DEPTH))
     tree = reps.select("rep", F.explode(F.array(*[
-        F.xxhash64(F.lit(t), F.substring(ring, 1 + 2 * DEPTH * t, 2 * DEPTH)) for t in range(TREES)])).alias("prefix"))
+        F.xxhash64(F.lit(t), F.substring("sig", 1 + 2 * how.depth * t, 2 * how.depth)) for t in range(how.trees)])).alias("prefix"))
     dense = tree.groupBy("prefix").agg(F.count("*").alias("members"), F.min("rep").alias("first")).where("members > 1")
     near = tree.join(dense, "prefix")
     whole = near.where(F.col("members") > DENSE).select(F.col("rep").alias("a"), F.col("first").alias("b"))
     similar = (near.where(F.col("members") <= DENSE).select("prefix", "rep").join(reps.select("rep", "sig"), "rep")
                .select("prefix", "rep", "sig").repartition("prefix").sortWithinPartitions("prefix")
-               .mapInArrow(_agreeing, "a long, b long"))
+               .mapInArrow(partial(_agreeing, agree=how.agree), "a long, b long"))
     return components(whole.unionByName(similar))
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, how: Plan) -> DataFrame:
     """(a, b): a spanning forest of the links between representatives."""
-    found = regions(reps)
+    found = regions(reps, how)
     inside = (found.select(F.col("node").alias("rep"), F.col("root").alias("region"))
               .unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("region")).distinct()))
     member = reps.select("rep", "k1", "k2", "n").join(inside, "rep")
@@ -247,17 +268,17 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
               .select("region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
                       "doc_id", "shingles"))
     return (paired.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
-            .mapInArrow(_verify, "a long, b long"))
+            .mapInArrow(partial(_verify, pct=how.pct), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept."""
     small_batches(docs.sparkSession)
     s = cut(sketches(docs))
     reps = (s.where("n > 0").groupBy("k1", "k2")
             .agg(F.min(F.struct("doc_id", "sig", "n")).alias("r"))
             .select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.sig", "r.n"))
-    root = components(links(docs, reps))
+    root = components(links(docs, reps, plan(pct)))
     of_set = (reps.select("k1", "k2", "rep").join(root, F.col("rep") == F.col("node"), "left")
               .select("k1", "k2", F.coalesce("root", "rep").alias("component")))
     out = (s.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
@@ -266,10 +287,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select(restore_id(), F.col("n").alias("n_shingles"), restore_id("component_id"), "kept")
 
 
-def near_dedup_stage(docs: DataFrame) -> DataFrame:
+def near_dedup_stage(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """One row of ``docs`` per group, with its columns: the document with the
     smallest id (of rows that share the id, the greatest text's)."""
-    kept = (near_duplicates(docs).where("kept")
+    kept = (near_duplicates(docs, pct).where("kept")
             .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")))
     names = docs.columns
     packed = docs.select(id_or_sentinel().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))

@@ -19,6 +19,9 @@ from causeway.llm import decontam, near_dups, packing, pii, quality
 from causeway.llm.common import read
 from causeway.session import ensure_checkpoint_dir
 
+#: Similarity of word shingles, in percent, from which documents are near-duplicates.
+NEAR_PCT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and their host's verdict."""
@@ -26,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dups.near_dedup_stage(docs)
+    """One document of each group of near-duplicates, linked at NEAR_PCT."""
+    return near_dups.near_dedup_stage(docs, NEAR_PCT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

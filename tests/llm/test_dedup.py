@@ -263,6 +263,21 @@ def test_null_id_empty_table_and_stage(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in plain_components(docs).values()})
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_pipeline_stage_links_from_eighty_percent(spark, seed):
+    docs = near_corpus(seed)
+    want = sorted({c for _, c in plain_components(docs, 80).values()})
+    assert len(want) < len({c for _, c in plain_components(docs, 85).values()})
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, docs), "").collect()) == want
+
+
+def test_plan_follows_from_the_similarity():
+    assert near_dups.plan(85) == (85, 24, 5, 86)
+    assert near_dups.plan(80) == (80, 30, 4, 78)
+    with pytest.raises(ValueError):
+        near_dups.plan(5)
+
+
 def test_link_matrix_equals_sets():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**60, 200).astype(np.uint64)
