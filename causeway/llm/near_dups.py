@@ -25,8 +25,11 @@ depth and agreement follow from it (``Plan``).
    a spanning forest of the links, never the pairs.
 6. Components of those links, joined back to all copies.
 
-Documents without words are linked with nothing.  Where an id repeats, the
-row with the most shingles counts; a null id is a document of its own.
+Documents without words are linked with nothing.  In the table of groups
+(``near_duplicates``) a document is an id: where it repeats, the row with the
+most shingles counts; a null id is a document of its own.  In the stage a
+document is an id with a text: rows equal in both are copies of one, equal or
+null ids alone join nothing.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import NULL_ID, components, cut, id_or_sentinel, restore_id, small_batches
+from .common import components, cut, id_or_sentinel, restore_id, small_batches
 
 SHINGLE = 5
 LINK_PCT = 85
@@ -103,16 +106,16 @@ def signature(s: np.ndarray) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, keys, sigs = [], [], []
-        for body in b.column(1).to_pylist():
+        for body in b.column(b.num_columns - 1).to_pylist():
             s = shingle_set(body)
             n.append(len(s))
             keys.append(xxh3_128_digest(s.tobytes()))
             sigs.append(signature(s) if len(s) else b"")
         k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])),
+            [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])),
              pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n", "k1", "k2", "sig"])
+            names=[*b.schema.names[:-1], "n", "k1", "k2", "sig"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -208,6 +211,8 @@ def linked(sets: list[np.ndarray], pct: int = LINK_PCT) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
     for _, (ids, sets) in _grouped(batches, 3):
+        once = [i for i, x in enumerate(ids) if not i or x != ids[i - 1]]    # sorted; copies may come from several tasks
+        ids, sets = [ids[i] for i in once], [sets[i] for i in once]
         if len(ids) > 1:
             pairs = _forest(linked([np.frombuffer(s, np.uint64) for s in sets], pct), np.array(ids))
             if pairs:
@@ -215,25 +220,37 @@ def _verify(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each representative, if the row is the one that counts."""
+    """The set of each representative, if the row is the one that counts;
+    once per task."""
+    done: set[int] = set()
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(6)]
         rows = []
-        for doc, body, region, blocks, k1, k2 in zip(*cols):
+        for rep, body, region, blocks, k1, k2 in zip(*cols):
+            if rep in done:
+                continue
             s = shingle_set(body)
             if tuple(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist()) == (k1, k2):
-                rows.append((region, blocks, doc, s.tobytes()))
+                done.add(rep)
+                rows.append((region, blocks, rep, s.tobytes()))
         out = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["region", "blocks", "doc_id", "shingles"])
+            names=["region", "blocks", "rep", "shingles"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2, sig): one row per document; k1, k2 the set's digest."""
-    s = (docs.select(id_or_sentinel().alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-         .mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sig binary"))
-    return s.groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "sig")).alias("s")).select("doc_id", "s.*")
+def bodies(docs: DataFrame) -> DataFrame:
+    """(doc_id, body) per row."""
+    return docs.select(id_or_sentinel().alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(keys, n, k1, k2, sig) of rows (keys, body): one row per key; k1, k2
+    the set's digest."""
+    keys = rows.columns[:-1]
+    s = rows.mapInArrow(_sketch, ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+                                           + ["n long, k1 long, k2 long, sig binary"]))
+    return s.groupBy(*keys).agg(F.max(F.struct("n", "k1", "k2", "sig")).alias("s")).select(*keys, "s.*")
 
 
 def regions(reps: DataFrame, how: Plan) -> DataFrame:
@@ -249,36 +266,42 @@ def regions(reps: DataFrame, how: Plan) -> DataFrame:
     return components(whole.unionByName(similar))
 
 
-def links(docs: DataFrame, reps: DataFrame, how: Plan) -> DataFrame:
-    """(a, b): a spanning forest of the links between representatives."""
+def links(rows: DataFrame, reps: DataFrame, how: Plan) -> DataFrame:
+    """(a, b): a spanning forest of the links between the representatives
+    (rep, keys, k1, k2, sig, n) of rows (keys, body)."""
+    keys = rows.columns[:-1]
     found = regions(reps, how)
     inside = (found.select(F.col("node").alias("rep"), F.col("root").alias("region"))
               .unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("region")).distinct()))
-    member = reps.select("rep", "k1", "k2", "n").join(inside, "rep")
+    member = reps.select("rep", *keys, "k1", "k2", "n").join(inside, "rep")
     blocks = (member.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS),
                                                       F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")))
     member = member.join(blocks, "region")
-    sets = (docs.select(id_or_sentinel().alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-            .join(member.withColumnRenamed("rep", "doc_id"), "doc_id")
-            .select("doc_id", "body", "region", "blocks", "k1", "k2")
-            .mapInArrow(_sets, "region long, blocks long, doc_id long, shingles binary"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    sets = (rows.join(member, keys).select("rep", "body", "region", "blocks", "k1", "k2")
+            .mapInArrow(_sets, "region long, blocks long, rep long, shingles binary"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     paired = (sets.withColumn("mine", mine)
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .select("region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                      "doc_id", "shingles"))
-    return (paired.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
+                      "rep", "shingles"))
+    return (paired.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "rep")
             .mapInArrow(partial(_verify, pct=how.pct), "a long, b long"))
 
 
+def representatives(s: DataFrame) -> DataFrame:
+    """The smallest key of each set: (k1, k2, keys, sig, n)."""
+    keys = s.columns[:-4]
+    return (s.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*keys, "sig", "n")).alias("r"))
+            .select("k1", "k2", "r.*"))
+
+
 def near_duplicates(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept."""
     small_batches(docs.sparkSession)
-    s = cut(sketches(docs))
-    reps = (s.where("n > 0").groupBy("k1", "k2")
-            .agg(F.min(F.struct("doc_id", "sig", "n")).alias("r"))
-            .select("k1", "k2", F.col("r.doc_id").alias("rep"), "r.sig", "r.n"))
-    root = components(links(docs, reps, plan(pct)))
+    rows = bodies(docs)
+    s = cut(sketches(rows))
+    reps = representatives(s).withColumn("rep", F.col("doc_id"))
+    root = components(links(rows, reps, plan(pct)))
     of_set = (reps.select("k1", "k2", "rep").join(root, F.col("rep") == F.col("node"), "left")
               .select("k1", "k2", F.coalesce("root", "rep").alias("component")))
     out = (s.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
@@ -289,12 +312,27 @@ def near_duplicates(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
 
 def near_dedup_stage(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """One row of ``docs`` per group, with its columns: the document with the
-    smallest id (of rows that share the id, the greatest text's)."""
-    kept = (near_duplicates(docs, pct).where("kept")
-            .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")))
-    names = docs.columns
-    packed = docs.select(id_or_sentinel().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    first = (packed.withColumn("place", F.row_number().over(
-        Window.partitionBy("__id").orderBy(F.col("row.text").desc_nulls_last())))
-        .where("place = 1"))
-    return first.join(kept, "__id").select("row.*")
+    smallest id, a null one first (of those that share it, the smallest text
+    digest's; of equal rows any).  Null or repeated ids with different texts
+    are different documents.
+
+    Representatives are numbered, as an id doesn't tell them apart; the
+    checkpoint keeps the numbers fixed.
+    """
+    small_batches(docs.sparkSession)
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = bodies(docs.select("doc_id", "text")).select("doc_id", F.unhex(F.md5("body")).alias("digest"), "body")
+    s = cut(sketches(rows))
+    # nullable as ids are: Spark 4.1 fails on the constraints of components' unions over a checkpoint otherwise
+    reps = cut(representatives(s).withColumn("rep", F.monotonically_increasing_id())
+               .withColumn("rep", F.when(F.col("rep") >= 0, F.col("rep"))))
+    root = components(links(rows, reps, plan(pct)))
+    first = (reps.select("rep", "doc_id", "digest").join(root, F.col("rep") == F.col("node"), "left")
+             .groupBy(F.coalesce("root", "rep").alias("component"))
+             .agg(F.min(F.struct("doc_id", "digest")).alias("r")))
+    kept = (first.select("r.*").unionByName(s.where("n = 0").select("doc_id", "digest"))
+            .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")))
+    packed = docs.select(id_or_sentinel().alias("__id"), digest.alias("__digest"),
+                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return (packed.join(kept, ["__id", "__digest"], "left_semi")
+            .groupBy("__id", "__digest").agg(F.first("row").alias("row")).select("row.*"))

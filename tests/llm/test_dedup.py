@@ -278,6 +278,19 @@ def test_plan_follows_from_the_similarity():
         near_dups.plan(5)
 
 
+def test_stage_drops_no_row_for_its_id_alone(spark):
+    rng = random.Random(13)
+    ws = vocabulary(rng)
+    text = [" ".join(rng.choice(ws) for _ in range(40)) for _ in range(30)]
+    near = text[4].rsplit(" ", 1)[0] + " changed"                   # 35 of 37 shingles
+    longer = text[3] + " zzz" + text[6]
+    docs = [(None, t) for t in text[:10]] + [(7, t) for t in text[10:20]] + [(20 + i, t) for i, t in enumerate(text[20:])]
+    docs += [(None, text[1]), (7, text[11]), (50, near), (60, text[10]), (8, longer), (8, text[3]), (None, ""), (None, " "), (70, None)]
+    got = Counter((r.doc_id, r.text) for r in near_dups.near_dedup_stage(frame(spark, docs)).collect())
+    gone = {(50, near), (60, text[10]), (8, text[3])}
+    assert got == Counter({d: 1 for d in docs if d not in gone})
+
+
 def test_link_matrix_equals_sets():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**60, 200).astype(np.uint64)
