@@ -208,9 +208,16 @@ def _page(urn: str | None) -> int | None:
     return int(urn[len("<urn:page:"):-1]) if urn else None
 
 
+def _body(stream: io.BufferedReader, n: int) -> bytes:
+    body = stream.read(n)
+    if len(body) < n:
+        raise ValueError(f"a record ends {n - len(body)} bytes early")
+    return body
+
+
 def _skip(stream: io.BufferedReader, n: int) -> None:
     while n > 0:
-        n -= len(stream.read(min(n, 1 << 20))) or n
+        n -= len(_body(stream, min(n, 1 << 20)))
 
 
 def _records(stream: io.BufferedReader, tests: list, payload: bool) -> Iterator[tuple]:
@@ -230,7 +237,7 @@ def _records(stream: io.BufferedReader, tests: list, payload: bool) -> Iterator[
                "payload_bytes": int(head.get("warc-payload-length", length)),
                "refers_to": _page(head.get("warc-refers-to"))}
         if payload and _passes(row, tests):
-            body = stream.read(length)
+            body = _body(stream, length)
             yield (*row.values(), body if row["record_type"] != "revisit" else None)
         else:
             keep = not payload and _passes(row, tests)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
@@ -246,3 +247,12 @@ def test_payloads_predicates_and_least_size(spark, tmp_path):
     assert {r.page_id for r in some.collect()} == {5, 7}
     reader = warc.WarcReader([["a", 1], ["b", warc.PARTITION_BYTES], ["c", 5]], False)
     assert [p.paths for p in reader.partitions()] == [["a"], ["b"], ["c"]]
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_a_record_cut_short_raises(payload):
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\n0123456789"
+    read = lambda b: list(warc._records(io.BufferedReader(io.BytesIO(b)), [], payload))
+    assert len(read(record + b"\r\n\r\n")) == 1
+    with pytest.raises(ValueError, match="early"):
+        read(record[:-1])
