@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.config import Z975
-from causeway.operators.joins import attach, join_small
-from causeway.operators.order import join_null_safe
+from causeway.operators.joins import attach, join_null_safe, join_small
 
 
 def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",

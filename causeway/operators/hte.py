@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from causeway.config import Z975
 from causeway.functions.hashing import md5_uniform
 from causeway.functions.scalar import significance_label
-from causeway.operators.joins import join_small
-from causeway.operators.order import join_null_safe
+from causeway.operators.joins import join_null_safe, join_small
 
 Z95 = 1.6448536269514722  # two-sided 90 % normal quantile
 Z995 = 2.5758293035489004  # two-sided 99 % normal quantile

@@ -1,36 +1,89 @@
-"""Joins against derived small tables.
+"""Joins against derived small tables, and the caches they need.
 
 A side is broadcast only behind a size check: either a bound that holds by
 construction (a fixed dimension, or folds × cells of a statistics table) or
-an explicit count of an already-aggregated table.  Above the limit the join
-falls back to a shuffle join and AQE may still re-plan it at runtime.
+a count of the rows and bytes of an already aggregated table.  Above the limit
+the join falls back to a shuffle join and AQE may still re-plan it at runtime.
+
+Joins on key names are null-safe: a NULL key is a group like any other.
+
+Derived tables that a plan reads more than once are cached with :func:`keep`.
+Plans are lazy, so an operator can't know when its last reader is done; who
+runs the action does.  Inside ``with caches():`` every table kept is released
+at the end of the block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.session import broadcast_limit_rows
+from causeway.session import broadcast_limit_bytes, broadcast_limit_rows
+
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache ``df`` (memory, then disk) until the enclosing ``caches()`` ends."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    scope = _kept.get()
+    if scope is not None:
+        scope.append(df)
+    return df
 
 
-def bounded_rows(small: DataFrame, max_rows: int | None = None) -> int:
-    """Proven row bound of ``small`` (counted when no bound is given)."""
-    if max_rows is not None:
-        return int(max_rows)
-    return small.count()
+@contextmanager
+def caches() -> Iterator[None]:
+    """Releases what was kept inside the block.  Run the actions inside it."""
+    token = _kept.set([])
+    try:
+        yield
+    finally:
+        for df in reversed(_kept.get() or []):
+            df.unpersist()
+        _kept.reset(token)
+
+
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether a derived table is under the row and byte limits (one aggregate)."""
+    spark = small.sparkSession
+    wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
+    text = sum(wide, F.lit(0)) if wide else F.lit(0)
+    rows, chars = small.agg(F.count(F.lit(1)), text).first()
+    return (rows <= broadcast_limit_rows(spark)
+            and rows * 16 * len(small.columns) + chars <= broadcast_limit_bytes(spark))
+
+
+def join_null_safe(big: DataFrame, small: DataFrame, group: Sequence[str], keys: Sequence[str] = (),
+                   how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Equi-join on ``group`` (NULL equals NULL) and ``keys`` (never NULL)."""
+    right = small.select(*[F.col(c).alias(f"_j_{c}") if c in group or c in keys else F.col(c)
+                           for c in small.columns])
+    on = [big[c].eqNullSafe(right[f"_j_{c}"]) for c in group] + [big[c] == right[f"_j_{c}"] for c in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return big.join(F.broadcast(right) if broadcast else right, cond, how).drop(
+        *[f"_j_{c}" for c in [*group, *keys]])
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column | str | list, how: str = "inner",
                max_rows: int | None = None) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` if its size is bounded."""
-    limit = broadcast_limit_rows(big.sparkSession)
+    """Join ``big`` with ``small``; broadcast ``small`` if its size is bounded
+    (``max_rows`` is a bound that holds by construction)."""
     if max_rows is None:
-        small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if bounded_rows(small, max_rows) <= limit:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+        small = keep(small)
+        fits = fits_broadcast(small)
+    else:
+        fits = max_rows <= broadcast_limit_rows(big.sparkSession)
+    if isinstance(on, Column):
+        return big.join(F.broadcast(small) if fits else small, on, how)
+    return join_null_safe(big, small, [on] if isinstance(on, str) else list(on), how=how, broadcast=fits)
 
 
 def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
@@ -41,8 +94,6 @@ def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
     Ungrouped: the single summary row is read once and added as literals.
     """
     if group:
-        from causeway.operators.order import join_null_safe
-
         return join_null_safe(df, totals, group)
     row = totals.first()
     lits = [F.lit(row[c]).alias(c) for c in totals.columns] if row is not None else \

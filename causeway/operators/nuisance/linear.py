@@ -24,7 +24,8 @@ from causeway.config import EffectConfig
 from causeway.functions.scalar import aipw_psi, propensity
 
 
-def _terms(xcols: Sequence[str], centre: Sequence[float] | None = None) -> list[Column]:
+def linear_terms(xcols: Sequence[str], centre: Sequence[float] | None = None) -> list[Column]:
+    """[1, x - centre], NULL as 0."""
     xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xcols]
     return [F.lit(1.0)] + [x - F.lit(m) for x, m in zip(xs, centre or [0.0] * len(xs))]
 
@@ -34,14 +35,14 @@ def column_means(df: DataFrame, xcols: Sequence[str]) -> list[float]:
     that a large offset costs no precision."""
     if not xcols:
         return []
-    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_terms(xcols)[1:])]).first()
+    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(linear_terms(xcols)[1:])]).first()
     return [float(v or 0.0) for v in row]
 
 
 def gram_sums(df: DataFrame, xcols: Sequence[str], target: str, keys: Sequence[str],
               where: Column | None = None, centre: Sequence[float] | None = None) -> dict[tuple, dict]:
     """Per key tuple: n, X'X, X'y, Σy (small, collected), of X minus ``centre``."""
-    xs = _terms(xcols, centre)
+    xs = linear_terms(xcols, centre)
     q = len(xs)
     y = F.col(target).cast("double")
     ok = y.isNotNull() if where is None else (y.isNotNull() & where)
@@ -102,7 +103,7 @@ def ols_oof(df: DataFrame, xcols: Sequence[str], y: str, folds: Sequence[int], f
 
 def _predict(coefs: dict[tuple[int, int], np.ndarray], arm: int, xcols: Sequence[str],
              folds: Sequence[int], fold: str) -> Column:
-    xs = _terms(xcols)
+    xs = linear_terms(xcols)
     expr = None
     for f in folds:
         b = coefs[(f, arm)]
@@ -175,7 +176,7 @@ def linear_nuisance(panel: DataFrame, xcols: Sequence[str], cfg: EffectConfig, f
     else:
         ps_x = list(ps_xcols or xcols)
         betas = logit_oof(panel, ps_x, folds, fold)
-        xs = _terms(ps_x)
+        xs = linear_terms(ps_x)
         eta = None
         for f in folds:
             lin = sum((F.lit(float(betas[f][i])) * xs[i] for i in range(len(xs))), F.lit(0.0))

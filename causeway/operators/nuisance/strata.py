@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from causeway.config import EffectConfig
 from causeway.functions.scalar import aipw_psi, propensity
-from causeway.operators.joins import join_small
-from causeway.operators.order import join_null_safe
+from causeway.operators.joins import join_null_safe, join_small
 
 STAT_COLS = ("n1", "n0", "m1", "m0", "s1", "s0")
 

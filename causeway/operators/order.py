@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import attach
+from causeway.operators.joins import attach, join_null_safe
 
 _INF = float("inf")
 
@@ -125,18 +125,6 @@ def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
     return out.drop("_k", "_t", "_b", "_s", "_off", *[f"_soff_{s}" for s in sums])
 
 
-def join_null_safe(big: DataFrame, small: DataFrame, group: Sequence[str], keys: Sequence[str] = (),
-                   how: str = "inner") -> DataFrame:
-    """Equi-join on ``group`` (NULL equals NULL) and ``keys`` (never NULL)."""
-    right = small.select(*[F.col(c).alias(f"_j_{c}") if c in group or c in keys else F.col(c)
-                           for c in small.columns])
-    on = [big[c].eqNullSafe(right[f"_j_{c}"]) for c in group] + [big[c] == right[f"_j_{c}"] for c in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return big.join(right, cond, how).drop(*[f"_j_{c}" for c in [*group, *keys]])
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy 'linear', SQL quantile_cont) per

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from causeway.config import EffectConfig, Rules
 from causeway.functions.scalar import r
 from causeway.operators import estimate, hte, robust
 from causeway.operators.folds import assign_folds
-from causeway.operators.joins import attach
+from causeway.operators.joins import attach, join_null_safe, keep
 from causeway.operators.nuisance.strata import strata_nuisance
 from causeway.operators.order import exact_quantiles
 
@@ -53,12 +52,11 @@ class CampaignSpec:
 
 def _effect_with_placebo(panel: DataFrame, cell: Column, spec: CampaignSpec, estimand: str,
                          runs: int, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    nuis = strata_nuisance(panel, cell, spec.cfg, group, y_scale=spec.y_scale) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    nuis = keep(strata_nuisance(panel, cell, spec.cfg, group, y_scale=spec.y_scale))
     eff = estimate.effect_table(nuis, estimand, spec.cfg, group)
     plac = robust.placebo_runs(panel, cell, spec.cfg, runs, ("y",), group, y_scale=spec.y_scale)
     p = robust.permutation_pvalue(plac, eff, estimand, group).select(*group, "p_value")
-    return nuis, eff.join(p, group) if group else attach(eff, p, [])
+    return nuis, attach(eff, p, group)
 
 
 def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = CampaignSpec(),
@@ -70,7 +68,7 @@ def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = Campa
     if spec.activity_id is not None or "activity_id" not in panel.columns:
         base = base.withColumn("activity_id", F.lit(spec.activity_id or "activity"))
     group = list(group)
-    base = assign_folds(base, cfg.n_splits, cfg.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    base = keep(assign_folds(base, cfg.n_splits, cfg.seed))
 
     nuis, ate = _effect_with_placebo(base, cell, spec, "ATE", spec.ate_runs, group)
     lo, hi = spec.att_band
@@ -81,7 +79,7 @@ def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = Campa
     band_panel = nuis.where(in_att).select(*base.columns)
     _, att = _effect_with_placebo(band_panel, cell, spec, "ATT", spec.att_runs, group)
 
-    tau = hte.dr_segment(nuis, cell, group).persist(StorageLevel.MEMORY_AND_DISK)
+    tau = keep(hte.dr_segment(nuis, cell, group))
     qf = exact_quantiles(tau, "tau", QUANTILES, group)
     hb_lo, hb_hi = spec.hte_band
     qb = exact_quantiles(tau.where(F.col("e").between(hb_lo, hb_hi)), "tau", QUANTILES, group)
@@ -97,8 +95,9 @@ def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = Campa
     t = att.select(*group, F.col("est").alias("att_point"), F.col("se").alias("att_se"),
                    F.col("ci_lo").alias("att_ci_lo"), F.col("ci_hi").alias("att_ci_hi"),
                    F.col("p_value").alias("att_placebo_p"))
-    res = (a.join(t, group, "left").join(kept, group, "left")
-           .join(wide(qf, "tau_"), group, "left").join(wide(qb, "tau_band_"), group, "left"))
+    res = a
+    for part in (t, kept, wide(qf, "tau_"), wide(qb, "tau_band_")):
+        res = join_null_safe(res, part, group, how="left")
     res = res.withColumn("treated_coverage", F.when(F.col("treated_total") > 0,
                                                     F.col("treated_kept") / F.col("treated_total")))
     res = res.withColumn("created_at", F.lit(spec.created_at)) \

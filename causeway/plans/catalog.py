@@ -105,7 +105,7 @@ def q_fold_var(spark, sf_dir):
 # ------------------------------------------------------------ P2 diagnostics
 from causeway.operators import diagnose  # noqa: E402
 from causeway.operators.features.encode import one_hot  # noqa: E402
-from causeway.operators.joins import attach  # noqa: E402
+from causeway.operators.joins import attach, join_small, keep  # noqa: E402
 
 SEG_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 BALANCE_FEATURES = ("before_cnt", "before_amt", "acctbal", "region")
@@ -270,8 +270,8 @@ PLACEBO_RUNS = 100
 
 def customer_placebo(spark, sf_dir, runs=PLACEBO_RUNS):
     panel = customer_folds(spark, sf_dir)
-    return robust.placebo_runs(panel, customer_cell(), DEFAULT, runs, outcomes=("y", "y_nc"),
-                               y_scale=2).persist()
+    return keep(robust.placebo_runs(panel, customer_cell(), DEFAULT, runs, outcomes=("y", "y_nc"),
+                                    y_scale=2))
 
 
 @query("placebo_strata")
@@ -563,8 +563,7 @@ def q_effect_interval(spark, sf_dir):
 def q_label_shares(spark, sf_dir):
     nuis = customer_nuisance(spark, sf_dir)
     seg = hte.segment_effects(nuis, "cell").select(F.col("segment").alias("cell"), "lb99", "lb90")
-    rows = nuis.join(F.broadcast(seg), "cell", "left")   # one row per cell: bounded by the cell count
-    return hte.label_shares(rows)
+    return hte.label_shares(join_small(nuis, seg, "cell", "left"))
 
 
 # ------------------------------------------------------------ P7 distillation
@@ -906,3 +905,32 @@ def q_cuped_offset(spark, sf_dir):
     panel = customer_folds(spark, sf_dir).withColumn("at", F.col("before_amt") / 1000 + F.lit(1.7e9))
     s = adjust.cuped_summary(adjust.cuped(panel, "at"))
     return s.select("n", r("diff_cuped", 2).alias("diff_cuped"), r("var_reduction", 5).alias("var_reduction"))
+
+
+# ------------------------------------------------------------ NULL cells and NULL activities
+@query("ate_null_cell")
+def q_ate_null_cell(spark, sf_dir):
+    """Rows whose stratum is NULL are a stratum."""
+    nuis = strata_nuisance(customer_folds(spark, sf_dir), F.when(F.col("region") > 0, customer_cell()), DEFAULT,
+                           y_scale=2)
+    return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
+
+
+@query("batch_null_activity")
+def q_batch_null_activity(spark, sf_dir):
+    """One campaign per segment; rows of one region have no activity and are one of their own."""
+    panel = panel_customer(spark, sf_dir).withColumn("activity_id", F.when(F.col("region") > 0, F.col("seg")))
+    spec = camp.CampaignSpec(created_at="2026-01-01T00:00:00Z")
+    res, _ = camp.campaign_analysis(panel, customer_cell(), spec, ["activity_id"])
+    return camp.rounded_result(res, ["activity_id"])
+
+
+# ------------------------------------------------------------ placebo of linear learners
+LINEAR_RUNS = 300
+
+
+@query("placebo_linear")
+def q_placebo_linear(spark, sf_dir):
+    """300 exact permutations, every fold's linear propensity and outcome models refitted in each."""
+    runs = robust.placebo_linear_runs(customer_folds(spark, sf_dir), ["before_amt"], DEFAULT, LINEAR_RUNS, ("y", "y_nc"))
+    return runs.select("run", "outcome", "n", r("ate", 4).alias("ate"), r("att", 4).alias("att"), r("ato", 4).alias("ato"))

@@ -86,7 +86,7 @@ def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "", s
          count(CASE WHEN q.t = 0 THEN 1 END) AS n0, count(CASE WHEN q.t = 0 THEN q.{y} END) AS m0,
          sum(CASE WHEN q.t = 1 THEN {cents('q.' + y)} END) AS s1,
          sum(CASE WHEN q.t = 0 THEN {cents('q.' + y)} END) AS s0
-  FROM {prefix}pk k LEFT JOIN {prefix}p q ON q.cell = k.cell AND q.fold <> k.fold
+  FROM {prefix}pk k LEFT JOIN {prefix}p q ON q.cell IS NOT DISTINCT FROM k.cell AND q.fold <> k.fold
   GROUP BY k.fold, k.cell),
 {prefix}tra AS (
   SELECT f.fold,
@@ -112,7 +112,7 @@ def strata_ctes(panel_sql: str, cell_sql: str, y: str = "y", prefix: str = "", s
   SELECT p.*, o.e_raw,
          greatest(least(greatest(least(o.e_raw, {1 - TRIM}), {TRIM}), {ps[1]}), {ps[0]}) AS e,
          o.mu1, o.mu0
-  FROM {prefix}p p JOIN {prefix}oof o USING (fold, cell)),
+  FROM {prefix}p p JOIN {prefix}oof o ON o.fold = p.fold AND o.cell IS NOT DISTINCT FROM p.cell),
 {prefix}nu AS (
   SELECT *, t * ({y} - mu1) / e - (1 - t) * ({y} - mu0) / (1 - e) + (mu1 - mu0) AS psi
   FROM {prefix}nu0)"""
@@ -589,7 +589,8 @@ CAMP_K = 3
 _PANEL_COLS = "id, t, y, y_nc, before_cnt, before_amt, seg, region, acctbal"
 
 
-def campaign_sql(panel_sql: str, activity: str, tail: str = "result") -> str:
+def campaign_sql(panel_sql: str, activity: str | None, tail: str = "result") -> str:
+    lit = "CAST(NULL AS VARCHAR)" if activity is None else f"'{activity}'"
     a = strata_ctes(panel_sql, CUSTOMER_CELL, "y", "a_", CAMP_SEED, CAMP_K, CAMP_PS)
     ap = placebo_ctes("y", "a_", 5, CAMP_SEED, CAMP_PS)
     band = f"SELECT {_PANEL_COLS} FROM a_nu WHERE e BETWEEN 0.2 AND 0.8"
@@ -613,12 +614,12 @@ qb AS (SELECT {qs} FROM a_ht WHERE e BETWEEN 0.2 AND 0.8)"""
     z = Z975
     if tail == "uplift":
         sel = f"""
-SELECT '{activity}' AS activity_uuid, id AS identity, t AS t_col, 'y' AS y_col,
+SELECT {lit} AS activity_uuid, id AS identity, t AS t_col, 'y' AS y_col,
        '2026-01-01T00:00:00Z' AS created_at, round(tau, 4) + 0.0 AS tau_hat, psi FROM a_ht WHERE t = 1"""
     else:
         m = lambda x, c: f"round({x}, 4) + 0.0 AS {c}"
         sel = f"""
-SELECT '{activity}' AS activity_id, ate.n AS n_samples, ate.n1 AS n_treated, ate.n0 AS n_control,
+SELECT {lit} AS activity_id, ate.n AS n_samples, ate.n1 AS n_treated, ate.n0 AS n_control,
        kept.kept AS treated_kept, kept.total AS treated_total,
        {m('ate.est', 'ate_point')}, {m('ate.se', 'ate_se')}, {m(f'ate.est - {z} * ate.se', 'ate_ci_lo')},
        {m(f'ate.est + {z} * ate.se', 'ate_ci_hi')}, {m('att.est', 'att_point')}, {m('att.se', 'att_se')},
@@ -912,3 +913,42 @@ ORACLE["class_weights"] = f"""
 WITH n AS (SELECT CAST(sum(t) AS DOUBLE) AS a, CAST(sum(1 - t) AS DOUBLE) AS b FROM ({PANEL_CUSTOMER}))
 SELECT 'balanced' AS scheme, round((a + b) / (2 * a), 6) + 0.0 AS treated, round((a + b) / (2 * b), 6) + 0.0 AS control FROM n
 UNION ALL SELECT 'sqrt', round(sqrt(greatest(a, b) / a), 6) + 0.0, round(sqrt(greatest(a, b) / b), 6) + 0.0 FROM n"""
+
+# ------------------------------------------------------------ NULL cells and NULL activities
+NULL_CELL = f"(CASE WHEN region > 0 THEN {CUSTOMER_CELL} END)"
+ORACLE["ate_null_cell"] = f"WITH {strata_ctes(PANEL_CUSTOMER, NULL_CELL)}\n{effect_select('nu', 'ATE')}"
+ORACLE["batch_null_activity"] = "\nUNION ALL\n".join(
+    f"SELECT * FROM ({campaign_sql(f'SELECT * FROM ({PANEL_CUSTOMER}) WHERE {cond}', s)})"
+    for s, cond in [(None, "region = 0"), *[(s, f"region > 0 AND seg = '{s}'") for s in SEG_LEVELS]])
+
+# ------------------------------------------------------------ placebo of linear learners
+def placebo_linear_sql(runs: int, seed: int = SEED) -> str:
+    """Regressions of one covariate per run, fold and arm over the rows of the other folds."""
+    parts = []
+    for y in ("y", "y_nc"):
+        parts.append(f"""
+SELECT CAST(run AS INTEGER) AS run, '{y}' AS outcome, count(*) AS n, round(avg(psi), 4) + 0.0 AS ate,
+       round(avg(t * (y - mu0) - (1 - t) * (e / (1 - e)) * (y - mu0)) / (avg(t) + 1e-12), 4) + 0.0 AS att,
+       round(sum(4.0 * e * (1 - e) * psi) / (sum(4.0 * e * (1 - e)) + 1e-12), 4) + 0.0 AS ato
+FROM (SELECT *, t * (y - mu1) / e - (1 - t) * (y - mu0) / (1 - e) + (mu1 - mu0) AS psi
+      FROM (SELECT q.run, q.t, q.{y} AS y, c.b1_{y} + c.s1_{y} * q.x AS mu1, c.b0_{y} + c.s0_{y} * q.x AS mu0,
+                   greatest(least(greatest(least(c.be + c.se * q.x, {1 - TRIM}), {TRIM}), {PS_HI}), {PS_LO}) AS e
+            FROM pr q JOIN co c ON c.run = q.run AND c.fold = q.fold))
+GROUP BY run""")
+    fits = ", ".join(f"""regr_intercept(q.{y}, q.x) FILTER (q.t = {a}) AS b{a}_{y}, regr_slope(q.{y}, q.x) FILTER (q.t = {a}) AS s{a}_{y}"""
+                     for y in ("y", "y_nc") for a in (1, 0))
+    return f"""
+WITH p AS ({folded(PANEL_CUSTOMER, CUSTOMER_CELL, seed)}),
+n1t AS (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1 FROM p),
+rc0 AS (SELECT run, {coef_sql(seed)} FROM range(0, {runs}) r(run)),
+rr AS (SELECT q.id, q.fold, q.y, q.y_nc, q.before_amt AS x, c.run,
+              ((c.a1 * (q.h0 & 1073741823) + c.b1 * ((q.h0 >> 30) & 1073741823) + c.c1) % 2147483647) * 2147483648
+              + (c.a2 * (q.h0 & 1073741823) + c.b2 * ((q.h0 >> 30) & 1073741823) + c.c2) % 2147483647 AS h
+       FROM (SELECT *, {md5_int('id', f"'perm{seed}'")} AS h0 FROM p) q, rc0 c),
+pr AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY h, id) <= (SELECT n1 FROM n1t) THEN 1 ELSE 0 END AS t FROM rr),
+co AS (SELECT f.run, f.fold, regr_intercept(q.t, q.x) AS be, regr_slope(q.t, q.x) AS se, {fits}
+       FROM (SELECT DISTINCT run, fold FROM pr) f JOIN pr q ON q.run = f.run AND q.fold <> f.fold GROUP BY f.run, f.fold)
+""" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["placebo_linear"] = placebo_linear_sql(300)

@@ -61,3 +61,8 @@ def broadcast_limit_rows(spark: SparkSession) -> int:
     """Row bound under which a derived (aggregated) table is broadcast."""
     return int(os.environ.get("CAUSEWAY_BROADCAST_ROWS",
                               spark.conf.get("causeway.broadcast.rows", "2000000")))
+
+
+def broadcast_limit_bytes(spark: SparkSession) -> int:
+    """Byte bound under which a derived table is broadcast."""
+    return int(spark.conf.get("causeway.broadcast.bytes", str(256 << 20)))

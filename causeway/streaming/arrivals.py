@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from causeway.operators.joins import caches
 from causeway.plans.campaign import CampaignSpec, campaign_analysis, result_record
 from causeway.session import ensure_checkpoint_dir
 from causeway.sources.sinks import write_result_records, write_user_uplift
@@ -30,9 +31,10 @@ def campaign_batch_writer(cell: Column, spec: CampaignSpec, results_path: str,
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        res, uplift = campaign_analysis(batch, cell, spec, ["activity_id"])
-        write_result_records(result_record(res, spec).withColumn("batch_id", F.lit(batch_id)), results_path)
-        write_user_uplift(uplift.withColumn("batch_id", F.lit(batch_id)), uplift_path)
+        with caches():
+            res, uplift = campaign_analysis(batch, cell, spec, ["activity_id"])
+            write_result_records(result_record(res, spec).withColumn("batch_id", F.lit(batch_id)), results_path)
+            write_user_uplift(uplift.withColumn("batch_id", F.lit(batch_id)), uplift_path)
     return run
 
 
