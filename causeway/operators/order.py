@@ -1,128 +1,114 @@
 """Global order statistics without a single-partition window.
 
-A window with no ``partitionBy`` pulls every row into one task.  Instead
-rows get a *bucket* that is a pure, monotone function of the sort key:
-
-1. one aggregate pass takes approximate quantiles of the key and of the
-   tie-break column: at most ``CUTS`` cut points each, whatever the input;
-2. ``Bucketizer`` maps each key to its bucket by binary search in the JVM.
-   Every cut value ``v`` gets its own single-valued bucket ``[v, nextUp(v))``,
-   so a heavily repeated key (say a third of all rows) is isolated, and such a
-   bucket is split further by the tie-break column, which keeps the order
-   ``(key, tie)`` intact;
+A window with no ``partitionBy`` pulls every row into one task.  Here each
+group gets cut points of its own, and rows are numbered bucket by bucket:
+
+1. a group of n rows is to have n / ``BUCKET_ROWS`` buckets (at most ``MAX_CUTS``);
+   about ``PER_BUCKET`` rows per bucket are sampled by the hash of the tie-break
+   column — the same rows at every retry — and every ``PER_BUCKET``-th of the
+   sorted sample is a cut point.  The splitter table has one row per group, and
+   its size follows the input;
+2. rows find their bucket by binary search among their group's cut points.  A
+   cut point is a (missing, key, tie-break) triple and rows are compared as such
+   triples, so a value that a third of all rows share, or all NULL keys, are
+   spread by the tie-break like any other range of rows, whatever its type;
 3. per-bucket counts (and sums) form a small table whose running totals are
    the bucket offsets; it is joined back (null-safe on the group keys);
-4. ``row_number`` / running ``sum`` over ``partitionBy(group, bucket, sub)``.
+4. ``row_number`` / running ``sum`` over ``partitionBy(group, bucket)``.
 
-The one plan serves every size; the result is exact whatever the cut points
-are and deterministic under task retry (no partition ids, no random numbers).
-Quantiles work on (value, count) pairs, so a repeated value is one row.
+The plan is lazy (no job runs before the result is asked for), one for every
+size, exact whatever the cut points are, and deterministic under task retry
+(no partition ids, no random numbers).  Quantiles work on (value, count)
+pairs, so a repeated value is one row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import attach, join_null_safe
+from causeway.operators.joins import join_null_safe
 
-_INF = float("inf")
+#: Rows a bucket is to hold (``causeway.order.rows`` in the session changes it).
+BUCKET_ROWS = 100_000
+#: Most buckets of one group: bounds the cut points a group carries (beyond it,
+#: buckets grow with the group).
+MAX_CUTS = 8192
+#: Sampled rows per bucket.
+PER_BUCKET = 16
 
-#: Cut points per column (``causeway.order.cuts`` in the session raises it).  It
-#: bounds the driver's list and the offsets table and doesn't grow with the
-#: input: a bucket holds about 1 / CUTS of the rows.
-CUTS = 256
-#: Characters of a string id (after the prefix all ids share) that split ties.
-_ID_BYTES = 6
+_STEPS = [1 << i for i in range(MAX_CUTS.bit_length() - 1, -1, -1)]
 
 
-def _splits(cuts: Sequence[float] | None) -> list[float]:
-    """Strictly increasing splits; every odd bucket holds one value only."""
-    splits = [-_INF]
-    for v in sorted({float(c) for c in (cuts or []) if c is not None and math.isfinite(c)}):
-        if v > splits[-1]:      # a cut next to the last one would leave no gap
-            splits += [v, math.nextafter(v, _INF)]
-    return splits + [_INF]
+def _bucket(cuts: Column, row: Column) -> Column:
+    """Number of cut points at or below the row (binary search)."""
+    def step(at: Column, size: Column) -> Column:
+        there = F.get(cuts, at + size - 1)
+        return F.when((at + size <= F.size(cuts)) & (there <= row), at + size).otherwise(at)
 
+    found = F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), step)
+    return F.when(F.size(cuts) > 0, found).otherwise(F.lit(0))
 
-def _bucketize(df: DataFrame, in_col: str, out_col: str, splits: list[float]) -> DataFrame:
-    return Bucketizer(splits=splits, inputCol=in_col, outputCol=out_col,
-                      handleInvalid="keep").transform(df)
 
-
-def _shared_prefix(a: str, b: str) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def _tie_number(df: DataFrame, tie: str) -> Column:
-    """A number that rises with the tie-break column (equal for near values).
-    A string gives the bytes after the prefix that the least and the greatest
-    id share, so ids such as ``user-000017`` are told apart."""
-    kind = dict(df.dtypes)[tie]
-    if kind != "string":
-        return F.col(tie).cast("double")
-    ends = df.agg(F.min(tie).alias("a"), F.max(tie).alias("b")).first()
-    skip = _shared_prefix(ends["a"], ends["b"]) if ends["a"] is not None else 0
-    part = F.substring(F.substring(F.col(tie), skip + 1, _ID_BYTES).cast("binary"), 1, _ID_BYTES)
-    return F.conv(F.rpad(F.hex(part), 2 * _ID_BYTES, "0"), 16, 10).cast("double")
+def splitters(df: DataFrame, row: Column, tie: str, group: Sequence[str], bucket_rows: int) -> DataFrame:
+    """``group…, _cuts``: the sorted cut points of every group (none where one
+    bucket is enough)."""
+    group = list(group)
+    sizes = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_buckets", F.least(F.ceil(F.col("_n") / bucket_rows), F.lit(MAX_CUTS)).cast("int"))
+             .where("_buckets > 1")
+             .withColumn("_share", F.col("_buckets") * F.lit(float(PER_BUCKET)) / F.col("_n"))
+             .select(*group, "_buckets", "_share"))
+    narrow = df.select(*group, row.alias("_row"), (F.pmod(F.xxhash64(tie), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))
+    sized = join_null_safe(narrow, sizes, group) if group else narrow.crossJoin(F.broadcast(sizes))  # one row
+    sample = (sized.where(F.col("_u") < F.col("_share")).groupBy(*group)
+              .agg(F.max("_buckets").alias("_buckets"), F.array_sort(F.collect_list("_row")).alias("_s")))
+    at = F.transform(F.sequence(F.lit(1), F.col("_buckets") - 1),
+                     lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_buckets")).cast("int")))
+    return sample.select(*group, F.array_distinct(at).alias("_cuts"))
 
 
 def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
             group: Sequence[str] = (), sums: Sequence[str] = (), pos_col: str = "pos",
-            source: DataFrame | None = None, cuts: int | None = None) -> DataFrame:
+            bucket_rows: int | None = None) -> DataFrame:
     """Add the 1-based position of each row within ``group`` when sorted by
     ``key`` (NULLS LAST) then ``tie`` ascending (NULLS FIRST), plus inclusive
     running sums ``cum_<s>`` for every column in ``sums``.
 
-    ``tie`` may be a number or a string; NULL group keys are a group.
-    ``source``: the same rows in a cheaper plan, to take the cut points from.
+    ``tie`` may be of any ordered type; NULL group keys are a group.
     """
     group = list(group)
+    bucket_rows = bucket_rows or int(df.sparkSession.conf.get("causeway.order.rows", str(BUCKET_ROWS)))
     k = F.col(key).cast("double") + F.lit(0.0)  # −0.0 and 0.0 sort as one value
-    cuts = cuts or int(df.sparkSession.conf.get("causeway.order.cuts", str(CUTS)))
-    tie_number = _tie_number(df if source is None else source, tie)
-    work = df.withColumn("_k", k if ascending else -k).withColumn("_t", tie_number)
-    seen = work if source is None else source.withColumn("_k", k if ascending else -k).withColumn("_t", tie_number)
-    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    k_cuts, t_cuts = seen.select("_k", "_t").approxQuantile(["_k", "_t"], probs, 0.25 / cuts)
-    k_splits, t_splits = _splits(k_cuts), _splits(t_cuts)
-
-    work = work.withColumn("_kf", F.coalesce(F.col("_k"), F.lit(0.0)))
-    work = _bucketize(work, "_kf", "_b0", k_splits)
-    work = work.withColumn("_tf", F.coalesce(F.col("_t"), F.lit(-_INF)))
-    work = _bucketize(work, "_tf", "_s0", t_splits)
-    alone = F.col("_b0") % 2 == 1
-    work = (work.withColumn("_b", F.when(F.col("_k").isNull(), F.lit(float(len(k_splits))))
-                            .otherwise(F.col("_b0")).cast("int"))
-            .withColumn("_s", F.when(F.col("_k").isNull() | alone, F.col("_s0"))
-                        .otherwise(F.lit(0.0)).cast("int"))
-            .drop("_kf", "_tf", "_b0", "_s0"))
-
-    counts = work.groupBy(*group, "_b", "_s").agg(F.count(F.lit(1)).alias("_n"),
-                                                  *[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    prior = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_b", "_s") \
+    work = df.withColumn("_k", k if ascending else -k)
+    row = F.struct(F.col("_k").isNull().alias("m"), F.coalesce("_k", F.lit(0.0)).alias("k"), F.col(tie).alias("t"))
+    cuts = splitters(work.select(*dict.fromkeys([*group, tie]), "_k"), row, tie, group, bucket_rows)
+    none = F.array().cast(dict(cuts.dtypes)["_cuts"])
+    if group:
+        work = join_null_safe(work, cuts, group, how="left")
+    else:
+        work = work.join(F.broadcast(cuts), how="left")  # at most one row
+    work = work.withColumn("_b", _bucket(F.coalesce("_cuts", none), row)).drop("_cuts")
+
+    counts = work.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"),
+                                            *[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    prior = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *group, "_b", "_s",
+        *group, "_b",
         F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(prior), F.lit(0.0)).alias(f"_soff_{s}") for s in sums],
     )
-    # no more buckets than rows; AQE broadcasts the offsets if they prove small
-    work = join_null_safe(work, offsets, group, ["_b", "_s"])
+    work = join_null_safe(work, offsets, group, ["_b"], broadcast=not group)  # MAX_CUTS rows without groups
 
-    w = Window.partitionBy(*group, "_b", "_s").orderBy(F.col("_k").asc_nulls_last(), F.col(tie).asc())
+    w = Window.partitionBy(*group, "_b").orderBy(F.col("_k").asc_nulls_last(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = work.withColumn(pos_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"_soff_{s}") + F.sum(s).over(w_run))
-    return out.drop("_k", "_t", "_b", "_s", "_off", *[f"_soff_{s}" for s in sums])
+    return out.drop("_k", "_b", "_off", *[f"_soff_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -138,7 +124,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
              .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")))
     run = ordered(pairs, value, True, value, group, sums=["_c"], pos_col="_p")
     n = pairs.groupBy(*group).agg(F.sum("_c").alias("_cnt"))
-    ranked = attach(run, n, group).select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    sized = join_null_safe(run, n, group) if group else run.crossJoin(F.broadcast(n))  # one row
+    ranked = sized.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     h = F.col("p") * (F.col("_cnt") - 1)
     first, last = F.col("cum__c") - F.col("_c") + 1, F.col("cum__c")
     lo, hi = F.floor(h) + 1, F.ceil(h) + 1

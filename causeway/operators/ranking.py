@@ -19,39 +19,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import attach
-from causeway.operators.order import join_null_safe, ordered
+from causeway.operators.joins import join_null_safe
+from causeway.operators.order import ordered
 
 
 def rank_desc(df: DataFrame, score: str, group: Sequence[str] = (), pos: str = "pos",
-              sums: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
-    return ordered(df, score, ascending=False, tie="id", group=group, sums=sums, pos_col=pos, source=source)
-
-
-def _area_terms(ranked: DataFrame, group: list[str], pos: str, psi: str, centered: bool) -> list:
-    v = F.col(psi) - F.col("_m") if centered else F.col(psi)
-    return [F.sum((F.col("_n") - F.col(pos) + 1) * v).alias(f"_sw_{pos}"),
-            F.max(F.when(F.col(pos) == 1, v)).alias(f"_v1_{pos}"),
-            F.sum(v).alias(f"_sv_{pos}")]
+              sums: Sequence[str] = ()) -> DataFrame:
+    return ordered(df, score, ascending=False, tie="id", group=group, sums=sums, pos_col=pos)
 
 
 def auuc_areas(df: DataFrame, scores: Sequence[str], psi: str = "psi", group: Sequence[str] = (),
                centered: bool = True) -> DataFrame:
-    """``group…, n, area_<score>…`` — trapezoid areas of cumulative ψ, one
-    per score ordering; each ordering adds a rank column to the same rows."""
-    group = list(group)
-    cols = list(dict.fromkeys([*group, "id", *scores, psi]))
-    base = df.where(F.col(psi).isNotNull()).select(*cols)
-    stats = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(psi).alias("_m"))
-    ranked = base
-    for i, sc in enumerate(scores):
-        ranked = rank_desc(ranked, sc, group, pos=f"_r{i}", source=base)
-    agg = attach(ranked, stats, group).groupBy(*group).agg(
-        F.first("_n").alias("n"), *[t for i in range(len(scores))
-                                    for t in _area_terms(ranked, group, f"_r{i}", psi, centered)])
-    out = [(F.col(f"_sw__r{i}") - (F.col(f"_v1__r{i}") + F.col(f"_sv__r{i}")) / 2.0) / F.col("n")
-           for i in range(len(scores))]
-    return agg.select(*group, "n", *[o.alias(f"area_{sc}") for o, sc in zip(out, scores)])
+    """``group…, n, area_<score>…`` — trapezoid areas of cumulative ψ, one per
+    score ordering.  All orderings are ranked in one plan: every row once per
+    score, as (score name, value) in a group of its own."""
+    group, scores = list(group), list(scores)
+    base = df.where(F.col(psi).isNotNull()).select(*group, "id", F.col(psi).alias("_v"), *[
+        F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)])
+    if centered:
+        mean = base.groupBy(*group).agg(F.avg("_v").alias("_m"))
+        base = join_null_safe(base, mean, group) if group else base.crossJoin(F.broadcast(mean))  # one row
+        base = base.withColumn("_v", F.col("_v") - F.col("_m")).drop("_m")
+    rows = base.select(*group, "id", "_v", F.posexplode(F.array(*[f"_s{i}" for i in range(len(scores))])).alias("_o", "_score"))
+    ranked = ordered(rows, "_score", ascending=False, tie="id", group=[*group, "_o"], pos_col="_r")
+    sums = ranked.groupBy(*group, "_o").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("_sv"), F.sum(F.col("_r") * F.col("_v")).alias("_srv"),
+        F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("_v1"))
+    n = F.col("n")
+    area = ((n + 1) * F.col("_sv") - F.col("_srv") - (F.col("_v1") + F.col("_sv")) / 2.0) / n
+    return sums.groupBy(*group).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_o") == i, area)).alias(f"area_{s}") for i, s in enumerate(scores)])
 
 
 def auuc_area(df: DataFrame, score: str, psi: str = "psi", group: Sequence[str] = (),
@@ -96,7 +93,8 @@ def policy_values(df: DataFrame, score: str = "tau", psi: str = "psi",
     group = list(group)
     base = df.where(F.col(psi).isNotNull()).select(*group, "id", score, psi)
     n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = attach(rank_desc(base, score, group, pos="_r"), n, group)
+    ranked = rank_desc(base, score, group, pos="_r")
+    ranked = join_null_safe(ranked, n, group) if group else ranked.crossJoin(F.broadcast(n))  # one row
     aggs = []
     for k in ks:
         m = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(k)))).cast("bigint")

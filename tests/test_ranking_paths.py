@@ -21,9 +21,9 @@ def frame(spark):
 
 
 def _both(monkeypatch, fn):
-    monkeypatch.setattr(order_mod, "CUTS", 2)
+    monkeypatch.setattr(order_mod, "BUCKET_ROWS", 2_000)
     few = fn().toPandas()
-    monkeypatch.setattr(order_mod, "CUTS", 500)
+    monkeypatch.setattr(order_mod, "BUCKET_ROWS", 10)
     return few, fn().toPandas()
 
 
