@@ -25,7 +25,7 @@ def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
     centre = panel.agg(F.coalesce(F.avg(F.col(x).cast("double")), F.lit(0.0)).alias("_cx"),
                        F.coalesce(F.avg(F.col(y).cast("double")), F.lit(0.0)).alias("_cy"))
     columns = panel.columns
-    panel = panel.join(F.broadcast(centre))
+    source, panel = panel, panel.join(F.broadcast(centre))
     xc, yc = F.col(x).cast("double") - F.col("_cx"), F.col(y).cast("double") - F.col("_cy")
     ok = xc.isNotNull() & yc.isNotNull()
     own = panel.groupBy(*group, fold).agg(
@@ -41,7 +41,7 @@ def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
     sxx = F.col("_sxx") - n * mx * mx
     coef = tr.select(*group, fold, F.when(sxx > 0, sxy / sxx).otherwise(F.lit(0.0)).alias("theta"),
                      mx.alias("x_mean"))
-    out = join_small(panel, coef, group + [fold], "left")
+    out = join_small(panel, coef, group + [fold], "left", source=source)
     return (out.withColumn("y_cuped", F.col(y).cast("double") - F.col("theta") * (xc - F.col("x_mean")))
             .withColumn("x_mean", F.col("x_mean") + F.col("_cx")).select(*columns, "theta", "x_mean", "y_cuped"))
 

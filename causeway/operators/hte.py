@@ -51,7 +51,7 @@ def dr_segment(nuis: DataFrame, segment: Column | str, group: Sequence[str] = ()
            .when(n_fb > 0, (F.col("_as") - F.coalesce(F.col("_fs"), F.lit(0.0))) / n_fb)
            .otherwise(F.lit(0.0)))
     tab = t.select(*group, fold, "_seg", tau.alias(out))
-    return join_small(rows, tab, group + [fold, "_seg"], "left").drop("_seg")
+    return join_small(rows, tab, group + [fold, "_seg"], "left", source=nuis).drop("_seg")
 
 
 def segment_effects(nuis: DataFrame, segment: Column | str, group: Sequence[str] = (),

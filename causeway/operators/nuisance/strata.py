@@ -109,5 +109,5 @@ def strata_nuisance(panel: DataFrame, cell: Column | str, cfg: EffectConfig,
     rows = panel.withColumn("cell", c)
     stats = cell_stats(rows, "cell", group, t, y, fold, y_scale)
     oof = oof_table(stats, cfg, group, fold, y_scale)
-    out = join_small(rows, oof, group + [fold, "cell"], "left")
+    out = join_small(rows, oof, group + [fold, "cell"], "left", source=panel)
     return out.withColumn("psi", aipw_psi(t, y, "mu1", "mu0", "e"))

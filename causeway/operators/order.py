@@ -3,11 +3,12 @@
 A window with no ``partitionBy`` pulls every row into one task.  Here each
 group gets cut points of its own, and rows are numbered bucket by bucket:
 
-1. a group of n rows is to have n / ``BUCKET_ROWS`` buckets (at most ``MAX_CUTS``);
-   about ``PER_BUCKET`` rows per bucket are sampled by the hash of the tie-break
-   column — the same rows at every retry — and every ``PER_BUCKET``-th of the
-   sorted sample is a cut point.  The splitter table has one row per group, and
-   its size follows the input;
+1. ``PER_BUCKET`` of ``BUCKET_ROWS`` rows are sampled by the hash of the tie-break
+   column — the same rows at every retry — and every ``PER_BUCKET``-th of a
+   group's sorted sample is a cut point (every so many more that there are at
+   most ``MAX_CUTS``).  The splitter table has one row per group, and its size
+   follows the input; a group's sample, a 6,000th of its rows, is sorted in one
+   task;
 2. rows find their bucket by binary search among their group's cut points.  A
    cut point is a (missing, key, tie-break) triple and rows are compared as such
    triples, so a value that a third of all rows share, or all NULL keys, are
@@ -53,21 +54,17 @@ def _bucket(cuts: Column, row: Column) -> Column:
 
 
 def splitters(df: DataFrame, row: Column, tie: str, group: Sequence[str], bucket_rows: int) -> DataFrame:
-    """``group…, _cuts``: the sorted cut points of every group (none where one
-    bucket is enough)."""
+    """``group…, _cuts``: the sorted cut points of every group; a group without
+    a sampled row is not in the table (one bucket is enough)."""
     group = list(group)
-    sizes = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_buckets", F.least(F.ceil(F.col("_n") / bucket_rows), F.lit(MAX_CUTS)).cast("int"))
-             .where("_buckets > 1")
-             .withColumn("_share", F.col("_buckets") * F.lit(float(PER_BUCKET)) / F.col("_n"))
-             .select(*group, "_buckets", "_share"))
-    narrow = df.select(*group, row.alias("_row"), (F.pmod(F.xxhash64(tie), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))
-    sized = join_null_safe(narrow, sizes, group) if group else narrow.crossJoin(F.broadcast(sizes))  # one row
-    sample = (sized.where(F.col("_u") < F.col("_share")).groupBy(*group)
-              .agg(F.max("_buckets").alias("_buckets"), F.array_sort(F.collect_list("_row")).alias("_s")))
-    at = F.transform(F.sequence(F.lit(1), F.col("_buckets") - 1),
-                     lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_buckets")).cast("int")))
-    return sample.select(*group, F.array_distinct(at).alias("_cuts"))
+    share = min(1.0, PER_BUCKET / bucket_rows)
+    drawn = F.pmod(F.xxhash64(tie), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy()
+    sample = df.where(drawn).select(*group, row.alias("_row")).select(
+        "*", F.count(F.lit(1)).over(whole).alias("_m"), F.row_number().over(whole.orderBy("_row")).alias("_i"))
+    every = F.greatest(F.lit(PER_BUCKET), F.ceil(F.col("_m") / F.lit(MAX_CUTS)))
+    return (sample.where(F.col("_i") % every == 0).groupBy(*group)
+            .agg(F.array_sort(F.collect_list("_row")).alias("_cuts")))
 
 
 def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
@@ -89,7 +86,7 @@ def ordered(df: DataFrame, key: str, ascending: bool = True, tie: str = "id",
     if group:
         work = join_null_safe(work, cuts, group, how="left")
     else:
-        work = work.join(F.broadcast(cuts), how="left")  # at most one row
+        work = work.crossJoin(F.broadcast(cuts))  # one row
     work = work.withColumn("_b", _bucket(F.coalesce("_cuts", none), row)).drop("_cuts")
 
     counts = work.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"),

@@ -34,19 +34,17 @@ def auuc_areas(df: DataFrame, scores: Sequence[str], psi: str = "psi", group: Se
     score ordering.  All orderings are ranked in one plan: every row once per
     score, as (score name, value) in a group of its own."""
     group, scores = list(group), list(scores)
-    base = df.where(F.col(psi).isNotNull()).select(*group, "id", F.col(psi).alias("_v"), *[
-        F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)])
-    if centered:
-        mean = base.groupBy(*group).agg(F.avg("_v").alias("_m"))
-        base = join_null_safe(base, mean, group) if group else base.crossJoin(F.broadcast(mean))  # one row
-        base = base.withColumn("_v", F.col("_v") - F.col("_m")).drop("_m")
-    rows = base.select(*group, "id", "_v", F.posexplode(F.array(*[f"_s{i}" for i in range(len(scores))])).alias("_o", "_score"))
+    rows = df.where(F.col(psi).isNotNull()).select(
+        *group, "id", F.col(psi).alias("_v"),
+        F.posexplode(F.array(*[F.col(s).cast("double") for s in scores])).alias("_o", "_score"))
     ranked = ordered(rows, "_score", ascending=False, tie="id", group=[*group, "_o"], pos_col="_r")
     sums = ranked.groupBy(*group, "_o").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("_sv"), F.sum(F.col("_r") * F.col("_v")).alias("_srv"),
-        F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("_v1"))
-    n = F.col("n")
-    area = ((n + 1) * F.col("_sv") - F.col("_srv") - (F.col("_v1") + F.col("_sv")) / 2.0) / n
+        F.count(F.lit(1)).alias("n"), F.avg("_v").alias("_m"), F.sum("_v").alias("_sv"),
+        F.sum(F.col("_r") * F.col("_v")).alias("_srv"), F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("_v1"))
+    # Σ (n − r + 1)·(ψ_r − m), the ranks' own sum taken out: Σ r = n (n + 1) / 2
+    n, m = F.col("n"), F.col("_m") if centered else F.lit(0.0)
+    area = ((n + 1) * (F.col("_sv") - n * m / 2.0) - F.col("_srv")
+            - (F.col("_v1") + F.col("_sv") - (n + 1) * m) / 2.0) / n
     return sums.groupBy(*group).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("_o") == i, area)).alias(f"area_{s}") for i, s in enumerate(scores)])
 

@@ -25,7 +25,7 @@ from causeway.config import EffectConfig, Rules
 from causeway.functions.scalar import r
 from causeway.operators import estimate, hte, robust
 from causeway.operators.folds import assign_folds
-from causeway.operators.joins import attach, join_null_safe, keep
+from causeway.operators.joins import attach, join_null_safe, keep, settle
 from causeway.operators.nuisance.strata import strata_nuisance
 from causeway.operators.order import exact_quantiles
 
@@ -52,7 +52,7 @@ class CampaignSpec:
 
 def _effect_with_placebo(panel: DataFrame, cell: Column, spec: CampaignSpec, estimand: str,
                          runs: int, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    nuis = keep(strata_nuisance(panel, cell, spec.cfg, group, y_scale=spec.y_scale))
+    nuis = settle(strata_nuisance(panel, cell, spec.cfg, group, y_scale=spec.y_scale))
     eff = estimate.effect_table(nuis, estimand, spec.cfg, group)
     plac = robust.placebo_runs(panel, cell, spec.cfg, runs, ("y",), group, y_scale=spec.y_scale)
     p = robust.permutation_pvalue(plac, eff, estimand, group).select(*group, "p_value")
@@ -68,7 +68,7 @@ def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = Campa
     if spec.activity_id is not None or "activity_id" not in panel.columns:
         base = base.withColumn("activity_id", F.lit(spec.activity_id or "activity"))
     group = list(group)
-    base = keep(assign_folds(base, cfg.n_splits, cfg.seed))
+    base = settle(assign_folds(base, cfg.n_splits, cfg.seed))
 
     nuis, ate = _effect_with_placebo(base, cell, spec, "ATE", spec.ate_runs, group)
     lo, hi = spec.att_band
@@ -79,7 +79,7 @@ def campaign_analysis(panel: DataFrame, cell: Column, spec: CampaignSpec = Campa
     band_panel = nuis.where(in_att).select(*base.columns)
     _, att = _effect_with_placebo(band_panel, cell, spec, "ATT", spec.att_runs, group)
 
-    tau = keep(hte.dr_segment(nuis, cell, group))
+    tau = settle(hte.dr_segment(nuis, cell, group))
     qf = exact_quantiles(tau, "tau", QUANTILES, group)
     hb_lo, hb_hi = spec.hte_band
     qb = exact_quantiles(tau.where(F.col("e").between(hb_lo, hb_hi)), "tau", QUANTILES, group)

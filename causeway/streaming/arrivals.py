@@ -31,7 +31,7 @@ def campaign_batch_writer(cell: Column, spec: CampaignSpec, results_path: str,
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        with caches():
+        with caches(batch.sparkSession):
             res, uplift = campaign_analysis(batch, cell, spec, ["activity_id"])
             write_result_records(result_record(res, spec).withColumn("batch_id", F.lit(batch_id)), results_path)
             write_user_uplift(uplift.withColumn("batch_id", F.lit(batch_id)), uplift_path)

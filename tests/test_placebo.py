@@ -141,7 +141,7 @@ def test_null_cells_lose_no_row(spark):
 
 def test_caches_are_released(spark):
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
-    with caches():
+    with caches(spark):
         df = keep(spark.range(10))
         assert df.count() == 10 and len(spark.sparkContext._jsc.getPersistentRDDs()) > before
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
