@@ -8,9 +8,10 @@ stays, the others are repeats.  Runs of consecutive repeats of at least
 
 The hash of a place depends on the last 16 bytes; a boundary may fall where 5
 of its bits are 0, chunks are 24 to 256 bytes long (the last of a document
-may be shorter).  Copies inside one batch are settled there, so a chunk that
-occurs everywhere sends one row per batch.  Nulls, empty texts and repeated
-ids: see common; an empty text has no chunks.
+may be shorter).  Copies inside one slice (``SLICE`` bytes of text) are settled
+there, so a chunk that occurs everywhere sends one row per slice.  A worker
+holds one slice's chunks at a time.  Nulls, empty texts and repeated ids: see
+common; an empty text has no chunks.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_64_intdigest
 
-from .common import one_per_id, restore_id
+from .common import one_per_id, restore_id, slices
 
 MIN_CHUNK, MAX_CHUNK = 24, 256
 WINDOW = 16
 MASK_BITS = 5
 MIN_RUN = 64
+#: Bytes of text whose chunks a worker holds at once.
+SLICE = 4 << 20
 
 _GEAR = np.array([xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFFFFFF for b in range(256)], np.uint32)
 
 
-def gear(body: bytes) -> np.ndarray:
+def gear(body: bytes | memoryview | pa.Buffer) -> np.ndarray:
     """Gear hash at every byte: the sum of table values of the last 32 bytes,
     each shifted by its age; built by doubling the window."""
     h = _GEAR[np.frombuffer(body, np.uint8)]
@@ -47,7 +50,7 @@ def gear(body: bytes) -> np.ndarray:
     return h
 
 
-def chunk_ends(body: bytes) -> list[int]:
+def chunk_ends(body: bytes | memoryview | pa.Buffer) -> list[int]:
     """Ends of the chunks of a text."""
     n = len(body)
     if not n:
@@ -72,29 +75,33 @@ def chunk_ends(body: bytes) -> list[int]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d1, d2, doc_id, packed) per chunk; packed = (start * 512 + bytes) * 2
-    + settled (an earlier copy is in the same batch)."""
-    for batch in batches:
-        digests, docs, starts, sizes = [], [], [], []
-        for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ends = chunk_ends(body)
-            begins = [0, *ends[:-1]]
-            digests += [xxh3_128_digest(body[a:b]) for a, b in zip(begins, ends)]
-            starts += begins[:len(ends)]
-            sizes += [b - a for a, b in zip(begins, ends)]
-            docs.append(np.full(len(ends), doc, np.int64))
-        if not digests:
-            continue
-        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        doc, start, size = np.concatenate(docs), np.array(starts, np.int64), np.array(sizes, np.int64)
-        o = np.lexsort((start, doc, d[:, 1], d[:, 0]))
-        d, doc, start, size = d[o], doc[o], start[o], size[o]
-        settled = np.zeros(len(o), bool)
-        settled[1:] = (d[1:] == d[:-1]).all(axis=1)
-        # settled rows only go to their document: any key does, spread evenly
-        key = np.where(settled, d[:, 0] ^ (doc * 0x9E3779B1 + start) * 0x2545F491, d[:, 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(d[:, 1]), pa.array(doc), pa.array((start * 512 + size) * 2 + settled)],
-            names=["d1", "d2", "doc_id", "packed"])
+    + settled (an earlier copy is in the same slice)."""
+    for whole in batches:
+        for batch in slices(whole, 1, SLICE):
+            digests, docs, starts, sizes = bytearray(), [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = text.as_buffer()
+                ends = np.array(chunk_ends(body), np.int64)
+                begins = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
+                view = memoryview(body)
+                for a, b in zip(begins.tolist(), ends.tolist()):
+                    digests += xxh3_128_digest(view[a:b])
+                starts.append(begins)
+                sizes.append(ends - begins)
+                docs.append(np.full(len(ends), doc, np.int64))
+            if not digests:
+                continue
+            d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            doc, start, size = np.concatenate(docs), np.concatenate(starts), np.concatenate(sizes)
+            o = np.lexsort((start, doc, d[:, 1], d[:, 0]))
+            d, doc, start, size = d[o], doc[o], start[o], size[o]
+            settled = np.zeros(len(o), bool)
+            settled[1:] = (d[1:] == d[:-1]).all(axis=1)
+            # settled rows only go to their document: any key does, spread evenly
+            key = np.where(settled, d[:, 0] ^ (doc * 0x9E3779B1 + start) * 0x2545F491, d[:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(d[:, 1]), pa.array(doc), pa.array((start * 512 + size) * 2 + settled)],
+                names=["d1", "d2", "doc_id", "packed"])
 
 
 def _runs(n: int, repeats: list[int] | None) -> list[tuple[int, int]]:
@@ -114,22 +121,24 @@ _RESULT = ("doc_id long, n_bytes long, n_chunks long, n_repeats long, n_removed
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for body, repeats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            gone = _runs(len(body), repeats)
-            kept, last = hashlib.sha256(), 0
-            for s, e in gone:
-                kept.update(body[last:s])
-                last = e
-            kept.update(body[last:])
-            rows.append((len(body), len(chunk_ends(body)), len(repeats or ()), sum(e - s for s, e in gone),
-                         ",".join(f"{s}:{e}" for s, e in gone), kept.hexdigest()))
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-            names=["doc_id", "n_bytes", "n_chunks", "n_repeats", "n_removed", "removed", "kept_sha256"])
+    for whole in batches:
+        for batch in slices(whole, 1, SLICE):
+            rows = []
+            for text, repeats in zip(batch.column(1), batch.column(2).to_pylist()):
+                body = memoryview(text.as_buffer())
+                gone = _runs(len(body), repeats)
+                kept, last = hashlib.sha256(), 0
+                for s, e in gone:
+                    kept.update(body[last:s])
+                    last = e
+                kept.update(body[last:])
+                rows.append((len(body), len(chunk_ends(body)), len(repeats or ()), sum(e - s for s, e in gone),
+                             ",".join(f"{s}:{e}" for s, e in gone), kept.hexdigest()))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                names=["doc_id", "n_bytes", "n_chunks", "n_repeats", "n_removed", "removed", "kept_sha256"])
 
 
 def chunk_dedup(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ text is an empty one; input columns the operator doesn't name are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,21 @@ def one_per_id(docs: DataFrame, text: str = "text") -> DataFrame:
             .select("doc_id", F.col("t").cast("binary").alias("body")))
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts an Arrow batch into stretches of rows with about ``most`` bytes in
+    column ``text`` (a longer one alone), without a copy: what a Python worker
+    holds at once then follows from the longest text, not from the session's
+    batch size."""
+    column = batch.column(text)
+    width = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], width)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's Arrow batch size to ``rows`` documents, so what a
     Python worker holds at once is bounded even where documents are long."""
