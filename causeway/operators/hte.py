@@ -3,11 +3,10 @@
 * ``dr_segment``: the DR-learner with a saturated segment model — τ̂(x) is
   the mean ψ of the row's segment over the *other* folds (total minus own
   fold, one aggregate), with segment-level intervals.
-* ``dr_forest``: the DR-learner with a Spark ML random forest regressing ψ on
-  the features, trained on the overlap band and applied to every row,
-  cross-fitted by fold.
-* ``effect_intervals``: half-sample forests (md5-selected halves) give the
-  spread of τ̂(x); bounds at 90 % and 99 %.
+* ``dr_forest``: the DR-learner with a forest regressing ψ on the features,
+  trained on the overlap band and applied to every row, cross-fitted by fold.
+* ``effect_intervals``: the forest's trees come in little bags that each train
+  on half of the rows; the spread between bags gives bounds at 90 % and 99 %.
 * ``label_shares``: significance labels among treated rows and their shares.
 """
 
@@ -19,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.config import Z975
-from causeway.functions.hashing import md5_uniform
 from causeway.functions.scalar import significance_label
 from causeway.operators.joins import join_null_safe, join_small
+from causeway.operators.trees import Family, grow, predict
 
 Z95 = 1.6448536269514722  # two-sided 90 % normal quantile
 Z995 = 2.5758293035489004  # two-sided 99 % normal quantile
@@ -80,54 +79,27 @@ def label_shares(df: DataFrame, lb99: str = "lb99", lb90: str = "lb90",
 
 # -------------------------------------------------------------- forest DR
 def dr_forest(nuis: DataFrame, features: Sequence[str], cfg_band: tuple[float, float] | None,
-              fold: str = "fold", psi: str = "psi", num_trees: int = 50, max_depth: int = 5,
-              seed: int = 42, out: str = "tau", half: tuple[int, int] | None = None) -> DataFrame:
-    """Cross-fitted forest on ψ: for each fold a RandomForestRegressor is fitted
-    on the other folds' rows inside the band and scores the fold's rows.
-
-    ``half=(b, salt)`` keeps only the md5-selected half ``b`` of the training
-    rows (used by :func:`effect_intervals`).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    asm = VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="keep")
-    data = asm.transform(nuis.fillna(0.0, subset=list(features)))
-    train_base = data.where(F.col(psi).isNotNull())
+              fold: str = "fold", psi: str = "psi", num_trees: int = 50, max_depth: int = 5, min_leaf: int = 20,
+              seed: int = 42, out: str = "tau", bags: int = 0, bins: int = 32) -> DataFrame:
+    """Cross-fitted forest on ψ: trained on the other folds' rows inside the
+    band, applied to every row.  The forests of all folds grow together; with
+    ``bags`` the trees come in little bags and ``<out>_sd`` is added."""
+    where = F.col(psi).isNotNull()
     if cfg_band is not None:
-        train_base = train_base.where(F.col("e").between(*cfg_band))
-    if half is not None:
-        b, salt = half
-        train_base = train_base.where((md5_uniform("id", "half", salt) < 0.5) == (b == 0))
-    folds = [r[0] for r in data.select(fold).distinct().collect()]
-    scored = None
-    for f in sorted(folds):
-        rf = RandomForestRegressor(featuresCol="_fv", labelCol=psi, predictionCol=out,
-                                   numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                   subsamplingRate=0.8)
-        model = rf.fit(train_base.where(F.col(fold) != f))
-        part = model.transform(data.where(F.col(fold) == f))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored.drop("_fv")
+        where = where & F.col("e").between(*cfg_band)
+    folds = [r[0] for r in nuis.select(fold).distinct().collect()]
+    forest = grow(nuis, features, [Family(out, F.col(psi), where)], folds, fold, depth=max_depth, trees=num_trees,
+                  bags=bags, min_leaf=min_leaf, seed=seed, bins=bins)
+    return predict(nuis, forest, fold, spread=bags > 0)
 
 
 def effect_intervals(nuis: DataFrame, features: Sequence[str], band: tuple[float, float] | None,
-                     n_halves: int = 4, fold: str = "fold", seed: int = 42, **kw) -> DataFrame:
-    """τ̂ and its 90/99 % bounds from half-sample forests: the spread of the
-    half-sample predictions estimates the sampling sd of τ̂(x)."""
-    base = dr_forest(nuis, features, band, fold, seed=seed, **kw)
-    halves = None
-    for b in range(n_halves):
-        h = dr_forest(nuis, features, band, fold, seed=seed + b + 1, out="_h",
-                      half=(b % 2, b // 2), **kw).select("id", "_h")
-        halves = h if halves is None else halves.unionByName(h)
-    # one aggregation by id (instead of one join per half-sample model)
-    spread = halves.groupBy("id").agg(F.var_samp("_h").alias("_hv"))
-    out = base.join(spread, "id", "left")
-    sd = F.sqrt(F.col("_hv") / 2.0)  # a half sample has twice the variance of the full one
-    out = out.select("*", sd.alias("tau_sd")).drop("_hv")
-    return out.select(*[c for c in out.columns if not c.startswith("_h")],
-                      (F.col("tau") - Z95 * F.col("tau_sd")).alias("lb90"),
-                      (F.col("tau") + Z95 * F.col("tau_sd")).alias("ub90"),
-                      (F.col("tau") - Z995 * F.col("tau_sd")).alias("lb99"),
-                      (F.col("tau") + Z995 * F.col("tau_sd")).alias("ub99"))
+                     fold: str = "fold", seed: int = 42, bags: int = 50, per_bag: int = 4, **kw) -> DataFrame:
+    """τ̂ and its 90/99 % bounds from little bags: one forest per fold, all grown
+    together, whose trees share half of the rows bag by bag; the variance
+    between the bags' means, less what the few trees of a bag add, is that of
+    τ̂(x).  One scoring pass gives the mean and the spread."""
+    out = dr_forest(nuis, features, band, fold, num_trees=bags * per_bag, bags=bags, seed=seed, **kw)
+    sd = F.col("tau_sd")
+    return out.select("*", *[(F.col("tau") + sign * z * sd).alias(f"{side}{level}")
+                             for z, level in ((Z95, 90), (Z995, 99)) for side, sign in (("lb", -1), ("ub", 1))])

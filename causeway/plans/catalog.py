@@ -513,7 +513,7 @@ def q_trim(spark, sf_dir):
 
 # ------------------------------------------------------------ P6 learners and HTE
 from causeway.operators.nuisance import linear as lin  # noqa: E402
-from causeway.operators.nuisance.ml import ml_nuisance  # noqa: E402
+from causeway.operators.nuisance.forest import forest_nuisance  # noqa: E402
 
 LEARN_X = ["before_cnt", "before_amt", "acctbal", "region"]
 FOLDS = list(range(DEFAULT.n_splits))
@@ -536,11 +536,9 @@ def q_ate_linear(spark, sf_dir):
 
 @query("ate_ml")
 def q_ate_ml(spark, sf_dir):
-    from causeway.operators.folds import assign_folds
-
-    panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)  # 3 folds × 3 GBT fits
-    nuis = ml_nuisance(panel, LEARN_X, DEFAULT, [0, 1, 2], max_iter=10, max_depth=3)
-    return _effect_row(estimate.effect_table(nuis, "ATE", DEFAULT))
+    """Forests for the propensity and both arms of all five folds, grown together."""
+    return _effect_row(estimate.effect_table(forest_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS),
+                                             "ATE", DEFAULT))
 
 
 HTE_BAND = (0.2, 0.8)
@@ -548,14 +546,13 @@ HTE_BAND = (0.2, 0.8)
 
 @query("dr_forest")
 def q_dr_forest(spark, sf_dir):
-    t = hte.dr_forest(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND, num_trees=20, max_depth=4)
+    t = hte.dr_forest(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND)
     return t.select("id", "fold", r("tau", 4).alias("tau"))
 
 
 @query("effect_interval")
 def q_effect_interval(spark, sf_dir):
-    t = hte.effect_intervals(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND, n_halves=4,
-                             num_trees=20, max_depth=4)
+    t = hte.effect_intervals(customer_nuisance(spark, sf_dir), LEARN_X, HTE_BAND)
     return t.select("id", *[r(c, 4).alias(c) for c in ("tau", "tau_sd", "lb90", "ub90", "lb99", "ub99")])
 
 
@@ -934,3 +931,52 @@ def q_placebo_linear(spark, sf_dir):
     """300 exact permutations, every fold's linear propensity and outcome models refitted in each."""
     runs = robust.placebo_linear_runs(customer_folds(spark, sf_dir), ["before_amt"], DEFAULT, LINEAR_RUNS, ("y", "y_nc"))
     return runs.select("run", "outcome", "n", r("ate", 4).alias("ate"), r("att", 4).alias("att"), r("ato", 4).alias("ato"))
+
+
+# ------------------------------------------------------------ trees grown together, degenerate arms
+from causeway.operators import trees  # noqa: E402
+from causeway.operators.nuisance.arms import arm_status, route_arms  # noqa: E402
+
+TREE_CUTS = {"before_cnt": (0, 1, 2, 3, 4, 6, 8), "before_amt": tuple(range(0, 1_000_001, 100_000)),
+             "acctbal": tuple(range(-500, 10_000, 500)), "region": (0, 1, 2, 3)}
+
+
+@query("tree_depth2")
+def q_tree_depth2(spark, sf_dir):
+    """The nodes of a regression tree of depth 2 of the outcome (in cents), one per arm."""
+    panel = panel_customer(spark, sf_dir)
+    cents = F.round(F.col("y") * 100).cast("bigint")
+    forest = trees.grow(panel, list(TREE_CUTS), [trees.Family(f"arm{a}", cents, F.col("t") == a) for a in (1, 0)], depth=2,
+                        min_leaf=20, cuts=list(TREE_CUTS.values()))
+    rows = [(name, node, int(f), int(forest.bin[m, 0, node]) if f >= 0 else -1, int(forest.weight[m, 0, node]),
+             float(forest.value[m, 0, node]))
+            for m, name in enumerate(forest.families) for node, f in enumerate(forest.feature[m, 0])
+            if forest.weight[m, 0, node] > 0]   # at most 7 nodes a tree
+    out = spark.createDataFrame(rows, "model string, node int, feature int, bin int, n int, mean double")
+    return out.select("model", "node", "feature", "bin", "n", r("mean", 2).alias("mean"))
+
+
+def _uneven_panel(spark, sf_dir):
+    """A segment for each kind of arm: ordinary, constant, nearly all zero, very few and no treated rows."""
+    seg, t, y = F.col("seg"), F.col("t"), F.col("y")
+    keep_t = (F.when(seg == "HOUSEHOLD", F.col("id") % 40 == 0).when(seg == "MACHINERY", F.lit(False)).otherwise(F.lit(True)))
+    return customer_folds(spark, sf_dir).withColumn("t", F.when(keep_t, t).otherwise(0)).withColumn(
+        "y", F.when((seg == "BUILDING") & (F.col("t") == 1), 7.0)
+        .when((seg == "FURNITURE") & (F.col("t") == 1) & (F.col("id") % 97 > 0), 0.0).otherwise(y))
+
+
+@query("arm_fallbacks")
+def q_arm_fallbacks(spark, sf_dir):
+    s = arm_status(_uneven_panel(spark, sf_dir), group=["seg"], y_scale=2)
+    return s.select("seg", "fold", "arm", "n", r("mean", 4).alias("mean"), r("spread", 4).alias("spread"),
+                    r("zero_share", 6).alias("zero_share"), r("pooled_mean", 4).alias("pooled_mean"), "route")
+
+
+@query("ate_arm_fallbacks")
+def q_ate_arm_fallbacks(spark, sf_dir):
+    """The effect per segment, every arm's outcome model by its route."""
+    panel = _uneven_panel(spark, sf_dir)
+    nuis = strata_nuisance(panel, customer_cell(), DEFAULT, ["seg"], y_scale=2)
+    routed = route_arms(nuis, arm_status(panel, group=["seg"], y_scale=2), DEFAULT, group=["seg"])
+    eff = estimate.effect_table(routed, "ATE", DEFAULT, ["seg"])
+    return eff.select("seg", "n", r("est", 4).alias("est"), r("se", 4).alias("se"))

@@ -952,3 +952,78 @@ co AS (SELECT f.run, f.fold, regr_intercept(q.t, q.x) AS be, regr_slope(q.t, q.x
 
 
 ORACLE["placebo_linear"] = placebo_linear_sql(300)
+
+# ------------------------------------------------------------ trees grown together, degenerate arms
+TREE_CUTS = {"before_cnt": (0, 1, 2, 3, 4, 6, 8), "before_amt": tuple(range(0, 1_000_001, 100_000)),
+             "acctbal": tuple(range(-500, 10_000, 500)), "region": (0, 1, 2, 3)}
+
+
+def tree_sql(min_leaf: int = 20) -> str:
+    """Best split of the root, then of its children, by reduction of squares over given cut points."""
+    bins = "\nUNION ALL\n".join(
+        f"SELECT id, model, yc, {i} AS f, 1 + " + " + ".join(f"CAST({c} > {v} AS INTEGER)" for v in cuts) + " AS b FROM q"
+        for i, (c, cuts) in enumerate(TREE_CUTS.items()))
+
+    def best(src: str) -> str:
+        return f"""
+SELECT model, node, f, b FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, f, b) AS k FROM (
+    SELECT *, ls * ls / lw + (s - ls) * (s - ls) / (n - lw) - s * s / n AS gain FROM (
+      SELECT model, node, f, b,
+             CAST(sum(c) OVER w AS DOUBLE) AS lw, CAST(sum(sy) OVER w AS DOUBLE) AS ls,
+             CAST(sum(c) OVER (PARTITION BY model, node, f) AS DOUBLE) AS n,
+             CAST(sum(sy) OVER (PARTITION BY model, node, f) AS DOUBLE) AS s
+      FROM (SELECT model, node, f, b, count(*) AS c, sum(yc) AS sy FROM {src} GROUP BY ALL)
+      WINDOW w AS (PARTITION BY model, node, f ORDER BY b))
+    WHERE lw >= {min_leaf} AND n - lw >= {min_leaf})
+  WHERE gain > 1e-12 * greatest(1.0, abs(s)))
+WHERE k = 1"""
+
+    def descend(src: str, split: str) -> str:
+        return f"""
+SELECT l.id, l.model, l.yc, l.f, l.b, 2 * l.node + 1 + CAST(x.b > s.b AS INTEGER) AS node
+FROM {src} l JOIN {split} s ON s.model = l.model AND s.node = l.node JOIN {src} x ON x.id = l.id AND x.f = s.f"""
+
+    return f"""
+WITH q AS (SELECT *, 'arm' || t AS model, {cents('y')} AS yc FROM ({PANEL_CUSTOMER})),
+l0 AS (SELECT *, 0 AS node FROM ({bins})),
+s0 AS ({best('l0')}),
+l1 AS ({descend('l0', 's0')}),
+s1 AS ({best('l1')}),
+l2 AS ({descend('l1', 's1')}),
+every AS (SELECT * FROM (SELECT id, model, yc, f, b, node FROM l0 UNION ALL BY NAME SELECT * FROM l1 UNION ALL BY NAME SELECT * FROM l2)
+          WHERE f = 0),
+sp AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)
+SELECT e.model, CAST(e.node AS INTEGER) AS node, CAST(coalesce(max(sp.f), -1) AS INTEGER) AS feature,
+       CAST(coalesce(max(sp.b), -1) AS INTEGER) AS bin, CAST(count(*) AS INTEGER) AS n, round(sum(yc) / count(*), 2) + 0.0 AS mean
+FROM every e LEFT JOIN sp ON sp.model = e.model AND sp.node = e.node GROUP BY e.model, e.node"""
+
+
+ORACLE["tree_depth2"] = tree_sql()
+
+UNEVEN = f"""SELECT * REPLACE (CASE WHEN seg = 'BUILDING' AND t = 1 THEN 7.0 WHEN seg = 'FURNITURE' AND t = 1 AND id % 97 > 0 THEN 0.0
+                                ELSE y END AS y)
+FROM (SELECT * REPLACE (CASE WHEN seg = 'HOUSEHOLD' AND id % 40 <> 0 THEN 0 WHEN seg = 'MACHINERY' THEN 0 ELSE t END AS t)
+      FROM ({PANEL_CUSTOMER}))"""
+ARM_STATUS = f"""
+u AS ({folded(UNEVEN, CUSTOMER_CELL)}),
+st AS (
+  SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n < 10 THEN 'pooled'
+                 WHEN n < 30 OR spread < 1e-8 OR zero_share >= 0.98 THEN 'constant' ELSE 'model' END AS route
+  FROM (SELECT g.seg, g.fold, a.arm, count(q.y) FILTER (q.t = a.arm) AS n, avg(q.y) FILTER (q.t = a.arm) AS mean,
+               stddev_pop(CAST({cents('q.y')} AS DOUBLE)) FILTER (q.t = a.arm) / 100 AS spread,
+               avg(CASE WHEN q.y = 0 THEN 1.0 ELSE 0.0 END) FILTER (q.t = a.arm) AS zero_share, avg(q.y) AS pooled_mean
+        FROM (SELECT DISTINCT seg, fold FROM u) g CROSS JOIN (VALUES (0), (1)) a(arm)
+        LEFT JOIN u q ON q.seg = g.seg AND q.fold <> g.fold GROUP BY g.seg, g.fold, a.arm))"""
+ORACLE["arm_fallbacks"] = f"""WITH {ARM_STATUS}
+SELECT seg, fold, arm, n, round(mean, 4) + 0.0 AS mean, round(spread, 4) + 0.0 AS spread,
+       round(zero_share, 6) + 0.0 AS zero_share, round(pooled_mean, 4) + 0.0 AS pooled_mean, route FROM st"""
+ORACLE["ate_arm_fallbacks"] = "\nUNION ALL\n".join(f"""
+SELECT * FROM (WITH {ARM_STATUS}, {strata_ctes(f"SELECT * FROM ({UNEVEN}) WHERE seg = '{s}'", CUSTOMER_CELL)},
+ro AS (SELECT nu.* EXCLUDE (mu1, mu0, psi), {', '.join(
+    f"CASE r{a}.route WHEN 'model' THEN nu.mu{a} WHEN 'constant' THEN r{a}.mean WHEN 'pooled' THEN r{a}.pooled_mean ELSE 0.0 END AS mu{a}"
+    for a in (1, 0))}
+       FROM nu {' '.join(f"JOIN st r{a} ON r{a}.seg = '{s}' AND r{a}.fold = nu.fold AND r{a}.arm = {a}" for a in (1, 0))}),
+ps AS (SELECT t * (y - mu1) / e - (1 - t) * (y - mu0) / (1 - e) + (mu1 - mu0) AS psi FROM ro)
+SELECT '{s}' AS seg, count(*) AS n, round(avg(psi), 4) + 0.0 AS est, round(stddev_samp(psi) / sqrt(count(*)), 4) + 0.0 AS se FROM ps)"""
+    for s in SEG_LEVELS)
