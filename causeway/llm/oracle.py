@@ -28,19 +28,24 @@ m AS (
   FROM w LEFT JOIN rep USING (doc_id)),
 b AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-         (100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS strict FROM m),
+         (100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS strict,
+         (100 * n_symbols > 100 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS clear FROM m),
 h AS (
-  SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f, sum(CAST(base_failed AS INT)) / count(*) AS rate
-  FROM b GROUP BY source),
+  SELECT source, kind, count(*) AS n, sum(f) AS f, sum(f) / count(*) AS rate
+  FROM (SELECT source, 'base' AS kind, CAST(base_failed AS INT) AS f FROM b
+        UNION ALL SELECT source, 'strict', CAST(strict AS INT) FROM b)
+  GROUP BY source, kind),
 p AS (
-  SELECT sum(f) / sum(n) AS mean, var_pop(rate) AS var FROM h),
+  SELECT kind, sum(f) / sum(n) AS mean, var_pop(rate) AS var FROM h GROUP BY kind),
 s AS (
-  SELECT mean, CASE WHEN var > 0 AND mean BETWEEN 1e-12 AND 1 - 1e-12
-                    THEN least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1.0 END AS strength FROM p),
+  SELECT kind, mean, CASE WHEN var > 0 AND mean BETWEEN 1e-12 AND 1 - 1e-12
+                          THEN least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1.0 END AS strength FROM p),
 v AS (
-  SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS host_failed FROM h, s)
+  SELECT source, bool_or((f + mean * strength) / (n + strength) > mean + sqrt(mean * (1 - mean) / (strength + 1)) + 1e-9)
+         AS host_failed
+  FROM h JOIN s USING (kind) GROUP BY source)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND NOT (coalesce(host_failed, false) AND strict)) AS kept
+       (NOT base_failed AND NOT clear AND NOT (coalesce(host_failed, false) AND strict)) AS kept
 FROM b LEFT JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 

@@ -10,9 +10,9 @@ repeats a source or a duplicate.
 
 A document longer than a sequence is cut into full sequences of its own (a
 bin each) and a rest, which is packed like any other piece.  Shards are
-hash-dealt slices of about ``SHARD`` pieces, so neither a hot source nor a
-large cluster lands in one task, and only (doc_id, length, source, cluster)
-is shuffled.  Null text counts no words; documents without words get piece 0
+hash-dealt slices of about ``SHARD`` pieces; the row's place in the input is
+part of the hash, so neither a hot source nor a large cluster nor equal rows
+land in one task.  Only (doc_id, length, source, cluster) is shuffled.  Null text counts no words; documents without words get piece 0
 of length 0 with a null bin.  Null sources are one source.  Rows are packed
 one by one; repeated rows share a cluster (the digest of the text) and so
 never share a bin.
@@ -104,12 +104,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     shard, bin (within the shard), place (first word's place in the bin)."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         n_words(F.col("text")).alias("words"),
-                        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("cluster"))
+                        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("cluster"),
+                        F.monotonically_increasing_id().alias("row"))
     pieces = (sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
                   F.lit(0).cast("long"), F.ceil(F.col("words") / capacity) - 1))))
               .withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity).cast("long")))
     shards = max(1, -(-docs.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece", "row"), F.lit(shards)))
     packed = (dealt.where("n_words > 0").select("doc_id", "piece", "n_words", "shard", "source", "cluster")
               .groupBy("shard").applyInPandas(_pack_shard(capacity), SCHEMA))
     empty = dealt.where("n_words = 0").select(

@@ -1,16 +1,14 @@
 """Host-level quality rules.
 
-Every document is measured by fixed text rules.  Failures are aggregated by
-host (``source``), each host's failure rate is shrunk towards the corpus by
-a beta prior fitted to the hosts themselves (method of moments), and the
-host verdicts are joined back: a document of a failing host must also pass
-the strict rules, one of a good host only the base rules.
-
-The report (``judge``) fails a host at a fixed rate of base failures, as its
-SQL twin says.  The stage goes further: failures of the strict rules are
-aggregated and shrunk by host as well, a host also fails where one of its
-shrunk rates stands out from the corpus, and a text that breaks a strict rule
-clearly goes whatever its host.
+Every document is measured by fixed text rules: the base rules, the strict
+rules, and clear breaks of the strict ones.  Failures of the base and of the
+strict rules are aggregated by host (``source``) and each host's two failure
+rates are shrunk towards the corpus by a beta prior fitted to the hosts
+themselves (method of moments).  A host fails if a shrunk rate lies more than
+``DEVIATIONS`` of the prior's standard deviation above its mean: hosts that
+stand out from the others at any base rate.  The verdicts are joined back: a
+document must pass the base rules and break no strict rule clearly, and in a
+failing host it must pass the strict rules too.
 
 Measures: words are runs of bytes other than ASCII white space; lines are
 split at ``\\n`` and count if they hold a word.  Null or empty text has no
@@ -26,19 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import cut
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-#: A host fails if its shrunk failure rate exceeds this.
-HOST_LIMIT = 0.5
+#: A host fails if a shrunk failure rate is so many standard deviations of the
+#: prior above its mean.
+DEVIATIONS = 1.0
 #: Strict rules for documents of failing hosts, in percent of words / lines.
 STRICT_SYMBOL_PCT = 10
 STRICT_DUP_LINE_PCT = 30
-#: In the stage a host also fails if a shrunk rate, less SPREADS of its
-#: posterior, exceeds so many times the corpus mean.
-STAND_OUT, SPREADS = 1.5, 2.0
-#: In the stage a text beyond these fails in any host.
+#: A text beyond these fails in any host.
 CLEAR_SYMBOL_PCT = 100
 CLEAR_DUP_LINE_PCT = 60
 
@@ -100,16 +96,17 @@ def strict_failed(m: str = "m", symbol_pct: int = STRICT_SYMBOL_PCT, dup_line_pc
             | (100 * F.col(f"{m}.n_dup_lines") > dup_line_pct * F.col(f"{m}.n_lines")))
 
 
-def host_rates(docs: DataFrame) -> DataFrame:
+def host_rates(measured: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate, n_strict, strict_rate, shrunk,
-    host_failed, strict_shrunk, stands_out) per source.
+    strict_shrunk, host_failed) per source of measured rows (source, m).
 
     The prior is beta(a, b) with the mean and variance of the hosts' rates:
     mean m, variance v, strength s = m(1-m)/v - 1 (at least 1, at most 1e6;
-    1 where v is 0 or m is 0 or 1); shrunk = (failed + m s) / (n + s).  Base
-    and strict failures have a prior each.
+    1 where v is 0 or m is 0 or 1); shrunk = (failed + m s) / (n + s); the
+    prior's standard deviation is sqrt(m(1-m)/(s+1)).  Base and strict failures
+    have a prior each.
     """
-    hosts = (docs.select(F.col("source").alias("host"), measures(F.col("text")).alias("m"))
+    hosts = (measured.select(F.col("source").alias("host"), "m")
              .groupBy("host").agg(F.count("*").alias("n_docs"),
                                   F.sum(base_failed().cast("long")).alias("n_failed"),
                                   F.sum(strict_failed().cast("long")).alias("n_strict"))
@@ -131,54 +128,54 @@ def _shrunk(failed: str, prior: str) -> Column:
 
 
 def _stands_out(shrunk: str, prior: str) -> Column:
-    spread = F.sqrt(F.col(shrunk) * (1 - F.col(shrunk)) / (F.col("n_docs") + F.col(f"{prior}.strength") + 1))
-    return F.col(shrunk) - SPREADS * spread > STAND_OUT * F.col(f"{prior}.mean")
+    mean, strength = F.col(f"{prior}.mean"), F.col(f"{prior}.strength")
+    # a rate equal to the limit but for rounding doesn't stand out
+    return F.col(shrunk) > mean + DEVIATIONS * F.sqrt(mean * (1 - mean) / (strength + 1)) + 1e-9
 
 
 def shrink(hosts: DataFrame) -> DataFrame:
-    """Adds the shrunk rates and verdicts to the hosts' counts and rates."""
+    """Adds the shrunk rates and the verdict to the hosts' counts and rates."""
     prior = hosts.agg(_prior("n_failed", "rate").alias("base"), _prior("n_strict", "strict_rate").alias("strict"))
     # one row: the broadcast side is a global aggregate
     return (hosts.join(F.broadcast(prior))
             .withColumn("shrunk", _shrunk("n_failed", "base"))
-            .withColumn("host_failed", F.col("shrunk") > HOST_LIMIT)
             .withColumn("strict_shrunk", _shrunk("n_strict", "strict"))
-            .withColumn("stands_out", _stands_out("shrunk", "base") | _stands_out("strict_shrunk", "strict"))
+            .withColumn("host_failed", _stands_out("shrunk", "base") | _stands_out("strict_shrunk", "strict"))
             .drop("base", "strict"))
 
 
-def judge(docs: DataFrame, stage: bool = False) -> DataFrame:
-    """Every row of ``docs`` with the columns m (measures), base_failed and
-    kept added; ``stage`` adds the stage's verdicts to the report's.
+def judge(measured: DataFrame) -> DataFrame:
+    """Measured rows (source, m, ...) with the columns base_failed and kept added.
 
     Host totals are partial aggregates per source; the join back is on the
     host, planned by size at run time (broadcast where the host table turns
     out small, else a sort-merge join whose hot hosts AQE splits).
     """
-    small_batches(docs.sparkSession)
-    names = set(docs.columns) & {"m", "base_failed", "kept", "host", "host_failed"}
+    names = set(measured.columns) & {"base_failed", "kept", "host", "host_failed"}
     if names:
         raise ValueError(f"columns {sorted(names)} clash with the verdict's; rename them first")
-    failed = F.col("host_failed") | F.col("stands_out") if stage else F.col("host_failed")
-    verdicts = host_rates(docs).select("host", failed.alias("host_failed"))
-    clear = strict_failed("m", CLEAR_SYMBOL_PCT, CLEAR_DUP_LINE_PCT) if stage else F.lit(False)
-    marked = docs.withColumn("m", measures(F.col("text"))).withColumn("base_failed", base_failed())
-    return (marked.join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
+    verdicts = host_rates(measured).select("host", "host_failed")
+    clear = strict_failed("m", CLEAR_SYMBOL_PCT, CLEAR_DUP_LINE_PCT)
+    return (measured.withColumn("base_failed", base_failed())
+            .join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
             .withColumn("kept", ~F.col("base_failed") & ~clear
                         & ~(F.coalesce(F.col("host_failed"), F.lit(False)) & strict_failed()))
             .drop("host", "host_failed"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """The judged measures per row, without the text."""
-    return (judge(docs.select("doc_id", "source", "text"))
+    """The judged measures per row, without the text.  Texts are measured once;
+    the narrow table of measures is checkpointed for its two readers."""
+    measured = cut(docs.select("doc_id", "source", measures(F.col("text")).alias("m")))
+    return (judge(measured)
             .select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines",
                     "m.n_repeat_words", "base_failed", "kept"))
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.  Clashing column
-    names are set aside during the judging."""
+    names are set aside during the judging.  Texts are measured twice (for the
+    hosts, then for the verdicts): rows have no key to join measures back by."""
     names = docs.columns
-    packed = docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return judge(packed, stage=True).where("kept").select("row.*")
+    packed = docs.select("source", measures(F.col("text")).alias("m"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    return judge(packed).where("kept").select("row.*")

@@ -30,6 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from causeway.session import ensure_checkpoint_dir
 
+from .common import cut
+
 _CRLF = "\r\n"
 SCHEMA = ("page_id long, url string, record_type string, payload_digest string, payload_bytes long, "
           "refers_to long, payload binary")
@@ -246,10 +248,33 @@ def _records(stream: io.BufferedReader, tests: list, payload: bool) -> Iterator[
                 yield (*row.values(), None)
 
 
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a
+    folder of archives, length and digest taken from the payloads as read: those
+    of a response from its own, those of a revisit from the response it refers
+    to.  Both record types are asked for by a pushed predicate; revisits are
+    read without payloads.  A revisit whose response isn't there, or has other
+    bytes than the revisit's header names, has a null length and digest."""
+    body = F.coalesce("payload", F.lit(b""))
+    responses = (read_archives(spark, path, payload=True).where("record_type = 'response'")
+                 .select("page_id", F.octet_length(body).cast("long").alias("payload_bytes"),
+                         sha1_base32(body).alias("payload_digest"), "record_type", "refers_to"))
+    # one row per id and payload: copies of a response are equal here
+    known = responses.select(F.col("page_id").alias("known_id"), F.col("payload_bytes").alias("known_bytes"),
+                             F.col("payload_digest").alias("known_digest")).distinct()
+    revisits = read_archives(spark, path).where("record_type = 'revisit'")
+    same = F.col("refers_to").eqNullSafe(F.col("known_id")) & (F.col("payload_digest") == F.col("known_digest"))
+    return responses.unionByName(revisits.join(known, same, "left").select(
+        "page_id", F.col("known_bytes").alias("payload_bytes"), F.col("known_digest").alias("payload_digest"),
+        "record_type", "refers_to"))
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes the pages to a fresh folder of archives beside the checkpoints
-    (shared by all executors) and reads their headers back."""
+    (shared by all executors), reads it back, payloads and all, and deletes it."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(classify(pages, least), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest",
-                                             "record_type", "refers_to")
+    out = cut(read_back(spark, path))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out

@@ -71,6 +71,15 @@ def test_packing_invariants(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    """Half of the rows are equal: no shard holds much more than its share."""
+    rows = [(1, "same text here", "s") if i % 2 else (i, f"text {i}", f"s{i % 7}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, 50, 100).groupBy("shard").count().collect()
+    assert len(got) == 20 and max(r["count"] for r in got) < 160
+    assert sum(r["count"] for r in got) == 2000
+
+
 def test_word_count_is_by_ascii_white_space(spark):
     texts = [None, "", " a\tb\n\x0bc\x0cd\re ", "é\x85ü x", "\x1ca b"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
