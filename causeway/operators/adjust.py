@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.config import Z975
-from causeway.operators.joins import attach, join_null_safe, join_small
+from causeway.operators.joins import attach, join_null_safe, join_small, keep
+from causeway.operators.order import weighted_quantiles
 
 
 def cuped(panel: DataFrame, x: str, y: str = "y", fold: str = "fold",
@@ -112,18 +113,36 @@ def tmle_step(nuis: DataFrame, group: Sequence[str] = ()) -> DataFrame:
                       (F.col("est") - Z975 * se).alias("ci_lo"), (F.col("est") + Z975 * se).alias("ci_hi"))
 
 
-def trim_sensitivity(nuis: DataFrame, bands: Sequence[tuple[float, float]],
-                     group: Sequence[str] = ()) -> DataFrame:
-    """ATE on the rows whose propensity lies in each band, and the largest
-    |ψ| kept (influence-function tail) — one aggregate per band."""
-    parts = None
-    for lo, hi in bands:
-        inb = nuis.where(F.col("e").between(lo, hi))
-        agg = inb.groupBy(*group).agg(
-            F.count("psi").alias("n_kept"), F.avg("psi").alias("est"),
-            F.try_divide(F.stddev_samp("psi"), F.sqrt(F.count("psi"))).alias("se"),
-            F.max(F.abs("psi")).alias("psi_abs_max"))
-        agg = agg.select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), *agg.columns)
-        parts = agg if parts is None else parts.unionByName(agg)
-    return parts
+def trim_sensitivity(nuis: DataFrame, bands: Sequence[tuple[float, float]], group: Sequence[str] = (),
+                     tails: Sequence[float] = (0.95, 0.99)) -> DataFrame:
+    """ATE on the rows whose propensity lies in each band, and the tails of |ψ|
+    there: the largest and the quantiles ``tails`` (``psi_p95``, …).
 
+    One scan: the bands' edges cut [0, 1] into intervals and single points, and
+    rows are counted by (interval, |ψ|).  A band is a stretch of intervals, so
+    its moments are sums over them and its quantiles those of its counts."""
+    group = list(group)
+    edges = sorted({float(v) for band in bands for v in band})
+    points = F.array(*[F.lit(v) for v in edges])
+    e = F.col("e")
+    # even numbers are the open intervals between edges, odd ones the edges
+    place = 2 * F.size(F.filter(points, lambda v: v < e)) + F.array_contains(points, e).cast("int")
+    counted = keep(nuis.where(F.col("psi").isNotNull() & e.isNotNull()).select(*group, place.alias("_at"), "psi")
+                   .groupBy(*group, "_at", F.abs("psi").alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.sum("psi").alias("_s")))
+    spans = [F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
+                      F.lit(2 * edges.index(float(lo)) + 1).alias("a"), F.lit(2 * edges.index(float(hi)) + 1).alias("b"))
+             for lo, hi in bands]
+    inside = (counted.withColumn("_band", F.explode(F.array(*spans)))
+              .where(F.col("_at").between(F.col("_band.a"), F.col("_band.b")))
+              .select(*group, "_band.lo", "_band.hi", "_v", "_c", "_s"))
+    keys = [*group, "lo", "hi"]
+    n, s = F.sum("_c"), F.sum("_s")
+    square = F.sum(F.col("_c") * F.col("_v") * F.col("_v"))
+    stats = inside.groupBy(*keys).agg(
+        n.alias("n_kept"), (s / n).alias("est"),
+        F.when(n > 1, F.sqrt(F.greatest((square - s * s / n) / (n - 1), F.lit(0.0)) / n)).alias("se"),
+        F.max("_v").alias("psi_abs_max"))
+    q = weighted_quantiles(inside, "_v", "_c", tails, keys)
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("q"))).alias(f"psi_p{round(100 * p)}")
+                                  for p in tails])
+    return join_null_safe(stats, wide, keys)

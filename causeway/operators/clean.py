@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import attach
+from causeway.operators.joins import attach, join_null_safe
 from causeway.operators.order import exact_quantiles
 
 
@@ -83,3 +83,26 @@ def validity_gate(df: DataFrame, k: int, cols: Sequence[str] = ("psi", "tau"),
     s = df.groupBy(*group).agg(F.count(F.when(ok, 1)).alias("n_valid"))
     return s.withColumn("valid", F.col("n_valid") >= max(30, 2 * k)) \
             .withColumn("note", F.when(~F.col("valid"), F.lit("too few valid out-of-fold points")))
+
+
+def banded(nuis: DataFrame, band: tuple[float, float], k: int, base: tuple[float, float] = (0.1, 0.9),
+           group: Sequence[str] = ()) -> DataFrame:
+    """The rows inside the overlap band, or what :func:`band_choice` falls back
+    to where the band is too small: the base band, or all rows."""
+    group = list(group)
+    choice = band_choice(nuis, band, k, base, group).select(*group, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    j = join_null_safe(nuis, choice, group) if group else nuis.crossJoin(F.broadcast(choice))   # one row
+    return j.where(F.col("e").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def gated(metrics: DataFrame, df: DataFrame, k: int, cols: Sequence[str] = ("psi", "tau"),
+          group: Sequence[str] = (), zero: bool = False) -> DataFrame:
+    """Ranking metrics behind the validity gate: where too few rows have both
+    scores every metric is NULL (or 0) and ``note`` says why."""
+    group = list(group)
+    gate = validity_gate(df, k, cols, group).select(*group, "valid", "note", "n_valid")
+    j = join_null_safe(metrics, gate, group) if group else metrics.crossJoin(F.broadcast(gate))   # one row
+    other = F.lit(0.0) if zero else F.lit(None).cast("double")
+    values = {c for c, t in metrics.dtypes if t == "double"}
+    return j.select(*group, *[F.when(F.col("valid"), F.col(c)).otherwise(other).alias(c) if c in values else F.col(c)
+                              for c in metrics.columns if c not in group], "n_valid", "note")

@@ -1,18 +1,17 @@
 """Distillation of an uplift model into readable targeting rules.
 
-* ``student_tree``: Spark ML DecisionTreeRegressor on the teacher's τ̂; the
-  depth is chosen by a seeded search on an out-of-fold composite score
-  (0.6·nAUUC ratio + 0.3·max(0, Spearman) + 0.1·policy ratio), then refitted
-  on all rows.
-* ``extract_rules``: the fitted tree's node table (saved to the shared
-  checkpoint folder and read back as parquet) is walked on the driver — at
-  most 2^depth leaves — into rules as data:
+* ``teacher_scores``: out-of-fold τ̂ and ψ inside the overlap band, with a
+  calibrated propensity.
+* ``student_tree``: a single tree of the teacher's τ̂; depth and leaf size are
+  chosen by an out-of-fold composite score (0.6·nAUUC ratio + 0.3·max(0,
+  Spearman) + 0.1·policy ratio), then it is refitted on all rows.
+* ``extract_rules``: its leaves — at most 2^depth — as rules:
   ``leaf, value, conditions ARRAY<STRUCT<feature, op, threshold>>, rule_text``.
 * ``apply_rules``: first-match leaf per row from the rules table (one CASE
   expression, no join).
 * ``rule_values`` / ``rule_bootstrap``: per-leaf valuation and a Poisson
   bootstrap interval (replicate weights from md5, one grouped pass).
-* ``distill_quality``: R², MSE, Spearman, nAUUC of teacher/student, policy
+* ``distill_quality``: R², RMSE, Spearman, nAUUC of teacher/student, policy
   ratios and the pass rule.
 """
 
@@ -24,11 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.config import EffectConfig
 from causeway.functions.hashing import md5_int
-from causeway.operators import ranking, robust
-from causeway.operators.joins import attach
+from causeway.operators import hte, ranking, robust, trees
+from causeway.operators.clean import banded
+from causeway.operators.joins import attach, join_null_safe, settle
+from causeway.operators.nuisance.calibrate import calibrate
+from causeway.operators.nuisance.forest import forest_nuisance
 from causeway.operators.order import exact_quantiles
-from causeway.session import ensure_checkpoint_dir
 
 # Composite score weights, policy-ratio cap and pass thresholds.
 W_NAUUC, W_RHO, W_POLICY = 0.6, 0.3, 0.1
@@ -39,7 +41,8 @@ BOOT_REPS = 200
 
 # ------------------------------------------------------------ rules as data
 def apply_rules(df: DataFrame, rules: Sequence[dict], out: str = "leaf") -> DataFrame:
-    """First rule whose conditions all hold gives the row's leaf id."""
+    """First rule whose conditions all hold gives the row's leaf id.  A missing
+    value lies below every threshold."""
     expr = None
     for rule in rules:
         cond = F.lit(True)
@@ -47,7 +50,7 @@ def apply_rules(df: DataFrame, rules: Sequence[dict], out: str = "leaf") -> Data
             x = F.col(c["feature"]).cast("double")
             thr = float(c["threshold"])
             op = c["op"]
-            cond = cond & {"<=": x <= thr, ">": x > thr, "<": x < thr, ">=": x >= thr,
+            cond = cond & {"<=": x.isNull() | (x <= thr), ">": x > thr, "<": x.isNull() | (x < thr), ">=": x >= thr,
                            "==": x == thr, "!=": x != thr}[op]
         expr = F.when(cond, F.lit(int(rule["leaf"]))) if expr is None else \
             expr.when(cond, F.lit(int(rule["leaf"])))
@@ -121,111 +124,105 @@ def rule_bootstrap(df: DataFrame, leaf: str = "leaf", tau: str = "tau", reps: in
 
 
 # ------------------------------------------------------------ the student
-def _fit_tree(df: DataFrame, features: Sequence[str], label: str, depth: int, min_leaf: int, seed: int):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.fillna(0.0, subset=list(features)))
-    model = DecisionTreeRegressor(featuresCol="_x", labelCol=label, maxDepth=depth,
-                                  minInstancesPerNode=min_leaf, seed=seed,
-                                  predictionCol="_pred").fit(data.where(F.col(label).isNotNull()))
-    return model
-
-
-def predict_tree(model, df: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.fillna(0.0, subset=list(features)))
-    return model.transform(data).withColumnRenamed("_pred", out).drop("_x")
-
-
-def extract_rules(model, features: Sequence[str]) -> list[dict]:
-    """Walk the saved node table into one rule per leaf."""
-    spark = model._target_spark if hasattr(model, "_target_spark") else None
-    from pyspark.sql import SparkSession
-
-    spark = spark or SparkSession.getActiveSession()
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tree-{model.uid}"
-    model.write().overwrite().save(path)
-    nodes = {r["id"]: r for r in spark.read.parquet(f"{path}/data").collect()}  # ≤ 2^(depth+1) rows
-    rules: list[dict] = []
-
-    def walk(i: int, conds: list[dict]) -> None:
-        n = nodes[i]
-        if n["leftChild"] < 0:
-            rules.append({"leaf": len(rules), "value": float(n["prediction"]), "conditions": conds})
-            return
-        sp = n["split"]
-        f = features[sp["featureIndex"]]
-        thr = float(sp["leftCategoriesOrThreshold"][0])
-        walk(n["leftChild"], conds + [{"feature": f, "op": "<=", "threshold": thr}])
-        walk(n["rightChild"], conds + [{"feature": f, "op": ">", "threshold": thr}])
-
-    root = min(nodes) if 0 not in nodes else 0
-    walk(root, [])
+def extract_rules(forest: trees.Forest) -> list[dict]:
+    """One rule per leaf of a single tree (at most 2^depth)."""
+    rules = forest.rules()
     for r in rules:
         r["rule_text"] = rule_text(r["conditions"])
     return rules
 
 
-def composite_score(df: DataFrame, teacher: str, student: str, psi: str = "psi",
-                    ks: Sequence[float] = (0.1, 0.2, 0.3)) -> dict:
-    """Student-vs-teacher quality: nAUUC ratio, Spearman, policy ratios and
-    the composite score (all distributed aggregates; one row comes back)."""
-    nt = ranking.nauuc(df, teacher, psi).first()["nauuc"]
-    ns = ranking.nauuc(df, student, psi).first()["nauuc"]
-    rho = ranking.spearman(df, teacher, student).first()["spearman"]
-    pt = {r["k_pct"]: r["policy_value"] for r in ranking.policy_values(df, teacher, psi, ks).collect()}
-    ps = {r["k_pct"]: r["policy_value"] for r in ranking.policy_values(df, student, psi, ks).collect()}
-    ratios = []
-    for k in pt:
-        if pt[k] and pt[k] > 0 and ps.get(k) is not None:
-            ratios.append(min(max(ps[k] / pt[k], 0.0), POLICY_RATIO_CAP))
-    pol = sum(ratios) / len(ratios) if ratios else 0.0
-    nr = (ns / nt) if (nt and ns is not None and nt > 1e-12) else 0.0
-    score = W_NAUUC * nr + W_RHO * max(0.0, rho or 0.0) + W_POLICY * pol
-    passed = (nr >= PASS_NAUUC_RATIO and (rho or 0.0) >= PASS_RHO
-              and all(ps.get(k) is not None and pt[k] is not None and ps[k] >= PASS_POLICY * pt[k] for k in pt))
-    return {"nauuc_teacher": nt, "nauuc_student": ns, "nauuc_ratio": nr, "spearman": rho,
-            "policy_ratio": pol, "score": score, "passed": passed,
-            **{f"policy_teacher@{k}": v for k, v in pt.items()},
-            **{f"policy_student@{k}": v for k, v in ps.items()}}
+def composite_table(df: DataFrame, teacher: str, student: str, psi: str = "psi",
+                    ks: Sequence[float] = (0.1, 0.2, 0.3), group: Sequence[str] = ()) -> DataFrame:
+    """Student against teacher, a row per group: nAUUC of both and their ratio,
+    Spearman, the policy ratio (over all k the mean of student / teacher, between
+    0 and ``POLICY_RATIO_CAP``, 0 where the teacher's value is 0), the composite
+    score, the pass rule and the policy values ``policy_teacher_<k>``,
+    ``policy_student_<k>``.  One plan, nothing is read back."""
+    group = list(group)
+    areas = ranking.auuc_areas(df, [teacher, student, psi], psi, group, centered=True)
+    oracle = F.col(f"area_{psi}")
+
+    def normalised(score: str) -> Column:
+        return F.when(F.abs(oracle) < 1e-12, F.lit(0.0)).otherwise(
+            F.least(F.greatest(F.col(f"area_{score}") / oracle, F.lit(0.0)), F.lit(1.0)))
+
+    top = areas.select(*group, "n", normalised(teacher).alias("nauuc_teacher"), normalised(student).alias("nauuc_student"))
+    rho = ranking.spearman(df, teacher, student, group).select(*group, "spearman")
+    pol = ranking.policy_table(df, [teacher, student], psi, ks, group)
+    pct = [int(round(100 * k)) for k in ks]
+    wide = pol.groupBy(*group).agg(*[
+        F.max(F.when((F.col("score") == s) & (F.col("k_pct") == k), F.col("policy_value"))).alias(f"policy_{name}_{k}")
+        for name, s in (("teacher", teacher), ("student", student)) for k in pct])
+    if group:
+        j = join_null_safe(join_null_safe(top, rho, group, how="left"), wide, group, how="left")
+    else:
+        j = top.crossJoin(F.broadcast(rho)).crossJoin(F.broadcast(wide))   # one row each
+    ratios = [F.when(F.abs(F.col(f"policy_teacher_{k}")) < 1e-12, F.lit(0.0)).otherwise(F.least(F.greatest(
+        F.col(f"policy_student_{k}") / F.col(f"policy_teacher_{k}"), F.lit(0.0)), F.lit(POLICY_RATIO_CAP))) for k in pct]
+    sp = F.coalesce(F.nanvl("spearman", F.lit(0.0)), F.lit(0.0))
+    j = (j.withColumn("spearman", sp)
+         .withColumn("nauuc_ratio", F.when(F.col("nauuc_teacher") <= 1e-12, F.lit(0.0))
+                     .otherwise(F.col("nauuc_student") / F.col("nauuc_teacher")))
+         .withColumn("policy_ratio", sum(ratios, F.lit(0.0)) / len(ratios)))
+    passed = (F.col("nauuc_ratio") >= PASS_NAUUC_RATIO) & (F.col("spearman") >= PASS_RHO)
+    for k in pct:
+        passed = passed & (F.col(f"policy_student_{k}") >= PASS_POLICY * F.col(f"policy_teacher_{k}"))
+    score = W_NAUUC * F.col("nauuc_ratio") + W_RHO * F.greatest(F.lit(0.0), F.col("spearman")) + W_POLICY * F.col("policy_ratio")
+    return j.withColumn("score", score).withColumn("passed", passed)
 
 
 def student_tree(df: DataFrame, features: Sequence[str], teacher: str = "tau", psi: str = "psi",
-                 depths: Sequence[int] = (2, 3, 4), min_leaf: int = 20, fold: str = "fold",
-                 seed: int = 42, stop: float = 0.75):
-    """Depth search on an out-of-fold composite score, then a refit on all rows.
-    Returns (model, best_depth, scores)."""
+                 depths: Sequence[int] = (2, 3, 4, 5, 6), leaf_shares: Sequence[float] = (0.01, 0.03, 0.08),
+                 min_leaf: int = 20, fold: str = "fold", seed: int = 42,
+                 stop: float = 0.75) -> tuple[trees.Forest, DataFrame]:
+    """The best single tree by the out-of-fold composite score, refitted on all
+    rows, and the table of candidates (depth, leaf_share, score, …, best).
+
+    A greedy tree cut at depth d is the greedy tree of depth d, so each leaf
+    share needs one growth for all folds and depths; all depths are scored in
+    one plan, as groups.  The search ends at the first share whose best score
+    reaches ``stop``."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    scores = {}
-    best = None
-    for d in depths:
-        parts = None
-        for f in folds:
-            m = _fit_tree(df.where(F.col(fold) != f), features, teacher, d, min_leaf, seed)
-            p = predict_tree(m, df.where(F.col(fold) == f), features, "_student")
-            parts = p if parts is None else parts.unionByName(p)
-        s = composite_score(parts, teacher, "_student", psi)["score"]
-        scores[d] = s
-        if best is None or s > scores[best]:
-            best = d
-        if s >= stop:
+    n = df.count()
+    cuts = trees.feature_cuts(df, features)
+    best, table = None, []
+    for share in leaf_shares:
+        least = max(min_leaf, int(share * n))
+        forest = trees.grow(df, features, [trees.Family("_student", F.col(teacher))], folds, fold, depth=max(depths),
+                            min_leaf=least, seed=seed, cuts=cuts)
+        scored = trees.predict(df.select("id", fold, teacher, psi, *dict.fromkeys(features)), forest, fold, depths=depths)
+        stacked = settle(scored.select("id", teacher, psi, F.explode(F.array(*[
+            F.struct(F.lit(d).alias("depth"), F.col(f"_student_{d}").alias("_student")) for d in depths])).alias("_c"))
+            .select("id", teacher, psi, "_c.*"))
+        for r in composite_table(stacked, teacher, "_student", psi, group=["depth"]).collect():   # a row per depth
+            table.append({"depth": r["depth"], "leaf_share": float(share), "min_leaf": least, "score": r["score"],
+                          "nauuc_ratio": r["nauuc_ratio"], "spearman": r["spearman"], "policy_ratio": r["policy_ratio"]})
+        best = max(table, key=lambda r: (r["score"], -r["depth"]))
+        if best["score"] >= stop:
             break
-    return _fit_tree(df, features, teacher, best, min_leaf, seed), best, scores
+    for r in table:
+        r["best"] = r is best
+    model = trees.grow(df, features, [trees.Family("_student", F.col(teacher))], depth=best["depth"], min_leaf=best["min_leaf"],
+                       seed=seed, cuts=cuts)
+    return model, df.sparkSession.createDataFrame(table)
 
 
 def distill_quality(df: DataFrame, teacher: str, student: str, psi: str = "psi") -> DataFrame:
-    """R², MSE of the student against the teacher, and the ranking metrics."""
-    spark = df.sparkSession
-    err = df.agg(F.avg((F.col(teacher) - F.col(student)) ** 2).alias("mse"),
-                 F.var_pop(teacher).alias("_v")).first()
-    q = composite_score(df, teacher, student, psi)
-    r2 = 1.0 - err["mse"] / err["_v"] if err["_v"] else None
-    row = {"r2": r2, "mse": err["mse"], **{k: q[k] for k in ("nauuc_teacher", "nauuc_student",
-                                                          "nauuc_ratio", "spearman", "policy_ratio",
-                                                          "score", "passed")}}
-    return spark.createDataFrame([row])
+    """R², RMSE of the student against the teacher, and the ranking metrics (one row)."""
+    gap = F.col(teacher) - F.col(student)
+    err = df.agg(F.avg(gap * gap).alias("mse"), F.var_pop(F.when(gap.isNotNull(), F.col(teacher))).alias("_v"))
+    fit = err.select((1 - F.try_divide("mse", "_v")).alias("r2"), F.sqrt("mse").alias("rmse"))
+    return fit.crossJoin(F.broadcast(composite_table(df, teacher, student, psi)))
+
+
+def teacher_scores(panel: DataFrame, features: Sequence[str], cfg: EffectConfig, folds: Sequence[int],
+                   band: tuple[float, float] = (0.2, 0.8), calibrated: bool = True, fold: str = "fold", **kw) -> DataFrame:
+    """Out-of-fold τ̂ and ψ of the rows inside the overlap band (its fallbacks
+    applied): forest nuisances, the propensity calibrated by a sigmoid, then a
+    forest of ψ trained on the band's rows of the other folds."""
+    nuis = settle(forest_nuisance(panel, features, cfg, folds, fold, **kw))
+    if calibrated:
+        nuis = settle(calibrate(nuis, cfg, folds, "sigmoid", fold))
+    inside = banded(nuis, band, len(folds))
+    return hte.dr_forest(inside, features, None, fold)

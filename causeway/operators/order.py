@@ -116,9 +116,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     Values are counted first (map-side), so ties cost nothing; ``tie`` is not
     needed and only kept for callers that name one.
     """
+    return weighted_quantiles(df.withColumn("_c", F.lit(1)), value, "_c", probs, group)
+
+
+def weighted_quantiles(df: DataFrame, value: str, count: str, probs: Sequence[float],
+                       group: Sequence[str] = ()) -> DataFrame:
+    """``exact_quantiles`` of values that stand for ``count`` rows each."""
     group = list(group)
-    pairs = (df.where(F.col(value).isNotNull()).select(*group, (F.col(value) + F.lit(0)).alias(value))
-             .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")))
+    pairs = (df.where(F.col(value).isNotNull()).select(*group, (F.col(value) + F.lit(0)).alias(value), F.col(count).alias("_c"))
+             .groupBy(*group, value).agg(F.sum("_c").alias("_c")))
     run = ordered(pairs, value, True, value, group, sums=["_c"], pos_col="_p")
     n = pairs.groupBy(*group).agg(F.sum("_c").alias("_cnt"))
     sized = join_null_safe(run, n, group) if group else run.crossJoin(F.broadcast(n))  # one row

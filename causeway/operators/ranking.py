@@ -84,24 +84,32 @@ def nauuc(df: DataFrame, score: str = "tau", psi: str = "psi", group: Sequence[s
                     F.when(degenerate, fallback).otherwise(ratio).alias("nauuc"))
 
 
+def policy_table(df: DataFrame, scores: Sequence[str], psi: str = "psi", ks: Sequence[float] = (0.1, 0.2, 0.3),
+                 group: Sequence[str] = ()) -> DataFrame:
+    """Σψ over the top max(1, floor(n·k)) rows by each score, for every k and
+    score in one plan: ``group…, score, k_pct, m, policy_value`` (k_pct =
+    round(100·k))."""
+    group, scores = list(group), list(scores)
+    rows = df.where(F.col(psi).isNotNull()).select(
+        *group, "id", F.col(psi).alias("_v"),
+        F.posexplode(F.array(*[F.col(s).cast("double") for s in scores])).alias("_o", "_score"))
+    keys = [*group, "_o"]
+    ranked = ordered(rows, "_score", ascending=False, tie="id", group=keys, pos_col="_r")
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    cut = F.explode(F.array(*[F.struct(
+        F.lit(int(round(100 * k))).alias("k_pct"),
+        F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(k)))).cast("bigint").alias("m")) for k in ks]))
+    tops = n.select(*keys, cut.alias("_k")).groupBy(*keys).agg(F.collect_list("_k").alias("_ks"))  # one list of len(ks) per group
+    hit = join_null_safe(ranked, tops, keys).withColumn("_k", F.explode("_ks"))
+    out = hit.groupBy(*keys, F.col("_k.k_pct").alias("k_pct"), F.col("_k.m").alias("m")).agg(
+        F.sum(F.when(F.col("_r") <= F.col("_k.m"), F.col("_v"))).alias("policy_value"))
+    return out.select(*group, F.get(F.array(*[F.lit(s) for s in scores]), F.col("_o")).alias("score"), "k_pct", "m", "policy_value")
+
+
 def policy_values(df: DataFrame, score: str = "tau", psi: str = "psi",
                   ks: Sequence[float] = (0.1, 0.2, 0.3), group: Sequence[str] = ()) -> DataFrame:
-    """Σψ over the top max(1, floor(n·k)) rows by score, for every k at once.
-    Long form ``group…, k_pct, m, policy_value`` (k_pct = round(100·k))."""
-    group = list(group)
-    base = df.where(F.col(psi).isNotNull()).select(*group, "id", score, psi)
-    n = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_desc(base, score, group, pos="_r")
-    ranked = join_null_safe(ranked, n, group) if group else ranked.crossJoin(F.broadcast(n))  # one row
-    aggs = []
-    for k in ks:
-        m = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(k)))).cast("bigint")
-        aggs.append(F.struct(F.lit(int(round(100 * k))).alias("k_pct"),
-                             F.first(m).alias("m"),
-                             F.sum(F.when(F.col("_r") <= m, F.col(psi))).alias("policy_value")))
-    wide = ranked.groupBy(*group).agg(*[a.alias(f"_k{i}") for i, a in enumerate(aggs)])
-    return wide.select(*group, F.explode(F.array(*[f"_k{i}" for i in range(len(aggs))])).alias("_x")) \
-        .select(*group, "_x.*")
+    """``group…, k_pct, m, policy_value`` of one score."""
+    return policy_table(df, [score], psi, ks, group).drop("score")
 
 
 def gain_curve(df: DataFrame, score: str = "tau", psi: str = "psi", points: int = 100,

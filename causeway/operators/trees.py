@@ -99,11 +99,12 @@ def _drawn(hashes: np.ndarray, tree: int, trees: int, per_bag: int, rate: float)
     return mine & (_mix(hashes, tree // per_bag) < 0.5) if per_bag else mine
 
 
-def _places(feature: np.ndarray, split: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Node of each row in one (partly grown) tree."""
+def _places(feature: np.ndarray, split: np.ndarray, bins: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Node of each row in one (partly grown) tree, cut at ``depth`` if given."""
     node = np.zeros(len(bins), np.int64)
+    last = len(feature) if depth is None else 2 ** depth - 1    # first node of the last level
     while True:
-        f = feature[node]
+        f = np.where(node < last, feature[node], -1)
         inner = f >= 0
         if not inner.any():
             return node
@@ -270,15 +271,16 @@ def grow(df: DataFrame, features: Sequence[str], families: Sequence[Family], fol
 
 
 def predict(df: DataFrame, forest: Forest, fold: str = "fold", spread: bool = False,
-            names: dict[str, str] | None = None) -> DataFrame:
+            depths: Sequence[int] | None = None) -> DataFrame:
     """Adds each family's prediction (by the model of the row's own fold) under
     its name; with ``spread`` also ``<name>_sd``, the standard deviation by the
-    little bags.  A model that no row trained predicts NULL."""
-    names = names or {}
+    little bags; with ``depths`` ``<name>_<d>``, the trees cut at those depths,
+    instead.  A model that no row trained predicts NULL."""
     p = len(forest.features)
     place = F.lit(-1) if forest.folds == (-1,) else F.col(fold).cast("int")
     binned = df.withColumn("_f", place).withColumn("_x", _bins(forest.features, forest.cuts))
-    out_names = [names.get(f, f) for f in forest.families]
+    levels = list(depths) if depths else [None]
+    out_names = [f if d is None else f"{f}_{d}" for f in forest.families for d in levels]
     added = [T.StructField(n, T.DoubleType()) for n in out_names] + \
         ([T.StructField(f"{n}_sd", T.DoubleType()) for n in out_names] if spread else [])
     kept = [c for c in df.columns if c not in {f.name for f in added}]
@@ -290,14 +292,14 @@ def predict(df: DataFrame, forest: Forest, fold: str = "fold", spread: bool = Fa
             x = _matrix(batch.column(len(kept) + 1), p, np.int64)
             own = batch.column(len(kept)).to_numpy(zero_copy_only=False)
             means, sds = [], []
-            for a in range(len(forest.families)):
+            for a, depth in [(a, d) for a in range(len(forest.families)) for d in levels]:
                 mean, sd = np.full(n, np.nan), np.full(n, np.nan)
                 for b, f in enumerate(forest.folds):
                     rows = np.flatnonzero(own == f)
                     m = forest._model(a, b)
                     if not len(rows) or not forest.weight[m, :, 0].any():
                         continue
-                    each = np.array([forest.value[m, t][_places(forest.feature[m, t], forest.bin[m, t], x[rows])]
+                    each = np.array([forest.value[m, t][_places(forest.feature[m, t], forest.bin[m, t], x[rows], depth)]
                                      for t in range(forest.trees) if forest.weight[m, t, 0]])
                     mean[rows] = each.mean(axis=0)
                     if spread:

@@ -8,6 +8,7 @@ row-level values computed by the same arithmetic in any engine are not.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +106,7 @@ def q_fold_var(spark, sf_dir):
 # ------------------------------------------------------------ P2 diagnostics
 from causeway.operators import diagnose  # noqa: E402
 from causeway.operators.features.encode import one_hot  # noqa: E402
-from causeway.operators.joins import attach, join_small, keep  # noqa: E402
+from causeway.operators.joins import attach, join_small, keep, settle  # noqa: E402
 
 SEG_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 BALANCE_FEATURES = ("before_cnt", "before_amt", "acctbal", "region")
@@ -508,7 +509,8 @@ TRIM_BANDS = [(0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8)]
 @query("trim_sensitivity")
 def q_trim(spark, sf_dir):
     t = adjust.trim_sensitivity(customer_nuisance(spark, sf_dir), TRIM_BANDS)
-    return t.select("lo", "hi", "n_kept", r("est", 4).alias("est"), r("se", 4).alias("se"), "psi_abs_max")
+    return t.select("lo", "hi", "n_kept", r("est", 4).alias("est"), r("se", 4).alias("se"), "psi_abs_max",
+                    r("psi_p95", 4).alias("psi_p95"), r("psi_p99", 4).alias("psi_p99"))
 
 
 # ------------------------------------------------------------ P6 learners and HTE
@@ -605,28 +607,51 @@ def q_rule_boot(spark, sf_dir):
 
 
 def _student(spark, sf_dir):
-    tau = customer_tau(spark, sf_dir)
-    model, depth, _ = distill.student_tree(tau, LEARN_X, "tau", depths=(2, 3), min_leaf=20)
-    return tau, model, depth
+    tau = settle(customer_tau(spark, sf_dir))
+    model, table = distill.student_tree(tau, LEARN_X)
+    return tau, model, table
 
 
 @query("student_tree")
 def q_student(spark, sf_dir):
     tau, model, _ = _student(spark, sf_dir)
-    rules = distill.extract_rules(model, LEARN_X)
+    rules = distill.extract_rules(model)
     leaves = distill.apply_rules(tau, rules)
     vals = distill.rule_values(leaves)
     return distill.rules_frame(spark, rules).select("leaf", "rule_text", "value").join(
         vals.select("leaf", "n", "coverage", "uplift", F.col("value").alias("psi_sum")), "leaf", "left")
 
 
+@query("student_search")
+def q_student_search(spark, sf_dir):
+    """Depths 2 to 6 and three leaf sizes by the out-of-fold composite score."""
+    return _student(spark, sf_dir)[2]
+
+
 @query("distill_quality")
 def q_distill_quality(spark, sf_dir):
     tau, model, _ = _student(spark, sf_dir)
-    scored = distill.predict_tree(model, tau, LEARN_X, "student")
+    scored = trees.predict(tau, model).withColumnRenamed("_student", "student")
     return distill.distill_quality(scored, "tau", "student")
 
 
+@query("distill_scores")
+def q_distill_scores(spark, sf_dir):
+    """The composite score and pass rule of given student scores, per region."""
+    tau = customer_tau(spark, sf_dir).withColumn("student", F.round(F.col("before_amt") / 50_000) + F.col("before_cnt") % 3)
+    d = distill.composite_table(tau, "tau", "student", group=["region"])
+    values = [c for c in d.columns if c.startswith(("nauuc", "spearman", "policy_ratio", "score"))]
+    return d.select("region", "n", *[r(c, 6).alias(c) for c in values], "passed",
+                    *[r(c, 2).alias(c) for c in d.columns if c.startswith(("policy_teacher", "policy_student"))])
+
+
+@query("teacher_band")
+def q_teacher_band(spark, sf_dir):
+    """Out-of-fold teacher effects inside the overlap band, with a calibrated propensity."""
+    t = distill.teacher_scores(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS)
+    return t.select("id", "fold", r("e", 6).alias("e"), r("psi", 4).alias("psi"), r("tau", 4).alias("tau"))
+
+
 @query("oof_r2_linear")
 def q_oof_r2(spark, sf_dir):
     nuis = customer_nuisance(spark, sf_dir)
@@ -980,3 +1005,46 @@ def q_ate_arm_fallbacks(spark, sf_dir):
     routed = route_arms(nuis, arm_status(panel, group=["seg"], y_scale=2), DEFAULT, group=["seg"])
     eff = estimate.effect_table(routed, "ATE", DEFAULT, ["seg"])
     return eff.select("seg", "n", r("est", 4).alias("est"), r("se", 4).alias("se"))
+
+
+# ------------------------------------------------------------ mergeable statistics, file rejects, panel checks
+from causeway.operators.mergeable import effect_stats, effects_from_stats, merge_stats  # noqa: E402
+
+
+@query("late_arrivals")
+def q_late_arrivals(spark, sf_dir):
+    """Campaigns (segments) delivered in three parts: each part's statistics, merged."""
+    panel = customer_folds(spark, sf_dir)
+    parts = [effect_stats(panel.where(F.col("id") % 3 == i), customer_cell(), ["seg"], y_scale=2) for i in range(3)]
+    merged = merge_stats(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["seg"])
+    eff = effects_from_stats(keep(merged), DEFAULT, ["seg"], y_scale=2)
+    return eff.select("seg", "estimand", "n", "n_treated", "n_control", r("est", 4).alias("est"), r("se", 4).alias("se"))
+
+
+@query("csv_rejects")
+def q_csv_rejects(spark, sf_dir):
+    """Customers written as CSV lines, some of them broken, and read back."""
+    from causeway.session import ensure_checkpoint_dir
+
+    p = panel_customer(spark, sf_dir).select("id", "t", "y", "seg")
+    amount = F.when(F.col("id") % 19 == 0, F.concat(F.lit("about "), F.col("y").cast("string"))).otherwise(F.col("y").cast("string"))
+    line = F.concat_ws(",", F.col("id").cast("string"), F.when(F.col("id") % 23 == 0, "yes").otherwise(F.col("t").cast("string")),
+                       amount, F.when(F.col("id") % 29 > 0, F.col("seg")))   # a NULL leaves its field out
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    p.select(line.alias("value")).write.text(path)
+    schema = p.select("id", F.col("t").cast("int").alias("t"), "y", "seg").schema
+    good, rejects = files.read_csv_split(spark, path, schema, header=False)
+    whole = files.validate_panel(good).agg(F.lit("rows").alias("kind"), F.count(F.lit(1)).alias("n"),
+                                           F.sum("id").alias("id_sum"), r(F.sum("y"), 2).alias("y_sum"))
+    lost = rejects.agg(F.lit("rejects").alias("kind"), F.count(F.lit(1)).alias("n"),
+                       F.sum(F.split("line", ",")[0].cast("long")).alias("id_sum"), F.lit(None).cast("double").alias("y_sum"))
+    return whole.unionByName(lost)
+
+
+@query("panel_faults")
+def q_panel_faults(spark, sf_dir):
+    p = panel_customer(spark, sf_dir).select(
+        F.when(F.col("id") % 50 > 0, F.col("id") - F.col("id") % 7 % 2).alias("id"),
+        F.when(F.col("id") % 31 == 0, 2).when(F.col("id") % 37 > 0, F.col("t")).alias("t"),
+        F.when(F.col("id") % 41 == 0, float("nan")).when(F.col("id") % 43 > 0, F.col("y")).alias("y"))
+    return files.panel_faults(p)

@@ -697,7 +697,8 @@ FROM g JOIN rk ON rk.r = g.m""")
 ORACLE["trim_sensitivity"] = with_customer("\nUNION ALL\n".join(
     f"SELECT CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, count(*) AS n_kept, "
     f"round(avg(psi), 4) + 0.0 AS est, round(stddev_samp(psi) / sqrt(count(*)), 4) + 0.0 AS se, "
-    f"max(abs(psi)) AS psi_abs_max FROM nu WHERE e BETWEEN {lo} AND {hi}"
+    f"max(abs(psi)) AS psi_abs_max, round(quantile_cont(abs(psi), 0.95), 4) + 0.0 AS psi_p95, "
+    f"round(quantile_cont(abs(psi), 0.99), 4) + 0.0 AS psi_p99 FROM nu WHERE e BETWEEN {lo} AND {hi}"
     for lo, hi in ((0.01, 0.99), (0.05, 0.95), (0.1, 0.9), (0.2, 0.8))))
 
 # ------------------------------------------------------------ P6 learners and HTE
@@ -1027,3 +1028,53 @@ ro AS (SELECT nu.* EXCLUDE (mu1, mu0, psi), {', '.join(
 ps AS (SELECT t * (y - mu1) / e - (1 - t) * (y - mu0) / (1 - e) + (mu1 - mu0) AS psi FROM ro)
 SELECT '{s}' AS seg, count(*) AS n, round(avg(psi), 4) + 0.0 AS est, round(stddev_samp(psi) / sqrt(count(*)), 4) + 0.0 AS se FROM ps)"""
     for s in SEG_LEVELS)
+
+# ------------------------------------------------------------ composite score of given students
+def _area(score: str) -> str:
+    return f"""(SELECT region, count(*) AS n, (sum((n - rk + 1) * (psi - m)) - (max(CASE WHEN rk = 1 THEN psi - m END) + sum(psi - m)) / 2) / max(n) AS area
+  FROM (SELECT region, psi, avg(psi) OVER (PARTITION BY region) AS m, count(*) OVER (PARTITION BY region) AS n,
+               row_number() OVER (PARTITION BY region ORDER BY {score} DESC NULLS LAST, id) AS rk FROM st WHERE psi IS NOT NULL) GROUP BY region)"""
+
+
+def _policy(score: str, name: str) -> str:
+    tops = ", ".join(f"sum(CASE WHEN rk <= greatest(1, floor(n * {k})) THEN psi END) AS policy_{name}_{round(100 * k)}" for k in (0.1, 0.2, 0.3))
+    return f"""(SELECT region, {tops} FROM (SELECT region, psi, count(*) OVER (PARTITION BY region) AS n,
+               row_number() OVER (PARTITION BY region ORDER BY {score} DESC NULLS LAST, id) AS rk FROM st WHERE psi IS NOT NULL) GROUP BY region)"""
+
+
+_RATIO = " + ".join(f"CASE WHEN abs(policy_teacher_{k}) < 1e-12 THEN 0.0 ELSE least(greatest(policy_student_{k} / policy_teacher_{k}, 0.0), 1.2) END"
+                    for k in (10, 20, 30))
+ORACLE["distill_scores"] = with_tau(f"""
+, st AS (SELECT *, round(before_amt / 50000) + before_cnt % 3 AS student FROM ht),
+rk AS (SELECT region, tau, student,
+              rank() OVER (PARTITION BY region ORDER BY tau) + (count(*) OVER (PARTITION BY region, tau) - 1) / 2.0 AS ra,
+              rank() OVER (PARTITION BY region ORDER BY student) + (count(*) OVER (PARTITION BY region, student) - 1) / 2.0 AS rb
+       FROM st WHERE tau IS NOT NULL AND student IS NOT NULL),
+sp AS (SELECT region, coalesce(corr(ra, rb), 0.0) AS spearman FROM rk GROUP BY region),
+j AS (SELECT t.region, t.n, CASE WHEN abs(o.area) < 1e-12 THEN 0.0 ELSE least(greatest(t.area / o.area, 0.0), 1.0) END AS nauuc_teacher,
+             CASE WHEN abs(o.area) < 1e-12 THEN 0.0 ELSE least(greatest(s.area / o.area, 0.0), 1.0) END AS nauuc_student,
+             sp.spearman, pt.* EXCLUDE (region), ps.* EXCLUDE (region)
+      FROM {_area('tau')} t JOIN {_area('student')} s USING (region) JOIN {_area('psi')} o USING (region) JOIN sp USING (region)
+      JOIN {_policy('tau', 'teacher')} pt USING (region) JOIN {_policy('student', 'student')} ps USING (region)),
+x AS (SELECT *, CASE WHEN nauuc_teacher <= 1e-12 THEN 0.0 ELSE nauuc_student / nauuc_teacher END AS nauuc_ratio, ({_RATIO}) / 3 AS policy_ratio FROM j)
+SELECT region, n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('nauuc_teacher', 'nauuc_student', 'spearman', 'nauuc_ratio', 'policy_ratio'))},
+       round(0.6 * nauuc_ratio + 0.3 * greatest(0.0, spearman) + 0.1 * policy_ratio, 6) + 0.0 AS score,
+       nauuc_ratio >= 0.7 AND spearman >= 0.6 AND policy_student_10 >= 0.85 * policy_teacher_10
+         AND policy_student_20 >= 0.85 * policy_teacher_20 AND policy_student_30 >= 0.85 * policy_teacher_30 AS passed,
+       {', '.join(f'round(policy_{w}_{k}, 2) + 0.0 AS policy_{w}_{k}' for w in ('teacher', 'student') for k in (10, 20, 30))}
+FROM x""")
+
+# ------------------------------------------------------------ mergeable statistics, file rejects, panel checks
+ORACLE["late_arrivals"] = "\nUNION ALL\n".join(f"""
+SELECT * FROM (WITH {strata_ctes(f"SELECT * FROM ({PANEL_CUSTOMER}) WHERE seg = '{s}'", CUSTOMER_CELL)}
+SELECT '{s}' AS seg, '{e}' AS estimand, n, n_treated, n_control, est, se FROM ({effect_select('nu', e)}))"""
+    for s in SEG_LEVELS for e in ("ATE", "ATT", "ATO"))
+ORACLE["csv_rejects"] = f"""
+WITH p AS (SELECT *, id % 19 = 0 OR id % 23 = 0 OR id % 29 = 0 AS broken FROM ({PANEL_CUSTOMER}))
+SELECT 'rows' AS kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum, round(sum(y), 2) + 0.0 AS y_sum FROM p WHERE NOT broken
+UNION ALL SELECT 'rejects', count(*), CAST(sum(id) AS BIGINT), NULL FROM p WHERE broken"""
+ORACLE["panel_faults"] = f"""
+WITH p AS (SELECT CASE WHEN id % 50 > 0 THEN id - id % 7 % 2 END AS id, CASE WHEN id % 31 = 0 THEN 2 WHEN id % 37 > 0 THEN t END AS t,
+                  CASE WHEN id % 41 = 0 THEN CAST('nan' AS DOUBLE) WHEN id % 43 > 0 THEN y END AS y FROM ({PANEL_CUSTOMER}))
+SELECT count(*) AS n, count(*) FILTER (t IS NULL) AS t_null, count(*) FILTER (t NOT IN (0, 1)) AS t_invalid, count(*) FILTER (y IS NULL) AS y_null,
+       count(*) FILTER (isnan(y)) AS y_not_finite, count(*) FILTER (id IS NULL) AS id_null, count(id) - count(DISTINCT id) AS id_repeated FROM p"""

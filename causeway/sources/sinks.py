@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 
 def append_reports(report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append long-form report rows (activity_id, section, key, value)."""
-    report.write.mode("append").partitionBy("activity_id").format(fmt).save(path)
+    """Append long-form report rows (activity_id, section, key, value).  Rows that
+    carry a ``run_id`` replace those of the same activity and run, so a job that
+    is run again writes once."""
+    if "run_id" in report.columns:
+        (report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("activity_id", "run_id").format(fmt).save(path))
+    else:
+        report.write.mode("append").partitionBy("activity_id").format(fmt).save(path)
 
 
 def write_result_records(records: DataFrame, path: str) -> None:
