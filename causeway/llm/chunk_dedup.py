@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_64_intdigest
 
-from .common import one_per_id, restore_id, slices
+from .common import arrow_bytes, cut, one_per_id, restore_id, slices
 
 MIN_CHUNK, MAX_CHUNK = 24, 256
 WINDOW = 16
@@ -154,4 +154,6 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
                .where("settled or place > 1")
                .groupBy("doc_id").agg(F.collect_list(F.shiftright("packed", 1)).alias("repeats")))
     out = texts.join(repeats, "doc_id", "left").select("doc_id", "body", "repeats").mapInArrow(_finish, _RESULT)
+    with arrow_bytes(docs.sparkSession):
+        out = cut(out)          # narrow rows
     return out.select(restore_id(), *[c for c in out.columns if c != "doc_id"])

@@ -9,6 +9,7 @@ text is an empty one; input columns the operator doesn't name are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,20 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa
         at = to
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most about ``most`` bytes for the jobs that run inside;
+    the session's own setting is back afterwards.  Executors hold a few batches
+    per task outside the heap, so this bounds what wide rows cost there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's Arrow batch size to ``rows`` documents, so what a
     Python worker holds at once is bounded even where documents are long."""
