@@ -69,7 +69,8 @@ def arrow_bytes(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
     per task outside the heap, so this bounds what wide rows cost there."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    now = int(before.rstrip("b"))     # Spark gives its default as "67108864b"
+    spark.conf.set(key, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
