@@ -696,12 +696,19 @@ def q_complete(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("n_quality"))
 
 
-@query("tune_nauuc")
-def q_tune(spark, sf_dir):
-    from causeway.operators.folds import assign_folds
+#: Trials of the queries below (the search itself takes 30 unless told otherwise).
+QUERY_TRIALS = 4
+
+
+def _tune_query(objective):
+    def fn(spark, sf_dir):
+        return tuning.tune(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS, objective, QUERY_TRIALS)
+    return fn
+
 
-    panel = assign_folds(panel_customer(spark, sf_dir), 3, DEFAULT.seed)
-    return tuning.tune(panel, LEARN_X, DEFAULT, [0, 1, 2], objective="nauuc_ci", trials=2, seed=42)
+for _objective in tuning.OBJECTIVES:
+    QUERIES["tune_nauuc" if _objective == "nauuc_ci" else f"tune_{_objective}".replace("tune_nauuc", "tune_nauuc_plain")] = \
+        _tune_query(_objective)
 
 
 # ------------------------------------------------------------ cleaning, calibration, feature step
@@ -1048,3 +1055,40 @@ def q_panel_faults(spark, sf_dir):
         F.when(F.col("id") % 31 == 0, 2).when(F.col("id") % 37 > 0, F.col("t")).alias("t"),
         F.when(F.col("id") % 41 == 0, float("nan")).when(F.col("id") % 43 > 0, F.col("y")).alias("y"))
     return files.panel_faults(p)
+
+
+# ------------------------------------------------------------ saved features, symbolic search
+from causeway.operators.features import saved, symbolic  # noqa: E402
+
+
+@query("feature_saved")
+def q_feature_saved(spark, sf_dir):
+    """``feature_transform`` by a model that was saved and read back."""
+    from causeway.session import ensure_checkpoint_dir
+    from causeway.sources.tables import read_table
+
+    ff = FeatureFactory(cat_cols=CAT_COLS, num_cols=["n_chars"], group_keys=[["lang"]], woe=True,
+                        ratios=False, interactions=False, quantile_bins=0, poly2=False)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    saved.fit_and_save(ff, _docs_folded(spark, sf_dir), path, "quality")
+    out = saved.FeatureModel.load(path).transform(read_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars"))
+    fitted = [c for c in out.columns if c.endswith(("__te", "__woe", "__freq", "__mean", "__log1p"))]
+    return out.select(F.col("doc_id").alias("id"), *[r(c, 6).alias(c) for c in fitted],
+                      *[c for c in out.columns if c.endswith("__count")])
+
+
+SYMBOLIC_X = ("before_cnt", "before_amt", "acctbal")
+
+
+@query("symbolic_scores")
+def q_symbolic_scores(spark, sf_dir):
+    """Every expression one step from the columns, scored against the outcome."""
+    cols = [("col", c) for c in SYMBOLIC_X]
+    s = symbolic.scored(panel_customer(spark, sf_dir), cols + symbolic.grown(cols, cols), "y")
+    return s.select("expression", "size", "n", r("corr", 6).alias("corr"), r("score", 6).alias("score"))
+
+
+@query("symbolic_search")
+def q_symbolic_search(spark, sf_dir):
+    _, table = symbolic.symbolic_search(panel_customer(spark, sf_dir), SYMBOLIC_X, "y")
+    return table

@@ -1078,3 +1078,31 @@ WITH p AS (SELECT CASE WHEN id % 50 > 0 THEN id - id % 7 % 2 END AS id, CASE WHE
                   CASE WHEN id % 41 = 0 THEN CAST('nan' AS DOUBLE) WHEN id % 43 > 0 THEN y END AS y FROM ({PANEL_CUSTOMER}))
 SELECT count(*) AS n, count(*) FILTER (t IS NULL) AS t_null, count(*) FILTER (t NOT IN (0, 1)) AS t_invalid, count(*) FILTER (y IS NULL) AS y_null,
        count(*) FILTER (isnan(y)) AS y_not_finite, count(*) FILTER (id IS NULL) AS id_null, count(id) - count(DISTINCT id) AS id_repeated FROM p"""
+
+# ------------------------------------------------------------ saved features, symbolic search
+ORACLE["feature_saved"] = ORACLE["feature_transform"]
+
+
+def symbolic_sql() -> str:
+    """All expressions one step from three columns, written out."""
+    a, b, c = cols = ("acctbal", "before_amt", "before_cnt")
+    x = {n: f"CAST({n} AS DOUBLE)" for n in cols}
+    items = [(n, 1, x[n]) for n in cols]
+    for n in cols:
+        items += [(f"square({n})", 2, f"{x[n]} * {x[n]}"), (f"abs({n})", 2, f"abs({x[n]})"),
+                  (f"sqrt({n})", 2, f"CASE WHEN {x[n]} >= 0 THEN sqrt({x[n]}) END"),
+                  (f"log({n})", 2, f"CASE WHEN {x[n]} > 0 THEN ln({x[n]}) END")]
+    for p, q in ((a, b), (a, c), (b, c)):
+        items += [(f"({p} {op} {q})", 3, f"{x[p]} {op} {x[q]}") for op in "+*"]
+        for l, r in ((p, q), (q, p)):
+            items += [(f"({l} - {r})", 3, f"{x[l]} - {x[r]}"), (f"({l} / {r})", 3, f"{x[l]} / nullif({x[r]}, 0)")]
+    one = "\nUNION ALL\n".join(f"SELECT '{t}' AS expression, {k} AS size, y, {e} AS x FROM p" for t, k, e in items)
+    return f"""
+WITH p AS ({PANEL_CUSTOMER}), v AS ({one}),
+m AS (SELECT expression, max(size) AS size, count(x) AS n, count(*) AS al, covar_pop(x, y) AS xy,
+             sqrt(var_pop(x)) * sqrt(var_pop(CASE WHEN x IS NOT NULL THEN y END)) AS sp FROM v GROUP BY expression),
+c AS (SELECT *, CASE WHEN n >= 0.5 * al AND sp > 0 THEN greatest(-1.0, least(1.0, xy / sp)) END AS corr FROM m)
+SELECT expression, CAST(size AS INTEGER) AS size, n, round(corr, 6) + 0.0 AS corr, round(abs(corr) - 0.001 * size, 6) + 0.0 AS score FROM c"""
+
+
+ORACLE["symbolic_scores"] = symbolic_sql()
