@@ -46,7 +46,7 @@ def ks_statistic(nuis: DataFrame, group: Sequence[str] = (), score: str = "e") -
         F.count(F.when(F.col("t") == 1, 1)).alias("c1"),
         F.count(F.when(F.col("t") == 0, 1)).alias("c0"))
     run = ordered(by_value, score, True, score, group, sums=["c1", "c0"], pos_col="_p")
-    tot = run.groupBy(*group).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
+    tot = by_value.groupBy(*group).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
     run = attach(run, tot, group)
     f1 = F.col("cum_c1") / F.col("n1")
     f0 = F.col("cum_c0") / F.col("n0")

@@ -27,12 +27,13 @@ Z995 = 2.5758293035489004  # two-sided 99 % normal quantile
 
 
 def dr_segment(nuis: DataFrame, segment: Column | str, group: Sequence[str] = (),
-               fold: str = "fold", psi: str = "psi", out: str = "tau") -> DataFrame:
-    """Cross-fitted segment-mean τ̂: mean ψ of the segment in the other folds."""
+               fold: str = "fold", psi: str = "psi", out: str = "tau", train: Column | None = None) -> DataFrame:
+    """Cross-fitted segment-mean τ̂: mean ψ of the segment in the other folds;
+    learned from the rows ``train`` holds for (the overlap band), given to all."""
     group = list(group)
     seg = F.col(segment) if isinstance(segment, str) else segment
     rows = nuis.withColumn("_seg", seg)
-    ok = F.col(psi).isNotNull()
+    ok = F.col(psi).isNotNull() & (F.lit(True) if train is None else F.coalesce(train, F.lit(False)))
     own = rows.groupBy(*group, fold, "_seg").agg(
         F.sum(F.when(ok, F.col(psi))).alias("_os"), F.count(F.when(ok, 1)).alias("_on"))
     # Segment totals by a window per segment; fold and overall totals from a

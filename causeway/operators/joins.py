@@ -116,12 +116,8 @@ def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
     """Add per-group totals (one row per group) to every row of ``df``.
 
     Grouped: an equi-join on the group keys (NULL is a group), planned by size at
-    run time.
-    Ungrouped: the single summary row is read once and added as literals.
+    run time.  Ungrouped: ``totals`` is a global aggregate, one row, broadcast.
     """
     if group:
         return join_null_safe(df, totals, group)
-    row = totals.first()
-    lits = [F.lit(row[c]).alias(c) for c in totals.columns] if row is not None else \
-        [F.lit(None).alias(c) for c in totals.columns]
-    return df.select("*", *lits)
+    return df.crossJoin(F.broadcast(totals))

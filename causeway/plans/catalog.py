@@ -299,15 +299,15 @@ def q_negctrl(spark, sf_dir):
 
 @query("verdict_flags")
 def q_verdict(spark, sf_dir):
+    """Overlap, balance, placebo and negative control of one effect: every part is a
+    one-row table, and both p-values come from the same placebo runs."""
     nuis = customer_nuisance(spark, sf_dir)
-    ovl = diagnose.ovl_coefficient(nuis).first()["ovl"]
-    ks = diagnose.ks_statistic(nuis).first()["ks"]
-    smd = diagnose.smd_table(customer_balance_frame(spark, sf_dir), balance_features(), "ATE", DEFAULT)
-    smd_max = diagnose.smd_max(smd)
-    pl = q_placebo_p(spark, sf_dir).select(F.col("p_value").alias("placebo_p"))
-    nc = q_negctrl(spark, sf_dir).select(F.col("p_nc").alias("negctrl_p"))
-    row = smd_max.select(F.lit(ovl).alias("ovl"), F.lit(ks).alias("ks"), "smd_max")
-    row = attach(attach(row, pl, []), nc, [])
+    runs = customer_placebo(spark, sf_dir)
+    smd = diagnose.smd_table(one_hot(nuis, "seg", levels=SEG_LEVELS, drop_first=True, prefix="seg"), balance_features(), "ATE", DEFAULT)
+    row = attach(attach(diagnose.ovl_coefficient(nuis), diagnose.ks_statistic(nuis).select("ks"), []), diagnose.smd_max(smd), [])
+    for outcome, table, name in (("y", nuis, "placebo_p"), ("y_nc", customer_nuisance(spark, sf_dir, y="y_nc"), "negctrl_p")):
+        p = robust.permutation_pvalue(runs.where(F.col("outcome") == outcome), estimate.effect_table(table, "ATE", DEFAULT), "ATE")
+        row = attach(row, p.select(r("p_value", 6).alias(name)), [])
     flags = robust.verdict(F.col("ovl"), F.col("ks"), F.col("smd_max"), F.col("placebo_p"),
                            F.col("negctrl_p"), DEFAULT.rules)
     return row.select(r("ovl", 6).alias("ovl"), r("ks", 6).alias("ks"), r("smd_max", 6).alias("smd_max"),
@@ -642,7 +642,7 @@ def q_distill_scores(spark, sf_dir):
     d = distill.composite_table(tau, "tau", "student", group=["region"])
     values = [c for c in d.columns if c.startswith(("nauuc", "spearman", "policy_ratio", "score"))]
     return d.select("region", "n", *[r(c, 6).alias(c) for c in values], "passed",
-                    *[r(c, 2).alias(c) for c in d.columns if c.startswith(("policy_teacher", "policy_student"))])
+                    *[r(c, 0).alias(c) for c in d.columns if c.startswith(("policy_teacher", "policy_student"))])
 
 
 @query("teacher_band")
@@ -1092,3 +1092,21 @@ def q_symbolic_scores(spark, sf_dir):
 def q_symbolic_search(spark, sf_dir):
     _, table = symbolic.symbolic_search(panel_customer(spark, sf_dir), SYMBOLIC_X, "y")
     return table
+
+
+# ------------------------------------------------------------ campaign diagnosis, the learned campaign
+@query("campaign_diagnosis")
+def q_campaign_diagnosis(spark, sf_dir):
+    parts = camp.campaign_parts(panel_customer(spark, sf_dir), customer_cell(), CAMPAIGN_SPEC)
+    d = camp.campaign_diagnosis(parts, BALANCE_FEATURES, CAMPAIGN_SPEC)
+    six = ("ovl", "ks", "smd_max", "placebo_p", "band_coverage", "nauuc")
+    return d.select("activity_id", "n", *[r(c, 6).alias(c) for c in six], *[r(f"policy_{k}", 2).alias(f"policy_{k}") for k in (10, 20, 30)],
+                    "overlap_pass", "balance_pass", "placebo_pass", "negctrl_pass", "n_pass", "verdict", "n_band", "note")
+
+
+@query("campaign_full")
+def q_campaign_full(spark, sf_dir):
+    """Features, tuner, forest nuisances, effects, diagnosis and a forest τ̂ of one campaign."""
+    res, _ = camp.full_campaign(panel_customer(spark, sf_dir), ["seg"], ["before_cnt", "before_amt", "acctbal"], [["seg"]],
+                                CAMPAIGN_SPEC, trials=2, trees=40)
+    return res

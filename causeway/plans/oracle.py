@@ -263,14 +263,24 @@ ORACLE["propensity_summary"] = with_customer(
     "SELECT round(avg(e), 6) + 0.0 AS e_mean, min(e) AS e_min, max(e) AS e_max FROM nu")
 
 # ------------------------------------------------------------ P3 ranking
-def tau_ctes(prefix: str = "") -> str:
-    nu = f"{prefix}nu"
-    return f"""
+def tau_ctes(prefix: str = "", band: tuple[float, float] | None = None, k: int = K) -> str:
+    """Segment effects of the other folds; with ``band`` learned from its rows (or, where
+    they are too few or of one arm, those of the base band or all)."""
+    nu, src = f"{prefix}nu", f"{prefix}nu"
+    first = ""
+    if band:
+        src = f"(SELECT * FROM {nu}, {prefix}bc WHERE e BETWEEN blo AND bhi)"
+        first = f"""
+, {prefix}bc AS (SELECT CASE WHEN nb < {max(50, 3 * k)} OR n1 = 0 OR n0 = 0 THEN 0.0 WHEN nb < {max(100, 3 * k)} THEN 0.1 ELSE {band[0]} END AS blo,
+                 CASE WHEN nb < {max(50, 3 * k)} OR n1 = 0 OR n0 = 0 THEN 1.0 WHEN nb < {max(100, 3 * k)} THEN 0.9 ELSE {band[1]} END AS bhi
+          FROM (SELECT count(*) AS nb, count(CASE WHEN t = 1 THEN 1 END) AS n1, count(CASE WHEN t = 0 THEN 1 END) AS n0
+                FROM {nu} WHERE e BETWEEN {band[0]} AND {band[1]}))"""
+    return first + f"""
 , {prefix}tk AS (SELECT DISTINCT fold, cell FROM {nu}),
 {prefix}tt AS (SELECT k.fold, k.cell, avg(q.psi) AS tau_c, count(q.psi) AS cnt
-       FROM {prefix}tk k LEFT JOIN {nu} q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
+       FROM {prefix}tk k LEFT JOIN {src} q ON q.cell = k.cell AND q.fold <> k.fold GROUP BY k.fold, k.cell),
 {prefix}tf AS (SELECT f.fold, avg(q.psi) AS tau_f
-       FROM (SELECT DISTINCT fold FROM {nu}) f LEFT JOIN {nu} q ON q.fold <> f.fold GROUP BY f.fold),
+       FROM (SELECT DISTINCT fold FROM {nu}) f LEFT JOIN {src} q ON q.fold <> f.fold GROUP BY f.fold),
 {prefix}ht AS (SELECT {nu}.*, CASE WHEN tt.cnt > 0 THEN tt.tau_c WHEN tf.tau_f IS NOT NULL THEN tf.tau_f
                          ELSE 0.0 END AS tau
        FROM {nu} JOIN {prefix}tt tt USING (fold, cell) JOIN {prefix}tf tf USING (fold))"""
@@ -629,7 +639,7 @@ SELECT {lit} AS activity_id, ate.n AS n_samples, ate.n1 AS n_treated, ate.n0 AS
        round(ate_p.p, 6) + 0.0 AS ate_placebo_p, round(att_p.p, 6) + 0.0 AS att_placebo_p,
        round(CASE WHEN kept.total > 0 THEN kept.kept / kept.total END, 6) + 0.0 AS treated_coverage
 FROM ate, ate_p, att, att_p, kept, qf, qb"""
-    return f"WITH {a}{ap},\n{b}{bp}{tau_ctes('a_')}{body}{sel}"
+    return f"WITH {a}{ap},\n{b}{bp}{tau_ctes('a_', (0.2, 0.8), CAMP_K)}{body}{sel}"
 
 
 ORACLE["campaign_result"] = campaign_sql(PANEL_CUSTOMER, "cust-1998")
@@ -1030,13 +1040,13 @@ SELECT '{s}' AS seg, count(*) AS n, round(avg(psi), 4) + 0.0 AS est, round(stdde
     for s in SEG_LEVELS)
 
 # ------------------------------------------------------------ composite score of given students
-def _area(score: str) -> str:
+def _area_by_region(score: str) -> str:
     return f"""(SELECT region, count(*) AS n, (sum((n - rk + 1) * (psi - m)) - (max(CASE WHEN rk = 1 THEN psi - m END) + sum(psi - m)) / 2) / max(n) AS area
   FROM (SELECT region, psi, avg(psi) OVER (PARTITION BY region) AS m, count(*) OVER (PARTITION BY region) AS n,
                row_number() OVER (PARTITION BY region ORDER BY {score} DESC NULLS LAST, id) AS rk FROM st WHERE psi IS NOT NULL) GROUP BY region)"""
 
 
-def _policy(score: str, name: str) -> str:
+def _policy_by_region(score: str, name: str) -> str:
     tops = ", ".join(f"sum(CASE WHEN rk <= greatest(1, floor(n * {k})) THEN psi END) AS policy_{name}_{round(100 * k)}" for k in (0.1, 0.2, 0.3))
     return f"""(SELECT region, {tops} FROM (SELECT region, psi, count(*) OVER (PARTITION BY region) AS n,
                row_number() OVER (PARTITION BY region ORDER BY {score} DESC NULLS LAST, id) AS rk FROM st WHERE psi IS NOT NULL) GROUP BY region)"""
@@ -1054,14 +1064,14 @@ sp AS (SELECT region, coalesce(corr(ra, rb), 0.0) AS spearman FROM rk GROUP BY r
 j AS (SELECT t.region, t.n, CASE WHEN abs(o.area) < 1e-12 THEN 0.0 ELSE least(greatest(t.area / o.area, 0.0), 1.0) END AS nauuc_teacher,
              CASE WHEN abs(o.area) < 1e-12 THEN 0.0 ELSE least(greatest(s.area / o.area, 0.0), 1.0) END AS nauuc_student,
              sp.spearman, pt.* EXCLUDE (region), ps.* EXCLUDE (region)
-      FROM {_area('tau')} t JOIN {_area('student')} s USING (region) JOIN {_area('psi')} o USING (region) JOIN sp USING (region)
-      JOIN {_policy('tau', 'teacher')} pt USING (region) JOIN {_policy('student', 'student')} ps USING (region)),
+      FROM {_area_by_region('tau')} t JOIN {_area_by_region('student')} s USING (region) JOIN {_area_by_region('psi')} o USING (region) JOIN sp USING (region)
+      JOIN {_policy_by_region('tau', 'teacher')} pt USING (region) JOIN {_policy_by_region('student', 'student')} ps USING (region)),
 x AS (SELECT *, CASE WHEN nauuc_teacher <= 1e-12 THEN 0.0 ELSE nauuc_student / nauuc_teacher END AS nauuc_ratio, ({_RATIO}) / 3 AS policy_ratio FROM j)
 SELECT region, n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('nauuc_teacher', 'nauuc_student', 'spearman', 'nauuc_ratio', 'policy_ratio'))},
        round(0.6 * nauuc_ratio + 0.3 * greatest(0.0, spearman) + 0.1 * policy_ratio, 6) + 0.0 AS score,
        nauuc_ratio >= 0.7 AND spearman >= 0.6 AND policy_student_10 >= 0.85 * policy_teacher_10
          AND policy_student_20 >= 0.85 * policy_teacher_20 AND policy_student_30 >= 0.85 * policy_teacher_30 AS passed,
-       {', '.join(f'round(policy_{w}_{k}, 2) + 0.0 AS policy_{w}_{k}' for w in ('teacher', 'student') for k in (10, 20, 30))}
+       {', '.join(f'round(policy_{w}_{k}, 0) + 0.0 AS policy_{w}_{k}' for w in ('teacher', 'student') for k in (10, 20, 30))}
 FROM x""")
 
 # ------------------------------------------------------------ mergeable statistics, file rejects, panel checks
@@ -1106,3 +1116,44 @@ SELECT expression, CAST(size AS INTEGER) AS size, n, round(corr, 6) + 0.0 AS cor
 
 
 ORACLE["symbolic_scores"] = symbolic_sql()
+
+# ------------------------------------------------------------ campaign diagnosis
+_CAMP = strata_ctes(PANEL_CUSTOMER, CUSTOMER_CELL, "y", "a_", CAMP_SEED, CAMP_K, CAMP_PS)
+_TOPS = ", ".join(f"CASE WHEN bandnote IS NULL AND nv >= 30 THEN round(p{round(100 * k)}, 2) + 0.0 END AS policy_{round(100 * k)}" for k in (0.1, 0.2, 0.3))
+ORACLE["campaign_diagnosis"] = f"""
+WITH {_CAMP}{placebo_ctes("y", "a_", 5, CAMP_SEED, CAMP_PS)}{tau_ctes('a_', (0.2, 0.8), CAMP_K)}
+, nu AS (SELECT * FROM a_nu),
+lg AS (SELECT t, e, unnest(['before_cnt', 'before_amt', 'acctbal', 'region']) AS feature,
+              unnest([CAST(before_cnt AS DOUBLE), before_amt, acctbal, CAST(region AS DOUBLE)]) AS x FROM nu),
+wx AS (SELECT feature, t, x, least(CASE WHEN t = 1 THEN t / e ELSE (1 - t) / (1 - e) END, 10.0) AS w FROM lg WHERE x IS NOT NULL),
+mm AS (SELECT feature, t, sum(w * x) / (sum(w) + 1e-12) AS m, sum(w) AS sw FROM wx GROUP BY feature, t),
+vv AS (SELECT wx.feature, wx.t, max(mm.m) AS m, sum(wx.w * (x - mm.m) * (x - mm.m)) / (max(mm.sw) + 1e-12) AS v
+       FROM wx JOIN mm ON wx.feature = mm.feature AND wx.t = mm.t GROUP BY wx.feature, wx.t),
+sm AS (SELECT max(abs((a.m - b.m) / (sqrt((a.v + b.v) / 2 + 1e-12) + 1e-12))) AS smd_max
+       FROM vv a JOIN vv b ON a.feature = b.feature AND a.t = 1 AND b.t = 0),
+ov AS (SELECT sum(least(c1 / n1, c0 / n0)) AS ovl
+       FROM (SELECT least(floor(e * 50), 49) AS bin, count(CASE WHEN t = 1 THEN 1 END) AS c1, count(CASE WHEN t = 0 THEN 1 END) AS c0 FROM nu GROUP BY 1) b,
+            (SELECT count(CASE WHEN t = 1 THEN 1 END) AS n1, count(CASE WHEN t = 0 THEN 1 END) AS n0 FROM nu) s),
+kv AS (SELECT e, count(CASE WHEN t = 1 THEN 1 END) AS c1, count(CASE WHEN t = 0 THEN 1 END) AS c0 FROM nu GROUP BY e),
+kk AS (SELECT max(abs(cum1 / n1 - cum0 / n0)) AS ks FROM (
+         SELECT sum(c1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS cum1, sum(c0) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS cum0,
+                sum(c1) OVER () AS n1, sum(c0) OVER () AS n0 FROM kv)),
+pp AS (SELECT max(o.n) AS n, (count(CASE WHEN abs(r.ate) >= abs(o.est) THEN 1 END) + 1) / (count(*) + 1) AS placebo_p
+       FROM a_re r, (SELECT count(*) AS n, avg(psi) AS est FROM nu) o),
+bd AS (SELECT * FROM a_ht WHERE e BETWEEN 0.2 AND 0.8),
+bn AS (SELECT count(*) AS nb, count(CASE WHEN t = 1 THEN 1 END) AS b1, count(CASE WHEN t = 0 THEN 1 END) AS b0 FROM bd),
+nt AS (SELECT nb, CASE WHEN nb < 50 OR b1 = 0 OR b0 = 0 THEN 'band too small or one arm' END AS bandnote FROM bn),
+ht AS (SELECT * FROM bd),
+au AS (SELECT CASE WHEN abs(o.area) <= 1e-12 THEN NULL ELSE least(greatest(m.area / o.area, 0.0), 1.0) END AS nauuc
+       FROM ({_area('tau', True)}) m, ({_area('psi', True)}) o),
+po AS (SELECT count(*) AS nv, {', '.join(f"sum(CASE WHEN r <= greatest(1, floor(n * CAST({k} AS DOUBLE))) THEN psi END) AS p{round(100 * k)}" for k in (0.1, 0.2, 0.3))}
+       FROM (SELECT psi, row_number() OVER (ORDER BY tau DESC NULLS LAST, id) AS r, count(*) OVER () AS n FROM bd WHERE psi IS NOT NULL)),
+f AS (SELECT *, coalesce(ovl >= 0.5 AND ks <= 0.6, false) AS overlap_pass, coalesce(smd_max <= 0.3, false) AS balance_pass,
+             coalesce(placebo_p >= 0.09, false) AS placebo_pass, true AS negctrl_pass FROM ov, kk, sm, pp, nt, au, po),
+g AS (SELECT *, CAST(overlap_pass AS INT) + CAST(balance_pass AS INT) + CAST(placebo_pass AS INT) + 1 AS n_pass FROM f)
+SELECT 'cust-1998' AS activity_id, n, round(ovl, 6) + 0.0 AS ovl, round(ks, 6) + 0.0 AS ks, round(smd_max, 6) + 0.0 AS smd_max,
+       round(placebo_p, 6) + 0.0 AS placebo_p, round(nb / n, 6) + 0.0 AS band_coverage,
+       CASE WHEN bandnote IS NULL AND nv >= 30 THEN round(nauuc, 6) + 0.0 END AS nauuc, {_TOPS},
+       overlap_pass, balance_pass, placebo_pass, negctrl_pass, n_pass,
+       CASE WHEN n_pass = 4 THEN 'credible' WHEN n_pass >= 2 THEN 'doubtful' ELSE 'fail' END AS verdict, nb AS n_band,
+       coalesce(bandnote, CASE WHEN nv < 30 THEN 'too few valid out-of-fold points' END) AS note FROM g"""
