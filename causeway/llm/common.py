@@ -77,15 +77,6 @@ def arrow_bytes(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batch size to ``rows`` documents, so what a
-    Python worker holds at once is bounded even where documents are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder (survives lost executors).
 
@@ -98,13 +89,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Copies of a node's minimum in a join: a hub's edges are spread over so many tasks.
+_SALTS = 8
+
+
+def _with_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (u, v) with the minimum m of u.  Edges are salted by their other end
+    and minima repeated per salt, so those of a hub don't meet in one task."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int")
+    copies = low.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return edges.withColumn("s", salt).join(copies, ["u", "s"]).drop("s")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root),
     root the smallest node; a root itself has no row.
 
     Alternating large-star and small-star passes, each a grouped minimum and
     a join, cut by a checkpoint; the edge set is at most the input's size.
-    Hubs are safe: minima are pre-aggregated and AQE splits the joins.
+    Hubs are safe: minima are pre-aggregated and the joins are salted.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .where("u > v").distinct())
@@ -116,10 +119,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u")
+        large = (_with_minimum(both, low).where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v > m")
+        small = (_with_minimum(large, low).where("v > m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

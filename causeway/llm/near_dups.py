@@ -9,16 +9,18 @@ depth and agreement follow from it (``Plan``).
 1. *Signatures.*  120 MinHash values of 16 bits per document.  Documents with
    equal sets become one representative (a grouped minimum).
 2. *Forest.*  24 trees (30 at 80), each an order of the signature that starts
-   at another value.  Neighbours in a tree's order with a common prefix of at
-   least 5 (4) values are candidates (a pair at the limit is missed by all
-   trees with probability 8e-7 or 1e-7).
+   at another value, cut at a common prefix of 5 (4) values: documents below the
+   same cut are candidates (a pair at the limit is missed by all trees with
+   probability 8e-7 or 1e-7).  The cut is the same in every region: a forest that
+   goes deeper where a region is dense finds fewer of the pairs at the limit
+   there, and no link is to be lost.  (In effect this is banding; see README.)
 3. *Regions.*  Within a prefix, candidates whose signatures agree in 86 (78)
    or more of 120 values (four spreads below the limit) are joined; a prefix
    shared by more than ``DENSE`` representatives is joined as a whole.  The
    components of that graph are the regions: no link leaves its region.
 4. *Adaptive blocks.*  A region is cut into as many blocks as its members and
    shingles need, one for almost all; every pair of blocks is one bounded
-   task.  So dense regions go deeper instead of being capped.
+   task.  So dense regions cost more tasks instead of being capped.
 5. *Verification.*  A task takes the full shingle sets: documents with more
    than 100 - pct % of shingles nobody else there has can't be linked and go; the
    intersections of the others come from one incidence product.  It returns
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import components, cut, id_or_sentinel, restore_id, small_batches
+from .common import components, cut, id_or_sentinel, restore_id, slices
 
 SHINGLE = 5
 LINK_PCT = 85
@@ -104,18 +106,19 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, keys, sigs = [], [], []
-        for body in b.column(b.num_columns - 1).to_pylist():
-            s = shingle_set(body)
-            n.append(len(s))
-            keys.append(xxh3_128_digest(s.tobytes()))
-            sigs.append(signature(s) if len(s) else b"")
-        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])),
-             pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sigs, pa.binary())],
-            names=[*b.schema.names[:-1], "n", "k1", "k2", "sig"])
+    for whole in batches:
+        for b in slices(whole, whole.num_columns - 1):
+            n, keys, sigs = [], [], []
+            for body in b.column(b.num_columns - 1):
+                s = shingle_set(body.as_py())
+                n.append(len(s))
+                keys.append(xxh3_128_digest(s.tobytes()))
+                sigs.append(signature(s) if len(s) else b"")
+            k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])),
+                 pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sigs, pa.binary())],
+                names=[*b.schema.names[:-1], "n", "k1", "k2", "sig"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -223,20 +226,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each representative, if the row is the one that counts;
     once per task."""
     done: set[int] = set()
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(6)]
-        rows = []
-        for rep, body, region, blocks, k1, k2 in zip(*cols):
-            if rep in done:
-                continue
-            s = shingle_set(body)
-            if tuple(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist()) == (k1, k2):
-                done.add(rep)
-                rows.append((region, blocks, rep, s.tobytes()))
-        out = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["region", "blocks", "rep", "shingles"])
+    for whole in batches:
+        for b in slices(whole, 1):
+            cols = [b.column(i).to_pylist() for i in range(6)]
+            rows = []
+            for rep, body, region, blocks, k1, k2 in zip(*cols):
+                if rep in done:
+                    continue
+                s = shingle_set(body)
+                if tuple(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist()) == (k1, k2):
+                    done.add(rep)
+                    rows.append((region, blocks, rep, s.tobytes()))
+            out = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["region", "blocks", "rep", "shingles"])
 
 
 def bodies(docs: DataFrame) -> DataFrame:
@@ -297,7 +301,6 @@ def representatives(s: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept."""
-    small_batches(docs.sparkSession)
     rows = bodies(docs)
     s = cut(sketches(rows))
     reps = representatives(s).withColumn("rep", F.col("doc_id"))
@@ -319,7 +322,6 @@ def near_dedup_stage(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     Representatives are numbered, as an id doesn't tell them apart; the
     checkpoint keeps the numbers fixed.
     """
-    small_batches(docs.sparkSession)
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     rows = bodies(docs.select("doc_id", "text")).select("doc_id", F.unhex(F.md5("body")).alias("digest"), "body")
     s = cut(sketches(rows))

@@ -1,9 +1,11 @@
-"""Exact substring dedup: names of sampled suffixes, in sorted order.
+"""Exact substring dedup by the names of sampled suffixes.
 
 A byte is removed if it is covered by a string of ``length`` (100) bytes that
 also starts earlier (smaller doc_id, or the same document further left);
-strings are judged on the input.  The scheme is that of difference-cover
-suffix sorting, cut off at ``length`` bytes and fitted to a shuffle:
+strings are judged on the input.  In place of a suffix sort, equal strings are
+found by grouping sampled suffixes by hashes, from long runs to single strings:
+no suffix is put in lexicographic order, and the ranks of a difference-cover
+sort are hash names here (see README for what that sort would cost).
 
 1. *Sample.*  A cover picks suffixes so that two equal strings always hold a
    sampled suffix at the same offset.  A periodic cover mod 31 does that with
@@ -11,16 +13,15 @@ suffix sorting, cut off at ``length`` bytes and fitted to a shuffle:
    each string) does it with about 2 / 62, so that is the one used.  Every
    string belongs to exactly one sampled suffix, its consecutive strings
    form a run.
-2. *Sort and name.*  Sampled suffixes are sorted by their k-gram; the name of
-   a run is the digest of all bytes its strings cover.  Neighbours in that
-   order with equal names are equal runs: all but the earliest are removed
-   whole.  A run whose k-gram has one name only has no equal string elsewhere.
-3. *Recurse on names.*  Only the earliest run of each name whose k-gram has
+2. *Name.*  Sampled suffixes are grouped by their k-gram; the name of a run is
+   the digest of all bytes its strings cover.  Equal names in a group are equal
+   runs: all but the earliest are removed whole.  A run whose k-gram has one name only has no equal string elsewhere.
+3. *Shorter blocks.*  Only the earliest run of each name whose k-gram has
    several names goes on.  It is cut into blocks of ``BLOCK`` strings, aligned
    to the sampled suffix; the bytes all strings of a block share take the
    k-gram's part and the block's own bytes give its name, as in step 2.
-4. *Merge.*  The strings of the blocks that are left are sorted by name;
-   neighbours that are equal are repeats, all but the earliest are marked.
+4. *Single strings.*  The strings of the blocks that are left are grouped by
+   name; all but the earliest of a group are marked.
 5. Marks go back to their documents.
 
 Names are 64-bit hashes, told apart within one k-gram (64 more bits) or, in
