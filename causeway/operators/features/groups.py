@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.joins import join_small
+from causeway.operators.joins import join_small, keep
 from causeway.operators.order import exact_quantiles
 
 AGG_FUNCS = ("mean", "median", "std", "count", "nunique")
@@ -34,6 +34,8 @@ def group_tables(df: DataFrame, key_sets: Sequence[Sequence[str]], nums: Sequenc
                  funcs: Sequence[str] = AGG_FUNCS) -> list[tuple[list[str], DataFrame]]:
     """(keys, statistics table) per key set; the keys are named ``_k_<key>``."""
     tables = []
+    # one narrow copy serves the statistics and medians of every key set
+    df = keep(df.select(*dict.fromkeys([*[k for keys in key_sets for k in keys], *nums])))
     for keys in map(list, key_sets):
         kname = "__".join(keys)
         aggs = []

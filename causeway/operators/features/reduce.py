@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.config import EPS
+from causeway.operators.joins import keep as keep_table
 
 ALPHA = 0.7
 MIN_ANCHORS = 20
@@ -101,6 +102,7 @@ def pca_cap(df: DataFrame, cols: Sequence[str], cap: int, y: str | None = None,
     there are more than ``cap`` of them; returns (frame, anchors)."""
     if len(cols) <= cap:
         return df, list(cols)
+    df = keep_table(df)     # read for the scores, the scaler, the components and the result
     anchors = anchors_of(df, cols, y)
     out = pca_features(df.select(*keep, *anchors), anchors, min(cap, len(anchors)), True, "dsban_pc_")
     return out.drop(*anchors), anchors

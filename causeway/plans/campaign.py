@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.config import EffectConfig, Rules
+from causeway.functions import schema
 from causeway.functions.scalar import r
 from causeway.operators import diagnose, estimate, hte, ranking, robust, tune
 from causeway.operators import trees as trees_mod
@@ -180,17 +181,36 @@ def campaign_diagnosis(parts: CampaignParts, features: Sequence[str], spec: Camp
                       F.coalesce("band_note", "note").alias("note"))
 
 
-def full_campaign(panel: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], group_keys: Sequence[Sequence[str]] = (),
+def flat_record(records: DataFrame) -> DataFrame:
+    """The nested record as plain columns, rounded as the flat result is."""
+    q = (10, 25, 50, 75, 90)
+    money = [F.col("ate_point"), *[F.col("ate_ci")[i].alias(f"ate_ci_{s}") for i, s in enumerate(("lo", "hi"))],
+             F.col("att_point"), *[F.col("att_ci")[i].alias(f"att_ci_{s}") for i, s in enumerate(("lo", "hi"))],
+             *[F.col(f"tau_quantiles_full.p{p}").alias(f"tau_p{p}") for p in q],
+             *[F.col("tau_quantiles_band")[i].alias(f"tau_band_p{p}") for i, p in enumerate(q)]]
+    report = [F.get_json_object(f"{e}_report", f"$.{e}_{c}").cast("double").alias(f"{e}_{c}")
+              for e in ("ate", "att") for c in ("se", "placebo_p")]
+    flat = records.select("activity_uuid", "created_at", "t_col", "y_col", "n_samples", "n_treated", "n_control", *money, *report,
+                          F.col("overlap_band_for_att.range")[0].alias("att_band_lo"),
+                          F.col("overlap_band_for_hte.range")[1].alias("hte_band_hi"),
+                          *[F.col(f"overlap_band_for_att.{c}").alias(c) for c in ("treated_kept", "treated_total", "treated_coverage")])
+    digits = {"treated_coverage": 6, "ate_placebo_p": 6, "att_placebo_p": 6}
+    return flat.select(*[r(c, digits.get(c, 4)).alias(c) if t == "double" else F.col(c) for c, t in flat.dtypes])
+
+
+def full_campaign(panel: DataFrame, cat_cols: Sequence[str] | None, num_cols: Sequence[str], group_keys: Sequence[Sequence[str]] = (),
                   spec: CampaignSpec = CampaignSpec(), trials: int = 30, max_cols: int = 30,
                   trees: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The learned campaign of one activity: features (no target is used), a
-    tuner of the nuisance forests, ATE on all rows and ATT in the band with their
+    """The learned campaign of one activity: features (no target is used; without
+    ``cat_cols`` the text columns are the categories), a tuner of the nuisance forests, ATE on all rows and ATT in the band with their
     diagnosis, τ̂ by a forest trained in the band and given to all rows.  Returns
     (one result row, rows with τ̂)."""
     cfg = spec.cfg
     base = settle(assign_folds(panel, cfg.n_splits, cfg.seed))
     folds = list(range(cfg.n_splits))
-    factory = FeatureFactory(cat_cols=list(cat_cols), num_cols=list(num_cols), group_keys=[list(g) for g in group_keys],
+    cats = schema.existing_columns(base, cat_cols) if cat_cols is not None else [
+        c for c in schema.category_columns(base) if c not in ("id", "activity_id")]
+    factory = FeatureFactory(cat_cols=cats, num_cols=schema.existing_columns(base, num_cols), group_keys=[list(g) for g in group_keys],
                              target_encoding=False, quantile_bins=12, pca=min(12, len(num_cols)), max_total_cols=max_cols)
     deep = factory.fit_transform(base)
     features = factory.feature_columns(deep, base)
@@ -236,8 +256,8 @@ def result_record(res: DataFrame, spec: CampaignSpec = CampaignSpec()) -> DataFr
         F.col("n_control").cast("int").alias("n_control"), "ate_point",
         F.array("ate_ci_lo", "ate_ci_hi").alias("ate_ci"), "att_point",
         F.array("att_ci_lo", "att_ci_hi").alias("att_ci"),
-        F.to_json(F.struct("ate_point", "ate_se", "ate_placebo_p")).alias("ate_report"),
-        F.to_json(F.struct("att_point", "att_se", "att_placebo_p")).alias("att_report"),
+        *[F.to_json(F.struct("n_samples", "n_treated", "n_control", *[f"{e}_{c}" for c in ("point", "se", "ci_lo", "ci_hi", "placebo_p")]))
+          .alias(f"{e}_report") for e in ("ate", "att")],
         F.to_json(F.struct(*[f"tau_{p}" for p in q])).alias("hte_report"),
         F.struct(*[F.col(f"tau_{p}").alias(p) for p in q]).alias("tau_quantiles_full"),
         F.array(*[f"tau_band_{p}" for p in q]).alias("tau_quantiles_band"),

@@ -422,7 +422,7 @@ def q_pca_cap(spark, sf_dir):
 def q_leaf(spark, sf_dir):
     p = panel_customer(spark, sf_dir)
     return reduce.leaf_embedding(p, ["before_cnt", "before_amt", "acctbal", "region"], "y",
-                                 trees=10, depth=3).select("id", *[f"leaf_idx_{i}" for i in range(10)])
+                                 ).select("id", *[f"leaf_idx_{i}" for i in range(20)])
 
 
 # ------------------------------------------------------------ P7 campaign
@@ -1110,3 +1110,25 @@ def q_campaign_full(spark, sf_dir):
     res, _ = camp.full_campaign(panel_customer(spark, sf_dir), ["seg"], ["before_cnt", "before_amt", "acctbal"], [["seg"]],
                                 CAMPAIGN_SPEC, trials=2, trees=40)
     return res
+
+
+@query("campaign_record_flat")
+def q_campaign_record_flat(spark, sf_dir):
+    """The nested result record read back column by column."""
+    return camp.flat_record(q_campaign_record(spark, sf_dir))
+
+
+@query("campaign_text")
+def q_campaign_text(spark, sf_dir):
+    """The text report of every segment's campaign."""
+    from causeway.plans.report import report_table
+
+    panel = panel_customer(spark, sf_dir).withColumn("activity_id", F.col("seg"))
+    parts = camp.campaign_parts(panel, customer_cell(), camp.CampaignSpec())
+    return report_table(parts.ate, camp.campaign_diagnosis(parts, BALANCE_FEATURES), camp.CAMPAIGN_CFG.rules)
+
+
+@query("calibrated_sigmoid")
+def q_calibrated_sigmoid(spark, sf_dir):
+    nuis = lin.linear_nuisance(customer_folds(spark, sf_dir), LEARN_X, DEFAULT, FOLDS)
+    return _effect_row(estimate.effect_table(calibrate(nuis, DEFAULT, FOLDS, "sigmoid"), "ATE", DEFAULT))

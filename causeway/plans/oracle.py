@@ -1157,3 +1157,11 @@ SELECT 'cust-1998' AS activity_id, n, round(ovl, 6) + 0.0 AS ovl, round(ks, 6) +
        overlap_pass, balance_pass, placebo_pass, negctrl_pass, n_pass,
        CASE WHEN n_pass = 4 THEN 'credible' WHEN n_pass >= 2 THEN 'doubtful' ELSE 'fail' END AS verdict, nb AS n_band,
        coalesce(bandnote, CASE WHEN nv < 30 THEN 'too few valid out-of-fold points' END) AS note FROM g"""
+
+ORACLE["campaign_record_flat"] = f"""
+SELECT activity_id AS activity_uuid, '2026-01-01T00:00:00Z' AS created_at, 't' AS t_col, 'y' AS y_col, CAST(n_samples AS INTEGER) AS n_samples,
+       CAST(n_treated AS INTEGER) AS n_treated, CAST(n_control AS INTEGER) AS n_control, ate_point, ate_ci_lo, ate_ci_hi, att_point, att_ci_lo, att_ci_hi,
+       {', '.join(f'{x}_p{p}' for x in ('tau', 'tau_band') for p in (10, 25, 50, 75, 90))}, ate_se, ate_placebo_p, att_se, att_placebo_p,
+       CAST(0.2 AS DOUBLE) AS att_band_lo, CAST(0.8 AS DOUBLE) AS hte_band_hi, CAST(treated_kept AS INTEGER) AS treated_kept,
+       CAST(treated_total AS INTEGER) AS treated_total, treated_coverage
+FROM ({ORACLE['campaign_result']})"""

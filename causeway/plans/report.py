@@ -4,7 +4,8 @@ are rendered; the metrics themselves stay DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 from causeway.config import Rules
 
@@ -46,3 +47,27 @@ def campaign_report_text(rec: Row) -> str:
         f"{_f(rec['att_ci_hi'], '.4f')}], treated kept {rec['treated_kept']}/{rec['treated_total']}",
         f"- tau quantiles p10..p90 = " + ", ".join(_f(rec[f"tau_p{p}"], '.2f') for p in (10, 25, 50, 75, 90)),
     ])
+
+
+def _shown(name: str, digits: int) -> Column:
+    return F.coalesce(F.format_number(name, digits), F.lit("n/a"))
+
+
+def report_table(effect: DataFrame, diagnosis: DataFrame, rules: Rules = Rules(), estimand: str = "ATE") -> DataFrame:
+    """(activity_id, report): the text report of every activity as a column, built
+    by the engine.  ``effect`` has activity_id, est, ci_lo, ci_hi; ``diagnosis`` is
+    that of the campaign plan."""
+    d = diagnosis.withColumnRenamed("activity_id", "_activity")
+    j = effect.select("activity_id", "est", "ci_lo", "ci_hi").join(d, F.col("activity_id").eqNullSafe(F.col("_activity")))
+    lines = [
+        F.concat(F.lit(f"[{estimand}] estimate = "), _shown("est", 4), F.lit(", 95% CI = ["), _shown("ci_lo", 4), F.lit(", "),
+                 _shown("ci_hi", 4), F.lit("]")),
+        F.concat(F.lit("- overlap: OVL = "), _shown("ovl", 3), F.lit(f" (>= {rules.ovl_min}), KS = "), _shown("ks", 3),
+                 F.lit(f" (<= {rules.ks_max})")),
+        F.concat(F.lit("- balance: max |SMD| = "), _shown("smd_max", 3), F.lit(f" (<= {rules.smd_max})")),
+        F.concat(F.lit("- placebo permutation: p = "), _shown("placebo_p", 3), F.lit(f" (>= {rules.placebo_alpha})")),
+        F.concat(F.lit("- ranking in the band: nAUUC = "), _shown("nauuc", 3), F.lit(", policy@10/20/30 = "),
+                 F.concat_ws(" / ", *[_shown(f"policy_{k}", 2) for k in (10, 20, 30)]),
+                 F.coalesce(F.concat(F.lit(" ("), "note", F.lit(")")), F.lit(""))),
+        F.concat(F.lit("- verdict: "), F.coalesce("verdict", F.lit("n/a")))]
+    return j.select("activity_id", F.concat_ws("\n", *lines).alias("report"))
