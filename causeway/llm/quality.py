@@ -18,13 +18,15 @@ same verdict; a null source is a host of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -76,14 +78,21 @@ def measure(body: bytes | None) -> tuple[int, ...]:
             len(lines), len(lines) - len(set(lines)), _repeat_words(words))
 
 
-@F.pandas_udf(MEASURES)
-def _measures(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(b) for b in bodies], columns=MEASURES.names, dtype="int64")
+def measured(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with the struct ``m`` of MEASURES of a text column added.  Workers
+    hold a slice of the texts at a time, whatever the session's batch size."""
+    at = rows.columns.index(text)
+    kinds = pa.struct([pa.field(n, pa.int64()) for n in MEASURES.names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, at):
+                found = [measure(x.as_buffer().to_pybytes() if x.is_valid else None) for x in b.column(at)]
+                cols = [pa.array(c, pa.int64()) for c in zip(*found)]
+                m = pa.StructArray.from_arrays(cols, fields=list(kinds))
+                yield pa.RecordBatch.from_arrays([*b.columns, m], names=[*b.schema.names, "m"])
 
-def measures(text: Column) -> Column:
-    """Struct of MEASURES for a text column."""
-    return _measures(F.coalesce(text, F.lit("")).cast("binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("m", MEASURES)]))
 
 
 def base_failed(m: str = "m") -> Column:
@@ -96,7 +105,7 @@ def strict_failed(m: str = "m", symbol_pct: int = STRICT_SYMBOL_PCT, dup_line_pc
             | (100 * F.col(f"{m}.n_dup_lines") > dup_line_pct * F.col(f"{m}.n_lines")))
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
+def host_rates(rows: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate, n_strict, strict_rate, shrunk,
     strict_shrunk, host_failed) per source of measured rows (source, m).
 
@@ -106,7 +115,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     prior's standard deviation is sqrt(m(1-m)/(s+1)).  Base and strict failures
     have a prior each.
     """
-    hosts = (measured.select(F.col("source").alias("host"), "m")
+    hosts = (rows.select(F.col("source").alias("host"), "m")
              .groupBy("host").agg(F.count("*").alias("n_docs"),
                                   F.sum(base_failed().cast("long")).alias("n_failed"),
                                   F.sum(strict_failed().cast("long")).alias("n_strict"))
@@ -144,19 +153,19 @@ def shrink(hosts: DataFrame) -> DataFrame:
             .drop("base", "strict"))
 
 
-def judge(measured: DataFrame) -> DataFrame:
+def judge(rows: DataFrame) -> DataFrame:
     """Measured rows (source, m, ...) with the columns base_failed and kept added.
 
     Host totals are partial aggregates per source; the join back is on the
     host, planned by size at run time (broadcast where the host table turns
     out small, else a sort-merge join whose hot hosts AQE splits).
     """
-    names = set(measured.columns) & {"base_failed", "kept", "host", "host_failed"}
+    names = set(rows.columns) & {"base_failed", "kept", "host", "host_failed"}
     if names:
         raise ValueError(f"columns {sorted(names)} clash with the verdict's; rename them first")
-    verdicts = host_rates(measured).select("host", "host_failed")
+    verdicts = host_rates(rows).select("host", "host_failed")
     clear = strict_failed("m", CLEAR_SYMBOL_PCT, CLEAR_DUP_LINE_PCT)
-    return (measured.withColumn("base_failed", base_failed())
+    return (rows.withColumn("base_failed", base_failed())
             .join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
             .withColumn("kept", ~F.col("base_failed") & ~clear
                         & ~(F.coalesce(F.col("host_failed"), F.lit(False)) & strict_failed()))
@@ -166,8 +175,8 @@ def judge(measured: DataFrame) -> DataFrame:
 def quality_report(docs: DataFrame) -> DataFrame:
     """The judged measures per row, without the text.  Texts are measured once;
     the narrow table of measures is checkpointed for its two readers."""
-    measured = cut(docs.select("doc_id", "source", measures(F.col("text")).alias("m")))
-    return (judge(measured)
+    rows = cut(measured(docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))).drop("text"))
+    return (judge(rows)
             .select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines",
                     "m.n_repeat_words", "base_failed", "kept"))
 
@@ -177,5 +186,7 @@ def quality_stage(docs: DataFrame) -> DataFrame:
     names are set aside during the judging.  Texts are measured twice (for the
     hosts, then for the verdicts): rows have no key to join measures back by."""
     names = docs.columns
-    packed = docs.select("source", measures(F.col("text")).alias("m"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    return judge(packed).where("kept").select("row.*")
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    source, text = (f"c{names.index(c)}" for c in ("source", "text"))
+    marked = judge(measured(safe, text).withColumn("source", F.col(source))).where("kept")
+    return marked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
