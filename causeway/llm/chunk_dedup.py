@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh3_64_intdigest
 
-from .common import arrow_bytes, cut, one_per_id, restore_id, slices
+from .common import cut, one_per_id, restore_id, slices, text_batches
 
 MIN_CHUNK, MAX_CHUNK = 24, 256
 WINDOW = 16
@@ -145,6 +145,7 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_chunks, n_repeats (repeated chunks),
     n_removed (bytes), removed (byte ranges start:end) and the SHA-256 of
     what stays.  The text is shuffled once (by doc_id) and read twice."""
+    text_batches(docs.sparkSession, 8 << 20)
     texts = one_per_id(docs)
     chunks = texts.mapInArrow(_chunks, "d1 long, d2 long, doc_id long, packed long")
     settled = F.col("packed") % 2 == 1
@@ -154,6 +155,5 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
                .where("settled or place > 1")
                .groupBy("doc_id").agg(F.collect_list(F.shiftright("packed", 1)).alias("repeats")))
     out = texts.join(repeats, "doc_id", "left").select("doc_id", "body", "repeats").mapInArrow(_finish, _RESULT)
-    with arrow_bytes(docs.sparkSession):
-        out = cut(out)          # narrow rows
+    out = cut(out)              # narrow rows
     return out.select(restore_id(), *[c for c in out.columns if c != "doc_id"])

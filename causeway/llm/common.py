@@ -9,7 +9,6 @@ text is an empty one; input columns the operator doesn't name are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,19 +61,17 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa
         at = to
 
 
-@contextmanager
-def arrow_bytes(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
-    """Arrow batches of at most about ``most`` bytes for the jobs that run inside;
-    the session's own setting is back afterwards.  Executors hold a few batches
-    per task outside the heap, so this bounds what wide rows cost there."""
+def text_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about ``most`` bytes at most, for this session.
+
+    Executors hold a few batches per task outside the heap, so this bounds what
+    texts cost there.  Every operator that sends texts to Python sets it, and it
+    stays set: plans are lazy, so it must hold when the caller runs them.  A lower
+    limit of the session's own is left alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    now = int(before.rstrip("b"))     # Spark gives its default as "67108864b"
-    spark.conf.set(key, str(min(most, now) if now > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.conf.get(key).rstrip("b"))     # Spark gives its default as "67108864b"
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import cut
+from .common import cut, text_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -304,6 +304,7 @@ def index_blocks(benchmark: DataFrame, short_items: bool = False) -> Iterator[In
 def contamination(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """Per doc_id: contaminated, item_ids (comma-joined, in order), n_items
     and similarity (of the best window, 0 without one)."""
+    text_batches(docs.sparkSession)
     found = None
     for index in index_blocks(benchmark, short_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -334,6 +335,7 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, short_items: bool
             return texts.map(lambda t: not shared.value.find(t)).astype(bool)
         return holds_none
 
+    text_batches(docs.sparkSession)
     out = docs
     for index in index_blocks(benchmark, short_items):
         out = out.where(clean(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))

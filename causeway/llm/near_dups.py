@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import components, cut, id_or_sentinel, restore_id, slices
+from .common import components, cut, id_or_sentinel, restore_id, slices, text_batches
 
 SHINGLE = 5
 LINK_PCT = 85
@@ -301,6 +301,7 @@ def representatives(s: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group), kept."""
+    text_batches(docs.sparkSession)
     rows = bodies(docs)
     s = cut(sketches(rows))
     reps = representatives(s).withColumn("rep", F.col("doc_id"))
@@ -322,6 +323,7 @@ def near_dedup_stage(docs: DataFrame, pct: int = LINK_PCT) -> DataFrame:
     Representatives are numbered, as an id doesn't tell them apart; the
     checkpoint keeps the numbers fixed.
     """
+    text_batches(docs.sparkSession)
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     rows = bodies(docs.select("doc_id", "text")).select("doc_id", F.unhex(F.md5("body")).alias("digest"), "body")
     s = cut(sketches(rows))

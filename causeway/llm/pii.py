@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 
 KINDS = ("email", "ip", "card", "phone", "userinfo", "tel", "account")
 N_BASE = 4
@@ -187,6 +189,7 @@ def _redacted(texts: pd.Series) -> pd.Series:
 def pii_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked (and ``n_chars``, if
     there is one, brought up to date); rows and other columns stay."""
+    text_batches(docs.sparkSession)
     out = docs.withColumn("text", _redacted(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

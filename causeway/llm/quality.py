@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, slices, text_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -92,6 +92,7 @@ def measured(rows: DataFrame, text: str = "text") -> DataFrame:
                 m = pa.StructArray.from_arrays(cols, fields=list(kinds))
                 yield pa.RecordBatch.from_arrays([*b.columns, m], names=[*b.schema.names, "m"])
 
+    text_batches(rows.sparkSession)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("m", MEASURES)]))
 
 
