@@ -1,7 +1,9 @@
 """Packing invariants, held-out language accuracy, and the pipeline against a
 plain restatement."""
 
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -95,6 +97,59 @@ def test_held_out_accuracy(spark):
     assert n > 150 and right >= 0.97
 
 
+def plain_languages(rows):
+    """(held out, language, score) per row (id, text, lang): a set of slots per
+    language, one n-gram at a time."""
+    def grams(t):
+        t = f" {t.lower()} "
+        c = [x if x.isalpha() else " " for x in t]
+        return ["".join(c[i:i + 3]) for i in range(len(c) - 2) if c[i + 1] != " "]
+
+    def places(g, bits):
+        x = sum(ord(c) << (42 - 21 * i) for i, c in enumerate(g))
+        x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) % 2 ** 64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2 ** 64
+        x ^= x >> 31
+        return [(x + i * ((x >> 32) | 1)) % 2 ** bits for i in range(langid.HASHES)]
+
+    out = [i is None or zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows]
+    counts = {}
+    for (_, t, lang), held in zip(rows, out):
+        if not held and t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items() if n / sum(c.values()) >= langid.MIN_SHARE} for k, c in counts.items()}
+    top = Counter()
+    for s in share.values():
+        for g, v in s.items():
+            top[g] = max(top[g], v)
+    bits = max(10, math.ceil(math.log2(max(1, langid.SLOTS_PER_GRAM * len(top)))))
+    slots = {k: {p for g, v in s.items() if v * langid.DOMINANCE >= top[g] for p in places(g, bits)} for k, s in share.items()}
+    found = []
+    for (_, t, _), held in zip(rows, out):
+        gs = grams(t) if t else []
+        best = ("und", 0.0)
+        for k in sorted(slots):
+            hits = sum(all(p in slots[k] for p in places(g, bits)) for g in gs)
+            rate = (len(slots[k]) / 2 ** bits) ** langid.HASHES
+            score = min(1.0, max(0.0, (hits / len(gs) - rate) / max(1e-9, 1 - rate))) if gs else 0.0
+            if gs and (best[0] == "und" or score > best[1]):
+                best = (k, score)
+        found.append((held, *best))
+    return found
+
+
+def test_language_query_equals_a_plain_restatement(spark):
+    from causeway.llm.catalog import QUERIES
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, SF001).collect()}
+    want = plain_languages([tuple(r) for r in docs])
+    assert len(got) == len(docs)
+    for d, (held, lang, score) in zip(docs, want):
+        r = got[d.doc_id]
+        assert (r.held_out, r.lang_pred) == (held, lang) and abs(r.score - score) < 1e-9, d.doc_id
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "12 !", None),
             (None, "the dog", None), (6, "the dog and cat", None), (6, "the dog and cat", None), (7, "", "de")]
