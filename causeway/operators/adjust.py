@@ -145,4 +145,9 @@ def trim_sensitivity(nuis: DataFrame, bands: Sequence[tuple[float, float]], grou
     q = weighted_quantiles(inside, "_v", "_c", tails, keys)
     wide = q.groupBy(*keys).agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("q"))).alias(f"psi_p{round(100 * p)}")
                                   for p in tails])
-    return join_null_safe(stats, wide, keys)
+    out = join_null_safe(stats, wide, keys)
+    if group:
+        return out
+    # a band without rows is stated too
+    listed = nuis.sparkSession.createDataFrame([(float(lo), float(hi)) for lo, hi in bands], "lo double, hi double").distinct()
+    return join_null_safe(listed, out, keys, how="left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))

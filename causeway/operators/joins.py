@@ -116,8 +116,9 @@ def attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
     """Add per-group totals (one row per group) to every row of ``df``.
 
     Grouped: an equi-join on the group keys (NULL is a group), planned by size at
-    run time.  Ungrouped: ``totals`` is a global aggregate, one row, broadcast.
+    run time.  Ungrouped: ``totals`` is one row at most, broadcast; without it the
+    columns are NULL.
     """
     if group:
         return join_null_safe(df, totals, group)
-    return df.crossJoin(F.broadcast(totals))
+    return df.join(F.broadcast(totals), how="left")

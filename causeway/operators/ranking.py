@@ -46,7 +46,7 @@ def auuc_areas(df: DataFrame, scores: Sequence[str], psi: str = "psi", group: Se
     area = ((n + 1) * (F.col("_sv") - n * m / 2.0) - F.col("_srv")
             - (F.col("_v1") + F.col("_sv") - (n + 1) * m) / 2.0) / n
     return sums.groupBy(*group).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("_o") == i, area)).alias(f"area_{s}") for i, s in enumerate(scores)])
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(F.when(F.col("_o") == i, area)).alias(f"area_{s}") for i, s in enumerate(scores)])
 
 
 def auuc_area(df: DataFrame, score: str, psi: str = "psi", group: Sequence[str] = (),
@@ -75,10 +75,10 @@ def nauuc(df: DataFrame, score: str = "tau", psi: str = "psi", group: Sequence[s
                      F.col(f"area_{psi}").alias("area_oracle"))
     ratio = F.least(F.greatest(F.col("area_model") / F.col("area_oracle"), F.lit(0.0)), F.lit(1.0))
     if centered:
-        degenerate = F.abs(F.col("area_oracle")) <= 1e-12
+        degenerate = F.col("area_oracle").isNull() | (F.abs(F.col("area_oracle")) <= 1e-12)
         fallback = F.lit(None).cast("double") if on_zero == "null" else F.lit(0.0)
     else:
-        degenerate = F.col("area_oracle") <= 0
+        degenerate = F.col("area_oracle").isNull() | (F.col("area_oracle") <= 0)
         fallback = F.lit(0.0)
     return j.select(*group, "n", "area_model", "area_oracle",
                     F.when(degenerate, fallback).otherwise(ratio).alias("nauuc"))

@@ -151,3 +151,17 @@ def test_policy_ratio_counts_every_k(spark):
     assert r.policy_ratio == 0 and r.spearman == -1 and not r.passed
     r = distill.composite_table(df.withColumn("st", F.col("tau")), "tau", "st").first()
     assert np.isclose(r.policy_ratio, (1 + 0 + 1) / 3)
+
+
+def test_nothing_is_lost_where_a_summary_is_empty(spark):
+    """A column without a value, a band without rows, a table without rows."""
+    from causeway.operators import adjust, ranking
+
+    df = spark.createDataFrame([(i, None, 0.5, float(i)) for i in range(10)], "id long, x double, e double, psi double")
+    assert clean.impute_median(df, "x").where("x IS NULL").count() == 10
+    got = {(r.lo, r.hi): r for r in adjust.trim_sensitivity(df, [(0.1, 0.9), (0.6, 0.7), (0.5, 0.5)]).collect()}
+    assert {k: r.n_kept for k, r in got.items()} == {(0.1, 0.9): 10, (0.6, 0.7): 0, (0.5, 0.5): 10}
+    assert got[0.6, 0.7].est is None and np.isclose(got[0.1, 0.9].est, 4.5) and np.isclose(got[0.1, 0.9].psi_p95, 8.55)
+    assert np.isclose(got[0.1, 0.9].se, np.std(range(10), ddof=1) / 10 ** 0.5)
+    row = ranking.nauuc(df.withColumn("tau", F.col("psi")).limit(0)).first()
+    assert row.n == 0 and row.nauuc is None
