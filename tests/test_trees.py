@@ -153,3 +153,23 @@ def test_arm_routes(spark):
     assert mu1[None] == 333 and mu1["tiny"] == 0 and {r.mu0 for r in out} == {222.0}
     mean = route_arms(nuis, status, EffectConfig(n_splits=2), ArmRules(empty="mean"), ["g"]).where("g = 'tiny' AND fold = 0").first()
     assert mean.mu1 == got["tiny", 1, 0].pooled_mean
+
+
+def test_rows_of_one_part_are_spread_over_tasks(spark, monkeypatch):
+    """A narrow table comes in few parts; its histograms are added up by all cores, with the same trees."""
+    df, _ = frame(spark)
+    cuts = [list(range(10)), [-1.0, -0.5, 0.0, 0.5, 1.0]]
+    fam = [trees.Family("y", F.col("y"))]
+    one = trees.grow(df.coalesce(1), ["a", "b"], fam, [0, 1, 2], depth=3, min_leaf=15, trees=3, cuts=cuts)
+    parts, plain = [], trees._grow_levels
+    monkeypatch.setattr(trees, "TASK_ROWS", (300, 1_000_000))
+    monkeypatch.setattr(trees, "_grow_levels", lambda forest, rows, *a: (parts.append(rows.rdd.getNumPartitions()),
+                                                                         plain(forest, rows, *a))[1])
+    many = trees.grow(df.coalesce(1), ["a", "b"], fam, [0, 1, 2], depth=3, min_leaf=15, trees=3, cuts=cuts)
+    assert parts[0] >= min(4, spark.sparkContext.defaultParallelism)
+    assert (one.feature == many.feature).all() and (one.bin == many.bin).all() and np.allclose(one.value, many.value)
+
+
+def test_bins_count_the_cut_points_below():
+    x = np.array([[np.nan, -np.inf], [1.0, np.inf], [1.5, 0.0], [9.0, -0.0]])
+    assert trees._bins(x, [np.array([1.0, 2.0]), np.array([0.0])]).tolist() == [[0, 1], [1, 2], [2, 1], [3, 1]]
