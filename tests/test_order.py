@@ -92,3 +92,12 @@ def test_exact_quantiles_match_numpy(spark):
         want = np.quantile(part.v, probs)
         got = q[q.g == g].sort_values("p").q.to_numpy()
         assert np.allclose(want, got)
+
+
+def test_buckets_are_sorted_in_many_tasks(spark):
+    """Few bytes, many buckets: the sort is not left to one task, and no row is sent to a task by its group alone."""
+    df, _ = _frame(spark)
+    out = ordered(df, "score", group=["g"], bucket_rows=100)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
