@@ -174,19 +174,17 @@ def composite_table(df: DataFrame, teacher: str, student: str, psi: str = "psi",
 
 def student_tree(df: DataFrame, features: Sequence[str], teacher: str = "tau", psi: str = "psi",
                  depths: Sequence[int] = (2, 3, 4, 5, 6), leaf_shares: Sequence[float] = (0.01, 0.03, 0.08),
-                 min_leaf: int = 20, fold: str = "fold", seed: int = 42,
-                 stop: float = 0.75) -> tuple[trees.Forest, DataFrame]:
+                 min_leaf: int = 20, fold: str = "fold", seed: int = 42) -> tuple[trees.Forest, DataFrame]:
     """The best single tree by the out-of-fold composite score, refitted on all
     rows, and the table of candidates (depth, leaf_share, score, …, best).
 
     A greedy tree cut at depth d is the greedy tree of depth d, so each leaf
     share needs one growth for all folds and depths; all depths are scored in
-    one plan, as groups.  The search ends at the first share whose best score
-    reaches ``stop``."""
+    one plan, as groups.  Every share is searched, however good an earlier one."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     n = df.count()
     cuts = trees.feature_cuts(df, features)
-    best, table = None, []
+    table = []
     for share in leaf_shares:
         least = max(min_leaf, int(share * n))
         forest = trees.grow(df, features, [trees.Family("_student", F.col(teacher))], folds, fold, depth=max(depths),
@@ -198,9 +196,7 @@ def student_tree(df: DataFrame, features: Sequence[str], teacher: str = "tau", p
         for r in composite_table(stacked, teacher, "_student", psi, group=["depth"]).collect():   # a row per depth
             table.append({"depth": r["depth"], "leaf_share": float(share), "min_leaf": least, "score": r["score"],
                           "nauuc_ratio": r["nauuc_ratio"], "spearman": r["spearman"], "policy_ratio": r["policy_ratio"]})
-        best = max(table, key=lambda r: (r["score"], -r["depth"]))
-        if best["score"] >= stop:
-            break
+    best = max(table, key=lambda r: (r["score"], -r["depth"]))
     for r in table:
         r["best"] = r is best
     model = trees.grow(df, features, [trees.Family("_student", F.col(teacher))], depth=best["depth"], min_leaf=best["min_leaf"],
